@@ -1 +1,57 @@
-"""Part of quillstone."""
+"""Streaming context pipeline: incremental, per-session state in Spark's state store."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+OUT = "session string, batch_rows long, total_rows long, distinct_rows long, kept long, evicted long, tokens long"
+STATE = "hashes array<string>, tokens array<long>, ts array<long>, total long, seen long, evicted long"
+
+
+def ingest(stream: DataFrame, budget: int = 40_000, window: int = 500) -> DataFrame:
+    """One row per session and micro-batch. Input: session, content, ts_ms, tokens.
+
+    State of a session is at most ``window`` entries: equal contents are one entry, entries over the token
+    budget or the window leave, oldest first.
+    """
+    rows = stream.withColumn("hash", F.sha2(F.coalesce("content", F.lit("")), 256)).select("session", "hash", "ts_ms", "tokens")
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        hashes, tokens, ts, total, seen, evicted = state.get if state.exists else ([], [], [], 0, 0, 0)
+        kept = {h: (t, k) for h, k, t in zip(hashes, tokens, ts, strict=True)}
+        n = 0
+        for p in parts:
+            for h, t, k in sorted(zip(p["hash"], p["ts_ms"], p["tokens"], strict=True), key=lambda r: (r[1], r[0])):
+                n += 1
+                if h not in kept:
+                    kept[h] = (int(t), int(k))
+                    seen += 1
+        order = sorted(kept.items(), key=lambda e: (-e[1][0], e[0]))
+        live, used = [], 0
+        for h, (t, k) in order:
+            if len(live) < window and used + k <= budget:
+                live.append((h, k, t))
+                used += k
+        evicted += len(order) - len(live)
+        total += n
+        state.update(([x[0] for x in live], [x[1] for x in live], [x[2] for x in live], total, seen, evicted))
+        yield pd.DataFrame({"session": [key[0]], "batch_rows": [n], "total_rows": [total], "distinct_rows": [seen], "kept": [len(live)], "evicted": [evicted], "tokens": [used]})
+
+    return rows.groupBy("session").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def alerts(stats: DataFrame, threshold: int = 60_000) -> DataFrame:
+    return stats.where(F.col("tokens") >= threshold)
+
+
+def document_frequency_deltas(stream: DataFrame) -> DataFrame:
+    """Running (term, df) from rows (content, sign): +1 on arrival, -1 on removal; zero counts are left out downstream."""
+    from quillstone import functions as Q
+
+    terms = stream.select("sign", F.explode(F.array_distinct(Q.tokens(F.col("content")))).alias("term"))
+    return terms.groupBy("term").agg(F.sum("sign").alias("df"))
