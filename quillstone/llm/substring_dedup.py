@@ -6,12 +6,15 @@ fingerprints, so a later offset's identifier is computed where the text is and n
 network: b8 -> b16 -> b32 (initial q-gram bucket, q = 32), then b64[s] = (b32[s], b32[s+32]) and
 b100[s] = (b64[s], b64[s+36]). Buckets with one suffix drop out of further refinement:
 
-1. every text's suffixes at the minimisers of all 100-byte windows (each window owns one, chosen by its
-   content) go into 32-gram buckets; buckets with one member end there;
-2. the rest is refined by the identifier of the whole context in which a window of that minimiser can lie
-   (at most 168 bytes); all but the first member of a context are repeats as a whole;
-3. the first members of different contexts in one bucket are refined to single 100-byte suffixes, whose
-   buckets (128 bits) tell for each window whether it starts earlier.
+1. every 100-byte window is owned by the leftmost minimiser of its 32-grams, chosen by its content; the
+   suffixes at minimisers go into 32-gram buckets, and buckets with one member end there;
+2. the rest is refined by the identifier of all bytes that the owned windows cover (at most 168); all but
+   the first member of such a context are repeats as a whole;
+3. the first members of different contexts in one bucket are refined again, with the windows cut into
+   cells of 12, 4 and 1 starts: a cell's bucket is the identifier of the bytes that all its windows share,
+   its context that of the bytes they cover. Buckets with one context end, later members of a context are
+   repeats, and only first members in split buckets reach the next level, so few windows are ever looked
+   at one by one. Bucket and context together are 128 bits.
 
 First means smallest (doc_id, start). All counts are hash aggregates, so a copied passage of any frequency
 is combined before the shuffle and no group is gathered.
@@ -24,19 +27,23 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import id_text, materialize
+from quillstone.llm.common import discard, id_text, materialize
 
 LENGTH, Q = 100, 32
 #: 32-grams of one window, and bytes of text that are worked on together.
 WIDTH, CHUNK = LENGTH - Q + 1, 1 << 17
 REACH = WIDTH - 1
 U64 = np.uint64
+#: Starts in a cell, level by level.
+CELLS = (12, 4, 1)
 SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -85,7 +92,8 @@ def chunks(docs: list[tuple[int, bytes]]) -> Iterator[list[tuple[int, bytes]]]:
 
 
 def anchors_of(part: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
-    """doc_id, start, bucket and context identifier of every minimiser of the texts (each of 100 bytes at least)."""
+    """doc_id, place (start, and how far before it the first and last owned windows begin, in one number),
+    bucket and context identifier of every owning minimiser of the texts (each of 100 bytes at least)."""
     buf = b"".join(t for _, t in part)
     ends = np.cumsum([len(t) for _, t in part])
     begins = ends - [len(t) for _, t in part]
@@ -93,15 +101,22 @@ def anchors_of(part: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
     v = (b32 >> U64(33)).astype(np.uint32) + np.uint32(1)
     low = sliding(v, np.minimum)  # by window start
     for e in ends[:-1]:
-        low[e - LENGTH + 1 : e] = 0  # windows that would cross into the next text own nothing
+        low[e - LENGTH + 1 : e] = 0  # windows that would cross into the next text have no owner
     pad = np.zeros(REACH, np.uint32)
-    own = sliding(np.concatenate([pad, low, pad]), np.maximum)
-    p = np.flatnonzero(own == v)
+    chosen = sliding(np.concatenate([pad, low, pad]), np.maximum) == v
+    p = np.flatnonzero(chosen)
+    s = np.flatnonzero(low)
+    k = (np.cumsum(chosen, dtype=np.int32) - chosen)[s]  # first chosen place at or after each window's start
+    wrong = np.flatnonzero(v[p[k]] != low[s])
+    while len(wrong):
+        k[wrong] += 1
+        wrong = wrong[v[p[k[wrong]]] != low[s[wrong]]]
+    edge = np.flatnonzero(np.diff(k)) + 1
+    p, s1, s2 = p[k[np.append(0, edge)]], s[np.append(0, edge)], s[np.append(edge, len(s)) - 1]
     doc = np.searchsorted(ends, p, "right")
-    a, e = np.maximum(begins[doc], p - REACH), np.minimum(ends[doc], p + LENGTH)
-    ctx = refine(refine(b100(b32, a, SEEDS[0]), b100(b32, e - LENGTH, SEEDS[0]), SEEDS[1]), (p - a).astype(U64) * U64(1000) + (e - p).astype(U64), SEEDS[1])
-    ids = np.array([d for d, _ in part], np.int64)
-    return ids[doc], (p - begins[doc]).astype(np.int32), b32[p].view(np.int64), ctx.view(np.int64)
+    ctx = refine(refine(b100(b32, s1, SEEDS[0]), b100(b32, s2, SEEDS[0]), SEEDS[1]), (p - s1).astype(U64) * U64(1000) + (s2 - s1).astype(U64), SEEDS[1])
+    ids, at = np.array([d for d, _ in part], np.int64)[doc], begins[doc]
+    return ids, (p - at) << 16 | (p - s1) << 8 | (p - s2), b32[p].view(np.int64), ctx.view(np.int64)
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -109,35 +124,56 @@ def anchors(docs: DataFrame) -> DataFrame:
         for b in it:
             rows = [(d, t.encode()) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)]
             for part in chunks(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in anchors_of(part)], ["doc", "pos", "h", "ctx"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in anchors_of(part)], ["doc", "place", "h", "ctx"])
 
-    return id_text(docs).mapInArrow(run, "doc long, pos int, h long, ctx long")
+    return id_text(docs).mapInArrow(run, "doc long, place long, h long, ctx long")
 
 
-def window_starts(places: list[int], size: int) -> np.ndarray:
-    """Starts of the 100-byte windows that hold the whole minimiser at one of ``places``."""
-    p = np.array(sorted(set(places)), np.int64)
-    lo, hi = np.maximum(0, p - REACH), np.minimum(p, size - LENGTH)
-    edge = np.zeros(size + 2, np.int32)
-    np.add.at(edge, lo, 1)
-    np.add.at(edge, hi + 1, -1)
-    return np.flatnonzero(np.cumsum(edge) > 0)
-
-
-def windows(rows: DataFrame) -> DataFrame:
-    """Refined identifiers of the windows around the given minimisers (doc_id, text, places)."""
+def contexts(rows: DataFrame) -> DataFrame:
+    """The bytes covered by the owned windows of the given minimisers (doc_id, text, places)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for d, t, places in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "places")), strict=True):
                 raw = t.encode()
-                if len(raw) < LENGTH:
-                    continue
-                s = window_starts([x for x in places if x <= len(raw) - Q], len(raw))
-                h1, h2 = (b100(grams(raw, x), s, y) for x, y in (SEEDS, SEEDS[::-1]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), d, np.int64)), pa.array(s.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["doc", "pos", "h1", "h2"])
+                own = [(x["pos"], x["s1"], x["s2"]) for x in places if x["s2"] + LENGTH <= len(raw)]
+                pos, s1, s2 = (pa.array([x[i] for x in own], pa.int32()) for i in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(own), pa.int64()), pos, s1, s2, pa.array([raw[x[1] : x[2] + LENGTH] for x in own], pa.binary())], ["doc", "pos", "s1", "s2", "bytes"])
+
+    return rows.mapInArrow(run, "doc long, pos int, s1 int, s2 int, bytes binary")
+
 
-    return rows.mapInArrow(run, "doc long, pos int, h1 long, h2 long")
+def cells(rows: DataFrame, width: int) -> DataFrame:
+    """Cells of ``width`` starts, on a grid that counts from the minimiser: bucket, context, first and last start."""
+    digest = xxhash.xxh3_64_intdigest
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            out = []
+            for d, p, base, s1, s2, raw in zip(*(b.column(c).to_pylist() for c in ("doc", "pos", "base", "s1", "s2", "bytes")), strict=True):
+                for c in range((p - s2) // width, (p - s1) // width + 1):
+                    lo, hi = max(s1, p - c * width - width + 1), min(s2, p - c * width)
+                    core = raw[p - c * width - base : p - c * width - width + 1 + LENGTH - base]
+                    ctx = digest(raw[lo - base : hi + LENGTH - base], seed=(p - lo) * 128 + p - hi)
+                    out.append((d, p, lo, hi, digest(core, seed=c) - (1 << 63), ctx - (1 << 63)))
+            types = [pa.int64(), *[pa.int32()] * 3, pa.int64(), pa.int64()]
+            cols = list(zip(*out, strict=True)) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], ["doc", "pos", "s1", "s2", "h", "ctx"])
+
+    return rows.mapInArrow(run, "doc long, pos int, s1 int, s2 int, h long, ctx long")
+
+
+def split(found: DataFrame, last: bool = False) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Refine buckets h by context: the bytes of repeats, the first members of contexts in split buckets, and the
+    scratch table behind both."""
+    heads = found.groupBy("h", "ctx").agg(F.min(F.struct("doc", "s1", "pos", "s2")).alias("first"), F.count("*").alias("n"))
+    heads = heads if last else materialize(heads, "contexts")
+    same = (F.col("first.doc") == F.col("doc")) & (F.col("first.s1") == F.col("s1"))
+    again = found.join(heads.where("n > 1"), ["h", "ctx"]).where(~same).select("doc", F.col("s1").alias("start"), (F.col("s2") + LENGTH).alias("end"))
+    if last:
+        return again, None, None
+    many = heads.groupBy("h").count().where("count > 1").select("h")
+    return again, heads.join(many, "h", "left_semi").select("first.doc", "first.pos", "first.s1", "first.s2"), heads
 
 
 def runs(found: DataFrame) -> DataFrame:
@@ -174,17 +210,23 @@ def strip(rows: DataFrame, keep_text: bool = False) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    place = F.struct("doc", "pos")
-    every = anchors(docs)
-    many = materialize(every.groupBy("h").count().where("count > 1").select("h"), "buckets")
-    shared = materialize(anchors(docs).join(many, "h", "left_semi"), "shared")
-    heads = materialize(shared.groupBy("h", "ctx").agg(F.min(place).alias("first")), "contexts")
-    again = shared.join(heads, ["h", "ctx"]).where(place != F.col("first"))
-    whole = again.select("doc", F.greatest(F.lit(0), F.col("pos") - REACH).alias("start"), (F.col("pos") + LENGTH).alias("end"))
-    split = heads.groupBy("h").count().where("count > 1").select("h")
-    places = heads.join(split, "h", "left_semi").select(F.col("first.doc").alias("doc_id"), F.col("first.pos").alias("pos")).groupBy("doc_id").agg(F.collect_list("pos").alias("places"))
-    single = materialize(windows(id_text(docs).join(places, "doc_id")), "windows")
-    firsts = single.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = single.join(firsts, ["h1", "h2"]).where(place != F.col("first")).select("doc", F.col("pos").alias("start"), (F.col("pos") + LENGTH).alias("end"))
-    spans = materialize(runs(whole.unionAll(later)), "spans")
-    return strip(id_text(docs).join(spans.withColumnRenamed("doc", "doc_id"), "doc_id", "left"), keep_text)
+    many = materialize(anchors(docs).groupBy("h").count().where("count > 1").select("h"), "buckets")
+    shared = materialize(anchors(docs).join(many.hint("merge"), "h", "left_semi"), "shared")
+    discard(many)
+    pos = F.shiftright("place", 16).cast("int")
+    unpacked = shared.select("doc", pos.alias("pos"), (pos - F.shiftright("place", 8).bitwiseAND(255).cast("int")).alias("s1"), (pos - F.col("place").bitwiseAND(255).cast("int")).alias("s2"), "h", "ctx")
+    again, left, heads = split(unpacked)
+    places = left.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("pos", "s1", "s2")).alias("places"))
+    around = materialize(contexts(id_text(docs).join(places.hint("merge"), "doc_id")), "around")
+    repeats, rows, used = [again], around.withColumn("base", F.col("s1")), [shared, heads, around]
+    for width in CELLS:
+        level = materialize(cells(rows, width), f"cells{width}")
+        again, left, heads = split(level, last=width == 1)
+        repeats.append(again)
+        used += [level] if heads is None else [level, heads]
+        if left is not None:
+            bytes_ = around.select("doc", "pos", F.col("s1").alias("base"), "bytes")
+            rows = left.join(bytes_, ["doc", "pos"])
+    spans = materialize(runs(reduce(DataFrame.unionAll, repeats)), "spans")
+    discard(*used)
+    return strip(id_text(docs).join(spans.withColumnRenamed("doc", "doc_id").hint("merge"), "doc_id", "left"), keep_text)
