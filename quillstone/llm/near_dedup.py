@@ -9,7 +9,8 @@ confirmed on the full sets.
 Documents with equal sets form one class and enter the search once. Within a bucket no list of all pairs
 is made: rounds of stars merge classes (each test joins two components that meet in a bucket), and only
 pairs of different components that still share a bucket are then compared exhaustively, block against
-block by signature, in groups of bounded size.
+block, in groups of bounded size. There a parity sketch of each set (bit i: parity of the hashes in bin
+i) refuses pairs with certainty: differing bits never outnumber the differing elements.
 
 Null and empty texts, and texts without words, have the empty set and are linked with nothing. Rows that
 repeat a doc_id are one document and get one component; rows of a null doc_id are returned unlinked. An
@@ -26,13 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import LOWER, id_text, materialize
+from quillstone.llm.common import LOWER, discard, id_text, materialize
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 28, 4
 K = BANDS * ROWS
-#: Signature agreements under which a pair is not verified: 0.62 of K, five standard deviations below 0.8.
-LEAST_EQUAL = int(0.62 * K)
+#: Bits of the parity sketch.
+PARITY = 4096
 STAR_ROUNDS, BLOCK, SALT_SIZE = 4, 256, 512
 U64, U32 = np.uint64, np.uint32
 
@@ -79,27 +80,29 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 def sketch(docs: DataFrame, k: int = WORDS) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            n, k1, k2, sig, bands = [], [], [], [], []
+            n, k1, k2, bands = [], [], [], []
             for text in b.column("text").to_pylist():
                 s = shingle_set(text, k)
                 n.append(len(s))
                 k1.append(int((s * U64(0xD6E8FEB86659FD93)).sum(dtype=U64).view(np.int64)))
                 k2.append(int(np.bitwise_xor.reduce((s ^ (s >> U64(31))) * U64(0xA0761D6478BD642F)).view(np.int64)) if len(s) else 0)
-                g = signature(s) if len(s) else None
-                sig.append(None if g is None else g.astype(np.uint8).tobytes())
-                bands.append([] if g is None else band_keys(g).tolist())
-            cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "k1", "k2", "sig", "bands"])
+                bands.append(band_keys(signature(s)).tolist() if len(s) else [])
+            cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "k1", "k2", "bands"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sig binary, bands array<long>")
+    return id_text(docs).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([shingle_set(t, k).tobytes() for t in b.column("text").to_pylist()], pa.binary())], ["doc_id", "items"])
+            sets = [shingle_set(t, k) for t in b.column("text").to_pylist()]
+            odd = [np.packbits((np.bincount((s >> U64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1).astype(np.uint8)).tobytes() for s in sets]
+            cols = [b.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(odd, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "items", "size", "odd"])
 
-    return id_text(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, items binary")
+    # the ids grow with the corpus: the same shuffle at every size, never a broadcast
+    return id_text(docs).join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, items binary, size long, odd binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -108,9 +111,10 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_SIZE).alias("salts"))
     salted = pairs.join(sizes, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
-    member = salted.join(sets, F.col("a") == F.col("doc_id")).select("b", "salt", F.lit(1).alias("kind"), "a", "items")
-    lead = sizes.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt")).join(sets, F.col("b") == F.col("doc_id"))
-    rows = lead.select("b", "salt", F.lit(0).alias("kind"), F.col("b").alias("a"), "items").unionByName(member)
+    member = salted.select("b", "salt", F.lit(1).alias("kind"), "a")
+    lead = sizes.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("b").alias("a"))
+    # one request list, so that the sets are shuffled once
+    rows = lead.unionByName(member).join(sets.select(F.col("doc_id").alias("a"), "items").hint("merge"), "a")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = None
@@ -137,14 +141,17 @@ def components(edges: DataFrame) -> DataFrame:
     a written table, and only a count of changes reaches the driver."""
     both = materialize(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(edges.select("b", "a")).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("label")), "labels")
+    done = labels
     while True:
         near = both.join(labels, both["y"] == labels["node"]).groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
         low = labels.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("jump"))
         new = materialize(low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("jump", "low")).alias("label"), F.col("label").alias("old")), "labels")
         changed = new.where("label <> old").limit(1).count()
-        labels = new.select("node", "label")
+        discard(done)
+        labels, done = new.select("node", "label"), new
         if not changed:
+            discard(both)
             return labels
 
 
@@ -170,27 +177,32 @@ def star_pairs(rows: DataFrame, round_: int) -> DataFrame:
     return met.select(F.col("p.rep").alias("a"), F.col("p.lead").alias("b"))
 
 
-def cross_pairs(rows: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs of different components in a bucket whose signatures agree well enough, block against block.
+def cross_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in a bucket whose parity sketches allow the similarity, block against block.
 
+    percent * union <= 100 * intersection means that at most (100 - percent) / (100 + percent) of the two
+    sizes together differ.
     A bucket of m rows makes about m / BLOCK blocks; each pair of blocks is one group of at most a few
     hundred rows, and only agreeing pairs leave it.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    put = rows.join(size, "key").join(sigs, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sketches = sets.select(F.col("doc_id").alias("rep"), "size", "odd")
+    put = rows.join(size, "key").join(sketches, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sent = put.select("key", "label", "rep", "sig", "block", other.alias("o")).select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "label", "rep", "sig")
+    sent = put.select("key", "label", "rep", "size", "odd", "block", other.alias("o")).select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "label", "rep", "size", "odd")
 
     def compare(group: list[tuple]) -> list[tuple[int, int]]:
         i, j = group[0][1:3]
         sides = [[g for g in group if g[3] == x] for x in (i, j)]
         lab = [np.array([g[4] for g in s], np.int64) for s in sides]
         rep = [np.array([g[5] for g in s], np.int64) for s in sides]
-        sig = [np.frombuffer(b"".join(g[6] for g in s), np.uint8).reshape(-1, K) for s in sides]
+        n = [np.array([g[6] for g in s], np.int64) for s in sides]
+        odd = [np.frombuffer(b"".join(g[7] for g in s), U64).reshape(-1, PARITY // 64) for s in sides]
         out = []
         for x in range(len(rep[0])):
-            ok = ((sig[1] == sig[0][x]).sum(1) >= LEAST_EQUAL) & (lab[1] != lab[0][x])
+            differ = np.bitwise_count(odd[1] ^ odd[0][x]).sum(1, dtype=np.int64)
+            ok = (differ * (100 + percent) <= (100 - percent) * (n[1] + n[0][x])) & (lab[1] != lab[0][x])
             if i == j:
                 ok[: x + 1] = False
             out += [(max(int(rep[0][x]), y), min(int(rep[0][x]), y)) for y in rep[1][ok].tolist()]
@@ -200,7 +212,7 @@ def cross_pairs(rows: DataFrame, sigs: DataFrame) -> DataFrame:
         group: list[tuple] = []
         for b in it:
             out = []
-            for row in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "block", "label", "rep", "sig")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("key", "i", "j", "block", "label", "rep", "size", "odd")), strict=True):
                 if group and group[0][:3] != row[:3]:
                     out += compare(group)
                     group = []
@@ -225,7 +237,6 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     buckets = materialize(rows.join(shared, "key"), "buckets")
     involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialize(full_sets(docs, involved, k), "sets")
-    sigs = filled.select(F.col("doc_id").alias("rep"), "sig").join(involved.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").dropDuplicates(["rep"])
 
     labels, edges = None, None
     for round_ in range(STAR_ROUNDS + 1):
@@ -233,11 +244,11 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
         buckets = rows.select("key", "rep")  # a bucket that one component fills never splits again
         if not rows.limit(1).count():
             break
-        pairs = star_pairs(rows, round_) if round_ < STAR_ROUNDS else cross_pairs(rows, sigs)
+        pairs = star_pairs(rows, round_) if round_ < STAR_ROUNDS else cross_pairs(rows, sets, percent)
         found = materialize(verify(materialize(pairs, "pairs"), sets, percent), "links")
         if not found.limit(1).count():
             if round_ < STAR_ROUNDS and round_:
-                found = materialize(verify(materialize(cross_pairs(rows, sigs), "pairs"), sets, percent), "links")
+                found = materialize(verify(materialize(cross_pairs(rows, sets, percent), "pairs"), sets, percent), "links")
                 if found.limit(1).count():
                     edges = found if edges is None else edges.unionAll(found)
                     labels = components(edges)
