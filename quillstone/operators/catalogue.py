@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from quillstone.operators.rules import Rule
 
+#: Test files, which most rules leave out.
+TESTS = r"\.test\.|\.spec\.|__tests__|(^|/)tests/"
 #: Layer weights of the two audits, by layer number from 1.
 SECURE_WEIGHTS = [15, 12, 12, 10, 12, 8, 10, 6, 8, 5, 2]
 COMPLY_WEIGHTS = [20, 18, 15, 12, 10, 10, 8, 7]
@@ -31,6 +33,8 @@ ANALYZER = [
     Rule("SEC-005", 3, "major", r"(?:app|router)\.(get|post|put|patch|delete)\s*\(\s*['\"][^'\"]+['\"]\s*,\s*(?:async\s+)?(?:\(|function)", r"(?i)(?:auth|authenticate|authorize|isAuthenticated|requireAuth|protect|guard|middleware)", deduction=0.25),
     Rule("SEC-006", 3, "critical", r"\beval\s*\(|dangerouslySetInnerHTML|\.innerHTML\s*=|new\s+Function\s*\(", deduction=1),
     Rule("SEC-007", 3, "critical", r"(?i)`.*\$\{.*\}.*(?:SELECT|INSERT|UPDATE|DELETE|WHERE)\b|(?:SELECT|INSERT|UPDATE|DELETE|WHERE)\b.*`\$\{|(?:SELECT|INSERT|UPDATE|DELETE|WHERE).*['\"]\s*\+", r"\.prepare\s*\(|(?i:\bprisma\b|\btypeorm\b|\bsequelize\b|\bdrizzle\b|\bknex\b)"),
+    Rule("DB-002", 1, "minor", r"(?im)^\s+(\w+)\s+(INT|BIGINT|VARCHAR|NVARCHAR|DATETIME|BIT|DECIMAL)\b(?!.*NOT\s+NULL)(?!.*NULL)"),
+    Rule("SEC-008", 3, "major", r'"event-stream"|"ua-parser-js":\s*"[01]\.|"node-ipc":\s*"[91][0-2]\.', only=r"(^|/)package\.json$"),
 ]
 
 SECURE = [
@@ -72,6 +76,27 @@ SECURE = [
     Rule("SEC-EX-003", 10, "low", r"(?i)(?:createServer|app\.listen|express\(\))", r"(?i)(?:timeout|keepAliveTimeout|headersTimeout|requestTimeout|server\.timeout)", "P", regulation="A05:2025", effort="immediate"),
     Rule("SEC-ZT-001", 11, "medium", r"(?i)(?:chmod\s+777|0o777|permissions?\s*[:=]\s*['\"]?\*['\"]?|AllowAll|role\s*[:=]\s*['\"]admin['\"]\s*/\*)", regulation="A01:2025"),
     Rule("SEC-ZT-004", 11, "info", r"(?i)(?:createHash|createCipheriv|sign|verify|encrypt|decrypt)", r"(?i)(?:CryptoProvider|CryptoService|crypto.?adapter|crypto.?factory|abstract.*crypt|interface.*crypt)", "P", regulation="A02:2025", effort="quarter"),
+    Rule("SEC-AC-007", 1, "medium", r"(?i)(?:cookie|set-cookie|setCookie|res\.cookie)\s*\(", gates=(r"(?i)httpOnly\s*:\s*true", r"(?i)secure\s*:\s*true", r"(?i)sameSite\s*:"), regulation="A01:2025", effort="immediate", skip=TESTS),
+    Rule("SEC-CR-005", 2, "high", r"(?is)(?:token|secret|password|key|nonce|salt|session|csrf|otp|generateId|generateToken|randomString).{0,300}?Math\.random\s*\(\s*\)|Math\.random\s*\(\s*\).{0,300}?(?:token|secret|password|key|nonce|salt|session|csrf|otp|generateId|generateToken|randomString)", regulation="A02:2025", effort="immediate", skip=TESTS),
+    Rule("SEC-CR-007", 2, "info", r"(?i)RSA|rsa-|ECDSA|EC\s*\(|secp256k1|P-256", shape="P", regulation="A02:2025", effort="quarter"),
+    Rule("SEC-INJ-006", 3, "critical", r"['\"]use server['\"]", also=r"(?:exec|execSync|spawn|fork)\s*\(", regulation="A03:2025", skip=TESTS),
+    Rule("SEC-SD-003", 4, "low", r"", r"(?i)(?:ErrorBoundary|componentDidCatch|getDerivedStateFromError|error-boundary)", "P", regulation="A04:2025", only=r"\.(tsx|jsx)$"),
+    Rule("SEC-SD-005", 4, "low", r"catch\s*\((?![^)]*(?:log|throw|return|console|reject))[^)]*\)\s*\{\s*(?://(?![^\n]*(?:log|throw|return|console|reject))[^\n]*\n\s*)?\}", regulation="A04:2025", effort="immediate", skip=TESTS),
+    Rule("SEC-SD-006", 4, "info", r"(?i)(?:bcrypt|jwt|authorize|authenticate|encrypt|decrypt)", also=r"(?i)(?:calculate|process|transform|generate|validate.*order|validate.*payment)", regulation="A04:2025", effort="quarter", skip=TESTS + r"|(?i)\.md$|\.txt$|\.ya?ml$|\.json$|/docs?/|(?:auth|security|middleware|guard|policy)"),
+    Rule("SEC-MC-002", 5, "high", r"(?i:DEBUG\s*[:=]\s*(?:true|1|['\"]true['\"]))|NODE_ENV\s*[:=]\s*['\"]development['\"]|ASPNETCORE_ENVIRONMENT\s*[:=]\s*['\"]Development['\"]", regulation="A05:2025", effort="immediate", only=r"(?i)config|env|setting|\.yaml|\.yml|\.json|\.toml", skip=TESTS),
+    Rule("SEC-MC-005", 5, "low", r"(?i)(?:sourceMap|devtool)\s*[:=]\s*(?:true|['\"]source-map['\"]|['\"]eval['\"])", regulation="A05:2025", effort="immediate", only=r"(?i)webpack|vite|next\.config|tsconfig|rollup", skip=TESTS + r"|(?i)production|prod\b"),
+    Rule("SEC-AS-001", 7, "medium", r"(?i)(?:password|passwd).*(?:length|min|validate|policy|check)", r"(?:length|minLength|min_length)\s*(?:>=?|>)\s*(?:[89]|1[0-9]|2[0-9])|(?:minLength|minimumLength|min)\s*:\s*(?:[89]|1[0-9]|2[0-9])", "P", regulation="A07:2025", effort="immediate", skip=TESTS),
+    Rule("SEC-AS-003", 7, "medium", r"(?i)(?:user\s*not\s*found|no\s*(?:such\s*)?user|account\s*(?:does\s*)?not\s*exist|email\s*not\s*(?:found|registered))", also=r"(?i)(?:wrong\s*password|incorrect\s*password|invalid\s*password|password\s*(?:is\s*)?incorrect)", regulation="A07:2025", effort="immediate", skip=TESTS),
+    Rule("SEC-AS-004", 7, "medium", r"(?i)(?:express-session|cookie-session|(?:app|router)\.use\s*\(\s*session\s*\()", shape="P", gates=(r"(?i)httpOnly\s*:\s*true", r"(?i)secure\s*:\s*true", r"(?i)(?:maxAge|expires)"), regulation="A07:2025", effort="immediate"),
+    Rule("SEC-AS-005", 7, "high", r"(?i)(?:oauth|oidc|openid|passport|next-auth|auth0|clerk)", shape="P", also=r"(?i)(?:authorize|auth.*url)", gates=(r"(?i)state\s*[:=]", r"(?i)(?:code_challenge|code_verifier|pkce)"), regulation="A07:2025"),
+    Rule("SEC-DI-001", 8, "critical", r"(?i)(?:password|token|secret|api_key|apikey)\s*[:=]\s*['\"][^$][^'\"]{8,}['\"]|(?:--password|--token)\s+['\"][^$][^'\"]{8,}['\"]", regulation="A08:2025", effort="immediate", only=r"\.github/workflows|\.gitlab-ci\.yml|Jenkinsfile|\.circleci/config\.yml|azure-pipelines\.yml|\.travis\.yml"),
+    Rule("SEC-LOG-003", 9, "high", r"(?i)(?:console|logger)\.(?:log|info|debug)\s*\([^)]*(?:password|passwd|pwd|(?<!\w)(?:api[_-]?key|secret[_-]?key|auth[_-]?token|access[_-]?token|bearer|credentials)\b|ssn|social.?security|credit.?card)[^)]*\)", regulation="A09:2025", effort="immediate", skip=TESTS),
+    Rule("SEC-LOG-004", 9, "low", r"(?i)console\.(log|info|warn|error)\s*\(", r"(?i)(?:winston|pino|bunyan|serilog|log4j|structured.?log|createLogger)", "P", regulation="A09:2025"),
+    Rule("SEC-LOG-005", 9, "low", "", r"(?i)uncaughtException|unhandledRejection", "A", regulation="A09:2025", effort="immediate"),
+    Rule("SEC-EX-001", 10, "medium", "", r"(?i)(?:app\.use\s*\(\s*(?:function\s*)?\([^)]*err[^)]*,[^)]*req[^)]*,[^)]*res[^)]*,[^)]*next|errorHandler|globalExceptionFilter|UseExceptionHandler)", "A", regulation="A05:2025", effort="immediate"),
+    Rule("SEC-EX-005", 10, "low", "", r"(?i)process\.on\s*\(\s*['\"]unhandledRejection['\"]", "A", regulation="A05:2025", effort="immediate"),
+    Rule("SEC-ZT-002", 11, "info", r"(?i)(?:microservice|service.?url|api.?endpoint|upstream|backend.?url)", r"(?i)(?:mTLS|mutual.?TLS|service.?token|service.?account|internal.?auth|api.?gateway|mesh|istio|linkerd)", "P", regulation="A01:2025", effort="quarter"),
+    Rule("SEC-ZT-003", 11, "info", r"(?i)\bRSA\b|rsa-pkcs1|RSA-OAEP|\bECDSA\b|secp256k1|P-256|prime256v1|\bECDH\b|X25519|Curve25519", shape="P", regulation="A02:2025", effort="quarter"),
 ]
 
 COMPLY = [
@@ -101,6 +126,31 @@ COMPLY = [
     Rule("CMP-BR-005", 7, "low", "", r"(?i)(?:dpo|data.?protection.?officer|datenschutzbeauftragter|privacy.?officer|privacy@|dpo@)\b", "A", regulation="Art. 37", effort="immediate"),
     Rule("CMP-CB-001", 8, "medium", r"(?i)(?:region|AWS_REGION|cloud.?region)\s*[:=]\s*['\"]?(us-|ap-|sa-|af-|me-)", regulation="Art. 44", effort="quarter"),
     Rule("CMP-CB-002", 8, "low", r"(?i)(?:cloudfront|cloudflare|akamai|fastly|bunny\.net|cdn\.\w+)\b", r"(?i)(?:geo.?restrict|country|region.?restrict|allowlist.?countr|geo.?block)", regulation="Art. 44"),
+    Rule("CMP-PD-007", 1, "medium", r"(?i)(?:ip_address|ipAddress|clientIp|client_ip|remoteAddress|x-forwarded-for)\s*[:=]|(?:req\.ip|request\.ip)\b", also=r"(?i)(?:save|store|log|insert|write|persist|database|db\.|\.create)", regulation="Art. 4(1)", skip=TESTS),
+    Rule("CMP-PD-009", 1, "critical", r"(?i)(?:biometric|faceId|face_id|faceRecognition|voicePrint|retina|iris.?scan)\s*[.:=({\[]", regulation="Art. 9", effort="quarter", skip=TESTS),
+    Rule("CMP-PD-010", 1, "critical", r"(?i)(?:healthData|health_data|medicalRecord|medical_record|diagnosis|prescription|religion|religious|ethnicity|ethnic|politicalOpinion|political_opinion|sexualOrientation|sexual_orientation|tradeUnion|trade_union)\s*[:=]", regulation="Art. 9", effort="quarter", skip=TESTS),
+    Rule("CMP-CN-003", 2, "medium", r"(?i)(?:cookie|setCookie|document\.cookie)", r"(?i)(?:cookie.?banner|cookie.?popup|cookie.?modal|cookie.?dialog|consent.?banner|consent.?popup|CookieBanner|CookieConsent)", "P", regulation="Art. 7"),
+    Rule("CMP-CN-006", 2, "low", "", r"(?i)terms\s+(?:of\s+)?(?:service|use)|conditions\s+(?:g[ée]n[ée]rales|of\s+use)", "A", regulation="CC2.2", effort="quarter"),
+    Rule("CMP-CN-007", 2, "medium", r"(?i)(?:child|minor|under.?13|under.?16|parental.?consent|coppa|age.?gate|age.?check)\b", r"(?i)(?:age.?verif|verify.?age|age.?gate|date.?of.?birth.*verif|checkAge|isMinor)\b", "P", regulation="Art. 8", effort="quarter"),
+    Rule("CMP-DR-005", 3, "low", "", r"(?i)(?:settings|preferences|notification.?settings|email.?preferences|marketing.?opt|communication.?preferences)\b", "A", regulation="Art. 21"),
+    Rule("CMP-DR-006", 3, "critical", r"(?i)(?:analytics|tracking|advertis|third.?party|share.*data|data.*shar)", r"(?i)(?:do.?not.?sell|opt.?out|ccpa.?opt|sale.?opt|sharing.?opt|dns)\b", "P", regulation="§1798.120"),
+    Rule("CMP-DP-003", 4, "medium", r"(?i)(?:analytics|report|aggregate|statistic|dashboard|metrics)\b", r"(?i)(?:anonymiz|pseudonymiz|hash.*(?:email|name|user)|mask|redact|k-anonymity|differential.?privacy|tokenize)\b", "P", regulation="Art. 25", effort="quarter", also=r"(?i)(?:email|phone|name|userId|user_id)\b"),
+    Rule("CMP-DP-004", 4, "high", r"(?i)(?:console\.log|logger\.\w+|log\.\w+)\s*\([^)]*(?:userData|userInfo|userProfile|email|password|(?:access|auth|session|refresh|bearer)Token|secret|apiKey|api_key|phone)\b", regulation="Art. 5(1)(f)", effort="immediate", skip=TESTS),
+    Rule("CMP-DP-005", 4, "info", r"(?i)(?:database|prisma|sequelize|typeorm|drizzle|knex|mongoose)\b", r"(?i)(?:column.?encrypt|field.?encrypt|pgcrypto|encrypt.*column|@encrypted|EncryptedColumn)\b", "P", regulation="Art. 32", effort="quarter"),
+    Rule("CMP-DM-002", 5, "medium", r"(?i)(?:database|mongodb|postgres|mysql|sqlite|redis|dynamo|firestore|prisma|sequelize|typeorm|drizzle|knex)\b", r"(?i)(?:retention|retentionPolicy|retention_policy|data.?retention|expir|purge.?old|cleanup|archive.?old|ttl|time.?to.?live)\b", "P", regulation="Art. 5(1)(e)", effort="quarter"),
+    Rule("CMP-DM-005", 5, "low", r"(?i)(?:email|phone|name|address|dateOfBirth)\s*[:=]", r"(?i)(?:purpose|dataUse|data_use|processingPurpose|processing_purpose|lawfulBasis|lawful_basis)\b", "P", regulation="Art. 5(1)(b)", effort="quarter"),
+    Rule("CMP-DM-006", 5, "high", r"(?i)(?:console\.log|logger\.\w+|log\.\w+|winston\.\w+|pino\.\w+)\s*\([^)]*(?:email|password|ssn|creditCard|(?:access|auth|session|refresh|bearer)Token|secret|apiKey|api_key|phoneNumber|phone_number)\b", regulation="Art. 5(1)(f)", effort="immediate", skip=TESTS),
+    Rule("CMP-TP-001", 6, "high", r"(?i)(?:google.?analytics|gtag|ga\(|segment\.identify|segment\.track|mixpanel\.track|amplitude\.track|plausible|matomo|umami|posthog)\b", r"(?i)(?:consent|hasConsent|cookieConsent|isConsented|gdpr|optIn)\s*(?:[&|?:=]|\.)", regulation="Art. 6(1)(a)", skip=TESTS),
+    Rule("CMP-TP-002", 6, "medium", r"(?i)(?:google.?auth|facebook.?login|fb.?login|oauth.*(?:google|facebook|github|apple|twitter)|passport.*(?:google|facebook)|socialLogin|social.?auth|next.?auth.*provider)", r"(?i)(?:scope\s*[:=]\s*['\"](?:email|profile|openid)['\"]|requestedScopes|minimal.?scope)", regulation="Art. 5(1)(c)", effort="immediate", skip=TESTS),
+    Rule("CMP-TP-004", 6, "high", r"(?i)(?:google.?ads|adsense|admob|facebook.?pixel|fbq|doubleclick|ad.?network|interstitial.?ad|rewarded.?ad|banner.?ad)\b", r"(?i)(?:consent|hasConsent|gdpr|optIn|personalization)\s*(?:[&|?:=]|\.)", regulation="Art. 6(1)(a)", skip=TESTS),
+    Rule("CMP-TP-005", 6, "medium", r"(?i)(?:fetch|axios|http|request)\s*\([^)]*(?:email|name|phone|address|userId|user_id)\b", also=r"(?i)(?:https?://(?!localhost|127\.0\.0\.1)|api\.\w+\.com|\.io/api)\b", regulation="Art. 28", skip=TESTS),
+    Rule("CMP-TP-006", 6, "info", r"(?i)(?:stripe|paypal|twilio|sendgrid|mailgun|mailchimp|intercom|zendesk|sentry|datadog|newrelic|segment|mixpanel)\b", r"(?i)(?:dpa|data.?processing.?agreement|sub.?processor|processor.?agreement)\b", "P", regulation="Art. 28", effort="quarter"),
+    Rule("CMP-BR-002", 7, "medium", r"(?i)(?:email|user|password|login|register|signup)\b", r"(?i)(?:breach.?notif|notif.*breach|alert.*breach|incident.?alert|72.?hour|report.*breach|notify.*authority|supervisory.?authority)\b", "P", regulation="Art. 33"),
+    Rule("CMP-BR-003", 7, "medium", r"(?i)(?:express|fastify|koa|nest|next|nuxt|flask|django|rails|spring|aspnet|server\.listen|createServer)\b", r"(?i)(?:monitoring|sentry|datadog|newrelic|prometheus|grafana|cloudwatch|alert|pagerduty|opsgenie|incident.?manage)\b", "P", regulation="Art. 32"),
+    Rule("CMP-BR-004", 7, "medium", r"(?i)(?:login|signup|register|authenticate)\b", r"(?i)(?:audit.?log|audit.?trail|activity.?log|access.?log|event.?log|changelog|history.?table|createdBy|created_by|modifiedBy|modified_by|action.?log)\b", "P", regulation="CC7.1"),
+    Rule("CMP-CB-003", 8, "medium", r"(?i)(?:amazonaws\.com|googleapis\.com|azure\.com|firebaseio\.com|api\.openai\.com|api\.anthropic\.com|api\.stripe\.com)\b", r"(?i)(?:dpa|data.?processing.?agreement|scc|standard.?contractual|adequacy)", regulation="Art. 46", skip=TESTS),
+    Rule("CMP-CB-004", 8, "info", r"(?i)(?:aws|gcp|azure|cloud|s3|dynamodb|rds|firestore)\b", r"(?i)(?:data.?residen|data.?localiz|data.?sovereign|region.?config|multi.?region)\b", "P", regulation="Art. 44", effort="quarter"),
+    Rule("CMP-CB-005", 8, "info", r"(?i)(?:amazonaws\.com|googleapis\.com|azure\.com|api\.\w+\.com)\b", r"(?i)(?:transfer.?impact|tia|data.?transfer.?assessment|schrems)\b", "P", regulation="Art. 46", effort="quarter"),
 ]
 
 OWASP = [f"A{i:02d}:2025" for i in range(1, 11)]

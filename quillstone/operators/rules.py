@@ -1,13 +1,16 @@
 """Rules as rows, one evaluator, and the scores made from findings.
 
-A rule is (id, layer, severity, trigger, gate, except_). Shape F: a file is an issue if the trigger occurs
-and the gate does not; shape P: the project is an issue if the trigger occurs somewhere and the gate nowhere.
-Shape A: the project is an issue if the gate occurs nowhere. All rules of a catalogue are evaluated in one
-pass over the files: the catalogue has a fixed size and becomes columns, not a join.
+Shape F: a file is an issue if the trigger (and ``also``, if given) occurs and the gate does not; shape P: the
+project is an issue if the trigger (and ``also``) occurs somewhere and the gate nowhere. Shape A: the project is
+an issue if the gate occurs nowhere. ``gates`` must all occur: one that is absent is an issue. ``only`` and
+``skip`` choose files by path. All rules of a catalogue are evaluated in one pass over the files: the catalogue
+has a fixed size and becomes columns, not a join.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
@@ -26,12 +29,26 @@ class Rule(NamedTuple):
     deduction: float = 0.5
     regulation: str = ""
     effort: str = "sprint"
+    also: str = ""
+    gates: tuple[str, ...] = ()
+    only: str = ""
+    skip: str = ""
 
 
 RANKS = {"critical": 0, "high": 1, "major": 1, "medium": 2, "minor": 2, "low": 3, "info": 4}
 EFFORTS = {"immediate": 0, "sprint": 1, "quarter": 2}
 
 
+def _chosen(r: Rule, path: F.Column) -> F.Column:
+    """Files that a rule looks at."""
+    c = F.lit(True)
+    if r.only:
+        c = c & path.rlike(r.only)
+    if r.skip:
+        c = c & ~path.rlike(r.skip)
+    return c
+
+
 def evaluate(files: DataFrame, rules: list[Rule], path: str = "path", content: str = "content") -> DataFrame:
     """(rule_id, layer, severity, path, hits, line) for each file that has an issue (F rules); one narrow pass."""
     text = F.coalesce(F.col(content), F.lit(""))
@@ -39,7 +56,13 @@ def evaluate(files: DataFrame, rules: list[Rule], path: str = "path", content: s
     for r in rules:
         if r.shape != "F":
             continue
-        hit = text.rlike(r.trigger) & (~text.rlike(r.gate) if r.gate else F.lit(True))
+        hit = text.rlike(r.trigger) & _chosen(r, F.col(path))
+        if r.also:
+            hit = hit & text.rlike(r.also)
+        if r.gate:
+            hit = hit & ~text.rlike(r.gate)
+        if r.gates:
+            hit = hit & ~reduce(and_, [text.rlike(g) for g in r.gates])
         at = F.regexp_instr(text, F.lit(r.trigger))
         first = F.size(F.split(F.substring(text, F.lit(1), at - 1), "\n"))
         cols.append(F.when(hit, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.layer).alias("layer"), F.lit(r.severity).alias("severity"), F.regexp_count(text, F.lit(r.trigger)).alias("hits"), first.alias("line"), F.lit(r.deduction).alias("deduction"))))
@@ -47,19 +70,46 @@ def evaluate(files: DataFrame, rules: list[Rule], path: str = "path", content: s
     return found.select("path", "f.*")
 
 
-def evaluate_project(files: DataFrame, rules: list[Rule], content: str = "content") -> DataFrame:
+def evaluate_project(files: DataFrame, rules: list[Rule], content: str = "content", path: str = "path") -> DataFrame:
     """(rule_id, layer, severity, issue) of P and A rules from one aggregate over the files."""
     text = F.coalesce(F.col(content), F.lit(""))
     chosen = [r for r in rules if r.shape in "PA"]
     if not chosen:
         return files.sparkSession.createDataFrame([], "rule_id string, layer int, severity string, issue boolean")
-    aggs = []
+    aggs, row = [], []
     for i, r in enumerate(chosen):
-        aggs.append((F.max(text.rlike(r.trigger)) if r.trigger else F.lit(True)).alias(f"t{i}"))
-        aggs.append((F.max(text.rlike(r.gate)) if r.gate else F.lit(False)).alias(f"g{i}"))
-    one = files.agg(*aggs)
-    row = [F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.layer).alias("layer"), F.lit(r.severity).alias("severity"), (F.coalesce(F.col(f"t{i}"), F.lit(r.shape == "A")) & ~F.coalesce(F.col(f"g{i}"), F.lit(False))).alias("issue")) for i, r in enumerate(chosen)]
-    return one.select(F.explode(F.array(*row)).alias("r")).select("r.*")
+        looked = _chosen(r, F.col(path)) if r.only or r.skip else F.lit(True)
+
+        def seen(pattern: str, name: str, looked=looked) -> F.Column:
+            aggs.append(F.coalesce(F.max(looked & text.rlike(pattern)), F.lit(False)).alias(name))
+            return F.col(name)
+
+        issue = seen(r.trigger, f"t{i}") if r.trigger or r.shape == "P" else F.lit(True)
+        if r.also:
+            issue = issue & seen(r.also, f"a{i}")
+        if r.gate:
+            issue = issue & ~seen(r.gate, f"g{i}")
+        if r.gates:
+            issue = issue & ~reduce(and_, [seen(g, f"g{i}_{k}") for k, g in enumerate(r.gates)])
+        row.append(F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.layer).alias("layer"), F.lit(r.severity).alias("severity"), issue.alias("issue")))
+    return files.agg(*aggs).select(F.explode(F.array(*row)).alias("r")).select("r.*")
+
+
+def checks(files: DataFrame, rules: list[Rule], strict: tuple[int, ...] = (), content: str = "content", path: str = "path") -> DataFrame:
+    """(rule_id, layer, passed, total) of every rule: F rules count the files they inspect, the others count as one.
+    A rule with nothing to inspect passes once; in ``strict`` layers it does not."""
+    text, row, aggs = F.coalesce(F.col(content), F.lit("")), [], []
+    for i, r in enumerate(x for x in rules if x.shape == "F"):
+        looked = _chosen(r, F.col(path)) & text.rlike(r.trigger)
+        for p in filter(None, [r.also]):
+            looked = looked & text.rlike(p)
+        ok = text.rlike(r.gate) if r.gate else reduce(and_, [text.rlike(g) for g in r.gates]) if r.gates else F.lit(False)
+        aggs += [F.count_if(looked).alias(f"n{i}"), F.count_if(looked & ~ok).alias(f"bad{i}")]
+        least = F.lit(0 if r.layer in strict else 1)
+        row.append(F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.layer).alias("layer"), (F.greatest(F.col(f"n{i}"), least) - F.col(f"bad{i}")).alias("passed"), F.greatest(F.col(f"n{i}"), F.lit(1)).alias("total")))
+    per_file = files.agg(*aggs).select(F.explode(F.array(*row)).alias("c")).select("c.*") if row else None
+    whole = evaluate_project(files, rules, content, path).select("rule_id", "layer", F.when(F.col("issue"), 0).otherwise(1).cast("long").alias("passed"), F.lit(1).cast("long").alias("total"))
+    return whole if per_file is None else per_file.unionByName(whole)
 
 
 def cap(findings: DataFrame, n: int = 5) -> DataFrame:
@@ -89,16 +139,16 @@ def layer_scores(checks: DataFrame) -> DataFrame:
     return g.withColumn("score", s).withColumn("grade", Q.layer_grade(F.col("score"), F.col("weight")))
 
 
-#: Fixed values: (cap, rules that must all be present; rule:severity where the severity matters).
+#: Fixed values: (cap, rules that must all be present; rule:severities where they matter; L1: any rule of layer 1).
 SECURE_CAPS = [(34, ["SEC-MC-007:high"]), (49, ["SEC-INJ-001"]), (69, ["SEC-CR-002:critical"]), (74, ["*:critical"])]
-COMPLY_CAPS = [(34, ["CMP-CN-001"]), (49, ["CMP-DR-002"]), (49, ["CMP-PD-010", "CMP-DP-001"]), (69, ["CMP-CN-005"]), (74, ["*:critical"])]
+COMPLY_CAPS = [(14, ["L1:critical,high", "CMP-CN-004:high"]), (34, ["CMP-CN-001"]), (49, ["CMP-DR-002"]), (49, ["CMP-PD-010", "CMP-DP-001"]), (69, ["CMP-CN-005"]), (74, ["*:critical"])]
 
 
 def capped_total(scores: DataFrame, findings: DataFrame, caps: list[tuple[int, list[str]]]) -> DataFrame:
     def present(spec: str):
         rule, _, sev = spec.partition(":")
-        c = F.lit(True) if rule == "*" else F.col("rule_id") == rule
-        return F.coalesce(F.max(c & (F.col("severity") == sev if sev else F.lit(True))), F.lit(False))
+        c = F.lit(True) if rule == "*" else F.col("layer") == int(rule[1:]) if rule[1:].isdigit() else F.col("rule_id") == rule
+        return F.coalesce(F.max(c & (F.col("severity").isin(sev.split(",")) if sev else F.lit(True))), F.lit(False))
 
     flags = []
     for i, (_, specs) in enumerate(caps):
@@ -108,7 +158,7 @@ def capped_total(scores: DataFrame, findings: DataFrame, caps: list[tuple[int, l
         flags.append(x.alias(f"c{i}"))
     one = scores.agg(F.sum("score").alias("raw")).crossJoin(F.broadcast(findings.agg(*flags)))  # one row each
     limit = F.least(F.lit(100.0), *[F.when(F.col(f"c{i}"), float(n)).otherwise(100.0) for i, (n, _) in enumerate(caps)])
-    return one.select(F.round("raw", 2).alias("raw"), F.least("raw", limit).alias("total")).withColumn("grade", Q.grade(F.col("total"), Q.AUDIT_GRADES))
+    return one.select(F.round("raw", 2).alias("raw"), F.least(F.round("raw", 2), limit).alias("total")).withColumn("grade", Q.grade(F.col("total"), Q.AUDIT_GRADES))
 
 
 def matrix(controls: DataFrame, findings: DataFrame, key: str = "control") -> DataFrame:

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from quillstone import functions as Q
 from quillstone import sources
-from quillstone.operators import graph, memory, rules, search, store, summaries
+from quillstone.operators import analyzers, graph, memory, rules, search, store, summaries
 from quillstone.operators.catalogue import OWASP
+from quillstone.plans import pipelines
 
 FLAGSHIP = "sparse_prune_source"
 NOW_MS = 1_706_659_200_000  # 2024-01-31 00:00:00 UTC
@@ -460,3 +461,48 @@ def adaptive_threshold(t):
 @query(r"SELECT sum(len(regexp_extract_all(html, '(?i)(?:app|router)\.(get|post|put|patch|delete)\s*\(')))::BIGINT AS endpoints, sum(len(regexp_extract_all(html, '(?i)(?:req\.body|req\.query|req\.params|req\.files|formData)')))::BIGINT AS inputs FROM pages")
 def attack_surface(t):
     return rules.attack_surface(t("pages"), "html").select("endpoints", "inputs")
+
+
+@query(f"WITH p AS ({SQL['sparse_prune_corpus']}) SELECT id, kept FROM p")
+def optimize_documents(t):
+    e = doc_entries(t).withColumns({"ts_ms": F.lit(NOW_MS), "score": F.lit(0.5), "ttl_s": F.lit(86400).cast("long"), "access_count": F.lit(0).cast("long"), "critical": F.lit(False)})
+    return pipelines.optimize_entries(e, NOW_MS).select("id", "kept")
+
+
+@query()
+def optimize_sessions(t):
+    said = F.concat(F.when(F.col("role") == "user", "User: ").when(F.col("role") == "assistant", "Assistant: ").otherwise(""), F.coalesce("text", F.lit("")))
+    s = t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", said.alias("s")))), lambda x: x["s"]), "\n").alias("t"))
+    return pipelines.optimization_result(pipelines.optimize_transcripts(s, "t", "conv_id", NOW_MS, 500), ["session"])
+
+
+def page_files(t) -> DataFrame:
+    return t("pages").select(F.concat(F.regexp_replace("url", "^https?://", ""), F.lit(".ts")).alias("path"), F.col("html").alias("content"))
+
+
+@query()
+def project_analysis(t):
+    return pipelines.analyze(page_files(t))[1]
+
+
+@query()
+def secure_audit(t):
+    return pipelines.audit_scores(page_files(t), "secure")
+
+
+@query()
+def comply_audit(t):
+    return pipelines.audit_scores(page_files(t), "comply")
+
+
+@query()
+def code_metrics(t):
+    return analyzers.code_metrics(page_files(t)).select("path", F.size("functions").alias("functions"), "nesting", "loop_queries", "ternaries")
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents), k AS (SELECT doc_id, trim(x) AS x FROM l),
+n AS (SELECT doc_id, unnest(regexp_split_to_array(x, '[^0-9A-Za-z_]+')) AS w FROM k WHERE NOT regexp_matches(x, '^(?://|\*|/\*|const |let |var |enum |import |export const |export let |export enum |return )|default:|case |type |interface |^\s*\d+\s*[,\]]|^\s*[''"`]|:\s*\d')),
+m AS (SELECT doc_id, count(*) AS n FROM n WHERE regexp_full_match(w, '[0-9]{2,}') AND coalesce(TRY_CAST(w AS BIGINT) NOT IN (0, 1, 2, 3, 4, 5, 8, 10, 12, 16, 24, 32, 50, 60, 64, 80, 100, 128, 200, 256, 300, 400, 404, 500, 512, 1000, 1024, 2000, 3000, 4096, 5000, 8080, 8000, 9000), true) GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n FROM documents LEFT JOIN m USING (doc_id)""")
+def magic_numbers(t):
+    return t("documents").select("doc_id", analyzers.magic_numbers(F.col("text")).alias("n"))
