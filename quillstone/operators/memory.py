@@ -6,10 +6,13 @@ take the columns they need. ``pos`` makes every order total.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone import functions as Q
+from quillstone.operators.store import materialize
 
 
 def document_frequency(entries: DataFrame, content: str = "content", by: list[str] | None = None) -> DataFrame:
@@ -42,8 +45,8 @@ def sparse_prune(entries: DataFrame, percent: float = 5.0, by: list[str] | None
         rank = F.row_number().over(w.orderBy(F.desc("tfidf"), "pos"))
         return scored.withColumn("kept", rank <= F.greatest(F.lit(1), F.ceil(F.count("*").over(w) * percent / 100)))
     # one group: the bound is found from counts by score, so no window over the whole corpus
-    n = F.greatest(F.lit(1), F.ceil(F.lit(scored.count()) * percent / 100))
-    best = scored.orderBy(F.desc("tfidf"), "pos").limit(max(1, int(scored.sparkSession.range(1).select(n).first()[0])))
+    scored = materialize(scored)  # read twice below; the scores are not computed again
+    best = scored.orderBy(F.desc("tfidf"), "pos").limit(max(1, math.ceil(entries.count() * percent / 100)))
     return scored.join(best.select("id", F.lit(True).alias("_k")), "id", "left").withColumn("kept", F.coalesce("_k", F.lit(False))).drop("_k")
 
 

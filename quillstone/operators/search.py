@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 K1, B = 1.2, 0.75
 
@@ -15,21 +20,90 @@ def terms(text) -> F.Column:
 
 def query_terms(q: str) -> list[str]:
     """Operators are stripped; an empty list for a blank query."""
-    import re
-
     return [t for t in re.split(r"[^\w]+", re.sub(r"[{}()\[\]\"':*^~]", " ", q).lower()) if t]
 
 
+#: The suffix tables of Porter's algorithm (1980), longest suffix first where it matters.
+STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log"}
+STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize"]
+
+
+def _shape(w: str) -> str:
+    """Vowels and consonants of a word; y is a vowel after a consonant."""
+    out = ""
+    for c in w:
+        out += "v" if c in "aeiou" or (c == "y" and out.endswith("c")) else "c"
+    return out
+
+
+def _measure(w: str) -> int:
+    return len(re.findall("v+c+", _shape(w)))
+
+
+def _short_end(w: str) -> bool:
+    return _shape(w).endswith("cvc") and w[-1] not in "wxy"
+
+
+def _longest(w: str, suffixes) -> str | None:
+    return max((s for s in suffixes if w.endswith(s)), key=len, default=None)
+
+
+@lru_cache(maxsize=100_000)
+def porter(w: str) -> str:
+    if len(w) < 3 or not w.isascii() or not w.isalpha():
+        return w
+    if w.endswith(("sses", "ies")):
+        w = w[:-2]
+    elif w.endswith("s") and not w.endswith("ss"):
+        w = w[:-1]
+    if w.endswith("eed"):
+        w = w[:-1] if _measure(w[:-3]) > 0 else w
+    elif (cut := _longest(w, ("ed", "ing"))) and "v" in _shape(w[: -len(cut)]):
+        w = w[: -len(cut)]
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif len(w) > 1 and w[-1] == w[-2] and _shape(w)[-1] == "c" and w[-1] not in "lsz":
+            w = w[:-1]
+        elif _measure(w) == 1 and _short_end(w):
+            w += "e"
+    if w.endswith("y") and "v" in _shape(w[:-1]):
+        w = w[:-1] + "i"
+    for table in (STEP2, STEP3):
+        cut = _longest(w, table)
+        if cut and _measure(w[: -len(cut)]) > 0:
+            w = w[: -len(cut)] + table[cut]
+    cut = _longest(w, STEP4)
+    if cut and _measure(w[: -len(cut)]) > 1 and (cut != "ion" or w[: -len(cut)].endswith(("s", "t"))):
+        w = w[: -len(cut)]
+    if w.endswith("e") and (_measure(w[:-1]) > 1 or (_measure(w[:-1]) == 1 and not _short_end(w[:-1]))):
+        w = w[:-1]
+    if w.endswith("ll") and _measure(w) > 1:
+        w = w[:-1]
+    return w
+
+
+@F.pandas_udf(ArrayType(StringType()))  # a type object: workers import this module without a session
+def stems(words: pd.Series) -> pd.Series:
+    return words.map(lambda ws: [porter(w) for w in ws])
+
+
 def postings(docs: DataFrame, text: str, *keys: str) -> DataFrame:
     x = docs.select(*keys, terms(F.col(text)).alias("_t"))
     return x.select(*keys, F.size("_t").alias("doc_len"), F.explode("_t").alias("term")).groupBy(*keys, "doc_len", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, text: str, q: str, *keys: str, limit: int | None = 10) -> DataFrame:
-    """(keys..., rank) of the rows holding every term; larger is better. Only the query's terms are exploded."""
-    want = sorted(set(query_terms(q)))
+def bm25(docs: DataFrame, text: str, q: str, *keys: str, limit: int | None = 10, stem: bool = False) -> DataFrame:
+    """(keys..., rank) of the rows holding every term; larger is better. Nothing is exploded: terms are counted in
+    their row. With ``stem``, words of one Porter stem are one term; only words that begin like a wanted stem leave
+    the JVM to be stemmed."""
+    want = sorted({porter(w) if stem else w for w in query_terms(q)})
     x = docs.select(*keys, terms(F.col(text)).alias("_t"))
-    counts = [(F.size("_t") - F.size(F.array_remove("_t", w))).alias(f"_c{i}") for i, w in enumerate(want)]
+    if stem and want:
+        x = x.withColumn("_s", stems(F.filter("_t", lambda t: t.rlike("^(?:" + "|".join(re.escape(w[: max(1, len(w) - 2)]) for w in want) + ")"))))
+        counts = [(F.size("_s") - F.size(F.array_remove("_s", w))).alias(f"_c{i}") for i, w in enumerate(want)]
+    else:
+        counts = [(F.size("_t") - F.size(F.array_remove("_t", w))).alias(f"_c{i}") for i, w in enumerate(want)]
     x = x.select(*keys, F.size("_t").alias("_n"), *counts)
     stats = x.agg(F.count("*").alias("N"), F.avg("_n").alias("avg"), *[F.count_if(F.col(f"_c{i}") > 0).alias(f"_d{i}") for i in range(len(want))])
     if not want:
@@ -53,8 +127,6 @@ def search(lines: DataFrame, q: str, limit: int = 10, parity: bool = False) -> D
     """Ranked hits united with plain matches (0.8); a line counts once. The score clamps 1 + rank / 10, where a better
     hit has a lower rank; by default hits are ordered by rank, with ``parity`` by that score."""
     hits = bm25(lines, "content", q, "path", "line", "content", limit=2 * limit).select("path", "line", "content", F.lit(0).alias("src"), "rank", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("rank") / 10)).alias("score"))
-    import re
-
     plain = grep(lines, re.escape(q), limit).orderBy("path", "line").limit(limit).select("path", "line", "content", F.lit(1).alias("src"), F.lit(0.0).alias("rank"), F.lit(0.8).alias("score"))
     w = Window.partitionBy("path", "line").orderBy("src")
     out = hits.unionByName(plain).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

@@ -104,3 +104,34 @@ def apply_fixes(content: Column, fixes: list[tuple[str, str]] | None = None) ->
     for p, r in fixes or FIXES:
         content = F.regexp_replace(content, p, r)
     return content
+
+
+#: Safe fixes of the security audit as (pattern, replacement); random ids need the import that is put first.
+SECURE_FIXES = [
+    (r"createHash\s*\(\s*['\"](?:md5|sha1)['\"]\s*\)", "createHash('sha256')"),
+    (r"devtool\s*:\s*['\"]source-map['\"]", "devtool: false"),
+]
+COOKIE = r"(?i)(cookie\s*:\s*\{(?![^}]*%s)[^}]*)(\})"
+COOKIE_FLAGS = [("httpOnly", ", httpOnly: true"), (r"secure\s*:", ", secure: true"), ("sameSite", ", sameSite: 'strict'")]
+
+
+def apply_secure_fixes(content: Column) -> Column:
+    """Weak hashes, random ids, source maps and cookie flags; the fixed text is returned."""
+    content = apply_fixes(content, SECURE_FIXES)
+    uses, imported = content.rlike(r"Math\.random\s*\(\s*\)"), content.rlike(r"import.*crypto|require.*crypto")
+    replaced = F.regexp_replace(content, r"Math\.random\s*\(\s*\)", "randomUUID()")
+    content = F.when(uses & ~imported, F.concat(F.lit("import { randomUUID } from 'node:crypto';\n"), replaced)).when(uses, replaced).otherwise(content)
+    for flag, more in COOKIE_FLAGS:
+        content = F.regexp_replace(content, COOKIE % flag, "$1" + more + "$2")
+    return content
+
+
+def pin_dependencies(manifest: Column) -> Column:
+    """A manifest whose version ranges (^ and ~) are exact."""
+    return F.regexp_replace(manifest, r'("[^"]+"\s*:\s*")[\^~](\d)', "$1$2")
+
+
+def complete_gitignore(text: Column, wanted: list[str]) -> Column:
+    """The ignore file with each wanted entry that it does not mention."""
+    missing = F.filter(F.array(*[F.lit(w) for w in wanted]), lambda w: ~F.coalesce(text, F.lit("")).contains(w))
+    return F.when(F.size(missing) == 0, text).otherwise(F.array_join(F.concat(F.filter(F.array(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+$", "")), lambda x: x != ""), missing), "\n"))

@@ -21,6 +21,8 @@ CAPS = {"ARCH-001": 3.0, "ARCH-002": 3.0, "ARCH-003": 2.0, "ARCH-004": 5.0, "ARC
 QUICK = {"secure": (1, 3, 4, 5), "comply": (1, 2, 3)}
 #: Rules that read manifests; the first stands for a package audit, which needs a network and counts as passed.
 MANIFEST_RULES = [*(f"SEC-SC-{i:03d}" for i in range(1, 9)), "SEC-DI-005"]
+#: Layer and control of the rules of several conditions.
+EXTRA = {"SEC-INJ-008": (3, "A03:2025"), "SEC-EX-004": (10, "A05:2025"), "CMP-DM-001": (5, "Art. 5(1)(c)")}
 AUDITS = {
     "secure": (catalogue.SECURE, catalogue.SECURE_WEIGHTS, rules.SECURE_CAPS, (1,)),
     "comply": (catalogue.COMPLY, catalogue.COMPLY_WEIGHTS, rules.COMPLY_CAPS, ()),
@@ -100,7 +102,11 @@ def audit_findings(files: DataFrame, kind: str, layers: list[int] | None = None,
     per_file = rules.evaluate(files, todo).select("path", "rule_id", "layer", "severity", F.col("line").cast("int").alias("line"))
     whole = rules.evaluate_project(files, todo).where("issue").select(F.lit(None).cast("string").alias("path"), "rule_id", "layer", "severity", F.lit(None).cast("int").alias("line"))
     found = per_file.unionByName(whole)
-    control = F.create_map(*[F.lit(x) for r in AUDITS[kind][0] for x in (r.id, r.regulation)])
+    more = analyzers.extra_audit_findings(files).where(F.col("rule_id").startswith("SEC" if kind == "secure" else "CMP"))
+    at = F.element_at(F.create_map(*[F.lit(x) for kv in EXTRA.items() for x in (kv[0], kv[1][0])]), F.col("rule_id"))
+    more = more.select("path", "rule_id", at.alias("layer"), "severity", F.lit(None).cast("int").alias("line"))
+    found = found.unionByName(more.where(_in_audit(kind, layers, quick)))
+    control = F.create_map(*[F.lit(x) for x in (y for r in AUDITS[kind][0] for y in (r.id, r.regulation))], *[F.lit(x) for k, v in EXTRA.items() for x in (k, v[1])])
     effort = F.create_map(*[F.lit(x) for r in AUDITS[kind][0] for x in (r.id, r.effort)])
     if kind == "secure":
         m = analyzers.manifest_findings(files).select("path", "rule_id", _manifest_layer(F.col("rule_id")).alias("layer"), "severity", F.lit(None).cast("int").alias("line"))
@@ -119,6 +125,11 @@ def audit_scores(files: DataFrame, kind: str, layers: list[int] | None = None, q
         m = names.join(F.broadcast(bad.withColumn("bad", F.lit(True))), "rule_id", "left")  # one row for each rule
         m = m.select("rule_id", _manifest_layer(F.col("rule_id")).alias("layer"), F.when(F.col("bad"), 0).otherwise(1).cast("long").alias("passed"), F.lit(1).cast("long").alias("total"))
         c = c.unionByName(m.where(_in_audit(kind, layers, quick)))
+    hit = analyzers.extra_audit_findings(files).groupBy("rule_id").agg(F.count("*").alias("n"))
+    prefix = "SEC" if kind == "secure" else "CMP"
+    e = files.sparkSession.createDataFrame([(k, v[0]) for k, v in EXTRA.items() if k.startswith(prefix)], "rule_id string, layer int").join(F.broadcast(hit), "rule_id", "left")  # one row for each rule
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    c = c.unionByName(e.select("rule_id", "layer", (F.greatest(n, F.lit(1)) - n).alias("passed"), F.greatest(n, F.lit(1)).alias("total")).where(_in_audit(kind, layers, quick)))
     return rules.layer_scores(c.select("layer", weight.alias("weight"), "passed", "total"))
 
 
@@ -149,3 +160,17 @@ def report_markdown(findings: DataFrame, per_rule: int = 5) -> DataFrame:
     line = F.concat(F.lit("- **"), F.col("rule_id"), F.lit("** "), F.coalesce(F.concat(F.lit("`"), "path", F.lit("`")), F.lit("project")))
     g = shown.groupBy(rank.alias("rank"), "severity").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
     return g.select("rank", "severity", F.concat(F.lit("## "), F.initcap("severity"), F.lit("\n\n"), "body").alias("section")).orderBy("rank", "severity")
+
+
+#: What a finding says about the data that is handled, as rule, category and type.
+DATA_TYPES = [("CMP-PD-001", "pii", "email"), ("CMP-PD-002", "pii", "name"), ("CMP-PD-003", "pii", "phone"), ("CMP-PD-004", "pii", "address"), ("CMP-PD-005", "sensitive", "national-id"), ("CMP-PD-006", "pii", "date-of-birth"), ("CMP-PD-007", "behavioral", "ip-address"), ("CMP-PD-008", "behavioral", "geolocation"), ("CMP-PD-009", "biometric", "biometric"), ("CMP-PD-010", "health", "sensitive-category"), ("CMP-PD-011", "financial", "financial")]
+
+
+def data_flow(findings: DataFrame) -> DataFrame:
+    """(data_type, category, collection_point, has_consent, has_encryption, has_retention) of the kinds of personal data
+    that the compliance audit found; the collection point is the first file by name."""
+    table = findings.sparkSession.createDataFrame(DATA_TYPES, "rule_id string, category string, data_type string")
+    seen = findings.groupBy("rule_id").agg(F.min("path").alias("collection_point"))
+    flags = findings.agg(*[(~F.coalesce(F.max(F.col("rule_id") == r), F.lit(False))).alias(n) for r, n in (("CMP-DP-001", "has_encryption"), ("CMP-DM-002", "has_retention"))])
+    out = table.join(seen, "rule_id").crossJoin(F.broadcast(flags))  # at most eleven rows and one
+    return out.select("data_type", "category", "collection_point", F.lit(False).alias("has_consent"), "has_encryption", "has_retention")

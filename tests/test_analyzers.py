@@ -126,3 +126,49 @@ def test_optimize(spark):
     e = o.select("id", "pos", "content", "ts_ms", "score", "ttl_s", "access_count", "critical")
     got = pipelines.optimize_entries(e.withColumn("ts_ms", F.lit(0)), 10**9, 50.0)
     assert pipelines.optimization_result(got).first().entries_processed == o.count()
+
+
+def test_rules_of_several_conditions(spark):
+    pii = "interface User { email, phone, firstName, lastName, address, ssn, passport, gender, religion, salary, income }"
+    files = spark.createDataFrame([("a.ts", "const r = /(a+)+$/g"), ("b.ts", "const r = /a+b/g"), ("c.ts", pii), ("d.ts", "express()\napp.use(express.json())")], FILES)
+    assert ids(analyzers.extra_audit_findings(files)) == {("a.ts", "SEC-INJ-008"), ("c.ts", "CMP-DM-001"), (None, "SEC-EX-004")}
+    assert {r.layer for r in pipelines.audit_findings(files, "comply", layers=[5]).collect()} == {5}
+
+
+def test_data_flow(spark):
+    files = spark.createDataFrame([("b.ts", "const email = a"), ("a.ts", "const email = b\nconst phone = c")], FILES)
+    got = {r.data_type: (r.category, r.collection_point, r.has_encryption) for r in pipelines.data_flow(pipelines.audit_findings(files, "comply")).collect()}
+    assert got == {"email": ("pii", "a.ts", False), "phone": ("pii", "a.ts", False)}
+
+
+def test_secure_fixes(spark):
+    from quillstone.operators import summaries
+
+    fix = lambda f, x: spark.createDataFrame([(x,)], "t string").select(f(F.col("t"))).first()[0]
+    assert fix(summaries.apply_secure_fixes, "createHash('sha1')") == "createHash('sha256')"
+    assert fix(summaries.apply_secure_fixes, "x = Math.random()") == "import { randomUUID } from 'node:crypto';\nx = randomUUID()"
+    assert fix(summaries.apply_secure_fixes, "cookie: { secure: true }") == "cookie: { secure: true , httpOnly: true, sameSite: 'strict'}"
+    assert fix(summaries.pin_dependencies, '{"a": "^1.2", "b": "~3"}') == '{"a": "1.2", "b": "3"}'
+    assert fix(lambda c: summaries.complete_gitignore(c, [".env", "dist"]), "dist\n") == "dist\n.env"
+
+
+#: Pairs from the published description of the algorithm.
+STEMS = "caresses caress ponies poni cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit digitizer digit vietnamization vietnam operator oper feudalism feudal decisiveness decis hopefulness hope formality formal sensitivity sensit sensibility sensibl triplicate triplic formative form electricity electr goodness good revival reviv allowance allow inference infer adjustable adjust replacement replac adoption adopt effective effect probate probat rate rate controlling control roll roll".split()
+
+
+def test_porter(spark):
+    from quillstone.operators import search
+
+    for word, stem in zip(STEMS[::2], STEMS[1::2], strict=True):
+        assert search.porter(word) == stem
+        assert word.startswith(stem[: max(1, len(stem) - 2)])
+    d = spark.createDataFrame([(1, "connected tokens"), (2, "a connection of token rings"), (3, "disconnect token"), (4, None)], "k int, t string")
+    assert {r.k for r in search.bm25(d, "t", "connecting token", "k", stem=True).collect()} == {1, 2}
+    assert search.bm25(d, "t", "connecting token", "k").count() == 0
+
+
+def test_long_texts(spark):
+    """Very long lines and texts neither overflow the pattern engine nor take long."""
+    files = spark.createDataFrame([("a.ts", "/" + "x" * 300_000 + "\n" + "token /a+/ " * 20_000)], FILES)
+    for kind in pipelines.AUDITS:
+        assert pipelines.audit_scores(files, kind).count() == len(pipelines.AUDITS[kind][1])
