@@ -28,9 +28,10 @@ from quillstone.llm.common import LOWER, id_text
 
 SPAN, LEAST_WORDS, TOLERANCE = 13, 5, 0.8
 BLOCK_WORDS = 2_000_000
-#: 1 marks the positions that a seed compares. Shorter items use the five-word mask.
-MASKS = ("1110110111", "1011101101", "110101011101")
-SHORT_MASK = "11011"
+#: 1 marks the positions that a seed compares. Shorter items than ``SPAN`` use the second family. However
+#: the words that verification lets differ are placed in a window, a mask of its family fits between them (enumerated in the tests).
+MASKS = ("11110111", "1110110011", "11010010111")
+SHORT_MASKS = ("1111", "10111", "11011", "11101")
 PUNCTUATION = b".,;:!?\"'()[]{}"
 SCHEMA = "doc_id long, item_id long, n_equal long, n_words long, start_word long"
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -66,7 +67,7 @@ class Index:
             ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(text)], np.int32)
             if len(ids) < LEAST_WORDS:
                 continue
-            for mask in MASKS if len(ids) >= SPAN else (SHORT_MASK,):
+            for mask in MASKS if len(ids) >= SPAN else SHORT_MASKS:
                 at, h = seeds(ids, mask)
                 by_mask[mask].append((h, np.full(len(h), len(self.items)), at))
             self.items.append((item, ids))

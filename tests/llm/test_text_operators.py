@@ -290,3 +290,24 @@ def test_leaks(spark):
         decontamination.BLOCK_WORDS = was
     assert decontamination.find_leaks(docs(spark, []), bench).count() == 0
     assert decontamination.find_leaks(docs(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_masks_cover_all_allowed_substitutions():
+    """However the words that verification lets differ are placed, the passage is seeded and found."""
+    from itertools import combinations
+
+    for n in range(decontamination.LEAST_WORDS, decontamination.SPAN + 1):
+        passage = [f"p{i}" for i in range(n)]
+        index = decontamination.Index([(7, " ".join(passage))])
+        allowed = max(k for k in range(n) if n - k >= decontamination.TOLERANCE * n)
+        for k in range(allowed + 1):
+            for gone in combinations(range(n), k):
+                doc = ["x", *("new" if i in gone else w for i, w in enumerate(passage)), "y"]
+                assert index.search(" ".join(doc)) == [(7, n - k, n, -1)], (n, gone)
+
+
+def test_leak_with_every_fifth_word_replaced():
+    for n in (20, 40, 59):
+        item = [f"p{i}" for i in range(n)]
+        doc = ["new" if i % 5 == 4 else w for i, w in enumerate(item)]
+        assert [r[0] for r in decontamination.Index([(7, " ".join(item))]).search(" ".join(doc))] == [7]
