@@ -1,7 +1,7 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Restaurants: one for each of ``CONTEXTS`` classes of the preceding word (a hash of it), all sharing the
-unigram restaurant as parent, whose own parent is uniform over the known words and one unknown. Table
+Restaurants: one for each preceding word (its 64-bit hash), all sharing the unigram restaurant as parent,
+whose own parent is uniform over the known words and one unknown. Table
 counts are drawn by blocked Gibbs sweeps: in each, the customers of a (context, word) pair are seated
 anew by the Chinese-restaurant rule given the parent's predictive probability and the totals of the last
 sweep; the tables opened are the parent's customers. The predictive probabilities of the sweeps after
@@ -9,9 +9,11 @@ the first are averaged. Discounts come from counts of counts.
 
 Distribution: texts are read once, in blocks of about ``BLOCK_BYTES``; a block writes its documents as
 indices into its own sorted list of (word, context) keys, and those keys with their training counts, dealt
-out by word. All keys of a word meet in one range, where its seating is local; only totals by context
-(``CONTEXTS`` rows) reach the driver. Each range answers each block with one probability per key. A key
-occurs once per block, so a frequent word is combined before the shuffle.
+out by word. All keys of a word meet in one range, where its seating is local. The totals of a context are
+added up in the range that is its home: each range sends the totals of its contexts there and gets those of
+the whole corpus back, once for the counts and once per sweep, so only scalars reach the driver. Each range
+answers each block with one probability per key. A key occurs once per block, and a context once per range,
+so a frequent word is combined before the shuffle.
 
 Seating of more than ``EXACT`` customers of one dish proceeds in steps with the probability held over a
 step (an eighth of the customers seated), with binomial draws; fewer are seated one by one.
@@ -24,7 +26,7 @@ empty table gives an empty result; only doc_id and text are read.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,9 +35,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import LOWER, id_text, materialize
+from quillstone.llm.common import BATCH_BYTES, LOWER, id_text, materialize
 
-CONTEXTS, SWEEPS, KEPT, EXACT = 64, 3, 2, 256
+SWEEPS, KEPT, EXACT = 3, 2, 256
+CONTEXTS = 64  # the tests size arrays by it; contexts of the model are not bounded
 BLOCK_BYTES = 8 << 20
 THETA = 1.0
 END = b" "
@@ -44,18 +47,27 @@ DTYPES = ("u1", "u4", "i4", "i8", "u8", "f4")
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value: lengths, then bytes."""
+    """Arrays as one value: count, lengths and kinds, hashes (unsigned of 64 bits) as they are, then the others compressed."""
     head = np.array([x for a in arrays for x in (len(a), DTYPES.index(a.dtype.str[1:]))], "<i8").tobytes()
-    return len(arrays).to_bytes(4, "little") + zlib.compress(head + b"".join(a.tobytes() for a in arrays), 1)
+    press = zlib.compressobj(1)
+    small = [press.compress(np.ascontiguousarray(a)) for a in arrays if a.dtype != U64]
+    return b"".join([len(arrays).to_bytes(4, "little"), head, *(a.tobytes() for a in arrays if a.dtype == U64), *small, press.flush()])
 
 
 def unpacked(blob: bytes) -> list[np.ndarray]:
-    n, raw = int.from_bytes(blob[:4], "little"), zlib.decompress(blob[4:])
-    head, out, at = np.frombuffer(raw, "<i8", 2 * n).reshape(n, 2), [], 16 * n
-    for size, num in head.tolist():
-        kind = np.dtype(DTYPES[num])
-        out.append(np.frombuffer(raw, kind, size, at))
-        at += size * kind.itemsize
+    n = int.from_bytes(blob[:4], "little")
+    head, at = np.frombuffer(blob, "<i8", 2 * n, 4).reshape(n, 2).tolist(), 4 + 16 * n
+    out: list = []
+    for size, num in head:
+        hashes = DTYPES[num] == "u8"
+        out.append(np.frombuffer(blob, U64, size, at) if hashes else None)
+        at += 8 * size * hashes
+    raw, at = zlib.decompress(memoryview(blob)[at:]), 0
+    for i, (size, num) in enumerate(head):
+        if out[i] is None:
+            kind = np.dtype(DTYPES[num])
+            out[i] = np.frombuffer(raw, kind, size, at)
+            at += size * kind.itemsize
     return out
 
 
@@ -82,26 +94,25 @@ class Block:
         word = np.concatenate(self.ids)
         prev = np.concatenate([[0], word[:-1]])
         prev[np.cumsum(lens)[:-1]] = 0  # a text begins as after an end
-        ctx = ((hashes >> U64(48)) % U64(CONTEXTS)).astype(np.int64)[prev]
         held = np.repeat([h for _, h in self.docs], lens)
-        keys, where = np.unique(word.astype(np.int64) * CONTEXTS + ctx, return_inverse=True)
+        # numbered in order of range and hash as words, of hash as contexts: keys come out sorted
+        v, r = len(hashes), (hashes % U64(ranges)).astype(np.int64)
+        by_range, by_hash = np.lexsort((hashes, r)), np.argsort(hashes)
+        as_word, as_ctx = np.empty(v, np.int64), np.empty(v, np.int64)
+        as_word[by_range] = as_ctx[by_hash] = np.arange(v)
+        keys, where = np.unique(as_word[word] * v + as_ctx[prev], return_inverse=True)
         counts = np.bincount(where[~held], minlength=len(keys)).astype(np.uint32)
-        h, c = hashes[keys // CONTEXTS], (keys % CONTEXTS).astype(np.uint8)
-        r = (h % U64(ranges)).astype(np.int64)
-        order = np.lexsort((c, h, r))
-        rank = np.empty(len(keys), np.int32)
-        rank[order] = np.arange(len(keys), dtype=np.int32)
+        h, c, r = hashes[by_range][keys // v], hashes[by_hash][keys % v], r[by_range][keys // v]
         ids = np.array([-1 if d is None else d for d, _ in self.docs], np.int64)
         flags = np.array([2 * (d is None) + h_ for d, h_ in self.docs], np.uint8)
-        yield block, -1, packed(ids, flags, lens.astype(np.int32), rank[where])
-        h, c, r, counts = h[order], c[order], r[order], counts[order]
+        yield block, -1, packed(ids, flags, lens.astype(np.int32), where.astype(np.int32))
         cut = np.searchsorted(r, np.arange(ranges + 1))
         for k in range(ranges):
             a, b = cut[k], cut[k + 1]
             if a < b:
                 new = np.concatenate([[True], h[a + 1 : b] != h[a : b - 1]])
                 first = np.flatnonzero(new)
-                yield block, k, packed(np.diff(h[a:b][first], prepend=U64(0)), np.diff(np.append(first, b - a)).astype(np.uint8), c[a:b], counts[a:b])
+                yield block, k, packed(np.diff(h[a:b][first], prepend=U64(0)), np.diff(np.append(first, b - a)).astype(np.uint32), c[a:b], counts[a:b])
 
 
 def asked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,11 +157,16 @@ def blocks(docs: DataFrame, ranges: int, held) -> DataFrame:
 
 @dataclass
 class Totals:
-    """What the driver knows of one sweep: bounded by CONTEXTS."""
+    """What a range knows of one sweep: its own contexts and corpus-wide scalars."""
 
     customers: np.ndarray  # by context
     tables: np.ndarray  # by context
     top_tables: int
+    all_tables: int | None = None  # over all contexts of the corpus; those given by default
+
+    def __post_init__(self):
+        if self.all_tables is None:
+            self.all_tables = self.tables.sum()
 
 
 @dataclass
@@ -219,63 +235,161 @@ class Range:
     def parent(shape: Shape, g: Totals, cw: np.ndarray, tw: np.ndarray) -> np.ndarray:
         """Predictive probability of words in the unigram restaurant."""
         uniform = 1 / (shape.words + 1)
-        return (np.maximum(cw - shape.top_discount * tw, 0) + (THETA + shape.top_discount * g.top_tables) * uniform) / (THETA + g.tables.sum())
+        return (np.maximum(cw - shape.top_discount * tw, 0) + (THETA + shape.top_discount * g.top_tables) * uniform) / (THETA + g.all_tables)
+
+
+class Part:
+    """One range as it is stored: distinct keys of all blocks in order of word and context (trained or not), the
+    hashes of its contexts in order, and the positions of each block's keys."""
+
+    def __init__(self, r: int, blob: bytes):
+        d, n, self.ctx, self.c, names, self.blocks, *self.at = unpacked(blob)
+        self.r, self.h, self.names = r, np.repeat(np.cumsum(d, dtype=U64), n), np.cumsum(names, dtype=U64)
+        self.x = Range(r, self.h, self.ctx, self.c)
+
+    @staticmethod
+    def merge(blocks: list[tuple[int, bytes]]) -> bytes:
+        numbers, sizes, parts = np.array([b for b, _ in blocks], np.int64), [], []
+        while blocks:  # each is given up as it is read
+            parts.append(asked(blocks.pop(0)[1]))
+            sizes.append(len(parts[-1][0]))
+        h, ctx, counts = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        parts.clear()
+        order = np.lexsort((ctx, h))
+        h = h[order]
+        ctx = ctx[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])
+        at = np.flatnonzero(new)
+        where = np.empty(len(h), np.int32)
+        where[order] = np.cumsum(new, dtype=np.int32) - 1
+        c = np.add.reduceat(counts[order].astype(np.int64), at)
+        h, (names, ctx) = h[at], np.unique(ctx[at], return_inverse=True)
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        positions = [np.diff(p, prepend=np.int32(0)).astype(np.uint32) for p in np.split(where, np.cumsum(sizes)[:-1])]
+        return packed(np.diff(h[first], prepend=U64(0)), np.diff(np.append(first, len(h))).astype(np.uint32), ctx.astype(np.int32), c, np.diff(names, prepend=U64(0)), numbers, *positions)
+
+    def by_context(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.x.ctx, x, len(self.names)).astype(np.int64)
 
 
-def merged(r: int, blobs: list[bytes]) -> Range:
-    parts = [asked(b) for b in blobs]
-    return Range(r, *(np.concatenate(x) for x in zip(*parts, strict=True)))
+def home(ctx: np.ndarray, ranges: int) -> np.ndarray:
+    """Range that adds up a context; it rises with the hash."""
+    return (((ctx >> U64(32)) * U64(ranges)) >> U64(32)).astype(np.int64)
 
 
-def grouped(it: Iterator[pa.RecordBatch], key: str, *cols: str) -> Iterator[tuple[int, list[tuple]]]:
-    """Rows of one key after another from a sorted partition."""
-    last, rows = None, []
+def grouped(it: Iterator[pa.RecordBatch], key: str | tuple[str, ...], *cols: str) -> Iterator[tuple]:
+    """Rows of one key after another from a sorted partition; the caller may empty the list."""
+    last, rows, n = None, [], 1 if isinstance(key, str) else len(key)
     for b in it:
-        for k, *row in zip(*(b.column(c).to_pylist() for c in (key, *cols)), strict=True):
+        for x in zip(*(b.column(c).to_pylist() for c in ((key,) if n == 1 else key) + cols), strict=True):
+            k = x[0] if n == 1 else x[:n]
             if rows and k != last:
                 yield last, rows
                 rows = []
             last = k
-            rows.append(tuple(row))
+            rows.append(x[n:])
     if rows:
         yield last, rows
 
 
-def totals_of(counted: DataFrame, shape: Shape, totals: list[Totals]) -> Totals:
-    """Run the sweeps in ``totals`` on every range and add up the tables of the last one."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r, rows in grouped(it, "r", "blob"):
-            x = Range(r, *unpacked(rows[0][0]))
-            for t, _, tw in x.sweeps(shape, totals):
-                pass
-            n = np.bincount(x.ctx, t, CONTEXTS).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([*range(CONTEXTS), CONTEXTS], pa.int32()), pa.array([*n.tolist(), int(tw.sum())], pa.int64())], ["ctx", "n"])
+def batches(rows: Iterator[tuple], **types: pa.DataType) -> Iterator[pa.RecordBatch]:
+    out, size = [], 0
+    for row in rows:
+        out.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if len(out) == 64 or size > BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types.values(), strict=True)], [*types])
+            out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types.values(), strict=True)], [*types])
+
+
+class Exchange:
+    """Keys by range, and the totals that each range has got back so far."""
+
+    def __init__(self, counted: DataFrame, ranges: int):
+        self.counted, self.ranges, self.got, self.sums = counted, ranges, [], []
+
+    def rows(self) -> DataFrame:
+        """The keys come first in each range, then totals by step and home."""
+        out = self.counted.select("r", F.lit(-1).alias("step"), F.lit(-1).alias("home"), "blob")
+        for i, t in enumerate(self.got):
+            out = out.unionByName(t.where("sums is null").select("r", F.lit(i).alias("step"), "home", "blob"))
+        return out.repartition(self.ranges, "r").sortWithinPartitions("r", "step", "home")
+
+    def totals(self) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[Part, list[Totals]]]]:
+        """Reader of ``rows``."""
+        sums = list(self.sums)
+
+        def read(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[Part, list[Totals]]]:
+            for r, rows in grouped(it, "r", "step", "home", "blob"):
+                by_step = [[unpacked(b) for s, _, b in rows if s == i] for i in range(len(sums))]
+                arrays = [[np.concatenate(a).astype(float) for a in zip(*x, strict=True)] for x in by_step]
+                yield Part(r, rows[0][2]), [Totals(arrays[0][0], a[-1], top, tables) for a, (tables, top, *_) in zip(arrays, sums, strict=True)]
+
+        return read
+
+    def run(self, values: Callable[[Part, list[Totals]], tuple[list[np.ndarray], list[int]]]) -> list[int]:
+        """Add up ``values`` (arrays by context and scalars) over all ranges; ranges get the arrays back, the driver the scalars."""
+        n, read = self.ranges, self.totals()
+
+        def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def rows() -> Iterator[tuple]:
+                for part, totals in read(it):
+                    arrays, sums = values(part, totals)
+                    cuts = np.searchsorted(home(part.names, n), np.arange(n + 1)).tolist()
+                    for q, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                        if a < b:
+                            yield q, part.r, packed(np.diff(part.names[a:b], prepend=U64(0)), *(x[a:b] for x in arrays)), None
+                    yield part.r, -1, b"", [int(x) for x in sums]
+
+            return batches(rows(), home=pa.int32(), r=pa.int32(), blob=pa.binary(), sums=pa.list_(pa.int64()))
+
+        def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def rows() -> Iterator[tuple]:
+                for q, got in grouped(it, "home", "r", "blob", "sums"):
+                    yield from ((-1, q, b"", s) for r, _, s in got if r < 0)
+                    froms = [(r, unpacked(b)) for r, b, _ in got if r >= 0]
+                    if not froms:
+                        continue
+                    names, at = np.unique(np.concatenate([np.cumsum(x[0], dtype=U64) for _, x in froms]), return_inverse=True)
+                    whole = [np.bincount(at, np.concatenate(v), len(names)).astype(np.int64) for v in zip(*(x[1:] for _, x in froms), strict=True)]
+                    cuts = np.cumsum([len(x[0]) for _, x in froms])[:-1]
+                    for (r, _), k in zip(froms, np.split(at, cuts), strict=True):
+                        yield r, q, packed(*(v[k] for v in whole)), None
+
+            return batches(rows(), r=pa.int32(), home=pa.int32(), blob=pa.binary(), sums=pa.list_(pa.int64()))
+
+        sent = self.rows().mapInArrow(send, "home int, r int, blob binary, sums array<long>")
+        got = materialize(sent.repartition(n, "home").sortWithinPartitions("home", "r").mapInArrow(add, "r int, home int, blob binary, sums array<long>"), "lm-totals")
+        self.got.append(got)
+        some = got.where("sums is not null").agg(*(F.sum(F.get("sums", F.lit(i))) for i in range(7))).first()
+        return [x or 0 for x in some]
+
+
+def fit(state: Exchange) -> Shape:
+    """Scalars and initial totals from counts, then one set of totals per sweep."""
 
-    got = dict(tuple(x) for x in counted.mapInArrow(run, "ctx int, n long").groupBy("ctx").agg(F.sum("n")).collect())
-    return Totals(totals[-1].customers, np.array([got.get(i, 0) for i in range(CONTEXTS)], float), got.get(CONTEXTS, 0))
+    def count(part: Part, _: list[Totals]) -> tuple[list[np.ndarray], list[int]]:
+        x = part.x
+        one = np.ones(len(x.c), np.int64)
+        cw = x.by_word(one)
+        return [part.by_context(x.c), part.by_context(one)], [len(x.c), len(x.words), x.c.sum(), (x.c == 1).sum(), (x.c == 2).sum(), (cw == 1).sum(), (cw == 2).sum()]
 
+    s = state.run(count)
+    discount = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
+    shape = Shape(s[2], s[1], discount(s[3], s[4]), discount(s[5], s[6]))
+    state.sums.append(s[:2])
 
-def fit(counted: DataFrame) -> tuple[Shape, list[Totals]]:
-    """Scalars and initial totals from counts, then one set of totals per sweep."""
+    def sweep(part: Part, totals: list[Totals]) -> tuple[list[np.ndarray], list[int]]:
+        for t, _, tw in part.x.sweeps(shape, totals):
+            pass
+        return [part.by_context(t)], [t.sum(), tw.sum()]
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r, rows in grouped(it, "r", "blob"):
-            x = Range(r, *unpacked(rows[0][0]))
-            one, cw = np.ones(len(x.c), np.int64), x.by_word(np.ones(len(x.c), np.int64))
-            what = [("c", np.bincount(x.ctx, x.c, CONTEXTS)), ("t", np.bincount(x.ctx, one, CONTEXTS)), ("s", np.array([len(x.words), (x.c == 1).sum(), (x.c == 2).sum(), (cw == 1).sum(), (cw == 2).sum()]))]
-            k, i, n = zip(*((k, i, int(v)) for k, a in what for i, v in enumerate(a.tolist())), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(i, pa.int32()), pa.array(n, pa.int64())], ["k", "i", "n"])
-
-    got = {(r[0], r[1]): r[2] for r in counted.mapInArrow(run, "k string, i int, n long").groupBy("k", "i").agg(F.sum("n")).collect()}
-    s = [got.get(("s", i), 0) for i in range(5)]
-    discount = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
-    c, t = (np.array([got.get((k, i), 0) for i in range(CONTEXTS)], float) for k in "ct")
-    shape = Shape(int(c.sum()), s[0], discount(s[1], s[2]), discount(s[3], s[4]))
-    totals = [Totals(c, t, s[0])]
     for _ in range(SWEEPS):
-        totals.append(totals_of(counted, shape, totals))
-    return shape, totals
+        state.sums.append(state.run(sweep)[:2])
+    return shape
 
 
 def score_documents(docs: DataFrame, held=None) -> DataFrame:
@@ -283,53 +397,48 @@ def score_documents(docs: DataFrame, held=None) -> DataFrame:
     that are scored but not learnt from (default: crc32(doc_id as text) mod 7 is 2)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False)) if held is None else held
-    written = materialize(blocks(docs, n, held), "lm-blocks")
-    keys = written.where("r >= 0")
 
     def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r, rows in grouped(it, "r", "blob"):
-            x = merged(r, [b for (b,) in rows])
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([packed(x.h, x.ctx, x.c)], pa.binary())], ["r", "blob"])
+        def rows() -> Iterator[tuple]:
+            for (r, block), got in grouped(it, ("r", "doc_block"), "block", "blob"):
+                if r < 0:
+                    yield from ((b, r, blob) for b, blob in got)
+                else:
+                    yield -1, r, Part.merge(got)
 
-    counted = materialize(keys.repartition(n, "r").sortWithinPartitions("r").mapInArrow(merge, "r int, blob binary"), "lm-counts")
-    shape, totals = fit(counted)
+        return batches(rows(), block=pa.int64(), r=pa.int32(), blob=pa.binary())
 
-    def answer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def reply(x: Range, state: list, block: int, blob: bytes) -> pa.RecordBatch:
-            h, ctx, _ = asked(blob)
-            w = np.searchsorted(x.words, h)
-            w_ok = np.zeros(len(h), bool)
-            if len(x.words):
-                w = np.minimum(w, len(x.words) - 1)
-                w_ok = x.words[w] == h
-            # a word's keys lie together, sorted by context
-            at = x.first[w] if len(x.words) else w
-            combined = x.word.astype(np.int64) * CONTEXTS + x.ctx
-            want = w.astype(np.int64) * CONTEXTS + ctx
-            at = np.minimum(np.searchsorted(combined, want), max(0, len(combined) - 1))
-            k_ok = w_ok & (combined[at] == want) if len(combined) else w_ok
-            p = np.zeros(len(h))
-            for g, t, cw, tw in state:
-                parent = np.full(len(h), (THETA + shape.top_discount * g.top_tables) / (shape.words + 1) / (THETA + g.tables.sum()))
-                if len(x.words):
-                    parent = np.where(w_ok, Range.parent(shape, g, cw, tw)[w], parent)
-                own = np.where(k_ok, np.maximum(x.c[at] - shape.discount * t[at], 0), 0) if len(combined) else 0.0
-                p += (own + (THETA + shape.discount * g.tables[ctx]) * parent) / (THETA + g.customers[ctx])
-            count = np.where(w_ok, x.count[w], 0).astype(np.uint64) if len(x.words) else np.zeros(len(h), np.uint64)
-            out = packed(np.log10(p / len(state)).astype(np.float32), count)
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([x.r], pa.int32()), pa.array([out], pa.binary())], ["block", "r", "blob"])
-
-        x, state = None, []
-        for b in it:
-            for r, block, blob in zip(*(b.column(c).to_pylist() for c in ("r", "block", "blob")), strict=True):
-                if block < 0:  # the merged counts come first in each range
-                    x = Range(r, *unpacked(blob))
-                    state = [(totals[i + 1], *s) for i, s in enumerate(x.sweeps(shape, totals[:-1]))][-KEPT:]
-                else:
-                    yield reply(x, state, block, blob)
+    # texts go with their block, keys with their range
+    dealt = blocks(docs, n, held).withColumn("doc_block", F.when(F.col("r") < 0, F.col("block")).otherwise(-1)).repartition(n, "r", "doc_block").sortWithinPartitions("r", "block")
+    written = materialize(dealt.mapInArrow(merge, "block long, r int, blob binary"), "lm-counts")
+    texts, counted = written.where("r < 0"), written.where("r >= 0").select("r", "blob")
+    state = Exchange(counted, n)
+    shape = fit(state)
+    read = state.totals()
 
-    first = counted.select(F.lit(-1).cast("long").alias("block"), "r", "blob")
-    answers = first.unionByName(keys).repartition(n, "r").sortWithinPartitions("r", "block").mapInArrow(answer, "block long, r int, blob binary")
+    def answer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for part, totals in read(it):
+                x, h, ctx, own, p = part.x, part.h, part.ctx, np.zeros(len(part.h)), np.zeros(len(part.h))
+                w = np.minimum(np.searchsorted(x.words, h), max(0, len(x.words) - 1))
+                known = x.words[w] == h if len(x.words) else np.zeros(len(h), bool)
+                for i, (t, cw, tw) in enumerate(x.sweeps(shape, totals[:-1])):
+                    if i < SWEEPS - KEPT:
+                        continue
+                    g = totals[i + 1]
+                    parent = np.full(len(h), (THETA + shape.top_discount * g.top_tables) / (shape.words + 1) / (THETA + g.all_tables))
+                    parent[known] = Range.parent(shape, g, cw, tw)[w[known]]
+                    own[part.c > 0] = np.maximum(x.c - shape.discount * t, 0)
+                    p += (own + (THETA + shape.discount * g.tables[ctx]) * parent) / (THETA + g.customers[ctx])
+                logp, count = np.log10(p / KEPT).astype(np.float32), np.zeros(len(h), np.int64)
+                count[known] = x.count[w[known]]
+                for block, d in zip(part.blocks.tolist(), part.at, strict=True):
+                    k = np.cumsum(d, dtype=np.int64)
+                    yield block, part.r, packed(logp[k], count[k])
+
+        return batches(rows(), block=pa.int64(), r=pa.int32(), blob=pa.binary())
+
+    answers = materialize(state.rows().mapInArrow(answer, "block long, r int, blob binary"), "lm-answers")
     total, words = shape.tokens, shape.words
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,5 +460,5 @@ def score_documents(docs: DataFrame, held=None) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    both = written.where("r < 0").unionByName(answers)
+    both = texts.unionByName(answers)
     return both.repartition(n, "block").sortWithinPartitions("block", "r").mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

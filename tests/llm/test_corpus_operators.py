@@ -243,3 +243,16 @@ def test_pipeline_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sum(r.length for r in out) == sum(len(tok(t)) for t in texts.values())
     assert decontamination.find_leaks(spark.read.parquet(f"{tmp_path}/pii"), spark.read.parquet(f"{tmp_path}/benchmark.parquet")).count() == 0
+
+
+def test_language_model_keeps_preceding_words_apart(spark):
+    """500 words that are each followed by one word of their own: no class of contexts can tell them apart."""
+    pairs = [(f"a{i}", f"b{i}") for i in range(500)]
+    rows = [(d, " ".join(f"{a} {b}" for a, b in random.Random(d).sample(pairs, 100))) for d in range(120)]
+    rows += [(1000, " ".join(f"{a} {b}" for a, b in pairs)), (1001, " ".join(f"{a} {b}" for a, (_, b) in zip((a for a, _ in pairs), pairs[1:])))]
+    from pyspark.sql import functions as F
+
+    out = {r.doc_id: r for r in language_model.score_documents(docs(spark, rows), held=F.col("doc_id") >= 1000).collect()}
+    # each first word costs about log10 500, each second one nearly nothing
+    assert out[1000].score / out[1000].n_tokens > -1.6
+    assert out[1001].score < 1.5 * out[1000].score
