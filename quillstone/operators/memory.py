@@ -7,13 +7,20 @@ take the columns they need. ``pos`` makes every order total.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import groupby, islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone import functions as Q
 from quillstone.operators.store import materialize
 
+#: Entries of one group, and rows and terms of one dense tile, of the blocked comparison.
+GROUP_ROWS, TILE_ROWS, TILE_TERMS = 2048, 256, 8192
+
 
 def document_frequency(entries: DataFrame, content: str = "content", by: list[str] | None = None) -> DataFrame:
     """(by..., term, df): entries that hold a term."""
@@ -143,6 +150,82 @@ def cosine_pairs(entries: DataFrame, threshold: float = 0.85, content: str = "co
     return sim.where(F.col("similarity") >= threshold)
 
 
+def fold_exact(entries: DataFrame, content: str = "content") -> DataFrame:
+    """(id, content): the first id of each group of equal content."""
+    text = F.coalesce(content, F.lit(""))
+    return entries.groupBy(F.sha2(text, 256).alias("_h")).agg(F.min("id").alias("id"), F.first(text).alias(content)).drop("_h")
+
+
+def compare_groups(a: list[tuple], b: list[tuple] | None, threshold: float) -> Iterator[tuple[int, int, float]]:
+    """Pairs of rows (id, terms, counts) of ``a`` with those of ``b`` (None: of ``a`` among themselves), in tiles of bounded size."""
+    other = a if b is None else b
+    vocab = [np.unique(np.concatenate([r[1] for r in side])) for side in (a, other)]
+    vocab = np.intersect1d(*vocab, assume_unique=True)
+
+    def tiles(side: list[tuple]) -> list[tuple]:
+        out = []
+        for x in range(0, len(side), TILE_ROWS):
+            rows = side[x : x + TILE_ROWS]
+            row, term, c = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows]), np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows])
+            at = np.minimum(np.searchsorted(vocab, term), max(0, len(vocab) - 1))
+            ok = vocab[at] == term if len(vocab) else np.zeros(len(term), bool)
+            out.append((x, np.array([r[0] for r in rows]), np.sqrt(np.bincount(row, c * c, len(rows))), row[ok], at[ok], c[ok]))
+        return out
+
+    def dense(tile: tuple, low: int) -> np.ndarray:
+        _, ids, _, row, at, c = tile
+        k = (at >= low) & (at < low + TILE_TERMS)
+        m = np.zeros((len(ids), min(TILE_TERMS, len(vocab) - low)))
+        m[row[k], at[k] - low] = c[k]
+        return m
+
+    left = tiles(a)
+    for x in left:
+        for y in left if b is None else tiles(b):
+            if b is None and y[0] < x[0]:
+                continue
+            dot = np.zeros((len(x[1]), len(y[1])))
+            for low in range(0, len(vocab), TILE_TERMS):
+                dot += dense(x, low) @ dense(y, low).T
+            sim = dot / (x[2][:, None] * y[2][None, :])
+            i, j = np.nonzero(sim >= threshold)
+            if b is None and x is y:
+                i, j = i[i < j], j[i < j]
+            for p, q, v in zip(x[1][i].tolist(), y[1][j].tolist(), sim[i, j].tolist(), strict=True):
+                yield min(p, q), max(p, q), v
+
+
+def cosine_pairs_blocked(entries: DataFrame, threshold: float = 0.85, content: str = "content") -> DataFrame:
+    """``cosine_pairs`` for long texts, whose frequent words leave prefixes nothing to filter: (i, j, similarity) by
+    comparing all pairs of groups of about ``GROUP_ROWS`` entries (integer ids; terms as 64-bit hashes). Time, and what is
+    dealt out, grow with the square of the entries, so does the result where many entries are alike."""
+    ids = entries.select("id", F.transform(Q.tokens(F.col(content)), lambda t: F.xxhash64(t)).alias("t")).where(F.size("t") > 0)
+
+    def vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            got = [np.unique(np.asarray(t.values), return_counts=True) for t in batch.column("t")]
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array([t.tobytes() for t, _ in got], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in got], pa.binary())], ["id", "t", "c"])
+
+    vec = materialize(ids.mapInArrow(vectors, "id long, t binary, c binary"))
+    groups = max(1, math.ceil(vec.count() / GROUP_ROWS))
+    g = vec.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups))).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    dealt = g.select(F.least("g", "o").alias("a"), F.greatest("g", "o").alias("b"), "g", "id", "t", "c").repartition(max(1, groups * (groups + 1) // 2), "a", "b").sortWithinPartitions("a", "b")
+
+    def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((r[:2], r[2:]) for x in it for r in zip(*(x.column(c).to_pylist() for c in ("a", "b", "g", "id", "t", "c")), strict=True))
+        for (a, b), part in groupby(rows, key=lambda r: r[0]):
+            sides = {a: [], b: []}
+            for _, (side, i, t, c) in part:
+                sides[side].append((i, np.frombuffer(t, np.int64), np.frombuffer(c, np.int32).astype(float)))
+            if not sides[a] or not sides[b]:
+                continue
+            pairs = compare_groups(sides[a], None if a == b else sides[b], threshold)
+            while out := list(islice(pairs, 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["i", "j", "similarity"])
+
+    return dealt.mapInArrow(compare, "i long, j long, similarity double")
+
+
 def greedy_pairs(pairs: DataFrame) -> DataFrame:
     """Greedy matching in (i, j) order: a pair is taken if both ends are free. Only pairs that are first for both
     of their free ends are taken in a round, which equals the sequential pass; rounds end when no pair is left."""

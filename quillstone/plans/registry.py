@@ -195,6 +195,12 @@ def near_duplicates(t):
     return memory.cosine_pairs(b, 0.5).select("i", "j", F.round("similarity", 6).alias("similarity"))
 
 
+@query()
+def near_duplicates_documents(t):
+    d = memory.fold_exact(t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
+    return memory.cosine_pairs_blocked(d, 0.85).select("i", "j", F.round("similarity", 6).alias("similarity"))
+
+
 @query()
 def consolidate(t):
     e = conv_entries(t).withColumn("tags", F.array(F.lit("chat")))

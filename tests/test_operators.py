@@ -187,3 +187,37 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.sql("SELECT session, max(total_rows) AS n, max(kept) AS kept, max(tokens) AS tokens FROM ingested GROUP BY session").collect()
     assert {r.session: r.n for r in got} == {"s0": 20, "s1": 20}
     assert all(r.tokens <= 20 and r.kept <= 4 for r in got)
+
+
+def test_near_duplicates_of_all_documents(spark, tmp_path):
+    import random
+    from collections import Counter
+
+    from quillstone.plans import registry
+
+    rng, rows = random.Random(3), []
+    for g in range(12):
+        base = [f"w{rng.randrange(300)}" for _ in range(rng.choice([5, 40, 200]))]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 4, 12, 30])):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(400)}"
+            rows.append((len(rows), " ".join(w)))
+    rows += [(100, "same text"), (101, "same text"), (102, "same text twice"), (103, None), (104, ""), (105, "Same TEXT")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    first = {}
+    for d, t in rows:
+        first.setdefault(t or "", d)
+    vec = {d: Counter(t.lower().split()) for t, d in first.items() if t}
+    norm = {d: sum(c * c for c in v.values()) ** 0.5 for d, v in vec.items()}
+    want = {}
+    for i in vec:
+        for j in vec:
+            if i < j and (s := sum(c * vec[j][t] for t, c in vec[i].items()) / (norm[i] * norm[j])) >= 0.85:
+                want[i, j] = round(s, 6)
+    assert (100, 105) in want and len(want) > 30
+    sizes = memory.GROUP_ROWS, memory.TILE_ROWS, memory.TILE_TERMS
+    for memory.GROUP_ROWS, memory.TILE_ROWS, memory.TILE_TERMS in (sizes, (16, 3, 50)):
+        got = registry.QUERIES["near_duplicates_documents"](spark, str(tmp_path)).collect()
+        assert len(got) == len(want) and {(r.i, r.j): r.similarity for r in got} == want
+    memory.GROUP_ROWS, memory.TILE_ROWS, memory.TILE_TERMS = sizes
