@@ -329,7 +329,7 @@ def graph_cycles(t):
     ev = t("events")
     from pyspark.sql import Window
 
-    e = ev.select(F.concat_ws(":", (F.col("user_id") % 5).cast("string"), "event_type").alias("src"), F.concat_ws(":", (F.col("user_id") % 5).cast("string"), F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).alias("dst"), F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("nx"))
+    e = ev.select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("src"), F.concat_ws(":", F.col("user_id").cast("string"), F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).alias("dst"), F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("nx"))
     return graph.in_cycle(e.where("nx is not null").select("src", "dst"))
 
 

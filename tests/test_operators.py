@@ -221,3 +221,24 @@ def test_near_duplicates_of_all_documents(spark, tmp_path):
         got = registry.QUERIES["near_duplicates_documents"](spark, str(tmp_path)).collect()
         assert len(got) == len(want) and {(r.i, r.j): r.similarity for r in got} == want
     memory.GROUP_ROWS, memory.TILE_ROWS, memory.TILE_TERMS = sizes
+
+
+def test_graph_cycles_keep_users_apart(spark, tmp_path):
+    """Users 1 and 6, and 2 and 12, make cycles only when they are folded into one."""
+    import datetime
+
+    from quillstone.plans import registry
+
+    walks = {1: "view click", 6: "click view", 2: "signup view error", 12: "error signup", 3: "view click view purchase", 8: "click click", 13: "view"}
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(100 * u + k, start + datetime.timedelta(seconds=k), u, x) for u, w in walks.items() for k, x in enumerate(w.split())]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    want = set()
+    for u, w in walks.items():
+        w = w.split()
+        reach = {(a, b) for a, b in zip(w, w[1:])}
+        for _ in w:
+            reach |= {(a, d) for a, b in reach for c, d in reach if b == c}
+        want |= {f"{u}:{a}" for a, b in reach if a == b}
+    assert want == {"3:view", "3:click", "8:click"}
+    assert {r.node for r in registry.QUERIES["graph_cycles"](spark, str(tmp_path)).collect()} == want
