@@ -320,7 +320,7 @@ def graph_focus(t):
 w AS (SELECT 's1' AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM w JOIN e ON e.src = w.node WHERE w.depth < 3) SELECT node, min(depth) AS depth FROM w GROUP BY node""")
 def graph_bfs(t):
     li = t("lineitem")
-    e = li.where("l_suppkey <= 20").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("o"), "l_orderkey").alias("dst")).union(li.select(F.concat(F.lit("o"), "l_orderkey"), F.concat(F.lit("p"), "l_partkey")))
+    e = li.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("o"), "l_orderkey").alias("dst")).union(li.select(F.concat(F.lit("o"), "l_orderkey"), F.concat(F.lit("p"), "l_partkey")))
     return graph.reach(e, li.sparkSession.createDataFrame([("s1",)], "node string"), 3)
 
 

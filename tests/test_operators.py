@@ -242,3 +242,15 @@ def test_graph_cycles_keep_users_apart(spark, tmp_path):
         want |= {f"{u}:{a}" for a, b in reach if a == b}
     assert want == {"3:view", "3:click", "8:click"}
     assert {r.node for r in registry.QUERIES["graph_cycles"](spark, str(tmp_path)).collect()} == want
+
+
+def test_graph_bfs_walks_every_supplier(spark, tmp_path, monkeypatch):
+    from quillstone.plans import registry
+
+    rows = [(1, 10, 7), (1, 11, 8), (2, 10, 9), (21, 12, 7), (30, 10, 6)]
+    spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    seen, reach = [], graph.reach
+    monkeypatch.setattr(graph, "reach", lambda edges, *a: seen.append(edges) or reach(edges, *a))
+    got = {r.node: r.depth for r in registry.QUERIES["graph_bfs"](spark, str(tmp_path)).collect()}
+    assert got == {"s1": 0, "o10": 1, "o11": 1, "p7": 2, "p8": 2, "p9": 2, "p6": 2}
+    assert {("s21", "o12"), ("s30", "o10"), ("s1", "o10")} <= {(r.src, r.dst) for r in seen[0].collect()}
