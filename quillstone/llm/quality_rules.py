@@ -3,8 +3,7 @@
 A two-state linear-chain conditional random field (content / boilerplate) reads one bit mask of line
 features per line; Viterbi decoding labels the lines, and the share of words in content lines decides
 whether a document stays. The field is trained on ``labels``: the lines of at most ``TRAIN_DOCS``
-labelled documents (the smallest hashes of doc_id; at most ``TRAIN_LINES`` lines of each) carry their
-document's label. Without usable labels the documented ``DEFAULT`` weights hold.
+labelled documents (the smallest hashes of doc_id; all lines of each) carry their document's label. Without usable labels the documented ``DEFAULT`` weights hold.
 
 Null and empty texts have no words and fail the base rule. Repeated rows give repeated rows; an empty
 table gives an empty result; only doc_id and text are read, so further columns never clash.
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import SPACES, id_text, sample_by_hash, small_batches
 
-TRAIN_DOCS, TRAIN_LINES, EPOCHS = 3000, 64, 60
+TRAIN_DOCS, EPOCHS = 3000, 60
 #: Least share of words in content lines, and the window of the repetition rule.
 MIN_SHARE, WINDOW = 0.5, 8
 SYMBOLS = b"#*$%&|<>"
@@ -114,40 +113,55 @@ def viterbi(masks: list[int], emit: list[float], trans: list[list[float]]) -> li
     return out[::-1]
 
 
+def padded(masks: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines there are, and their features (bias first)."""
+    L = max(map(len, masks))
+    on, bits = np.zeros((len(masks), L)), np.zeros((len(masks), L), int)
+    for i, m in enumerate(masks):
+        on[i, : len(m)], bits[i, : len(m)] = 1, m
+    return on, np.concatenate([np.ones((len(masks), L, 1)), (bits[:, :, None] >> np.arange(N)) & 1], 2) * on[:, :, None]
+
+
+def gradient(on: np.ndarray, X: np.ndarray, y: np.ndarray, share: np.ndarray, w: np.ndarray, A: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the conditional log likelihood, by emission weights and transitions."""
+    pair = on[:, 1:] * on[:, :-1]
+    e = np.stack([np.zeros_like(on), X @ w], 2)
+    L = on.shape[1]
+    alpha, beta = np.zeros((len(on), L, 2)), np.zeros((len(on), L, 2))
+    alpha[:, 0] = e[:, 0]
+    for t in range(1, L):
+        s = np.logaddexp.reduce(alpha[:, t - 1, :, None] + A, 1) + e[:, t]
+        alpha[:, t] = np.where(on[:, t, None] > 0, s, alpha[:, t - 1])
+    for t in range(L - 2, -1, -1):
+        s = np.logaddexp.reduce(A[None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
+        beta[:, t] = np.where(on[:, t + 1, None] > 0, s, 0)
+    z = np.logaddexp.reduce(alpha[:, -1], 1)
+    p1 = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z[:, None]) * on
+    gw = np.einsum("ij,ijk,i->k", (y[:, None] * on - p1), X, share)
+    pp = np.exp(alpha[:, :-1, :, None] + A + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * pair[:, :, None, None]
+    gA = -np.einsum("ijab,i->ab", pp, share)
+    for v in (0, 1):
+        gA[v, v] += ((y == v) * pair.sum(1) * share).sum()
+    return gw, gA
+
+
 def fit_crf(rows: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray]:
     """Emission weights (bias first) and transitions by gradient ascent on the conditional likelihood."""
     rows = [(m, y) for m, y in rows if m]
     if len({y for _, y in rows}) < 2:
         return DEFAULT
-    L = max(len(m) for m, _ in rows)
-    masks, lens, y = np.zeros((len(rows), L), int), np.array([len(m) for m, _ in rows]), np.array([y for _, y in rows])
-    for i, (m, _) in enumerate(rows):
-        masks[i, : len(m)] = m
-    on = (np.arange(L) < lens[:, None]).astype(float)
-    X = np.concatenate([np.ones((len(rows), L, 1)), (masks[:, :, None] >> np.arange(N)) & 1], 2) * on[:, :, None]
-    pair = on[:, 1:] * on[:, :-1]
+    lens, y = np.array([len(m) for m, _ in rows]), np.array([y for _, y in rows])
     # both classes weigh the same, and long documents no more than short ones
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) / np.sqrt(lens)
     share /= share.sum()
+    # rows of like length are padded together, so that one long text does not lengthen all
+    sizes = np.maximum(6, np.ceil(np.log2(lens)).astype(int))
+    parts = [(*padded([rows[i][0] for i in k]), y[k], share[k]) for k in (np.flatnonzero(sizes == z) for z in np.unique(sizes))]
     w, A = np.zeros(N + 1), np.zeros((2, 2))
     mw, mA, vw, vA = np.zeros_like(w), np.zeros_like(A), np.zeros_like(w), np.zeros_like(A)
     for step in range(1, EPOCHS + 1):
-        e = np.stack([np.zeros_like(on), X @ w], 2)
-        alpha, beta = np.zeros((len(rows), L, 2)), np.zeros((len(rows), L, 2))
-        alpha[:, 0] = e[:, 0]
-        for t in range(1, L):
-            s = np.logaddexp.reduce(alpha[:, t - 1, :, None] + A, 1) + e[:, t]
-            alpha[:, t] = np.where(on[:, t, None] > 0, s, alpha[:, t - 1])
-        for t in range(L - 2, -1, -1):
-            s = np.logaddexp.reduce(A[None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-            beta[:, t] = np.where(on[:, t + 1, None] > 0, s, 0)
-        z = np.logaddexp.reduce(alpha[:, -1], 1)
-        p1 = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z[:, None]) * on
-        gw = np.einsum("ij,ijk,i->k", (y[:, None] * on - p1), X, share) - 1e-4 * w
-        pp = np.exp(alpha[:, :-1, :, None] + A + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * pair[:, :, None, None]
-        gA = -np.einsum("ijab,i->ab", pp, share) - 1e-4 * A
-        for v in (0, 1):
-            gA[v, v] += ((y == v) * pair.sum(1) * share).sum()
+        grads = [gradient(*part, w, A) for part in parts]
+        gw, gA = sum(g for g, _ in grads) - 1e-4 * w, sum(g for _, g in grads) - 1e-4 * A
         for p, g, m, v in ((w, gw, mw, vw), (A, gA, mA, vA)):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -162,7 +176,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[list[int], i
 
     def masks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            out = [line_masks(t.encode())[0][:TRAIN_LINES] for t in b.column("text").to_pylist()]
+            out = [line_masks(t.encode())[0] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "y", "masks"])
 
     rows = id_text(docs).join(picked, "doc_id").mapInArrow(masks, "doc_id long, y int, masks array<int>").collect()

@@ -311,3 +311,16 @@ def test_leak_with_every_fifth_word_replaced():
         item = [f"p{i}" for i in range(n)]
         doc = ["new" if i % 5 == 4 else w for i, w in enumerate(item)]
         assert [r[0] for r in decontamination.Index([(7, " ".join(item))]).search(" ".join(doc))] == [7]
+
+
+def test_quality_rules_train_on_all_lines(spark):
+    rows = [(i, "\n".join(" ".join(prose(100 * i + j, 6)) for j in range(20 + 10 * i))) for i in range(12)]
+    got = quality_rules.training_rows(docs(spark, rows), labels(spark, [(i, i % 2) for i in range(12)]))
+    assert [(len(m), y) for m, y in got] == [(20 + 10 * i, i % 2) for i in range(12)]
+
+
+def test_field_learns_from_lines_far_down():
+    """The last lines alone tell the classes apart."""
+    rows = [([0] * n + [k] * n, y) for n in (40, 90, 200) for k, y in ((1, 0), (2, 1)) for _ in range(3)]
+    w, A = quality_rules.fit_crf(rows)
+    assert w[2] > 0.1 > -0.1 > w[1] and np.isfinite(A).all()
