@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import LOWER, id_text, sample_by_hash
 
-TRAIN_DOCS, TRAIN_WORDS, DIM, RANK, EPOCHS, BATCH, RATE = 4000, 2000, 1 << 15, 8, 5, 64, 0.08
+TRAIN_DOCS, DIM, RANK, EPOCHS, BATCH, RATE = 4000, 1 << 15, 8, 5, 64, 0.08
 BINS = 8
 STATS = 10
 SIZE = DIM + STATS * BINS
@@ -97,7 +97,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[float, np.ndarr
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
-    """Fit on the bounded sample; training documents of more than TRAIN_WORDS distinct hashed words are passed over."""
+    """Fit on the bounded sample; a document has at most DIM hashed words."""
     marked = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("y"))
     picked = F.broadcast(sample_by_hash(marked.where(~held_out()), "doc_id", TRAIN_DOCS))
 
@@ -106,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[float, np.ndarray, np.nda
             f = [features(t)[0].astype(np.int32).tolist() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(f, pa.list_(pa.int32()))], ["doc_id", "y", "idx"])
 
-    got = id_text(docs).join(picked, "doc_id").mapInArrow(run, "doc_id long, y int, idx array<int>").where(F.size("idx") <= TRAIN_WORDS).toArrow()
+    got = id_text(docs).join(picked, "doc_id").mapInArrow(run, "doc_id long, y int, idx array<int>").toArrow()
     rows = []
     for doc, y, idx in zip(*(got.column(c).to_numpy() for c in ("doc_id", "y", "idx")), strict=True):
         val = np.full(len(idx), 1 / np.sqrt(max(1, len(idx) - STATS)), np.float32)

@@ -324,3 +324,12 @@ def test_field_learns_from_lines_far_down():
     rows = [([0] * n + [k] * n, y) for n in (40, 90, 200) for k, y in ((1, 0), (2, 1)) for _ in range(3)]
     w, A = quality_rules.fit_crf(rows)
     assert w[2] > 0.1 > -0.1 > w[1] and np.isfinite(A).all()
+
+
+def test_classifier_trains_on_very_long_documents(spark, monkeypatch):
+    rows = [(i, LONG if i == 0 else text(i, 50)) for i in range(12)]
+    seen = []
+    monkeypatch.setattr(classifier, "fit", lambda got: seen.extend(got) or (0.0, None, None))
+    classifier.train(docs(spark, rows), labels(spark, [(i, i % 2) for i in range(12)]))
+    assert len(seen) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(12))
+    assert zlib.crc32(b"0") % 3 != 1 and max(len(idx) for idx, _, _ in seen) > 3000
