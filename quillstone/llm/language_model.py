@@ -1,33 +1,40 @@
-"""Language-model scoring with a hierarchical Pitman-Yor model.
-
-Restaurants: one for each preceding word (its 64-bit hash), all sharing the unigram restaurant as parent,
-whose own parent is uniform over the known words and one unknown. Table
-counts are drawn by blocked Gibbs sweeps: in each, the customers of a (context, word) pair are seated
-anew by the Chinese-restaurant rule given the parent's predictive probability and the totals of the last
-sweep; the tables opened are the parent's customers. The predictive probabilities of the sweeps after
-the first are averaged. Discounts come from counts of counts.
-
-Distribution: texts are read once, in blocks of about ``BLOCK_BYTES``; a block writes its documents as
-indices into its own sorted list of (word, context) keys, and those keys with their training counts, dealt
-out by word. All keys of a word meet in one range, where its seating is local. The totals of a context are
-added up in the range that is its home: each range sends the totals of its contexts there and gets those of
-the whole corpus back, once for the counts and once per sweep, so only scalars reach the driver. Each range
-answers each block with one probability per key. A key occurs once per block, and a context once per range,
-so a frequent word is combined before the shuffle.
-
-Seating of more than ``EXACT`` customers of one dish proceeds in steps with the probability held over a
-step (an eighth of the customers seated), with binomial draws; fewer are seated one by one.
-
-A null text is the empty text and holds the end token only. Rows of a null doc_id are training rows.
-Repeated rows count repeatedly. Without training tokens every probability is that of the uniform base. An
-empty table gives an empty result; only doc_id and text are read.
+"""Language-model scoring with a hierarchical Pitman-Yor model, seated by Gibbs sampling.
+
+Restaurants: one for each preceding word (the word itself), all sharing the unigram restaurant as parent, whose own
+parent is uniform over the known words and one unknown. A sweep
+
+1. draws the parent's distribution G0 given its seating: Dirichlet weights (customers - discount * tables) of the
+   words and (strength + discount * all tables) of what it has not served;
+2. draws for each context u an auxiliary Gamma(theta / d + T_u), given which its dishes are independent, each with
+   density S_d(c, t) * s^t of its tables, s = d * auxiliary * G0(word);
+3. seats all customers of every dish anew by the Chinese-restaurant rule (a new table with probability
+   s / (s + j - d * t) after j customers at t tables) and accepts the seating by the Metropolis-Hastings rule, whose
+   ratio is that of the products of these denominators: the exact conditional is left invariant;
+4. seats the parent likewise: its customers are the tables of the contexts.
+
+All customers of a dish are seated at once, for any number of them: the openings are the fixed point of
+t = 1 + (openings so far), which the causal order makes unique. The predictive probabilities of the last ``KEPT`` of
+``SWEEPS`` sweeps are averaged. Discounts come from counts of counts, strengths are ``THETA``.
+
+Every random number is a hash of (word, context, sweep, customer), words are numbered by fixed slots of their hash, and
+corpus-wide sums are of integers: scores do not depend on the number of partitions.
+
+Distribution: texts are read once, in blocks of about ``BLOCK_BYTES`` written as numbers of words. A block asks the homes
+of its words (dealt by hash) for their corpus-wide numbers, small for frequent words, and then sends its distinct (context,
+word) keys to ranges dealt by context; a context of more than ``SPLIT`` customers is dealt further by word, which the
+auxiliary variable allows. Per sweep, ranges and homes exchange tables and probabilities of distinct words;
+only scalars reach the driver. At the end each range answers each block. Blocks, homes and ranges combine what
+is frequent before a shuffle, and the number of ranges follows the number of tokens.
+
+A null text is the empty text and holds the end token only. Rows of a null doc_id are training rows. Repeated rows count
+repeatedly. Without training tokens every probability is that of the uniform base. An empty table gives an empty result;
+only doc_id and text are read.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,42 +42,241 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import BATCH_BYTES, LOWER, id_text, materialize
+from quillstone.llm.common import BATCH_BYTES, LOWER, discard, id_text, materialize
 
-SWEEPS, KEPT, EXACT = 3, 2, 256
-CONTEXTS = 64  # the tests size arrays by it; contexts of the model are not bounded
+SWEEPS, KEPT = 5, 3
 BLOCK_BYTES = 8 << 20
+#: Fixed numbers of slots of word hashes; customers of one part of a context; tokens of one range; customers seated together.
+SLOTS, SPLIT, RANGE_TOKENS, CHUNK = 4096, 1 << 22, 1 << 22, 1 << 19
 THETA = 1.0
 END = b" "
 U64 = np.uint64
 DTYPES = ("u1", "u4", "i4", "i8", "u8", "f4")
+ROW = "kind int, dest long, origin long, blob binary, sums array<long>"
+#: Fixed-point scale of the sums of Dirichlet weights.
+FIXED = 1 << 16
+
+
+# ---- arrays as values
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays as one value: count, lengths and kinds, hashes (unsigned of 64 bits) as they are, then the others compressed."""
+    """Arrays as one value: count, lengths and kinds, then the bytes, plane by plane and compressed."""
     head = np.array([x for a in arrays for x in (len(a), DTYPES.index(a.dtype.str[1:]))], "<i8").tobytes()
     press = zlib.compressobj(1)
-    small = [press.compress(np.ascontiguousarray(a)) for a in arrays if a.dtype != U64]
-    return b"".join([len(arrays).to_bytes(4, "little"), head, *(a.tobytes() for a in arrays if a.dtype == U64), *small, press.flush()])
+    body = [press.compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T)) for a in arrays if len(a)]
+    return b"".join([len(arrays).to_bytes(4, "little"), head, *body, press.flush()])
 
 
 def unpacked(blob: bytes) -> list[np.ndarray]:
     n = int.from_bytes(blob[:4], "little")
-    head, at = np.frombuffer(blob, "<i8", 2 * n, 4).reshape(n, 2).tolist(), 4 + 16 * n
-    out: list = []
-    for size, num in head:
-        hashes = DTYPES[num] == "u8"
-        out.append(np.frombuffer(blob, U64, size, at) if hashes else None)
-        at += 8 * size * hashes
-    raw, at = zlib.decompress(memoryview(blob)[at:]), 0
-    for i, (size, num) in enumerate(head):
-        if out[i] is None:
-            kind = np.dtype(DTYPES[num])
-            out[i] = np.frombuffer(raw, kind, size, at)
-            at += size * kind.itemsize
+    raw, at, out = zlib.decompress(memoryview(blob)[4 + 16 * n :]), 0, []
+    for size, num in np.frombuffer(blob, "<i8", 2 * n, 4).reshape(n, 2).tolist():
+        kind = np.dtype(DTYPES[num])
+        planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += size * kind.itemsize
     return out
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers as 32 bits where they fit."""
+    return x.astype(np.uint32 if not len(x) or int(x.max()) < 1 << 32 else np.uint64)
+
+
+def steps(x: np.ndarray) -> np.ndarray:
+    """Differences of a rising list."""
+    return narrow(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def rising(d: np.ndarray) -> np.ndarray:
+    return np.cumsum(d, dtype=np.int64)
+
+
+def starts(*cols: np.ndarray) -> np.ndarray:
+    """Where a new combination of the sorted columns begins."""
+    new = np.ones(len(cols[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+    return np.flatnonzero(new)
+
+
+def lengths(at: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(at, n))
+
+
+# ---- random numbers as hashes
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    x = x.astype(U64)
+    x ^= x >> U64(30)
+    x *= U64(0xBF58476D1CE4E5B9)
+    x ^= x >> U64(27)
+    x *= U64(0x94D049BB133111EB)
+    x ^= x >> U64(31)
+    return x
+
+
+def keyed(*parts: np.ndarray | int) -> np.ndarray:
+    """One 64-bit key of several numbers."""
+    h = np.array([0x9E3779B97F4A7C15], U64)
+    for p in parts:
+        h = mix((h ^ np.asarray(p).astype(U64)) + U64(0x9E3779B97F4A7C15))
+    return h
+
+
+def uniform(key: np.ndarray) -> np.ndarray:
+    """In (0, 1)."""
+    return ((mix(key) >> U64(12)).astype(float) + 0.5) * 2.0**-52
+
+
+def gamma(key: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    """Gamma draws (Marsaglia and Tsang's squeeze), one for each key."""
+    small = shape < 1
+    d = np.where(small, shape + 1, shape) - 1 / 3
+    out, todo, i = np.empty(len(d)), np.arange(len(d)), 0
+    while len(todo):
+        k = keyed(key[todo], i)
+        x = np.sqrt(-2 * np.log(uniform(k))) * np.cos(2 * np.pi * uniform(k + U64(1)))
+        v = (1 + x / np.sqrt(9 * d[todo])) ** 3
+        ok = v > 0
+        ok[ok] = np.log(uniform(k + U64(2))[ok]) < (0.5 * x * x + d[todo] * (1 - v))[ok] + d[todo][ok] * np.log(v[ok])
+        out[todo[ok]] = (d[todo] * v)[ok]
+        todo, i = todo[~ok], i + 1
+    if small.any():
+        out[small] *= uniform(keyed(key[small], 1 << 20)) ** (1 / shape[small])
+    return np.maximum(out, 1e-300)
+
+
+# ---- seating
+
+
+def openings(key: np.ndarray, at: np.ndarray, n: np.ndarray, s: np.ndarray, d: float, t: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For n customers of each dish, of which ``at`` are seated at t tables: customers and tables before each, and whether
+    it opens one. Dish after dish."""
+    first = np.cumsum(n) - n
+    j = np.arange(n.sum()) - np.repeat(first - at, n)
+    u, t = uniform(np.repeat(key, n) + j.astype(U64) * U64(0x9E3779B97F4A7C15)), np.repeat(t, n)
+    bound = np.repeat(s, n) * (1 / u - 1) - j  # a customer opens a table where this exceeds -d * tables
+    before = t
+    while True:
+        opens = bound > -d * before
+        total = np.cumsum(opens)
+        now = t + total - opens - np.repeat(total[first] - opens[first], n)
+        if np.array_equal(now, before):
+            return j, before, opens
+        before = now
+
+
+def pieces(c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Dishes, customers seated before and customers to seat, in groups of at most CHUNK customers; a larger dish comes in
+    several groups, one after another."""
+    ends = np.cumsum(c - 1)
+    a = 0
+    while a < len(c):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CHUNK, "right")))
+        if b == a + 1:
+            for k in range(1, int(c[a]), CHUNK):
+                yield np.array([a]), np.array([k]), np.array([min(CHUNK, int(c[a]) - k)])
+        else:
+            yield np.arange(a, b), np.ones(b - a, np.int64), c[a:b] - 1
+        a = b
+
+
+def seat(key: np.ndarray, c: np.ndarray, s: np.ndarray, d: float, weigh: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of the seating that ``key`` draws at strength ``s`` (0: all at one table), and the log of the product of its
+    denominators at strength ``weigh`` (default: s). Each dish has two customers at least."""
+    weigh = s if weigh is None else weigh
+    t, out = np.ones(len(c), np.int64), np.zeros(len(c))
+    for k, at, n in pieces(c):
+        j, before, opens = openings(key[k], at, n, s[k], d, t[k])
+        first = np.cumsum(n) - n
+        out[k] += np.add.reduceat(np.log(np.repeat(weigh[k], n) + j - d * before), first)
+        t[k] = (before + opens)[first + n - 1]
+    return t, out
+
+
+class Dishes:
+    """Seating of dishes with customers c: tables t, and for those with three customers or more the sweep and strength that
+    drew them (two customers need no acceptance step)."""
+
+    def __init__(self, name: np.ndarray, c: np.ndarray, sweep: np.ndarray | None = None, drawn: np.ndarray | None = None, t: np.ndarray | None = None):
+        self.name, self.c = name, c
+        self.many = np.flatnonzero(c > 2)
+        self.sweep = np.zeros(len(self.many), np.uint8) if sweep is None else sweep.copy()
+        self.drawn = np.zeros(len(self.many), np.float32) if drawn is None else drawn.copy()
+        self.t = np.minimum(c, 1) if t is None else t.astype(np.int64)
+
+    def move(self, sweep: int, s: np.ndarray, d: float) -> None:
+        s = np.maximum(s.astype(np.float32), np.float32(1e-30))
+        two = np.flatnonzero(self.c == 2)
+        self.t[two], _ = seat(keyed(self.name[two], sweep), self.c[two], s[two].astype(float), d)
+        m = self.many
+        if not len(m):
+            return
+        c, now = self.c[m], s[m].astype(float)
+        t, new = seat(keyed(self.name[m], sweep), c, now, d)
+        was, old = seat(keyed(self.name[m], self.sweep), c, self.drawn.astype(float), d, now)
+        ok = np.log(uniform(keyed(self.name[m], sweep, 1))) < new - old
+        self.t[m] = np.where(ok, t, was)
+        self.sweep[ok], self.drawn[ok] = sweep, s[m[ok]]
+
+
+# ---- rows between steps
+
+
+def grouped(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(kind, origin, blob) of one destination after another from a sorted partition; the caller may empty the list."""
+    last, rows = None, []
+    for b in it:
+        for dest, *x in zip(*(b.column(c).to_pylist() for c in ("dest", "kind", "origin", "blob")), strict=True):
+            if rows and dest != last:
+                yield last, rows
+                rows = []
+            last = dest
+            rows.append(tuple(x))
+    if rows:
+        yield last, rows
+
+
+def batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows (kind, dest, origin, blob, sums) in batches of bounded size."""
+    types = dict(kind=pa.int32(), dest=pa.int64(), origin=pa.int64(), blob=pa.binary(), sums=pa.list_(pa.int64()))
+    out, size = [], 0
+    for row in rows:
+        out.append(row)
+        size += len(row[3])
+        if len(out) == 64 or size > BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types.values(), strict=True)], [*types])
+            out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types.values(), strict=True)], [*types])
+
+
+def step(rows: DataFrame, parts: int, work: Callable[[int, list[tuple]], Iterator[tuple]], label: str) -> tuple[DataFrame, list[int]]:
+    """Deal rows by destination, work on each destination, write what comes out; the sums of its scalars."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batches(x for dest, got in grouped(it) for x in work(dest, got))
+
+    dealt = rows.repartition(parts, "dest").sortWithinPartitions("dest", "kind", "origin")
+    out = materialize(dealt.mapInArrow(run, ROW), label)
+    some = out.where("sums is not null").agg(*(F.sum(F.get("sums", F.lit(i))) for i in range(6))).first()
+    return out, [x or 0 for x in some]
+
+
+def pick(df: DataFrame, kind: int) -> DataFrame:
+    return df.where(F.col("kind") == kind)
+
+
+#: Kinds of rows. Those of one destination arrive in this order.
+STATE, VOCAB, TABLES, KEYS, REPLY, NUMBERS, ASKED, VALUES, SHARES, SUMS = range(10)
+
+
+# ---- blocks of documents
+
+
 class Block:
     """Documents of one block, until it is written."""
 
@@ -88,377 +294,383 @@ class Block:
         self.ids.append(np.array([vocab.setdefault(w, len(vocab)) for w in words], np.int32))
         self.size += len(text)
 
-    def rows(self, block: int, ranges: int) -> Iterator[tuple[int, int, bytes]]:
+    def rows(self, block: int, homes: int) -> Iterator[tuple]:
+        """The documents as places in the block's list of words (by hash), and that list with training counts by home."""
         hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.vocab), U64, len(self.vocab))
-        lens = np.array([len(x) for x in self.ids])
-        word = np.concatenate(self.ids)
-        prev = np.concatenate([[0], word[:-1]])
-        prev[np.cumsum(lens)[:-1]] = 0  # a text begins as after an end
-        held = np.repeat([h for _, h in self.docs], lens)
-        # numbered in order of range and hash as words, of hash as contexts: keys come out sorted
-        v, r = len(hashes), (hashes % U64(ranges)).astype(np.int64)
-        by_range, by_hash = np.lexsort((hashes, r)), np.argsort(hashes)
-        as_word, as_ctx = np.empty(v, np.int64), np.empty(v, np.int64)
-        as_word[by_range] = as_ctx[by_hash] = np.arange(v)
-        keys, where = np.unique(as_word[word] * v + as_ctx[prev], return_inverse=True)
-        counts = np.bincount(where[~held], minlength=len(keys)).astype(np.uint32)
-        h, c, r = hashes[by_range][keys // v], hashes[by_hash][keys % v], r[by_range][keys // v]
+        order = np.argsort(hashes)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        word, lens = place[np.concatenate(self.ids)], np.array([len(x) for x in self.ids], np.int32)
+        held = np.array([h for _, h in self.docs])
         ids = np.array([-1 if d is None else d for d, _ in self.docs], np.int64)
-        flags = np.array([2 * (d is None) + h_ for d, h_ in self.docs], np.uint8)
-        yield block, -1, packed(ids, flags, lens.astype(np.int32), where.astype(np.int32))
-        cut = np.searchsorted(r, np.arange(ranges + 1))
-        for k in range(ranges):
+        flags = np.array([2 * (d is None) + h for d, h in self.docs], np.uint8)
+        yield STATE, block, -1, packed(ids, flags, lens, place[:1], word), None
+        count, h = np.bincount(word[np.repeat(~held, lens)], minlength=len(order)), hashes[order]
+        cut = np.searchsorted(home(h >> U64(52), homes), np.arange(homes + 1))
+        for k in np.flatnonzero(np.diff(cut)).tolist():
             a, b = cut[k], cut[k + 1]
-            if a < b:
-                new = np.concatenate([[True], h[a + 1 : b] != h[a : b - 1]])
-                first = np.flatnonzero(new)
-                yield block, k, packed(np.diff(h[a:b][first], prepend=U64(0)), np.diff(np.append(first, b - a)).astype(np.uint32), c[a:b], counts[a:b])
+            yield VOCAB, k, block, packed(np.diff(h[a:b], prepend=U64(0)), narrow(count[a:b])), None
 
 
-def asked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hash, context and training count of a block's keys in one range."""
-    d, n, c, counts = unpacked(blob)
-    return np.repeat(np.cumsum(d, dtype=U64), n), c, counts
+def home(slot: np.ndarray, homes: int) -> np.ndarray:
+    return (slot.astype(np.int64) * homes) // SLOTS
 
 
-def blocks(docs: DataFrame, ranges: int, held) -> DataFrame:
-    """(block, r, blob): r = -1 holds the documents, r >= 0 the keys of range r."""
+def blocks(docs: DataFrame, homes: int, held) -> DataFrame:
     rows = id_text(docs).withColumn("held", held)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, n, open_ = TaskContext.get().partitionId(), 0, Block()
-
-        def write(b: Block) -> Iterator[pa.RecordBatch]:
-            out = []
-            for row in b.rows((part << 24) + n, ranges):
-                out.append(row)
-                if len(out) == 64 or row[1] < 0:
-                    yield batch(out)
-                    out = []
-            if out:
-                yield batch(out)
-
-        def batch(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["block", "r", "blob"])
-
-        for b in it:
-            for doc, text, out in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "held")), strict=True):
-                open_.add(doc, out, text)
-                if open_.size >= BLOCK_BYTES:
-                    yield from write(open_)
-                    n, open_ = n + 1, Block()
-        if open_.docs:
-            yield from write(open_)
-
-    return rows.mapInArrow(run, "block long, r int, blob binary")
-
-
-@dataclass
-class Totals:
-    """What a range knows of one sweep: its own contexts and corpus-wide scalars."""
-
-    customers: np.ndarray  # by context
-    tables: np.ndarray  # by context
-    top_tables: int
-    all_tables: int | None = None  # over all contexts of the corpus; those given by default
-
-    def __post_init__(self):
-        if self.all_tables is None:
-            self.all_tables = self.tables.sum()
-
-
-@dataclass
-class Shape:
-    """Corpus-wide scalars."""
-
-    tokens: int
-    words: int
-    discount: float
-    top_discount: float
-
-
-def seat(rng: np.random.Generator, c: np.ndarray, strength: np.ndarray, d: float) -> np.ndarray:
-    """Tables opened by c customers of one dish, drawn by the Chinese-restaurant rule; strength is
-    (theta + d * tables of the restaurant) * parent's probability of the dish."""
-    t = np.minimum(c, 1).astype(np.int64)
-    act = np.flatnonzero(c > 1)
-    j = 1
-    while len(act):
-        m = 1 if j < EXACT else j // 8
-        left = np.minimum(m, c[act] - j)
-        p = strength[act] / (strength[act] + np.maximum(j - d * t[act], 1e-9))
-        t[act] += (rng.random(len(act)) < p) if m == 1 else rng.binomial(left, p)
-        j += m
-        act = act[c[act] > j]
-    return t
+        part = TaskContext.get().partitionId()
+
+        def whole() -> Iterator[tuple]:
+            n, open_ = 0, Block()
+            for b in it:
+                for doc, text, out in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "held")), strict=True):
+                    open_.add(doc, out, text)
+                    if open_.size >= BLOCK_BYTES:
+                        yield from open_.rows((part << 24) + n, homes)
+                        n, open_ = n + 1, Block()
+            if open_.docs:
+                yield from open_.rows((part << 24) + n, homes)
+
+        return batches(whole())
+
+    return rows.mapInArrow(run, ROW)
+
+
+def number(dest: int, got: list[tuple]) -> Iterator[tuple]:
+    """A home merges the lists of its words and numbers them: within a slot by falling count, so that frequent words have
+    small numbers. Its state keeps words by slot and rank: sizes of slots and counts."""
+    parts = [(o, *unpacked(b)) for _, o, b in got]
+    got.clear()
+    h = np.concatenate([np.cumsum(p[1], dtype=U64) for p in parts])
+    names, at = np.unique(h, return_inverse=True)
+    count = np.bincount(at, np.concatenate([p[2] for p in parts]), len(names)).astype(np.int64)
+    slot = (names >> U64(52)).astype(np.int64)
+    order = np.lexsort((names, -count, slot))
+    first = starts(slot[order])
+    rank = np.arange(len(order)) - np.repeat(first, lengths(first, len(order)))
+    num = np.empty(len(order), np.int64)
+    num[order] = rank * SLOTS + slot[order]
+    yield STATE, dest, -1, packed(steps(slot[order][first]), narrow(lengths(first, len(order))), narrow(count[order])), None
+    for (o, *_), k in zip(parts, np.split(at, np.cumsum([len(p[1]) for p in parts])[:-1]), strict=True):
+        yield NUMBERS, o, dest, packed(narrow(num[k]), narrow(count[k])), None
+    yield SUMS, -1, dest, b"", [int(count.sum()), int((count > 0).sum())]
+
+
+class Written:
+    """A block's documents with the numbers and counts of its words."""
+
+    def __init__(self, got: list[tuple]):
+        self.ids, self.flags, self.lens, self.end, self.word = unpacked(got[0][2])
+        parts = [unpacked(b) for k, _, b in got if k == NUMBERS]
+        self.num = np.concatenate([p[0].astype(np.int64) for p in parts])
+        self.count = np.concatenate([p[1].astype(np.int64) for p in parts])
+
+    def keys(self, ranges: int, split: int) -> tuple[np.ndarray, ...]:
+        """Distinct (range, context, word) of the tokens whose word and context are known, their training counts, and for
+        each token its key (-1: none)."""
+        word = self.word.astype(np.int64)
+        prev = np.concatenate([self.end.astype(np.int64), word[:-1]])
+        prev[np.cumsum(self.lens)[:-1]] = self.end[0]  # a text begins as after an end
+        held = np.repeat((self.flags & 1) > 0, self.lens)
+        order = np.argsort(self.num)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        known = (self.count[word] > 0) & (self.count[prev] > 0)
+        v = len(order)
+        pair, inv = np.unique(rank[prev[known]] * v + rank[word[known]], return_inverse=True)
+        u, w = order[pair // max(v, 1)], order[pair % max(v, 1)]
+        n = np.bincount(inv[~held[known]], minlength=len(pair))
+        r = range_of(self.num[u], self.num[w], self.count[u], ranges, split)
+        by = np.argsort(r, kind="stable")
+        back = np.empty(len(by), np.int64)
+        back[by] = np.arange(len(by))
+        key = np.full(len(word), -1)
+        key[known] = back[inv]
+        return r[by], self.num[u][by], self.num[w][by], n[by], key, word, prev
+
+
+def range_of(u: np.ndarray, w: np.ndarray, count: np.ndarray, ranges: int, split: int) -> np.ndarray:
+    """Range of a key: by context, and by word too in a context of ``split`` customers or more."""
+    part = keyed(w, 5) % (1 + count // split).astype(U64)
+    return (keyed(u, part, 6) % U64(ranges)).astype(np.int64)
+
+
+def pairs_packed(u: np.ndarray, w: np.ndarray, *more: np.ndarray) -> bytes:
+    """Keys in order of context and word."""
+    at = starts(u)
+    first = np.zeros(len(u), bool)
+    first[at] = True
+    d = np.diff(w, prepend=0)
+    d[first] = w[first]
+    return packed(steps(u[at]), narrow(lengths(at, len(u))), narrow(d), *more)
+
+
+def pairs_unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    du, n, d, *more = unpacked(blob)
+    u, total, at = np.repeat(rising(du), n), np.cumsum(d, dtype=np.int64), np.cumsum(n, dtype=np.int64) - n
+    return u, total - np.repeat(total[at] - d[at].astype(np.int64), n), more
+
+
+# ---- contexts, in ranges
 
 
 class Range:
-    """Training keys of one range, merged over all blocks, and their seating."""
-
-    def __init__(self, r: int, h: np.ndarray, ctx: np.ndarray, counts: np.ndarray):
-        order = np.lexsort((ctx, h))
-        h, ctx, counts = h[order], ctx[order], counts[order].astype(np.int64)
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])
-        at = np.flatnonzero(new)
-        self.r, self.h, self.ctx = r, h[at], ctx[at]
-        self.c = np.add.reduceat(counts, at) if len(at) else counts
-        keep = self.c > 0
-        self.h, self.ctx, self.c = self.h[keep], self.ctx[keep], self.c[keep]
-        new = np.ones(len(self.h), bool)
-        new[1:] = self.h[1:] != self.h[:-1]
-        self.first = np.flatnonzero(new)
-        self.words = self.h[self.first]
-        self.word = np.cumsum(new) - 1
-        self.count = self.by_word(self.c)
-
-    def by_word(self, x: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(x, self.first) if len(self.first) else np.zeros(0, np.int64)
-
-    def sweeps(self, shape: Shape, totals: list[Totals]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Tables by key, customers and tables by word, after each sweep; sweep i uses totals[i]."""
-        t = np.minimum(self.c, 1)
-        cw = self.by_word(t)
-        tw = np.minimum(cw, 1)
-        for i, g in enumerate(totals):
-            rng = np.random.default_rng([self.r, i, 20])
-            parent = self.parent(shape, g, cw, tw)
-            t = seat(rng, self.c, (THETA + shape.discount * g.tables[self.ctx]) * parent[self.word], shape.discount)
-            cw = self.by_word(t)
-            tw = seat(rng, cw, np.full(len(cw), (THETA + shape.top_discount * g.top_tables) / (shape.words + 1)), shape.top_discount)
-            yield t, cw, tw
-
-    @staticmethod
-    def parent(shape: Shape, g: Totals, cw: np.ndarray, tw: np.ndarray) -> np.ndarray:
-        """Predictive probability of words in the unigram restaurant."""
-        uniform = 1 / (shape.words + 1)
-        return (np.maximum(cw - shape.top_discount * tw, 0) + (THETA + shape.top_discount * g.top_tables) * uniform) / (THETA + g.all_tables)
-
+    """Trained keys of one range, by context and word, and their seating."""
 
-class Part:
-    """One range as it is stored: distinct keys of all blocks in order of word and context (trained or not), the
-    hashes of its contexts in order, and the positions of each block's keys."""
-
-    def __init__(self, r: int, blob: bytes):
-        d, n, self.ctx, self.c, names, self.blocks, *self.at = unpacked(blob)
-        self.r, self.h, self.names = r, np.repeat(np.cumsum(d, dtype=U64), n), np.cumsum(names, dtype=U64)
-        self.x = Range(r, self.h, self.ctx, self.c)
+    def __init__(self, u: np.ndarray, w: np.ndarray, dishes: Dishes, kept: list[np.ndarray]):
+        self.u, self.w, self.dishes, self.kept = u, w, dishes, kept
+        self.at = starts(u)
+        self.contexts = u[self.at]
+        self.size = lengths(self.at, len(u))
+        self.words, self.word = np.unique(w, return_inverse=True)
 
     @staticmethod
-    def merge(blocks: list[tuple[int, bytes]]) -> bytes:
-        numbers, sizes, parts = np.array([b for b, _ in blocks], np.int64), [], []
-        while blocks:  # each is given up as it is read
-            parts.append(asked(blocks.pop(0)[1]))
-            sizes.append(len(parts[-1][0]))
-        h, ctx, counts = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        parts.clear()
-        order = np.lexsort((ctx, h))
-        h = h[order]
-        ctx = ctx[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])
-        at = np.flatnonzero(new)
-        where = np.empty(len(h), np.int32)
-        where[order] = np.cumsum(new, dtype=np.int32) - 1
-        c = np.add.reduceat(counts[order].astype(np.int64), at)
-        h, (names, ctx) = h[at], np.unique(ctx[at], return_inverse=True)
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        positions = [np.diff(p, prepend=np.int32(0)).astype(np.uint32) for p in np.split(where, np.cumsum(sizes)[:-1])]
-        return packed(np.diff(h[first], prepend=U64(0)), np.diff(np.append(first, len(h))).astype(np.uint32), ctx.astype(np.int32), c, np.diff(names, prepend=U64(0)), numbers, *positions)
-
-    def by_context(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.x.ctx, x, len(self.names)).astype(np.int64)
-
-
-def home(ctx: np.ndarray, ranges: int) -> np.ndarray:
-    """Range that adds up a context; it rises with the hash."""
-    return (((ctx >> U64(32)) * U64(ranges)) >> U64(32)).astype(np.int64)
-
-
-def grouped(it: Iterator[pa.RecordBatch], key: str | tuple[str, ...], *cols: str) -> Iterator[tuple]:
-    """Rows of one key after another from a sorted partition; the caller may empty the list."""
-    last, rows, n = None, [], 1 if isinstance(key, str) else len(key)
-    for b in it:
-        for x in zip(*(b.column(c).to_pylist() for c in ((key,) if n == 1 else key) + cols), strict=True):
-            k = x[0] if n == 1 else x[:n]
-            if rows and k != last:
-                yield last, rows
-                rows = []
-            last = k
-            rows.append(x[n:])
-    if rows:
-        yield last, rows
-
+    def merged(blobs: list[bytes]) -> Range:
+        parts = []
+        while blobs:  # each is given up as it is read
+            u, w, (n, *_) = pairs_unpacked(blobs.pop(0))
+            k = n > 0
+            parts.append((u[k], w[k], n[k].astype(np.int64)))
+        u, w, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((w, u))
+        u, w = u[order], w[order]
+        at = starts(u, w)
+        c = np.add.reduceat(n[order], at) if len(at) else n
+        return Range(u[at], w[at], Dishes(keyed(u[at], w[at]), c), [])
 
-def batches(rows: Iterator[tuple], **types: pa.DataType) -> Iterator[pa.RecordBatch]:
-    out, size = [], 0
-    for row in rows:
-        out.append(row)
-        size += sum(len(x) for x in row if isinstance(x, bytes))
-        if len(out) == 64 or size > BATCH_BYTES:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types.values(), strict=True)], [*types])
-            out, size = [], 0
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types.values(), strict=True)], [*types])
+    @staticmethod
+    def read(blob: bytes) -> Range:
+        u, w, (c, sweep, drawn, *t) = pairs_unpacked(blob)
+        return Range(u, w, Dishes(keyed(u, w), c.astype(np.int64), sweep, drawn, t[-1]), t[:-1])
+
+    def written(self, keep: bool) -> bytes:
+        d = self.dishes
+        return pairs_packed(self.u, self.w, narrow(d.c), d.sweep, d.drawn, *self.kept, *[narrow(d.t)] * (1 + keep))
+
+    def tables(self) -> np.ndarray:
+        """By context."""
+        return np.add.reduceat(self.dishes.t, self.at) if len(self.at) else np.zeros(0, np.int64)
+
+    def messages(self, origin: int, homes: int) -> Iterator[tuple]:
+        """To each home: tables by word and by context."""
+        sent = (self.words, np.bincount(self.word, self.dishes.t, len(self.words)).astype(np.int64)), (self.contexts, self.tables())
+        cols = []
+        for num, x in sent:
+            h = home(num % SLOTS, homes)
+            by = np.argsort(h, kind="stable")
+            cols.append((num[by], x[by], np.searchsorted(h[by], np.arange(homes + 1))))
+        for k in range(homes):
+            (w, tw, cw), (u, tu, cu) = cols
+            a, b, e, f = cw[k], cw[k + 1], cu[k], cu[k + 1]
+            if a < b or e < f:
+                yield TABLES, k, origin, packed(steps(w[a:b]), narrow(tw[a:b]), steps(u[e:f]), narrow(tu[e:f])), None
+
+    def draw(self, sweep: int, shape: Shape, parent: Parent, weight: np.ndarray, tables: np.ndarray) -> None:
+        """One sweep, given the parent's weights by word and the tables by context."""
+        aux = gamma(keyed(self.contexts, sweep, 2), THETA / shape.discount + tables)
+        g0 = (weight.astype(float) + parent.rest / (shape.words + 1)) / (parent.weight + parent.rest)
+        self.dishes.move(sweep, shape.discount * np.repeat(aux, self.size) * g0[self.word], shape.discount)
 
 
-class Exchange:
-    """Keys by range, and the totals that each range has got back so far."""
-
-    def __init__(self, counted: DataFrame, ranges: int):
-        self.counted, self.ranges, self.got, self.sums = counted, ranges, [], []
-
-    def rows(self) -> DataFrame:
-        """The keys come first in each range, then totals by step and home."""
-        out = self.counted.select("r", F.lit(-1).alias("step"), F.lit(-1).alias("home"), "blob")
-        for i, t in enumerate(self.got):
-            out = out.unionByName(t.where("sums is null").select("r", F.lit(i).alias("step"), "home", "blob"))
-        return out.repartition(self.ranges, "r").sortWithinPartitions("r", "step", "home")
-
-    def totals(self) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[Part, list[Totals]]]]:
-        """Reader of ``rows``."""
-        sums = list(self.sums)
-
-        def read(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[Part, list[Totals]]]:
-            for r, rows in grouped(it, "r", "step", "home", "blob"):
-                by_step = [[unpacked(b) for s, _, b in rows if s == i] for i in range(len(sums))]
-                arrays = [[np.concatenate(a).astype(float) for a in zip(*x, strict=True)] for x in by_step]
-                yield Part(r, rows[0][2]), [Totals(arrays[0][0], a[-1], top, tables) for a, (tables, top, *_) in zip(arrays, sums, strict=True)]
-
-        return read
-
-    def run(self, values: Callable[[Part, list[Totals]], tuple[list[np.ndarray], list[int]]]) -> list[int]:
-        """Add up ``values`` (arrays by context and scalars) over all ranges; ranges get the arrays back, the driver the scalars."""
-        n, read = self.ranges, self.totals()
-
-        def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def rows() -> Iterator[tuple]:
-                for part, totals in read(it):
-                    arrays, sums = values(part, totals)
-                    cuts = np.searchsorted(home(part.names, n), np.arange(n + 1)).tolist()
-                    for q, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                        if a < b:
-                            yield q, part.r, packed(np.diff(part.names[a:b], prepend=U64(0)), *(x[a:b] for x in arrays)), None
-                    yield part.r, -1, b"", [int(x) for x in sums]
-
-            return batches(rows(), home=pa.int32(), r=pa.int32(), blob=pa.binary(), sums=pa.list_(pa.int64()))
-
-        def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def rows() -> Iterator[tuple]:
-                for q, got in grouped(it, "home", "r", "blob", "sums"):
-                    yield from ((-1, q, b"", s) for r, _, s in got if r < 0)
-                    froms = [(r, unpacked(b)) for r, b, _ in got if r >= 0]
-                    if not froms:
-                        continue
-                    names, at = np.unique(np.concatenate([np.cumsum(x[0], dtype=U64) for _, x in froms]), return_inverse=True)
-                    whole = [np.bincount(at, np.concatenate(v), len(names)).astype(np.int64) for v in zip(*(x[1:] for _, x in froms), strict=True)]
-                    cuts = np.cumsum([len(x[0]) for _, x in froms])[:-1]
-                    for (r, _), k in zip(froms, np.split(at, cuts), strict=True):
-                        yield r, q, packed(*(v[k] for v in whole)), None
-
-            return batches(rows(), r=pa.int32(), home=pa.int32(), blob=pa.binary(), sums=pa.list_(pa.int64()))
-
-        sent = self.rows().mapInArrow(send, "home int, r int, blob binary, sums array<long>")
-        got = materialize(sent.repartition(n, "home").sortWithinPartitions("home", "r").mapInArrow(add, "r int, home int, blob binary, sums array<long>"), "lm-totals")
-        self.got.append(got)
-        some = got.where("sums is not null").agg(*(F.sum(F.get("sums", F.lit(i))) for i in range(7))).first()
-        return [x or 0 for x in some]
-
-
-def fit(state: Exchange) -> Shape:
-    """Scalars and initial totals from counts, then one set of totals per sweep."""
-
-    def count(part: Part, _: list[Totals]) -> tuple[list[np.ndarray], list[int]]:
-        x = part.x
-        one = np.ones(len(x.c), np.int64)
-        cw = x.by_word(one)
-        return [part.by_context(x.c), part.by_context(one)], [len(x.c), len(x.words), x.c.sum(), (x.c == 1).sum(), (x.c == 2).sum(), (cw == 1).sum(), (cw == 2).sum()]
-
-    s = state.run(count)
-    discount = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
-    shape = Shape(s[2], s[1], discount(s[3], s[4]), discount(s[5], s[6]))
-    state.sums.append(s[:2])
-
-    def sweep(part: Part, totals: list[Totals]) -> tuple[list[np.ndarray], list[int]]:
-        for t, _, tw in part.x.sweeps(shape, totals):
-            pass
-        return [part.by_context(t)], [t.sum(), tw.sum()]
-
-    for _ in range(SWEEPS):
-        state.sums.append(state.run(sweep)[:2])
-    return shape
-
-
-def score_documents(docs: DataFrame, held=None) -> DataFrame:
+class Shape:
+    """Corpus-wide scalars of the counts."""
+
+    def __init__(self, tokens: int, words: int, n1: int, n2: int, top1: int, top2: int):
+        discount = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
+        self.tokens, self.words = tokens, words
+        self.discount, self.top_discount = discount(n1, n2), discount(top1, top2)
+
+
+class Parent:
+    """Corpus-wide scalars of the unigram restaurant after a sweep: customers, tables, the sum of its words' weights, and the
+    weight of what it has not served."""
+
+    def __init__(self, sweep: int, shape: Shape, customers: int, tables: int, weight: int):
+        self.customers, self.tables, self.weight = customers, tables, weight / FIXED
+        strength = np.array([THETA + shape.top_discount * tables])
+        self.rest = float(gamma(keyed(np.array([sweep]), 3), strength)[0])
+
+
+# ---- words, in homes
+
+
+class Home:
+    """Words of one home by slot and rank."""
+
+    def __init__(self, blob: bytes):
+        slots, size, count, *more = unpacked(blob)
+        self.slots, self.size, self.count = rising(slots), size.astype(np.int64), count
+        self.begin = np.zeros(SLOTS, np.int64)
+        self.begin[self.slots] = np.cumsum(self.size) - self.size
+        self.num = (np.arange(len(count)) - np.repeat(self.begin[self.slots], self.size)) * SLOTS + np.repeat(self.slots, self.size)
+        self.root, self.kept = more[:3], more[3:]
+
+    def place(self, num: np.ndarray) -> np.ndarray:
+        return self.begin[num % SLOTS] + num // SLOTS
+
+    def written(self, root: list[np.ndarray], kept: list[np.ndarray]) -> bytes:
+        return packed(steps(self.slots), narrow(self.size), self.count, *root, *kept)
+
+
+def predictive(shape: Shape, parent: Parent, cw: np.ndarray, tw: np.ndarray) -> np.ndarray:
+    """Probability of words in the unigram restaurant."""
+    back = THETA + shape.top_discount * parent.tables
+    return (np.maximum(cw - shape.top_discount * tw, 0) + back / (shape.words + 1)) / (THETA + parent.customers)
+
+
+def seat_parent(sweep: int, shape: Shape | None, parent: Parent | None, keep: bool, split: int) -> Callable[[int, list[tuple]], Iterator[tuple]]:
+    """A home's part of a sweep: gather tables, seat the words (not before the first sweep, when all have one table), draw their
+    Dirichlet weights, reply to the ranges. ``keep`` stores tables by word and context of the last sweep."""
+
+    def work(dest: int, got: list[tuple]) -> Iterator[tuple]:
+        h = Home(got[0][2])
+        cw, tu, sent = np.zeros(len(h.count), np.int64), np.zeros(len(h.count), np.int64), []
+        for kind, o, b in got[1:]:
+            w, t, u, x = unpacked(b)
+            w, u = h.place(rising(w)), h.place(rising(u))
+            cw[w] += t
+            tu[u] += x
+            sent.append((o, w, u))
+        old = Dishes(keyed(h.num, 4), cw)
+        if shape is None:
+            yield SUMS, -1, dest, b"", [int((cw == 1).sum()), int((cw == 2).sum())]
+            return
+        if h.root:  # the customers have changed: a dish goes on from what its last draw gives for them
+            old.sweep, old.drawn = h.root[1][old.many], h.root[2][old.many]
+        if parent is not None:
+            aux = gamma(keyed(np.array([sweep]), 7), np.array([THETA / shape.top_discount + parent.tables]))
+            old.move(sweep, np.repeat(shape.top_discount * aux / (shape.words + 1), len(cw)), shape.top_discount)
+        sweeps, drawn = np.zeros(len(cw), np.uint8), np.zeros(len(cw), np.float32)
+        sweeps[old.many], drawn[old.many] = old.sweep, old.drawn
+        root = [narrow(cw), sweeps, drawn]
+        weight = np.zeros(len(cw), np.float32)
+        some = np.flatnonzero(cw)
+        weight[some] = gamma(keyed(h.num[some], sweep, 8), cw[some] - shape.top_discount * old.t[some])
+        kept = [*h.kept, *([narrow(cw), narrow(old.t), narrow(tu)] if keep else [])]
+        yield STATE, dest, -1, h.written(root, kept), None
+        yield SUMS, -1, dest, b"", [int(cw.sum()), int(old.t.sum()), int(np.rint(weight.astype(float) * FIXED).astype(np.int64).sum())]
+        for o, w, u in sent:
+            hot = h.count[u] >= split
+            yield REPLY, o, dest, packed(steps(h.num[w]), weight[w], steps(h.num[u[hot]]), narrow(tu[u[hot]])), None
+
+    return work
+
+
+def score_documents(docs: DataFrame, held=None, split: int = SPLIT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document. ``held`` marks rows
     that are scored but not learnt from (default: crc32(doc_id as text) mod 7 is 2)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    homes = min(n, SLOTS)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False)) if held is None else held
+    read = materialize(blocks(docs, homes, held), "lm-texts")
+    named, (tokens, words, *_) = step(pick(read, VOCAB), homes, number, "lm-words")
+    ranges = max(n, tokens // RANGE_TOKENS)
 
-    def merge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for (r, block), got in grouped(it, ("r", "doc_block"), "block", "blob"):
-                if r < 0:
-                    yield from ((b, r, blob) for b, blob in got)
-                else:
-                    yield -1, r, Part.merge(got)
-
-        return batches(rows(), block=pa.int64(), r=pa.int32(), blob=pa.binary())
-
-    # texts go with their block, keys with their range
-    dealt = blocks(docs, n, held).withColumn("doc_block", F.when(F.col("r") < 0, F.col("block")).otherwise(-1)).repartition(n, "r", "doc_block").sortWithinPartitions("r", "block")
-    written = materialize(dealt.mapInArrow(merge, "block long, r int, blob binary"), "lm-counts")
-    texts, counted = written.where("r < 0"), written.where("r >= 0").select("r", "blob")
-    state = Exchange(counted, n)
-    shape = fit(state)
-    read = state.totals()
-
-    def answer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for part, totals in read(it):
-                x, h, ctx, own, p = part.x, part.h, part.ctx, np.zeros(len(part.h)), np.zeros(len(part.h))
-                w = np.minimum(np.searchsorted(x.words, h), max(0, len(x.words) - 1))
-                known = x.words[w] == h if len(x.words) else np.zeros(len(h), bool)
-                for i, (t, cw, tw) in enumerate(x.sweeps(shape, totals[:-1])):
-                    if i < SWEEPS - KEPT:
-                        continue
-                    g = totals[i + 1]
-                    parent = np.full(len(h), (THETA + shape.top_discount * g.top_tables) / (shape.words + 1) / (THETA + g.all_tables))
-                    parent[known] = Range.parent(shape, g, cw, tw)[w[known]]
-                    own[part.c > 0] = np.maximum(x.c - shape.discount * t, 0)
-                    p += (own + (THETA + shape.discount * g.tables[ctx]) * parent) / (THETA + g.customers[ctx])
-                logp, count = np.log10(p / KEPT).astype(np.float32), np.zeros(len(h), np.int64)
-                count[known] = x.count[w[known]]
-                for block, d in zip(part.blocks.tolist(), part.at, strict=True):
-                    k = np.cumsum(d, dtype=np.int64)
-                    yield block, part.r, packed(logp[k], count[k])
-
-        return batches(rows(), block=pa.int64(), r=pa.int32(), blob=pa.binary())
-
-    answers = materialize(state.rows().mapInArrow(answer, "block long, r int, blob binary"), "lm-answers")
-    total, words = shape.tokens, shape.words
+    def deal(dest: int, got: list[tuple]) -> Iterator[tuple]:
+        r, u, w, c, *_ = Written(got).keys(ranges, split)
+        cut = np.searchsorted(r, np.arange(ranges + 1))
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            a, e = cut[k], cut[k + 1]
+            yield KEYS, k, dest, pairs_packed(u[a:e], w[a:e], narrow(c[a:e])), None
+
+    texts, numbers = pick(read, STATE), pick(named, NUMBERS)
+    dealt, _ = step(texts.unionAll(numbers), n, deal, "lm-keys")
+
+    def merge(dest: int, got: list[tuple]) -> Iterator[tuple]:
+        r = Range.merged([b for *_, b in got])
+        yield STATE, dest, -1, r.written(False), None
+        yield SUMS, -1, dest, b"", [int((r.dishes.c == 1).sum()), int((r.dishes.c == 2).sum())]
+        yield from r.messages(dest, homes)
+
+    state, (n1, n2, *_) = step(pick(dealt, KEYS), ranges, merge, "lm-counts")
+    served = pick(named, STATE).unionAll(pick(state, TABLES))
+    counted, (top1, top2, *_) = step(served, homes, seat_parent(0, None, None, False, split), "lm-parent")
+    shape = Shape(tokens, words, n1, n2, top1, top2)
+    home_state, sums = step(served, homes, seat_parent(0, shape, None, False, split), "lm-parent")
+    discard(counted)
+    parents: list[Parent] = []
+    for sweep in range(1, SWEEPS + 1):
+        parent = Parent(sweep, shape, *sums[:3])
+        keep = sweep > SWEEPS - KEPT
+
+        def seat_contexts(dest: int, got: list[tuple], sweep=sweep, parent=parent, keep=keep) -> Iterator[tuple]:
+            r = Range.read(got[0][2])
+            weight, tables = np.zeros(len(r.words), np.float32), r.tables()
+            for kind, o, b in got[1:]:
+                w, g, u, x = unpacked(b)
+                weight[np.searchsorted(r.words, rising(w))] = g
+                tables[np.searchsorted(r.contexts, rising(u))] = x
+            r.draw(sweep, shape, parent, weight, tables)
+            yield STATE, dest, -1, r.written(keep), None
+            yield from r.messages(dest, homes)
+
+        new, _ = step(pick(state, STATE).unionAll(pick(home_state, REPLY)), ranges, seat_contexts, "lm-contexts")
+        discard(state)
+        state = new
+        new, sums = step(pick(home_state, STATE).unionAll(pick(state, TABLES)), homes, seat_parent(sweep, shape, parent, keep, split), "lm-parent")
+        discard(home_state)
+        home_state = new
+        if keep:
+            parents.append(Parent(sweep, shape, *sums[:3]))
+
+    def answer_keys(dest: int, got: list[tuple]) -> Iterator[tuple]:
+        r = Range.read(got.pop(0)[2])
+        own = np.repeat(np.arange(len(r.contexts)), r.size) * len(r.words) + r.word
+        while got:
+            _, o, b = got.pop(0)
+            u, w, _ = pairs_unpacked(b)
+            if not len(own):
+                yield VALUES, o, dest, packed(*[np.zeros(len(u), np.uint32)] * (1 + KEPT)), None
+                continue
+            iu, iw = (np.minimum(np.searchsorted(x, y), len(x) - 1) for x, y in ((r.contexts, u), (r.words, w)))
+            at = np.minimum(np.searchsorted(own, iu * len(r.words) + iw), len(own) - 1)
+            hit = (r.u[at] == u) & (r.w[at] == w)
+            yield VALUES, o, dest, packed(*(narrow(np.where(hit, x[at], 0)) for x in (r.dishes.c, *r.kept))), None
+
+    def answer_words(dest: int, got: list[tuple]) -> Iterator[tuple]:
+        h = Home(got.pop(0)[2])
+        by_sweep = list(zip(parents, h.kept[::3], h.kept[1::3], h.kept[2::3], strict=True))
+        shares = [predictive(shape, p, cw.astype(float), tw).astype(np.float32) for p, cw, tw, _ in by_sweep]
+        while got:
+            _, o, b = got.pop(0)
+            k = h.place(unpacked(b)[0].astype(np.int64))
+            yield SHARES, o, dest, packed(*(x[k] for x in shares), *(narrow(tu[k]) for *_, tu in by_sweep)), None
+
+    asked = numbers.select(F.lit(ASKED).alias("kind"), F.col("origin").alias("dest"), F.col("dest").alias("origin"), "blob", "sums")
+    values, _ = step(pick(state, STATE).unionAll(pick(dealt, KEYS)), ranges, answer_keys, "lm-values")
+    shares, _ = step(pick(home_state, STATE).unionAll(asked), homes, answer_words, "lm-shares")
+    discard(dealt, state, home_state)
 
     def finish(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in grouped(it, "block", "r", "blob"):
-            ids, flags, lens, at = unpacked(rows[0][1])
-            parts = [unpacked(b) for _, b in rows[1:]]
-            logp = np.concatenate([p[0] for p in parts]).astype(np.float64)[at]
-            count = np.concatenate([p[1] for p in parts])
-            base = np.log10((count.astype(np.float64) + 1) / (total + words + 1))[at]
-            starts = np.cumsum(lens) - lens
+        for _, got in grouped(it):
+            b = Written(got)
+            own = [np.concatenate(x) for x in zip(*(unpacked(v) for k, _, v in got if k == VALUES), strict=True)] or [np.zeros(1, np.uint32)] * (1 + KEPT)
+            word_values = [np.concatenate(x) for x in zip(*(unpacked(v) for k, _, v in got if k == SHARES), strict=True)]
+            got.clear()
+            *_, key, word, prev = b.keys(ranges, split)
+            p = np.zeros(len(word))
+            for share, tables, t in zip(word_values[:KEPT], word_values[KEPT:], own[1:], strict=True):
+                seated = np.maximum(own[0] - shape.discount * t, 0)
+                p += np.where(key >= 0, seated[np.maximum(key, 0)], 0) + (THETA + shape.discount * tables[prev]) * share.astype(float)[word]
+            logp = np.log10(p / KEPT / (THETA + b.count[prev]))
+            count = b.count[word]
+            base = np.log10((count + 1) / (tokens + words + 1))
+            at = np.cumsum(b.lens) - b.lens
             cols = [
-                pa.array(ids, mask=(flags & 2) > 0),
-                pa.array((flags & 1) > 0),
-                pa.array(lens.astype(np.int64)),
-                pa.array(np.add.reduceat((count > 0)[at].astype(np.int64), starts)),
-                pa.array(np.full(len(ids), total, np.int64)),
-                pa.array(np.add.reduceat(base, starts)),
-                pa.array(np.add.reduceat(logp, starts)),
+                pa.array(b.ids, mask=(b.flags & 2) > 0),
+                pa.array((b.flags & 1) > 0),
+                pa.array(b.lens.astype(np.int64)),
+                pa.array(np.add.reduceat((count > 0).astype(np.int64), at)),
+                pa.array(np.full(len(b.ids), tokens, np.int64)),
+                pa.array(np.add.reduceat(base, at)),
+                pa.array(np.add.reduceat(logp, at)),
             ]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    both = texts.unionByName(answers)
-    return both.repartition(n, "block").sortWithinPartitions("block", "r").mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    rows = texts.unionAll(numbers).unionAll(pick(values, VALUES)).unionAll(pick(shares, SHARES))
+    dealt = rows.repartition(n, "dest").sortWithinPartitions("dest", "kind", "origin")
+    return dealt.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -176,39 +176,169 @@ def test_language_model_without_training(spark):
     assert language_model.score_documents(docs(spark, odd_rows())).count() == len(odd_rows())
 
 
+def stirling(c, s, d):
+    """Tables of c customers of one dish: weight S_d(c, t) * s^t, by the seating recursion."""
+    w = {1: s}
+    for j in range(1, c):
+        nxt = Counter()
+        for t, x in w.items():
+            nxt[t + 1] += x * s
+            nxt[t] += x * (j - d * t)
+        w = nxt
+    total = sum(w.values())
+    return {t: x / total for t, x in w.items()}
+
+
 def test_seating_matches_exact_expectation():
     """Expected tables of c customers: one more at each step with probability s / (s + j - d t)."""
-    rng, d, s = np.random.default_rng(1), 0.5, 0.3
-    got = language_model.seat(rng, np.full(20000, 6), np.full(20000, s), d).mean()
-    dist = {1: 1.0}
-    for j in range(1, 6):
-        new = Counter()
-        for t, p in dist.items():
-            q = s / (s + j - d * t)
-            new[t + 1] += p * q
-            new[t] += p * (1 - q)
-        dist = new
-    assert abs(got - sum(t * p for t, p in dist.items())) < 0.03
+    d, n = 0.5, 20000
+    for c, s in ((2, 0.3), (6, 0.3), (40, 7.0)):
+        got, _ = language_model.seat(language_model.keyed(np.arange(n), 1), np.full(n, c), np.full(n, s), d)
+        dist = {1: 1.0}
+        for j in range(1, c):
+            new = Counter()
+            for t, p in dist.items():
+                q = s / (s + j - d * t)
+                new[t + 1] += p * q
+                new[t] += p * (1 - q)
+            dist = new
+        assert abs(got.mean() - sum(t * p for t, p in dist.items())) < 0.05
+
+
+def test_seating_in_pieces_is_the_same_seating():
+    key, c, s = language_model.keyed(np.arange(5)), np.array([2, 900, 3, 70, 5]), np.array([0.1, 30.0, 1.0, 4.0, 0.5])
+    whole = language_model.seat(key, c, s, 0.6)
+    language_model.CHUNK, was = 64, language_model.CHUNK
+    try:
+        parts = language_model.seat(key, c, s, 0.6)
+    finally:
+        language_model.CHUNK = was
+    assert (whole[0] == parts[0]).all() and np.allclose(whole[1], parts[1])
+
+
+def test_moves_keep_the_exact_distribution():
+    """Many chains of seatings of one dish, with a strength that changes on the way, end in S_d(c, t) s^t."""
+    n, d = 20000, 0.7
+    for c, s in ((2, 0.8), (5, 2.0), (12, 0.4)):
+        x = language_model.Dishes(language_model.keyed(np.arange(n), c), np.full(n, c))
+        for sweep in range(1, 13):
+            x.move(sweep, np.full(n, s if sweep > 4 else 5 * s), d)
+        want = stirling(c, s, d)
+        for t, p in want.items():
+            assert abs((x.t == t).mean() - p) < 4 * math.sqrt(p / n) + 1e-3, (c, t)
+
+
+def test_gamma_draws():
+    for a in (0.2, 1.0, 7.5):
+        x = language_model.gamma(language_model.keyed(np.arange(40000), 9), np.full(40000, a))
+        assert abs(x.mean() - a) < 0.05 * a + 0.01 and abs(x.var() - a) < 0.1 * a + 0.02
+
+
+def brute_pitman_yor(texts, d, d0, theta, sweeps, rng):
+    """Customer by customer: Gibbs sampling of the seating of a bigram model with table sizes; average probabilities."""
+    pairs = [(u, w) for t in texts for u, w in zip(["", *t], [*t, ""])]
+    vocab = sorted({w for _, w in pairs})
+    base = 1 / (len(vocab) + 1)
+    sizes, root, seats, top = {}, {}, [None] * len(pairs), {}
+    total_tables, customers = Counter(), Counter()
+
+    def p0(w):
+        cw, tw, all_c, all_t = sum(root.get(w, [])), len(root.get(w, [])), sum(map(sum, root.values())), sum(map(len, root.values()))
+        return (cw - d0 * tw + (theta + d0 * all_t) * base) / (theta + all_c)
+
+    def choose(tables, new, disc):
+        weights = [*(max(0, n - disc) for n in tables), new]
+        return rng.choices(range(len(weights)), weights)[0]
+
+    def sit_root(w):
+        k = choose(root.setdefault(w, []), (theta + d0 * sum(map(len, root.values()))) * base, d0)
+        root[w].append(1) if k == len(root[w]) else root[w].__setitem__(k, root[w][k] + 1)
+
+    def leave_root(w):
+        k = rng.choices(range(len(root[w])), root[w])[0]
+        root[w][k] -= 1
+        if not root[w][k]:
+            root[w].pop(k)
+
+    share = Counter()
+    for sweep in range(sweeps):
+        for i, (u, w) in enumerate(pairs):
+            t = sizes.setdefault((u, w), [])
+            if sweep:
+                k = rng.choices(range(len(t)), t)[0]
+                t[k] -= 1
+                if not t[k]:
+                    t.pop(k)
+                    total_tables[u] -= 1
+                    leave_root(w)
+            k = choose(t, (theta + d * total_tables[u]) * p0(w), d)
+            if k == len(t):
+                t.append(1)
+                total_tables[u] += 1
+                sit_root(w)
+            else:
+                t[k] += 1
+        if sweep == 0:
+            customers.update(u for u, _ in pairs)
+        if sweep >= sweeps // 4:
+            for u in customers:
+                for w in vocab:
+                    t = sizes.get((u, w), [])
+                    share[u, w] += (sum(t) - d * len(t) + (theta + d * total_tables[u]) * p0(w)) / (theta + customers[u]) / (sweeps - sweeps // 4)
+    return share
+
+
+def test_language_model_against_customer_by_customer_gibbs(spark, monkeypatch):
+    """Averages over many sweeps agree with a plain sampler that moves one customer at a time."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    texts = [[rng.choice("aabbbcde") for _ in range(12)] for _ in range(14)]
+    monkeypatch.setattr(language_model, "SWEEPS", 24)
+    monkeypatch.setattr(language_model, "KEPT", 20)
+    seen = {}
+
+    class Spy(language_model.Shape):
+        def __init__(self, *x):
+            super().__init__(*x)
+            seen["shape"] = self
+            self.__class__ = language_model.Shape
+
+    monkeypatch.setattr(language_model, "Shape", Spy)
+    tests = [(1000, "a b c"), (1001, "b b b e"), (1002, "d"), (1003, "c a a")]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + tests
+    out = {r.doc_id: r.score for r in language_model.score_documents(docs(spark, rows), held=F.col("doc_id") >= 1000).collect()}
+    shape = seen["shape"]
+    share = brute_pitman_yor(texts, shape.discount, shape.top_discount, language_model.THETA, 400, rng)
+    for d, t in tests:
+        w = t.split()
+        want = sum(math.log10(share[u, x]) for u, x in zip(["", *w], [*w, ""]))
+        assert abs(out[d] - want) < 0.03 * len(w) + 0.03, (d, out[d], want)
+
+
+def test_language_model_does_not_depend_on_partitions(spark):
+    """Nor on whether frequent contexts are split."""
+    rows = [*lm_rows(60), *odd_rows()]
+    was, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n, split in ((4, 1 << 22), (7, 1 << 22), (23, 50)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got = language_model.score_documents(docs(spark, rows), split=split).collect()
+            seen.append(sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, round(r.score, 9)) for r in got))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert seen[0] == seen[1] == seen[2]
 
 
 def test_probabilities_sum_to_one():
-    """Over all words and the unknown one, in every context."""
+    """Over all words and the unknown one in the unigram restaurant."""
     rng = np.random.default_rng(0)
-    h, ctx = np.repeat(np.arange(30, dtype=np.uint64), 4), np.tile(np.arange(4, dtype=np.uint8), 30)
-    x = language_model.Range(0, h, ctx, rng.integers(1, 20, 120))
-    n = language_model.CONTEXTS
-    shape = language_model.Shape(int(x.c.sum()), 30, 0.6, 0.4)
-    g = language_model.Totals(np.bincount(x.ctx, x.c, n).astype(float), np.bincount(x.ctx, minlength=n).astype(float), 30)
-    (t, cw, tw), = x.sweeps(shape, [g])
-    g = language_model.Totals(g.customers, np.bincount(x.ctx, t, n).astype(float), int(tw.sum()))
-    top = x.parent(shape, g, cw, tw)
-    unknown = (language_model.THETA + shape.top_discount * g.top_tables) / 31 / (language_model.THETA + g.tables.sum())
-    assert abs(top.sum() + unknown - 1) < 1e-9
-    for u in range(4):
-        k = x.ctx == u
-        back = language_model.THETA + shape.discount * g.tables[u]
-        p = ((x.c - shape.discount * t)[k].sum() + back) / (language_model.THETA + g.customers[u])
-        assert abs(p - 1) < 1e-9
+    cw = rng.integers(1, 50, 30).astype(float)
+    tw = np.minimum(rng.integers(1, 4, 30), cw)
+    shape = language_model.Shape(1000, 30, 40, 20, 12, 6)
+    parent = language_model.Parent(1, shape, int(cw.sum()), int(tw.sum()), 1)
+    p = language_model.predictive(shape, parent, np.append(cw, 0), np.append(tw, 0))
+    assert abs(p.sum() - 1) < 1e-12 and p[-1] > 0
 
 
 def test_pipeline_stages(spark, tmp_path):
