@@ -198,27 +198,33 @@ def seat(key: np.ndarray, c: np.ndarray, s: np.ndarray, d: float, weigh: np.ndar
 
 
 class Dishes:
-    """Seating of dishes with customers c: tables t, and for those with three customers or more the sweep and strength that
-    drew them (two customers need no acceptance step)."""
+    """Seating of dishes with customers c: tables t (one where there is one customer, none where there is none), and for those
+    with three customers or more the sweep and strength that drew them (two customers need no acceptance step). ``name``
+    gives the random keys of dishes."""
 
-    def __init__(self, name: np.ndarray, c: np.ndarray, sweep: np.ndarray | None = None, drawn: np.ndarray | None = None, t: np.ndarray | None = None):
-        self.name, self.c = name, c
-        self.many = np.flatnonzero(c > 2)
+    def __init__(self, name: Callable[[np.ndarray], np.ndarray], c: np.ndarray, sweep: np.ndarray | None = None, drawn: np.ndarray | None = None, t: np.ndarray | None = None):
+        self.c, self.two, self.many = c, np.flatnonzero(c == 2), np.flatnonzero(c > 2)
+        self.of_two, self.of_many = name(self.two), name(self.many)
         self.sweep = np.zeros(len(self.many), np.uint8) if sweep is None else sweep.copy()
         self.drawn = np.zeros(len(self.many), np.float32) if drawn is None else drawn.copy()
-        self.t = np.minimum(c, 1) if t is None else t.astype(np.int64)
+        self.t = np.minimum(c, 1)
+        if t is not None:
+            self.t[self.two], self.t[self.many] = t[: len(self.two)], t[len(self.two) :]
+
+    def open(self) -> np.ndarray:
+        """Tables of the dishes that have two customers or more."""
+        return narrow(np.concatenate([self.t[self.two], self.t[self.many]]))
 
     def move(self, sweep: int, s: np.ndarray, d: float) -> None:
         s = np.maximum(s.astype(np.float32), np.float32(1e-30))
-        two = np.flatnonzero(self.c == 2)
-        self.t[two], _ = seat(keyed(self.name[two], sweep), self.c[two], s[two].astype(float), d)
-        m = self.many
+        two, m = self.two, self.many
+        self.t[two], _ = seat(keyed(self.of_two, sweep), self.c[two], s[two].astype(float), d)
         if not len(m):
             return
         c, now = self.c[m], s[m].astype(float)
-        t, new = seat(keyed(self.name[m], sweep), c, now, d)
-        was, old = seat(keyed(self.name[m], self.sweep), c, self.drawn.astype(float), d, now)
-        ok = np.log(uniform(keyed(self.name[m], sweep, 1))) < new - old
+        t, new = seat(keyed(self.of_many, sweep), c, now, d)
+        was, old = seat(keyed(self.of_many, self.sweep), c, self.drawn.astype(float), d, now)
+        ok = np.log(uniform(keyed(self.of_many, sweep, 1))) < new - old
         self.t[m] = np.where(ok, t, was)
         self.sweep[ok], self.drawn[ok] = sweep, s[m[ok]]
 
@@ -419,14 +425,17 @@ def pairs_unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray
 
 
 class Range:
-    """Trained keys of one range, by context and word, and their seating."""
-
-    def __init__(self, u: np.ndarray, w: np.ndarray, dishes: Dishes, kept: list[np.ndarray]):
-        self.u, self.w, self.dishes, self.kept = u, w, dishes, kept
-        self.at = starts(u)
-        self.contexts = u[self.at]
-        self.size = lengths(self.at, len(u))
-        self.words, self.word = np.unique(w, return_inverse=True)
+    """Trained keys of one range, by context and word, and their seating. What never changes is written once."""
+
+    def __init__(self, fixed: bytes, seating: bytes | None = None):
+        self.fixed = fixed
+        contexts, size, words, self.word, c = unpacked(fixed)
+        self.contexts, self.words, self.size = rising(contexts), rising(words), size.astype(np.int64)
+        self.at = np.cumsum(self.size) - self.size
+        self.context = np.repeat(np.arange(len(size)), self.size)
+        sweep, drawn, *t = unpacked(seating) if seating else (None, None, None)
+        self.kept = t[:-1]
+        self.dishes = Dishes(lambda k: keyed(self.contexts[self.context[k]], self.words[self.word[k]]), c.astype(np.int64), sweep, drawn, t[-1])
 
     @staticmethod
     def merged(blobs: list[bytes]) -> Range:
@@ -436,20 +445,32 @@ class Range:
             k = n > 0
             parts.append((u[k], w[k], n[k].astype(np.int64)))
         u, w, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((w, u))
-        u, w = u[order], w[order]
-        at = starts(u, w)
+        contexts, words = np.unique(u), np.unique(w)
+        pair = np.searchsorted(contexts, u) * max(1, len(words)) + np.searchsorted(words, w)
+        order = np.argsort(pair, kind="stable")  # the parts are sorted runs
+        pair = pair[order]
+        at = starts(pair)
         c = np.add.reduceat(n[order], at) if len(at) else n
-        return Range(u[at], w[at], Dishes(keyed(u[at], w[at]), c), [])
+        context, word = np.divmod(pair[at], max(1, len(words)))
+        return Range(packed(steps(contexts), narrow(np.bincount(context, minlength=len(contexts))), steps(words), narrow(word), narrow(c)))
 
     @staticmethod
     def read(blob: bytes) -> Range:
-        u, w, (c, sweep, drawn, *t) = pairs_unpacked(blob)
-        return Range(u, w, Dishes(keyed(u, w), c.astype(np.int64), sweep, drawn, t[-1]), t[:-1])
+        n = int.from_bytes(blob[:8], "little")
+        return Range(blob[8 : 8 + n], blob[8 + n :])
 
     def written(self, keep: bool) -> bytes:
         d = self.dishes
-        return pairs_packed(self.u, self.w, narrow(d.c), d.sweep, d.drawn, *self.kept, *[narrow(d.t)] * (1 + keep))
+        return b"".join([len(self.fixed).to_bytes(8, "little"), self.fixed, packed(d.sweep, d.drawn, *self.kept, *[d.open()] * (1 + keep))])
+
+    def seatings(self) -> list[np.ndarray]:
+        """Tables by key of the sweeps that are averaged."""
+        out = []
+        for t in self.kept:
+            x = np.minimum(self.dishes.c, 1)
+            x[self.dishes.two], x[self.dishes.many] = t[: len(self.dishes.two)], t[len(self.dishes.two) :]
+            out.append(x)
+        return out
 
     def tables(self) -> np.ndarray:
         """By context."""
@@ -535,10 +556,10 @@ def seat_parent(sweep: int, shape: Shape | None, parent: Parent | None, keep: bo
             cw[w] += t
             tu[u] += x
             sent.append((o, w, u))
-        old = Dishes(keyed(h.num, 4), cw)
         if shape is None:
             yield SUMS, -1, dest, b"", [int((cw == 1).sum()), int((cw == 2).sum())]
             return
+        old = Dishes(lambda k: keyed(h.num[k], 4), cw)
         if h.root:  # the customers have changed: a dish goes on from what its last draw gives for them
             old.sweep, old.drawn = h.root[1][old.many], h.root[2][old.many]
         if parent is not None:
@@ -619,7 +640,7 @@ def score_documents(docs: DataFrame, held=None, split: int = SPLIT) -> DataFrame
 
     def answer_keys(dest: int, got: list[tuple]) -> Iterator[tuple]:
         r = Range.read(got.pop(0)[2])
-        own = np.repeat(np.arange(len(r.contexts)), r.size) * len(r.words) + r.word
+        own, values = r.context * max(1, len(r.words)) + r.word, [r.dishes.c, *r.seatings()]
         while got:
             _, o, b = got.pop(0)
             u, w, _ = pairs_unpacked(b)
@@ -628,8 +649,8 @@ def score_documents(docs: DataFrame, held=None, split: int = SPLIT) -> DataFrame
                 continue
             iu, iw = (np.minimum(np.searchsorted(x, y), len(x) - 1) for x, y in ((r.contexts, u), (r.words, w)))
             at = np.minimum(np.searchsorted(own, iu * len(r.words) + iw), len(own) - 1)
-            hit = (r.u[at] == u) & (r.w[at] == w)
-            yield VALUES, o, dest, packed(*(narrow(np.where(hit, x[at], 0)) for x in (r.dishes.c, *r.kept))), None
+            hit = (r.contexts[r.context[at]] == u) & (r.words[r.word[at]] == w)
+            yield VALUES, o, dest, packed(*(narrow(np.where(hit, x[at], 0)) for x in values)), None
 
     def answer_words(dest: int, got: list[tuple]) -> Iterator[tuple]:
         h = Home(got.pop(0)[2])

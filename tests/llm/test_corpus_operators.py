@@ -220,7 +220,7 @@ def test_moves_keep_the_exact_distribution():
     """Many chains of seatings of one dish, with a strength that changes on the way, end in S_d(c, t) s^t."""
     n, d = 20000, 0.7
     for c, s in ((2, 0.8), (5, 2.0), (12, 0.4)):
-        x = language_model.Dishes(language_model.keyed(np.arange(n), c), np.full(n, c))
+        x = language_model.Dishes(lambda k, c=c: language_model.keyed(k, c), np.full(n, c))
         for sweep in range(1, 13):
             x.move(sweep, np.full(n, s if sweep > 4 else 5 * s), d)
         want = stirling(c, s, d)
