@@ -48,6 +48,7 @@ SWEEPS, KEPT = 5, 3
 BLOCK_BYTES = 8 << 20
 #: Fixed numbers of slots of word hashes; customers of one part of a context; tokens of one range; customers seated together.
 SLOTS, SPLIT, RANGE_TOKENS, CHUNK = 4096, 1 << 22, 1 << 22, 1 << 19
+HOME_BYTES, LEAST_TOKENS = 4 << 20, 1 << 18
 THETA = 1.0
 END = b" "
 U64 = np.uint64
@@ -266,12 +267,16 @@ def step(rows: DataFrame, parts: int, work: Callable[[int, list[tuple]], Iterato
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batches(x for dest, got in grouped(it) for x in work(dest, got))
 
-    dealt = rows.repartition(parts, "dest").sortWithinPartitions("dest", "kind", "origin")
-    out = materialize(dealt.mapInArrow(run, ROW), label)
+    out = materialize(deal_out(rows, parts).mapInArrow(run, ROW), label)
     some = out.where("sums is not null").agg(*(F.sum(F.get("sums", F.lit(i))) for i in range(6))).first()
     return out, [x or 0 for x in some]
 
 
+def deal_out(rows: DataFrame, parts: int) -> DataFrame:
+    """One destination after another, evenly over the partitions."""
+    return rows.repartitionById(parts, F.pmod("dest", F.lit(parts)).cast("int")).sortWithinPartitions("dest", "kind", "origin")
+
+
 def pick(df: DataFrame, kind: int) -> DataFrame:
     return df.where(F.col("kind") == kind)
 
@@ -585,11 +590,13 @@ def score_documents(docs: DataFrame, held=None, split: int = SPLIT) -> DataFrame
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document. ``held`` marks rows
     that are scored but not learnt from (default: crc32(doc_id as text) mod 7 is 2)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    homes = min(n, SLOTS)
+    # a home holds the words of at least HOME_BYTES of input and a range LEAST_TOKENS, so that messages are not many and tiny
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    homes = max(1, min(n, SLOTS, size // HOME_BYTES))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False)) if held is None else held
     read = materialize(blocks(docs, homes, held), "lm-texts")
     named, (tokens, words, *_) = step(pick(read, VOCAB), homes, number, "lm-words")
-    ranges = max(n, tokens // RANGE_TOKENS)
+    ranges = max(1, min(n, tokens // LEAST_TOKENS), tokens // RANGE_TOKENS)
 
     def deal(dest: int, got: list[tuple]) -> Iterator[tuple]:
         r, u, w, c, *_ = Written(got).keys(ranges, split)
@@ -693,5 +700,4 @@ def score_documents(docs: DataFrame, held=None, split: int = SPLIT) -> DataFrame
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     rows = texts.unionAll(numbers).unionAll(pick(values, VALUES)).unionAll(pick(shares, SHARES))
-    dealt = rows.repartition(n, "dest").sortWithinPartitions("dest", "kind", "origin")
-    return dealt.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return deal_out(rows, n).mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
