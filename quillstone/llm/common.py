@@ -71,6 +71,20 @@ def id_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
+def fresh_name(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` does not have."""
+    while base.lower() in (c.lower() for c in df.columns):
+        base = f"_{base}"
+    return base
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a written number for each row, so that repeated rows and null ids can be told apart, and its column."""
+    small_batches(docs.sparkSession)
+    name = fresh_name(docs, "_row")
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def sample_by_hash(rows: DataFrame, key: str, n: int) -> DataFrame:
     """At most ``n`` rows with the smallest hash of ``key``: a bounded, repeatable sample."""
     return rows.orderBy(F.xxhash64(key), key).limit(n)
