@@ -85,6 +85,21 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
+#: Groups of one join that may be broadcast, and rows that any group may have without it.
+HOT_GROUPS, HOT_ROWS = 500_000, 10_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: str | list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the one row that ``groups`` has for each key and that counts the key's rows in ``size``. Keys of very many
+    of the ``total`` rows are looked up where the rows are: being so large they are at most HOT_GROUPS, which bounds the broadcast.
+    The others are shuffled."""
+    least = max(HOT_ROWS, -(-total // HOT_GROUPS))
+    hot = F.broadcast(groups.where(F.col(size) > least).drop(size))
+    cold = groups.where(F.col(size) <= least).drop(size)
+    keys = F.broadcast(groups.where(F.col(size) > least).select(on))
+    return rows.join(hot, on).unionByName(rows.join(keys, on, "left_anti").join(cold.hint("merge"), on, how))
+
+
 def sample_by_hash(rows: DataFrame, key: str, n: int) -> DataFrame:
     """At most ``n`` rows with the smallest hash of ``key``: a bounded, repeatable sample."""
     return rows.orderBy(F.xxhash64(key), key).limit(n)

@@ -6,15 +6,18 @@ by 0, 1, 2, ..., gives coordinate after coordinate. ``BANDS`` bands of ``ROWS``
 candidates; a pair at the threshold shares no band with probability (1 - 0.8^4)^28 < 4e-7. Every link is
 confirmed on the full sets.
 
-Documents with equal sets form one class and enter the search once. Within a bucket no list of all pairs
+Rows are numbered in writing, so that rows with equal or no doc_id are told apart. Rows with equal sets form one class and
+enter the search once, under its smallest number. Within a bucket no list of all pairs
 is made: rounds of stars merge classes (each test joins two components that meet in a bucket), and only
 pairs of different components that still share a bucket are then compared exhaustively, block against
 block, in groups of bounded size. There a parity sketch of each set (bit i: parity of the hashes in bin
 i) refuses pairs with certainty: differing bits never outnumber the differing elements.
 
+Joins on the key of a class, a bucket or a hub look up the keys of very many rows where the rows are (``join_groups``).
+
 Null and empty texts, and texts without words, have the empty set and are linked with nothing. Rows that
-repeat a doc_id are one document and get one component; rows of a null doc_id are returned unlinked. An
-empty table gives an empty result. Only doc_id and text are read.
+repeat a doc_id are linked by their own texts, each for itself; rows of a null doc_id are linked like others, and a component of
+such rows alone has no id. An empty table gives an empty result. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import LOWER, discard, id_text, materialize
+from quillstone.llm.common import LOWER, discard, id_text, join_groups, materialize, numbered
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 28, 4
@@ -77,7 +80,9 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def sketch(docs: DataFrame, k: int = WORDS) -> DataFrame:
+def sketch(rows: DataFrame, k: int = WORDS) -> DataFrame:
+    """Size, fingerprint and band keys of the set of each row (row, doc_id, text)."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             n, k1, k2, bands = [], [], [], []
@@ -87,34 +92,36 @@ def sketch(docs: DataFrame, k: int = WORDS) -> DataFrame:
                 k1.append(int((s * U64(0xD6E8FEB86659FD93)).sum(dtype=U64).view(np.int64)))
                 k2.append(int(np.bitwise_xor.reduce((s ^ (s >> U64(31))) * U64(0xA0761D6478BD642F)).view(np.int64)) if len(s) else 0)
                 bands.append(band_keys(signature(s)).tolist() if len(s) else [])
-            cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "k1", "k2", "bands"])
+            cols = [b.column("row"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n", "k1", "k2", "bands"])
+
+    return rows.mapInArrow(run, "row long, doc_id long, n long, k1 long, k2 long, bands array<long>")
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>")
 
+def full_sets(rows: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """Sets and parity sketches of the rows with the given numbers."""
 
-def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             sets = [shingle_set(t, k) for t in b.column("text").to_pylist()]
             odd = [np.packbits((np.bincount((s >> U64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1).astype(np.uint8)).tobytes() for s in sets]
-            cols = [b.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(odd, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "items", "size", "odd"])
+            cols = [b.column("row"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(odd, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["rep", "items", "size", "odd"])
 
-    # the ids grow with the corpus: the same shuffle at every size, never a broadcast
-    return id_text(docs).join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, items binary, size long, odd binary")
+    # the numbers grow with the corpus: the same shuffle at every size, never a broadcast
+    return rows.select("row", "text").join(reps.hint("merge"), "row", "left_semi").mapInArrow(run, "rep long, items binary, size long, odd binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar. Grouped by b in salted parts of about SALT_SIZE pairs, so a
     much-linked document is split, and streamed: a task holds one set of each side."""
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_SIZE).alias("salts"))
-    salted = pairs.join(sizes, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
+    sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_SIZE).alias("salts"), F.count("*").alias("n_rows"))
+    salted = join_groups(pairs, sizes, "b", "n_rows", pairs.count()).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
     member = salted.select("b", "salt", F.lit(1).alias("kind"), "a")
     lead = sizes.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("b").alias("a"))
     # one request list, so that the sets are shuffled once
-    rows = lead.unionByName(member).join(sets.select(F.col("doc_id").alias("a"), "items").hint("merge"), "a")
+    rows = lead.unionByName(member).join(sets.select(F.col("rep").alias("a"), "items").hint("merge"), "a")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = None
@@ -140,18 +147,23 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable. Minimum propagation with pointer jumping; every round is
     a written table, and only a count of changes reaches the driver."""
     both = materialize(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(edges.select("b", "a")).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("label")), "labels")
+    links = materialize(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("low"), F.count("*").alias("n_rows")), "links")
+    total = both.count()
+    labels = materialize(links.select("node", F.least("low", "node").alias("label")), "labels")
     done = labels
     while True:
-        near = both.join(labels, both["y"] == labels["node"]).groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
+        by_node = labels.join(links.select("node", "n_rows"), "node").withColumnRenamed("node", "y")
+        near = join_groups(both, by_node, "y", "n_rows", total).groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
         low = labels.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("jump"))
-        new = materialize(low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("jump", "low")).alias("label"), F.col("label").alias("old")), "labels")
+        low = materialize(low, "low")
+        followers = low.groupBy("low").agg(F.count("*").alias("n_rows"))
+        jump = followers.join(labels.select(F.col("node").alias("low"), F.col("label").alias("jump")), "low")
+        new = materialize(join_groups(low, jump, "low", "n_rows", total).select("node", F.least("low", "jump").alias("label"), F.col("label").alias("old")), "labels")
         changed = new.where("label <> old").limit(1).count()
-        discard(done)
+        discard(done, low)
         labels, done = new.select("node", "label"), new
         if not changed:
-            discard(both)
+            discard(both, links)
             return labels
 
 
@@ -164,16 +176,16 @@ def label_of(reps: DataFrame, labels: DataFrame | None) -> DataFrame:
 def live(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Rows of the buckets in which more than one component meets."""
     rows = label_of(buckets, labels)
-    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    return rows.join(mixed, "key")
+    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n_rows")).where("lo <> hi").select("key", "n_rows")
+    return join_groups(rows, mixed, "key", "n_rows", buckets.count())
 
 
 def star_pairs(rows: DataFrame, round_: int) -> DataFrame:
     """In each bucket one member of every component against one member of the smallest; members are drawn anew each round."""
     pick = F.min_by("rep", F.struct(F.xxhash64("rep", F.lit(round_)), "rep"))
     one = rows.groupBy("key", "label").agg(pick.alias("rep"))
-    lead = one.groupBy("key").agg(F.min_by("rep", "label").alias("lead"), F.min("label").alias("low"))
-    met = one.join(lead, "key").where("label <> low").groupBy("label", "low").agg(F.min(F.struct("rep", "lead")).alias("p"))
+    lead = one.groupBy("key").agg(F.min_by("rep", "label").alias("lead"), F.min("label").alias("low"), F.count("*").alias("n_rows"))
+    met = join_groups(one, lead, "key", "n_rows", rows.count()).where("label <> low").groupBy("label", "low").agg(F.min(F.struct("rep", "lead")).alias("p"))
     return met.select(F.col("p.rep").alias("a"), F.col("p.lead").alias("b"))
 
 
@@ -186,9 +198,9 @@ def cross_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     hundred rows, and only agreeing pairs leave it.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    sketches = sets.select(F.col("doc_id").alias("rep"), "size", "odd")
-    put = rows.join(size, "key").join(sketches, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    size = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n_rows"))
+    sketches = sets.select("rep", "size", "odd")
+    put = join_groups(rows, size, "key", "n_rows", rows.count()).join(sketches, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     sent = put.select("key", "label", "rep", "size", "odd", "block", other.alias("o")).select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "label", "rep", "size", "odd")
 
@@ -225,42 +237,63 @@ def cross_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sent.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
-    sketches = materialize(sketch(docs, k), "sketch")
-    filled = sketches.where("n > 0 and doc_id is not null")
-    heads = filled.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
-    members = materialize(sketches.select("doc_id", "n", "k1", "k2").join(heads, ["k1", "k2", "n"], "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    reps = filled.join(heads.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
-    rows = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
-    shared = rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("key")
-    buckets = materialize(rows.join(shared, "key"), "buckets")
-    involved = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialize(full_sets(docs, involved, k), "sets")
-
-    labels, edges = None, None
+def linked(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """row, doc_id, n, component (the smallest row number of its component; null for the empty set), component_id (its smallest
+    doc_id) of numbered rows (row, doc_id, text)."""
+    sketches = materialize(sketch(rows, k), "sketch")
+    filled = sketches.where("n > 0")
+    classes = materialize(filled.groupBy("k1", "k2", "n").agg(F.min("row").alias("rep"), F.min("doc_id").alias("doc"), F.count("*").alias("n_rows")), "classes")
+    banded = filled.join(classes.select(F.col("rep").alias("row")).hint("merge"), "row", "left_semi").select(F.explode("bands").alias("key"), F.col("row").alias("rep"))
+    shared = banded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n_rows")).where("lo <> hi").select("key", "n_rows")
+    buckets = materialize(join_groups(banded, materialize(shared, "shared"), "key", "n_rows", BANDS * classes.count()), "buckets")
+    sets = materialize(full_sets(rows, buckets.select(F.col("rep").alias("row")).distinct(), k), "sets")
+
+    labels, edges, used = None, None, [buckets, sets]
     for round_ in range(STAR_ROUNDS + 1):
-        rows = materialize(live(buckets, labels), "live")
-        buckets = rows.select("key", "rep")  # a bucket that one component fills never splits again
-        if not rows.limit(1).count():
+        rows_ = materialize(live(buckets, labels), "live")
+        used.append(rows_)
+        buckets = rows_.select("key", "rep")  # a bucket that one component fills never splits again
+        if not rows_.limit(1).count():
             break
-        pairs = star_pairs(rows, round_) if round_ < STAR_ROUNDS else cross_pairs(rows, sets, percent)
-        found = materialize(verify(materialize(pairs, "pairs"), sets, percent), "links")
-        if not found.limit(1).count():
-            if round_ < STAR_ROUNDS and round_:
-                found = materialize(verify(materialize(cross_pairs(rows, sets, percent), "pairs"), sets, percent), "links")
-                if found.limit(1).count():
-                    edges = found if edges is None else edges.unionAll(found)
-                    labels = components(edges)
-                break
-            continue
-        edges = found if edges is None else edges.unionAll(found)
-        labels = components(edges)
-    out = label_of(members, labels)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("label").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("label"), F.lit(True)).alias("kept"))
+        last = round_ == STAR_ROUNDS
+        pairs = materialize(cross_pairs(rows_, sets, percent) if last else star_pairs(rows_, round_), "pairs")
+        found = materialize(verify(pairs, sets, percent), "links")
+        if not last and round_ and not found.limit(1).count():  # stars find nothing more: compare what is left
+            discard(pairs)
+            last, pairs = True, materialize(cross_pairs(rows_, sets, percent), "pairs")
+            found = materialize(verify(pairs, sets, percent), "links")
+        discard(pairs)
+        used.append(found)
+        if found.limit(1).count():
+            edges = found if edges is None else edges.unionAll(found)
+            labels = components(edges)
+        if last:
+            break
+    named = materialize(label_of(classes, labels).withColumnRenamed("label", "component"), "named")
+    ids = named.groupBy("component").agg(F.min("doc").alias("component_id"), F.count("*").alias("n_classes"))
+    by_class = join_groups(named.drop("doc"), ids, "component", "n_classes", named.count()).drop("rep")
+    plain = sketches.drop("bands")
+    out = join_groups(plain.where("n > 0"), materialize(by_class, "by-class"), ["k1", "k2", "n"], "n_rows", sketches.count())
+    none = plain.where("n = 0").select("*", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    out = materialize(out.unionByName(none).drop("k1", "k2"), "members")
+    discard(*used, classes, named, sketches)
+    return out
+
+
+def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row."""
+    rows, row = numbered(id_text(docs))
+    out = linked(rows.withColumnRenamed(row, "row"), k, percent)
+    discard(rows)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each group of near copies: that of the smallest doc_id."""
-    gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """``docs`` with one row of each group of near copies: of the smallest doc_id (null comes last), and of rows that repeat it one.
+    Null and empty texts stay, all columns are kept, whatever their names; an empty table stays empty."""
+    rows, row = numbered(docs)
+    found = linked(id_text(rows, row).withColumnRenamed(row, "row"), k, percent)
+    first = found.where("component is not null and doc_id <=> component_id").groupBy("component").agg(F.min("row").alias("row"))
+    gone = found.where("component is not null").select("row").join(first.select("row").hint("merge"), "row", "left_anti")
+    return rows.join(gone.withColumnRenamed("row", row).hint("merge"), row, "left_anti").select(docs.columns)

@@ -74,6 +74,38 @@ def test_cross_pairs_find_what_stars_miss(spark):
         near_dedup.STAR_ROUNDS, near_dedup.BLOCK = was, block
 
 
+def test_rows_that_repeat_an_id_are_linked_by_their_own_texts(spark):
+    """Whatever their order: (1, A), (2, B), (2, A2) with A and A2 near copies, and B another text."""
+    a, b = prose(1, 100), " ".join(prose(2, 100))
+    a2 = " ".join([*a[:-1], "other"])
+    rows = [(1, " ".join(a)), (2, b), (2, a2), (None, a2), (None, "q r s t u v"), (None, "q r s t u v")]
+    for order in (rows, rows[::-1], [rows[i] for i in (2, 5, 0, 4, 1, 3)]):
+        d = docs(spark, order)
+        got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dedup.near_duplicates(d).collect())
+        assert got == [(0, 0, True), (0, 0, True), (0, 1, False), (1, 1, True), (2, 1, False), (2, 2, True)]
+        left = sorted((r.doc_id or 0, r.text) for r in near_dedup.drop_near_duplicates(d).collect())
+        assert left == sorted([(1, " ".join(a)), (2, b), (0, "q r s t u v")])
+
+
+def test_one_row_of_repeated_rows_stays(spark):
+    rows = [(5, text(3, 60)), (5, text(3, 60)), (4, text(3, 60)), (4, text(3, 60)), (9, None), (9, None)]
+    d = docs(spark, rows).withColumnRenamed("h", "row").withColumnRenamed("count", "_row")
+    out = near_dedup.drop_near_duplicates(d)
+    assert out.columns == d.columns and sorted(r.doc_id for r in out.collect()) == [4, 9, 9]
+
+
+def test_hot_keys_are_looked_up(spark, monkeypatch):
+    """With every key of more than two rows taken for a hot one."""
+    from quillstone.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_GROUPS", 10**9)
+    rows = near_rows(4)
+    want = brute_components(rows, 5)
+    out = near_dedup.near_duplicates(docs(spark, rows)).where("doc_id is not null").collect()
+    assert {r.doc_id: r.component_id for r in out} == {d: c for d, (_, c) in want.items()}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
     d = docs(spark, near_rows(3))
