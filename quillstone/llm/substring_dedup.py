@@ -19,8 +19,9 @@ b100[s] = (b64[s], b64[s+36]). Buckets with one suffix drop out of further refin
 First means smallest (doc_id, start). All counts are hash aggregates, so a copied passage of any frequency
 is combined before the shuffle and no group is gathered.
 
-Null text is the empty text. Rows of a null doc_id keep all their bytes. Rows that repeat a doc_id are read
-as the same document. An empty table gives an empty result; only doc_id and text are read.
+Null text is the empty text. Rows of a null doc_id keep all their bytes. Rows that repeat a doc_id and its text are one
+document; with other texts they are documents of their own, ordered by a hash of the text. An empty table gives an empty
+result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -119,22 +120,34 @@ def anchors_of(part: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
     return ids, (p - at) << 16 | (p - s1) << 8 | (p - s2), b32[p].view(np.int64), ctx.view(np.int64)
 
 
-def anchors(docs: DataFrame) -> DataFrame:
+def documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, doc): ``doc`` names a document and rises with doc_id. It is doc_id itself, unless a doc_id has several
+    texts: then (doc_id, hash of the text) is numbered in order."""
+    rows = id_text(docs).withColumn("th", F.xxhash64("text"))
+    ids = materialize(rows.where("doc_id is not null").select("doc_id", "th").distinct(), "ids")
+    if not ids.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        discard(ids)
+        return rows.select("doc_id", "text", F.col("doc_id").alias("doc"))
+    names = materialize(ids.orderBy("doc_id", "th").withColumn("doc", F.monotonically_increasing_id()), "names")
+    return materialize(rows.join(names.hint("merge"), ["doc_id", "th"], "left").select("doc_id", "text", "doc"), "named")
+
+
+def anchors(rows: DataFrame) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows = [(d, t.encode()) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)]
-            for part in chunks(rows):
+            texts = [(d, t.encode()) for d, t in zip(b.column("doc").to_pylist(), b.column("text").to_pylist(), strict=True)]
+            for part in chunks(texts):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in anchors_of(part)], ["doc", "place", "h", "ctx"])
 
-    return id_text(docs).mapInArrow(run, "doc long, place long, h long, ctx long")
+    return rows.select("doc", "text").mapInArrow(run, "doc long, place long, h long, ctx long")
 
 
 def contexts(rows: DataFrame) -> DataFrame:
-    """The bytes covered by the owned windows of the given minimisers (doc_id, text, places)."""
+    """The bytes covered by the owned windows of the given minimisers (doc, text, places)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for d, t, places in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "places")), strict=True):
+            for d, t, places in zip(*(b.column(c).to_pylist() for c in ("doc", "text", "places")), strict=True):
                 raw = t.encode()
                 own = [(x["pos"], x["s1"], x["s2"]) for x in places if x["s2"] + LENGTH <= len(raw)]
                 pos, s1, s2 = (pa.array([x[i] for x in own], pa.int32()) for i in range(3))
@@ -210,23 +223,24 @@ def strip(rows: DataFrame, keep_text: bool = False) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    many = materialize(anchors(docs).groupBy("h").count().where("count > 1").select("h"), "buckets")
-    shared = materialize(anchors(docs).join(many.hint("merge"), "h", "left_semi"), "shared")
+    rows = documents(docs)
+    many = materialize(anchors(rows).groupBy("h").count().where("count > 1").select("h"), "buckets")
+    shared = materialize(anchors(rows).join(many.hint("merge"), "h", "left_semi"), "shared")
     discard(many)
     pos = F.shiftright("place", 16).cast("int")
     unpacked = shared.select("doc", pos.alias("pos"), (pos - F.shiftright("place", 8).bitwiseAND(255).cast("int")).alias("s1"), (pos - F.col("place").bitwiseAND(255).cast("int")).alias("s2"), "h", "ctx")
     again, left, heads = split(unpacked)
-    places = left.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("pos", "s1", "s2")).alias("places"))
-    around = materialize(contexts(id_text(docs).join(places.hint("merge"), "doc_id")), "around")
-    repeats, rows, used = [again], around.withColumn("base", F.col("s1")), [shared, heads, around]
+    places = left.groupBy("doc").agg(F.collect_list(F.struct("pos", "s1", "s2")).alias("places"))
+    around = materialize(contexts(rows.select("doc", "text").join(places.hint("merge"), "doc")), "around")
+    repeats, open_, used = [again], around.withColumn("base", F.col("s1")), [shared, heads, around]
     for width in CELLS:
-        level = materialize(cells(rows, width), f"cells{width}")
+        level = materialize(cells(open_, width), f"cells{width}")
         again, left, heads = split(level, last=width == 1)
         repeats.append(again)
         used += [level] if heads is None else [level, heads]
         if left is not None:
             bytes_ = around.select("doc", "pos", F.col("s1").alias("base"), "bytes")
-            rows = left.join(bytes_, ["doc", "pos"])
+            open_ = left.join(bytes_, ["doc", "pos"])
     spans = materialize(runs(reduce(DataFrame.unionAll, repeats)), "spans")
     discard(*used)
-    return strip(id_text(docs).join(spans.withColumnRenamed("doc", "doc_id").hint("merge"), "doc_id", "left"), keep_text)
+    return strip(rows.join(spans.hint("merge"), "doc", "left").select("doc_id", "text", "spans"), keep_text)

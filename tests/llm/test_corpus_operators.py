@@ -166,6 +166,19 @@ def test_substring_dedup_odd_rows(spark):
     assert substring_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_substring_dedup_of_an_id_with_two_texts(spark):
+    """B is cut nowhere, the second A as a whole; of rows repeated as they are none is cut; one passage in many rows."""
+    a, b = text(1, 80), text(2, 80)
+    rows = [(1, a), (2, a), (2, b), (2, b), (None, a), (9, b + a)]
+    for order in (rows, rows[::-1]):
+        got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in substring_dedup.remove_repeats(docs(spark, order)).collect())
+        assert got == sorted([(1, len(a), 0), (2, len(a), len(a)), (2, len(b), 0), (2, len(b), 0), (0, len(a), 0), (9, len(a + b), len(a + b))])
+    passage = text(3, 40)
+    many = [(i, f"{text(50 + i, 3)} {passage} {text(5000 + i, 3)}") for i in range(3000)]
+    out = substring_dedup.remove_repeats(docs(spark, many)).collect()
+    assert [r.n_removed >= len(passage) for r in sorted(out, key=lambda r: r.doc_id)] == [False] + [True] * 2999
+
+
 def lm_rows(n=400):
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(150)]
