@@ -6,8 +6,8 @@ by 0, 1, 2, ..., gives coordinate after coordinate. ``BANDS`` bands of ``ROWS``
 candidates; a pair at the threshold shares no band with probability (1 - 0.8^4)^28 < 4e-7. Every link is
 confirmed on the full sets.
 
-Rows are numbered in writing, so that rows with equal or no doc_id are told apart. Rows with equal sets form one class and
-enter the search once, under its smallest number. Within a bucket no list of all pairs
+Sketches are numbered in writing, so that rows with equal or no doc_id are told apart; a row's text is found again by doc_id and
+a hash of the text. Rows with equal sets form one class and enter the search once, under its smallest number. Within a bucket no list of all pairs
 is made: rounds of stars merge classes (each test joins two components that meet in a bucket), and only
 pairs of different components that still share a bucket are then compared exhaustively, block against
 block, in groups of bounded size. There a parity sketch of each set (bit i: parity of the hashes in bin
@@ -27,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import LOWER, discard, id_text, join_groups, materialize, numbered
+from quillstone.llm.common import LOWER, discard, id_text, join_groups, materialize
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 28, 4
@@ -81,7 +81,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(rows: DataFrame, k: int = WORDS) -> DataFrame:
-    """Size, fingerprint and band keys of the set of each row (row, doc_id, text)."""
+    """Size, fingerprint and band keys of the set of each row (doc_id, text, th)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -92,24 +92,33 @@ def sketch(rows: DataFrame, k: int = WORDS) -> DataFrame:
                 k1.append(int((s * U64(0xD6E8FEB86659FD93)).sum(dtype=U64).view(np.int64)))
                 k2.append(int(np.bitwise_xor.reduce((s ^ (s >> U64(31))) * U64(0xA0761D6478BD642F)).view(np.int64)) if len(s) else 0)
                 bands.append(band_keys(signature(s)).tolist() if len(s) else [])
-            cols = [b.column("row"), b.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n", "k1", "k2", "bands"])
+            cols = [b.column("doc_id"), b.column("th"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "n", "k1", "k2", "bands"])
 
-    return rows.mapInArrow(run, "row long, doc_id long, n long, k1 long, k2 long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, th long, n long, k1 long, k2 long, bands array<long>").withColumn("row", F.monotonically_increasing_id())
+
+
+def same_text(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["th"] == b["th"])
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    return id_text(docs).withColumn("th", F.xxhash64("text"))
 
 
 def full_sets(rows: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """Sets and parity sketches of the rows with the given numbers."""
+    """Sets and parity sketches of the texts of ``reps`` (rep, doc_id, th)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             sets = [shingle_set(t, k) for t in b.column("text").to_pylist()]
             odd = [np.packbits((np.bincount((s >> U64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1).astype(np.uint8)).tobytes() for s in sets]
-            cols = [b.column("row"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(odd, pa.binary())]
+            cols = [b.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(odd, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["rep", "items", "size", "odd"])
 
-    # the numbers grow with the corpus: the same shuffle at every size, never a broadcast
-    return rows.select("row", "text").join(reps.hint("merge"), "row", "left_semi").mapInArrow(run, "rep long, items binary, size long, odd binary")
+    # the classes grow with the corpus: the same shuffle at every size, never a broadcast
+    found = rows.join(reps.hint("merge"), same_text(rows, reps)).select("rep", "text").dropDuplicates(["rep"])
+    return found.mapInArrow(run, "rep long, items binary, size long, odd binary")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -237,21 +246,25 @@ def cross_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sent.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-def linked(rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """row, doc_id, n, component (the smallest row number of its component; null for the empty set), component_id (its smallest
-    doc_id) of numbered rows (row, doc_id, text)."""
+def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """row, doc_id, th (hash of the text), n, component (the smallest row number of its component; null for the empty set),
+    component_id (its smallest doc_id) of every row."""
+    rows = hashed(docs)
     sketches = materialize(sketch(rows, k), "sketch")
     filled = sketches.where("n > 0")
     classes = materialize(filled.groupBy("k1", "k2", "n").agg(F.min("row").alias("rep"), F.min("doc_id").alias("doc"), F.count("*").alias("n_rows")), "classes")
-    banded = filled.join(classes.select(F.col("rep").alias("row")).hint("merge"), "row", "left_semi").select(F.explode("bands").alias("key"), F.col("row").alias("rep"))
+    heads = filled.join(classes.select(F.col("rep").alias("row")).hint("merge"), "row", "left_semi")
+    banded = heads.select(F.explode("bands").alias("key"), F.col("row").alias("rep"))
     shared = banded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n_rows")).where("lo <> hi").select("key", "n_rows")
     buckets = materialize(join_groups(banded, materialize(shared, "shared"), "key", "n_rows", BANDS * classes.count()), "buckets")
-    sets = materialize(full_sets(rows, buckets.select(F.col("rep").alias("row")).distinct(), k), "sets")
+    involved = sketches.select("row", "doc_id", "th").join(buckets.select(F.col("rep").alias("row")).distinct().hint("merge"), "row", "left_semi")
+    sets = materialize(full_sets(rows, involved.withColumnRenamed("row", "rep"), k), "sets")
 
-    labels, edges, used = None, None, [buckets, sets]
+    labels, edges, used, before = None, None, [sets], buckets
     for round_ in range(STAR_ROUNDS + 1):
         rows_ = materialize(live(buckets, labels), "live")
-        used.append(rows_)
+        discard(before)
+        before = rows_
         buckets = rows_.select("key", "rep")  # a bucket that one component fills never splits again
         if not rows_.limit(1).count():
             break
@@ -276,24 +289,25 @@ def linked(rows: DataFrame, k: int, percent: int) -> DataFrame:
     out = join_groups(plain.where("n > 0"), materialize(by_class, "by-class"), ["k1", "k2", "n"], "n_rows", sketches.count())
     none = plain.where("n = 0").select("*", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     out = materialize(out.unionByName(none).drop("k1", "k2"), "members")
-    discard(*used, classes, named, sketches)
+    discard(*used, before, classes, named, sketches)
     return out
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
-    rows, row = numbered(id_text(docs))
-    out = linked(rows.withColumnRenamed(row, "row"), k, percent)
-    discard(rows)
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+    return linked(docs, k, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each group of near copies: of the smallest doc_id (null comes last), and of rows that repeat it one.
     Null and empty texts stay, all columns are kept, whatever their names; an empty table stays empty."""
-    rows, row = numbered(docs)
-    found = linked(id_text(rows, row).withColumnRenamed(row, "row"), k, percent)
-    first = found.where("component is not null and doc_id <=> component_id").groupBy("component").agg(F.min("row").alias("row"))
-    gone = found.where("component is not null").select("row").join(first.select("row").hint("merge"), "row", "left_anti")
-    return rows.join(gone.withColumnRenamed("row", row).hint("merge"), row, "left_anti").select(docs.columns)
+    found = linked(docs, k, percent).where("component is not null")
+    first = found.where("doc_id <=> component_id").groupBy("component").agg(F.min("row").alias("row"))
+    stay = found.join(first.select("row").hint("merge"), "row", "left_semi").select("doc_id", "th").withColumn("stays", F.lit(True))
+    own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    rows = docs.select(own.alias("k"), F.struct(*docs.columns).alias("d")).select("k.doc_id", "k.th", "d")
+    some = F.coalesce("d.text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    marked = rows.join(stay.hint("merge"), same_text(rows, stay), "left").select(rows["doc_id"], rows["th"], "d", "stays")
+    number = F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("stays"))
+    return marked.withColumn("nth", number).where(~some | (F.col("stays") & (F.col("nth") == 1))).select("d.*")
