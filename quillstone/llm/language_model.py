@@ -85,6 +85,11 @@ def narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint32 if not len(x) or int(x.max()) < 1 << 32 else np.uint64)
 
 
+def narrow_sort(x: np.ndarray) -> np.ndarray:
+    """Small whole numbers in 16 bits where they fit, which are sorted by their digits."""
+    return x.astype(np.uint16) if len(x) and int(x.max()) < 1 << 16 else x
+
+
 def steps(x: np.ndarray) -> np.ndarray:
     """Differences of a rising list."""
     return narrow(np.diff(x, prepend=x.dtype.type(0)))
@@ -102,6 +107,17 @@ def starts(*cols: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and the place of each value among them."""
+    order = np.argsort(x)
+    at = starts(x[order])
+    new = np.zeros(len(x), np.int64)
+    new[at] = 1
+    place = np.empty(len(x), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return x[order[at]], place
+
+
 def lengths(at: np.ndarray, n: int) -> np.ndarray:
     return np.diff(np.append(at, n))
 
@@ -288,11 +304,19 @@ STATE, VOCAB, TABLES, KEYS, REPLY, NUMBERS, ASKED, VALUES, SHARES, SUMS = range(
 # ---- blocks of documents
 
 
+class Vocabulary(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Block:
     """Documents of one block, until it is written."""
 
     def __init__(self):
-        self.vocab: dict[bytes, int] = {END: 0}
+        self.vocab = Vocabulary({END: 0})
         self.docs: list[tuple[int | None, bool]] = []
         self.ids: list[np.ndarray] = []
         self.size = 0
@@ -300,9 +324,8 @@ class Block:
     def add(self, doc: int | None, held: bool, text: str) -> None:
         words = text.encode().translate(LOWER).split()
         words.append(END)
-        vocab = self.vocab
         self.docs.append((doc, held))
-        self.ids.append(np.array([vocab.setdefault(w, len(vocab)) for w in words], np.int32))
+        self.ids.append(np.fromiter(map(self.vocab.__getitem__, words), np.int32, len(words)))
         self.size += len(text)
 
     def rows(self, block: int, homes: int) -> Iterator[tuple]:
@@ -357,7 +380,7 @@ def number(dest: int, got: list[tuple]) -> Iterator[tuple]:
     parts = [(o, *unpacked(b)) for _, o, b in got]
     got.clear()
     h = np.concatenate([np.cumsum(p[1], dtype=U64) for p in parts])
-    names, at = np.unique(h, return_inverse=True)
+    names, at = distinct(h)
     count = np.bincount(at, np.concatenate([p[2] for p in parts]), len(names)).astype(np.int64)
     slot = (names >> U64(52)).astype(np.int64)
     order = np.lexsort((names, -count, slot))
@@ -392,11 +415,11 @@ class Written:
         rank[order] = np.arange(len(order))
         known = (self.count[word] > 0) & (self.count[prev] > 0)
         v = len(order)
-        pair, inv = np.unique(rank[prev[known]] * v + rank[word[known]], return_inverse=True)
+        pair, inv = distinct(rank[prev[known]] * v + rank[word[known]])
         u, w = order[pair // max(v, 1)], order[pair % max(v, 1)]
         n = np.bincount(inv[~held[known]], minlength=len(pair))
         r = range_of(self.num[u], self.num[w], self.count[u], ranges, split)
-        by = np.argsort(r, kind="stable")
+        by = np.argsort(narrow_sort(r), kind="stable")
         back = np.empty(len(by), np.int64)
         back[by] = np.arange(len(by))
         key = np.full(len(word), -1)
@@ -450,13 +473,14 @@ class Range:
             k = n > 0
             parts.append((u[k], w[k], n[k].astype(np.int64)))
         u, w, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        contexts, words = np.unique(u), np.unique(w)
-        pair = np.searchsorted(contexts, u) * max(1, len(words)) + np.searchsorted(words, w)
+        contexts, most = np.unique(u), int(w.max(initial=0)) + 1
+        pair = np.searchsorted(contexts, u) * most + w
         order = np.argsort(pair, kind="stable")  # the parts are sorted runs
         pair = pair[order]
         at = starts(pair)
         c = np.add.reduceat(n[order], at) if len(at) else n
-        context, word = np.divmod(pair[at], max(1, len(words)))
+        context, w = np.divmod(pair[at], most)
+        words, word = distinct(w)
         return Range(packed(steps(contexts), narrow(np.bincount(context, minlength=len(contexts))), steps(words), narrow(word), narrow(c)))
 
     @staticmethod
@@ -647,16 +671,18 @@ def score_documents(docs: DataFrame, held=None, split: int = SPLIT) -> DataFrame
 
     def answer_keys(dest: int, got: list[tuple]) -> Iterator[tuple]:
         r = Range.read(got.pop(0)[2])
-        own, values = r.context * max(1, len(r.words)) + r.word, [r.dishes.c, *r.seatings()]
+        values, num = [r.dishes.c, *r.seatings()], r.words[r.word]
+        most = int(r.words.max(initial=0)) + 1
+        own = r.context * most + num
         while got:
             _, o, b = got.pop(0)
             u, w, _ = pairs_unpacked(b)
             if not len(own):
                 yield VALUES, o, dest, packed(*[np.zeros(len(u), np.uint32)] * (1 + KEPT)), None
                 continue
-            iu, iw = (np.minimum(np.searchsorted(x, y), len(x) - 1) for x, y in ((r.contexts, u), (r.words, w)))
-            at = np.minimum(np.searchsorted(own, iu * len(r.words) + iw), len(own) - 1)
-            hit = (r.contexts[r.context[at]] == u) & (r.words[r.word[at]] == w)
+            context = np.minimum(np.searchsorted(r.contexts, u), len(r.contexts) - 1)
+            at = np.minimum(np.searchsorted(own, context * most + w), len(own) - 1)
+            hit = (r.contexts[r.context[at]] == u) & (num[at] == w)
             yield VALUES, o, dest, packed(*(narrow(np.where(hit, x[at], 0)) for x in values)), None
 
     def answer_words(dest: int, got: list[tuple]) -> Iterator[tuple]:
@@ -680,13 +706,14 @@ def score_documents(docs: DataFrame, held=None, split: int = SPLIT) -> DataFrame
             word_values = [np.concatenate(x) for x in zip(*(unpacked(v) for k, _, v in got if k == SHARES), strict=True)]
             got.clear()
             *_, key, word, prev = b.keys(ranges, split)
-            p = np.zeros(len(word))
+            p, seated = np.zeros(len(word)), np.zeros(len(own[0]))
             for share, tables, t in zip(word_values[:KEPT], word_values[KEPT:], own[1:], strict=True):
-                seated = np.maximum(own[0] - shape.discount * t, 0)
-                p += np.where(key >= 0, seated[np.maximum(key, 0)], 0) + (THETA + shape.discount * tables[prev]) * share.astype(float)[word]
-            logp = np.log10(p / KEPT / (THETA + b.count[prev]))
+                seated += np.maximum(own[0] - shape.discount * t, 0)
+                p += (THETA + shape.discount * tables)[prev] * share.astype(float)[word]
+            p += np.append(seated, 0)[key]  # key -1 finds the last one
+            logp = np.log10(p / (KEPT * (THETA + b.count))[prev])
             count = b.count[word]
-            base = np.log10((count + 1) / (tokens + words + 1))
+            base = np.log10((b.count + 1) / (tokens + words + 1))[word]
             at = np.cumsum(b.lens) - b.lens
             cols = [
                 pa.array(b.ids, mask=(b.flags & 2) > 0),
