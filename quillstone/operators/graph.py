@@ -94,18 +94,44 @@ def reach(edges: DataFrame, start: DataFrame, depth: int = 50) -> DataFrame:
     return seen
 
 
-def in_cycle(edges: DataFrame, rounds: int = 1000) -> DataFrame:
-    """Nodes that can lie on a cycle: those that survive peeling nodes without a way in or a way out."""
-    left = materialize(edges.select("src", "dst").distinct())
-    n = left.count()
-    for _ in range(rounds):
-        new = materialize(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+def trim(edges: DataFrame) -> DataFrame:
+    """Edges between nodes with a way in and a way out, until none other is left."""
+    left, n = edges, -1
+    while True:
+        ins, outs = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
+        new = materialize(left.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst"))
         m = new.count()
-        left = new
-        if m == n:
-            break
-        n = m
-    return left.select(F.col("src").alias("node")).distinct()
+        if m == n or not m:
+            return new
+        left, n = new, m
+
+
+def in_cycle(edges: DataFrame) -> DataFrame:
+    """Nodes on a cycle: strongly connected components by forward and backward colouring. The largest node that reaches
+    a node colours it; of the nodes of one colour, those that reach the node it is named after are its component."""
+    found, left = edges.select(F.col("src").alias("node")).limit(0), trim(edges.select("src", "dst").distinct())
+    while left.limit(1).count():
+        color = materialize(left.select(F.col("src").alias("node")).distinct().withColumn("color", F.col("node")))
+        while True:
+            into = left.join(color, left["src"] == color["node"]).groupBy("dst").agg(F.max("color").alias("into"))
+            new = materialize(color.join(into, color["node"] == into["dst"], "left").select("node", F.greatest("color", F.coalesce("into", "color")).alias("color"), F.col("color").alias("old")))
+            color = new.select("node", "color")
+            if not new.where("color <> old").limit(1).count():
+                break
+        ends = left.join(color.toDF("src", "a"), "src").join(color.toDF("dst", "b"), "dst")
+        same = materialize(ends.where("a = b").select("src", "dst", "a"))
+        seen = front = materialize(color.where("node = color").select("node"))
+        while front.limit(1).count():
+            back = same.join(front.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+            front = materialize(back.join(seen, "node", "left_anti"))
+            seen = materialize(seen.unionAll(front))
+        sizes = color.join(seen, "node", "left_semi").groupBy("color").agg(F.count("*").alias("n"))
+        loops = same.where("src = dst").select(F.col("src").alias("node")).distinct()
+        many = color.join(seen, "node", "left_semi").join(sizes.where("n > 1"), "color", "left_semi").select("node")
+        found = materialize(found.unionAll(many).unionAll(loops.join(seen, "node", "left_semi")).distinct())
+        rest = left.join(seen.withColumnRenamed("node", "src"), "src", "left_anti").join(seen.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        left = trim(rest.select("src", "dst"))
+    return found
 
 
 def churn(log: DataFrame) -> DataFrame:

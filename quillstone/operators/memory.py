@@ -90,8 +90,8 @@ def hybrid_evict(entries: DataFrame, window: int, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by)
     lo, span = F.min("ts_ms").over(w), F.max("ts_ms").over(w) - F.min("ts_ms").over(w)
     recency = (F.col("ts_ms") - lo) / F.when(span == 0, 1).otherwise(span)
-    h = entries.withColumn("hybrid", F.round(F.when(F.col("critical"), 2.0).otherwise(0.4 * recency + 0.6 * F.col("score")), 9))
-    return h.withColumn("kept", F.row_number().over(w.orderBy(F.desc("hybrid"), F.desc("ts_ms"), "pos")) <= window)
+    h = entries.withColumn("hybrid", F.when(F.col("critical"), 2.0).otherwise(0.4 * recency + 0.6 * F.col("score")))
+    return h.withColumn("kept", F.row_number().over(w.orderBy(F.desc(F.round("hybrid", 9)), F.desc("ts_ms"), "pos")) <= window)
 
 
 def query(entries: DataFrame, state: str | None = None, low: float | None = None, high: float | None = None, critical: bool | None = None, tags: list[str] | None = None, limit: int = 0, offset: int = 0) -> DataFrame:
@@ -141,13 +141,25 @@ def cosine_pairs(entries: DataFrame, threshold: float = 0.85, content: str = "co
     before = F.aggregate(sq, F.array(F.lit(0.0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
     vec = vec.withColumn("before", before)
     prefix = F.filter(F.transform("v", lambda x, i: F.struct(x["term"].alias("term"), x["df"].alias("df"), (1 - F.col("before")[i] / (F.col("norm") * F.col("norm"))).alias("left"))), lambda x: (x["df"] > 1) & (x["left"] >= threshold * threshold - 1e-9))
-    p = vec.select("id", F.explode(F.transform(prefix, lambda x: x["term"])).alias("term"))
-    cand = p.alias("a").join(p.alias("b"), (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct()
-    m = vec.select("id", "norm", F.map_from_entries(F.transform("v", lambda x: F.struct(x["term"], x["c"]))).alias("m"))
-    a, b = m.toDF("i", "norm_i", "m_i"), m.toDF("j", "norm_j", "m_j")
-    dot = F.aggregate(F.map_entries("m_i"), F.lit(0).cast("long"), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at("m_j", e["key"]), F.lit(0)))
-    sim = cand.join(a, "i").join(b, "j").select("i", "j", (dot / (F.col("norm_i") * F.col("norm_j"))).alias("similarity"))
-    return sim.where(F.col("similarity") >= threshold)
+    by_hash = F.array_sort(F.transform("v", lambda x: F.struct(F.xxhash64(x["term"]).alias("h"), x["c"].cast("double").alias("c"))))
+    vec = materialize(vec.select("id", "norm", F.transform(prefix, lambda x: x["term"]).alias("prefix"), F.transform(by_hash, lambda x: x["h"]).alias("t"), F.transform(by_hash, lambda x: x["c"]).alias("c")))
+    p = vec.select("id", F.explode("prefix").alias("term"))
+    near = (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id"))
+    cand = p.alias("a").join(p.alias("b"), near).select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct()
+    both = cand.join(vec.select(F.col("id").alias("i"), F.col("norm").alias("norm_i"), F.col("t").alias("t_i"), F.col("c").alias("c_i")), "i").join(vec.select(F.col("id").alias("j"), F.col("norm").alias("norm_j"), F.col("t").alias("t_j"), F.col("c").alias("c_j")), "j")
+
+    def cosines(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            cols = {k: batch.column(k) for k in ("t_i", "c_i", "t_j", "c_j")}
+            dots = []
+            for t, c, u, d in zip(*(cols[k] for k in ("t_i", "c_i", "t_j", "c_j")), strict=True):
+                _, x, y = np.intersect1d(t.values.to_numpy(), u.values.to_numpy(), assume_unique=True, return_indices=True)
+                dots.append(float(c.values.to_numpy()[x] @ d.values.to_numpy()[y]))
+            sim = np.array(dots) / (batch.column("norm_i").to_numpy() * batch.column("norm_j").to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("j"), pa.array(sim, pa.float64())], ["i", "j", "similarity"])
+
+    kind = entries.schema["id"].dataType.simpleString()
+    return both.select("i", "j", "norm_i", "norm_j", "t_i", "c_i", "t_j", "c_j").mapInArrow(cosines, f"i {kind}, j {kind}, similarity double").where(F.col("similarity") >= threshold)
 
 
 def fold_exact(entries: DataFrame, content: str = "content") -> DataFrame:
@@ -226,20 +238,40 @@ def cosine_pairs_blocked(entries: DataFrame, threshold: float = 0.85, content: s
     return dealt.mapInArrow(compare, "i long, j long, similarity double")
 
 
+def pair_components(pairs: DataFrame) -> DataFrame:
+    """(v, comp): the smallest end that each end of a pair is connected with, by minimum propagation and pointer jumping."""
+    both = materialize(pairs.select(F.col("i").alias("x"), F.col("j").alias("y")).unionAll(pairs.select("j", "i")))
+    comp = materialize(both.groupBy(F.col("x").alias("v")).agg(F.least(F.min("y"), F.first("x")).alias("comp")))
+    while True:
+        near = both.join(comp, both["y"] == comp["v"]).groupBy(F.col("x").alias("v")).agg(F.min("comp").alias("near"))
+        low = comp.join(near, "v").select("v", F.col("comp").alias("old"), F.least("comp", "near").alias("low"))
+        new = materialize(low.join(comp.toDF("low", "next"), "low").select("v", F.least("low", "next").alias("comp"), "old"))
+        comp = new.select("v", "comp")
+        if not new.where("comp <> old").limit(1).count():
+            return comp
+
+
 def greedy_pairs(pairs: DataFrame) -> DataFrame:
-    """Greedy matching in (i, j) order: a pair is taken if both ends are free. Only pairs that are first for both
-    of their free ends are taken in a round, which equals the sequential pass; rounds end when no pair is left."""
-    from quillstone.operators.store import materialize
-
-    out, left = None, materialize(pairs.select("i", "j"))
-    while left.limit(1).count():
-        ends = left.select(F.col("i").alias("v"), "i", "j").unionAll(left.select(F.col("j").alias("v"), "i", "j"))
-        first = ends.groupBy("v").agg(F.min(F.struct("i", "j")).alias("f"))
-        taken = materialize(left.join(first.select(F.col("v").alias("i"), F.col("f").alias("fi")), "i").join(first.select(F.col("v").alias("j"), F.col("f").alias("fj")), "j").where((F.col("fi") == F.struct("i", "j")) & (F.col("fj") == F.struct("i", "j"))).select("i", "j"))
-        out = taken if out is None else out.unionAll(taken)
-        used = taken.select(F.explode(F.array("i", "j")).alias("v"))
-        left = materialize(left.join(used.withColumnRenamed("v", "i"), "i", "left_anti").join(used.withColumnRenamed("v", "j"), "j", "left_anti").select("i", "j"))
-    return pairs.limit(0).select("i", "j") if out is None else out
+    """Greedy matching in (i, j) order: a pair is taken if both ends are free. Pairs that share no end do not touch each
+    other, so each component is passed through in order, streamed from a sorted partition."""
+    pairs = materialize(pairs.select("i", "j"))
+    rows = pairs.join(pair_components(pairs).withColumnRenamed("v", "i"), "i").select("comp", "i", "j")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        comp, used = None, set()
+        for b in it:
+            out = []
+            for c, i, j in zip(*(b.column(k).to_pylist() for k in ("comp", "i", "j")), strict=True):
+                if c != comp:
+                    comp, used = c, set()
+                if i not in used and j not in used:
+                    used |= {i, j}
+                    out.append((i, j))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, b.schema.field("i").type) for x in zip(*out, strict=True)], ["i", "j"])
+
+    kind, n = pairs.schema["i"].dataType.simpleString(), int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "comp").sortWithinPartitions("comp", "i", "j").mapInArrow(run, f"i {kind}, j {kind}")
 
 
 def merge_groups(entries: DataFrame, group: str) -> DataFrame:

@@ -139,14 +139,18 @@ def layer_scores(checks: DataFrame) -> DataFrame:
     return g.withColumn("score", s).withColumn("grade", Q.layer_grade(F.col("score"), F.col("weight")))
 
 
-#: Fixed values: (cap, rules that must all be present; rule:severities where they matter; L1: any rule of layer 1).
-SECURE_CAPS = [(34, ["SEC-MC-007:high"]), (49, ["SEC-INJ-001"]), (69, ["SEC-CR-002:critical"]), (74, ["*:critical"])]
+#: Fixed values: (cap, rules that must all be present; rule:severities where they matter; L1: any rule of layer 1; ~word: in the title).
+SECURE_CAPS = [(14, ["SEC-CR-002~default:critical"]), (34, ["SEC-MC-007:high"]), (49, ["SEC-INJ-001"]), (69, ["SEC-CR-002:critical"]), (74, ["*:critical"])]
 COMPLY_CAPS = [(14, ["L1:critical,high", "CMP-CN-004:high"]), (34, ["CMP-CN-001"]), (49, ["CMP-DR-002"]), (49, ["CMP-PD-010", "CMP-DP-001"]), (69, ["CMP-CN-005"]), (74, ["*:critical"])]
 
 
 def capped_total(scores: DataFrame, findings: DataFrame, caps: list[tuple[int, list[str]]]) -> DataFrame:
     def present(spec: str):
         rule, _, sev = spec.partition(":")
+        rule, _, word = rule.partition("~")
+        if word:
+            title = F.lower("title").contains(word) if "title" in findings.columns else F.lit(False)
+            return F.coalesce(F.max(F.col("rule_id").contains(rule) & title & F.col("severity").isin(sev.split(","))), F.lit(False))
         c = F.lit(True) if rule == "*" else F.col("layer") == int(rule[1:]) if rule[1:].isdigit() else F.col("rule_id") == rule
         return F.coalesce(F.max(c & (F.col("severity").isin(sev.split(",")) if sev else F.lit(True))), F.lit(False))
 
@@ -201,6 +205,20 @@ def parse_ignore(text: str) -> list[tuple[str, list[str]]]:
     return out
 
 
+def suppressed(findings: DataFrame, rules: list[tuple[str, list[str]]]) -> DataFrame:
+    """Findings that no (glob, rule ids; empty: every rule) of an ignore file takes back. A finding without a path stays."""
+    for glob, ids in rules:
+        hit = F.coalesce(F.col("path").rlike(Q.glob_to_regex(glob)), F.lit(False))
+        findings = findings.where(~(hit & F.col("rule_id").isin(ids)) if ids else ~hit)
+    return findings
+
+
+def line_suppressed(findings: DataFrame, files: DataFrame, marker: str) -> DataFrame:
+    """Findings (path, line) but those whose previous line holds the marker; one join by path."""
+    marks = files.select("path", F.posexplode(F.split("content", "\n"))).where(F.col("col").contains(marker)).select("path", (F.col("pos") + 2).alias("line"))
+    return findings.join(marks, ["path", "line"], "left_anti").select(findings.columns)
+
+
 def attack_surface(files: DataFrame, content: str = "content") -> DataFrame:
     t = F.coalesce(F.col(content), F.lit(""))
     n = lambda p: F.sum(F.regexp_count(t, F.lit(p)))

@@ -76,7 +76,26 @@ def debt_stats(debts: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def insert_debt(debts: DataFrame, rows: DataFrame, now: Column) -> DataFrame:
+    """Debts with new ones (description, due, severity, token_cost, files) added as open, each under a random id of eight digits."""
+    new = rows.withColumns({"id": F.substring(F.uuid(), 1, 8), "created_at": now, "status": F.lit("open")})
+    return debts.unionByName(new, allowMissingColumns=True)
+
+
+def require(debts: DataFrame, id_: str) -> None:
+    if not debts.where(F.col("id") == id_).limit(1).count():
+        raise KeyError(f"no debt {id_}")
+
+
+def start_debt(debts: DataFrame, id_: str) -> DataFrame:
+    """The debt is being worked on; an unknown id is an error."""
+    require(debts, id_)
+    return debts.withColumn("status", F.when(F.col("id") == id_, "in_progress").otherwise(F.col("status")))
+
+
 def resolve_debt(debts: DataFrame, id_: str, resolved_at: Column, tokens: int | None = None) -> DataFrame:
+    """The debt is paid; an unknown id is an error."""
+    require(debts, id_)
     hit = F.col("id") == id_
     return debts.withColumns({"status": F.when(hit, "resolved").otherwise(F.col("status")), "resolved_at": F.when(hit, resolved_at).otherwise(F.col("resolved_at")), "resolution_tokens": F.when(hit, F.lit(tokens)).otherwise(F.col("resolution_tokens"))})
 

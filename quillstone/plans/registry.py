@@ -133,8 +133,8 @@ def ttl_compact(t):
 
 
 @query(f"""WITH {EV}, w AS (SELECT *, min(ts_ms) OVER (PARTITION BY user_id) AS lo, max(ts_ms) OVER (PARTITION BY user_id) AS hi FROM e),
-h AS (SELECT id, user_id, ts_ms, round(CASE WHEN critical THEN 2.0 ELSE 0.4 * ((ts_ms - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END) + 0.6 * score END, 9) AS hybrid FROM w)
-SELECT id, round(hybrid, 6) AS hybrid, row_number() OVER (PARTITION BY user_id ORDER BY hybrid DESC, ts_ms DESC, id) <= 20 AS kept FROM h""")
+h AS (SELECT id, user_id, ts_ms, CASE WHEN critical THEN 2.0 ELSE 0.4 * ((ts_ms - lo) / CASE WHEN hi = lo THEN 1 ELSE hi - lo END) + 0.6 * score END AS hybrid FROM w)
+SELECT id, round(hybrid, 6) AS hybrid, row_number() OVER (PARTITION BY user_id ORDER BY round(hybrid, 9) DESC, ts_ms DESC, id) <= 20 AS kept FROM h""")
 def hybrid_eviction(t):
     return memory.hybrid_evict(event_entries(t), 20, ["user_id"]).select("id", F.round("hybrid", 6).alias("hybrid"), "kept")
 
@@ -458,10 +458,11 @@ def plan_verify(t):
     return store.plan_verify(t("lineitem").select(F.col("l_orderkey").alias("plan_id"), st.alias("status"), F.floor("l_quantity").alias("estimated")))
 
 
-@query("SELECT user_id, event_type, greatest(500, floor(CASE event_type WHEN 'click' THEN 3000 ELSE 3000 END * CASE WHEN s > 500000 THEN 0.33 WHEN s > 300000 THEN 0.5 WHEN s > 100000 THEN 0.75 ELSE 1.0 END))::BIGINT AS threshold FROM (SELECT user_id, event_type, sum(floor(value * 1000)) AS s FROM events GROUP BY ALL)")
+@query("SELECT user_id, event_type, greatest(500, floor(CASE event_type WHEN 'click' THEN 2500 WHEN 'view' THEN 2000 WHEN 'error' THEN 1000 WHEN 'purchase' THEN 1500 ELSE 3000 END * CASE WHEN s > 500000 THEN 0.33 WHEN s > 300000 THEN 0.5 WHEN s > 100000 THEN 0.75 ELSE 1.0 END))::BIGINT AS threshold FROM (SELECT user_id, event_type, sum(floor(value * 1000)) AS s FROM events GROUP BY ALL)")
 def adaptive_threshold(t):
     s = t("events").groupBy("user_id", "event_type").agg(F.sum(F.floor(F.col("value") * 1000)).alias("s"))
-    return s.select("user_id", "event_type", Q.adaptive_threshold(F.col("event_type"), F.col("s")).alias("threshold"))
+    tool = F.create_map(*[F.lit(x) for kv in (("click", "Read"), ("view", "Bash"), ("error", "WebSearch"), ("purchase", "Glob")) for x in kv])[F.col("event_type")]
+    return s.select("user_id", "event_type", Q.adaptive_threshold(F.coalesce(tool, F.lit("other")), F.col("s")).alias("threshold"))
 
 
 @query(r"SELECT sum(len(regexp_extract_all(html, '(?i)(?:app|router)\.(get|post|put|patch|delete)\s*\(')))::BIGINT AS endpoints, sum(len(regexp_extract_all(html, '(?i)(?:req\.body|req\.query|req\.params|req\.files|formData)')))::BIGINT AS inputs FROM pages")

@@ -99,8 +99,8 @@ def source_tree(spark: SparkSession, root: str, extensions: str = SOURCE_EXT, ma
 
 
 def git_log(df: DataFrame, text: str) -> DataFrame:
-    """(hash, date, file) from ``hash|date`` header lines followed by file names. One log is one group."""
-    x = lines(df.withColumn("_k", F.lit(1)), text, "_k", keep_blank=False)
+    """(hash, date, file) from ``hash|date`` header lines followed by file names. Each row is a log of its own and one group."""
+    x = lines(df.select(text).withColumn("_k", F.monotonically_increasing_id()), text, "_k", keep_blank=False)
     head = F.regexp_extract("content", r"^([0-9a-f]{7,40})\|(.+)$", 1)
     w = Window.partitionBy("_k").orderBy("line")
     x = x.withColumn("hash", F.last(F.nullif(head, F.lit("")), ignorenulls=True).over(w)).withColumn("date", F.last(F.nullif(F.regexp_extract("content", r"^([0-9a-f]{7,40})\|(.+)$", 2), F.lit("")), ignorenulls=True).over(w))

@@ -1,6 +1,7 @@
 """Known cases of the operators."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +111,60 @@ def test_git_log(spark):
     assert {r.file: r.churn for r in graph.churn(got).collect()} == {"a.ts": 2, "b.ts": 1}
 
 
+def test_git_logs_of_several_rows(spark):
+    logs = [("abcdef1|2024-01-01\na.ts\nb.ts\n",), ("abcdef2|2024-01-02\nc.ts\n",)]
+    got = sources.git_log(spark.createDataFrame(logs, "t string"), "t").collect()
+    assert sorted((r.hash, r.file) for r in got) == [("abcdef1", "a.ts"), ("abcdef1", "b.ts"), ("abcdef2", "c.ts")]
+
+
+def test_nodes_between_cycles_are_on_none(spark):
+    def cyc(pairs):
+        return {r.node for r in graph.in_cycle(spark.createDataFrame(pairs, "src string, dst string")).collect()}
+
+    assert cyc([("a", "b"), ("b", "a"), ("b", "m"), ("m", "c"), ("c", "d"), ("d", "c")]) == {"a", "b", "c", "d"}
+    assert cyc([("x", "x"), ("x", "y"), ("y", "z"), ("z", "w")]) == {"x"}
+    rng = random.Random(6)
+    pairs = [(str(rng.randrange(40)), str(rng.randrange(40))) for _ in range(60)]
+    reach = {n: {n} for p in pairs for n in p}
+    after = {n: {b for a, b in pairs if a == n} for n in reach}
+    for n in reach:
+        todo = list(after[n])
+        reach[n] = set()
+        while todo:
+            x = todo.pop()
+            if x not in reach[n]:
+                reach[n].add(x)
+                todo += after[x]
+    assert cyc(pairs) == {n for n in reach if n in reach[n]}
+
+
+def test_suppression(spark):
+    f = spark.createDataFrame([("src/a.ts", "R-001", 2), ("src/a.ts", "R-002", 3), ("lib/b.ts", "R-001", 1), (None, "R-001", 0)], "path string, rule_id string, line int")
+    rule_list = rules.parse_ignore("src/** R-001\n# note\nlib/**\n")
+    assert sorted((r.path or "", r.rule_id) for r in rules.suppressed(f, rule_list).collect()) == [("", "R-001"), ("src/a.ts", "R-002")]
+    files = spark.createDataFrame([("src/a.ts", "x\n// skip-next\nbad()\n")], "path string, content string")
+    assert sorted((r.path or "", r.line) for r in rules.line_suppressed(f, files, "skip-next").collect()) == [("", 0), ("lib/b.ts", 1), ("src/a.ts", 2)]
+
+
+def test_debts_are_inserted_started_and_resolved(spark):
+    none = spark.createDataFrame([], "id string, description string, due timestamp, severity string, token_cost long, files array<string>, created_at timestamp, status string, resolved_at timestamp, resolution_tokens long")
+    new = spark.sql("SELECT 'slow query' AS description, TIMESTAMP '2024-02-01' AS due, 'P1' AS severity, 500L AS token_cost, array('a.ts') AS files")
+    d = store.materialize(store.insert_debt(none, new, F.to_timestamp(F.lit("2024-01-01"))))
+    (r,) = d.collect()
+    assert len(r.id) == 8 and r.status == "open" and r.resolved_at is None
+    assert store.start_debt(d, r.id).first().status == "in_progress"
+    assert store.resolve_debt(d, r.id, F.current_timestamp(), 40).first().resolution_tokens == 40
+    with pytest.raises(KeyError):
+        store.start_debt(d, "nothing")
+
+
+def test_credentials_cap(spark):
+    scores = spark.createDataFrame([(100.0,)], "score double")
+    f = spark.createDataFrame([("SEC-CR-002", "critical", 1, "Default password")], "rule_id string, severity string, layer int, title string")
+    assert rules.capped_total(scores, f, rules.SECURE_CAPS).first().total == 14
+    assert rules.capped_total(scores, f.withColumn("title", F.lit("Key")), rules.SECURE_CAPS).first().total == 69
+
+
 def test_graph(spark):
     files = spark.createDataFrame([("src/utils/auth.ts", "export function validateToken() {}"), ("src/core/handler.ts", "import { validateToken } from '../utils/auth.js';\nexport const handleRequest = 1"), ("src/cli/app.ts", "import { handleRequest as h } from '../core/handler';\nexport default 1")], "path string, content string")
     e = graph.resolve(graph.imports(files), files)
