@@ -1,7 +1,8 @@
 r"""Chat formatting in budgeted windows.
 
-Prefix sums of turn tokens cut a conversation into turn-aligned spans; each window repeats the system
-turn and a limited history, and its loss mask covers only the assistant turns that are new in it.
+Prefix sums of turn tokens cut a conversation into turn-aligned spans; each window repeats the latest system
+turn and a limited history, and its loss mask covers only the assistant turns that are new in it. A system turn of more
+than half the budget is shown once and not repeated, so windows hold their new turns and a budget at most.
 
 Template of a turn: ``### <role>: <text></turn>\n``. In roles and texts a backslash is put before every
 backslash, ``#``, ``<`` and ``:``, so that no control string occurs inside them and unescaping is exact.
@@ -9,13 +10,15 @@ backslash, ``#``, ``<`` and ``:``, so that no control string occurs inside them
 Rows of one conversation are ordered by turn, then role, then text; a null turn comes first, a null role
 or text is the empty string, and repeated rows are separate turns. A turn longer than the budget stands
 alone in its window, whole. Rows stream through sorted partitions, so a conversation of any length needs
-the memory of one window.
+the memory of one window. An empty table gives an empty result; only conv_id, turn, role and text are read, whatever the
+other columns are called.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,41 +58,41 @@ def render(turns: list[tuple[str, str]], repeated: int) -> tuple[str, list[dict[
 
 
 class Windows:
-    """Windows of one conversation, given its turns in order; keeps the system turn, the history and the open span."""
+    """Windows of one conversation, given its turns in order; keeps the system turn, the history and the open span. Sizes of spans
+    are differences of prefix sums: turns a and later are shown, b and later are new."""
 
     def __init__(self, budget: int, history: int):
         self.budget, self.history = budget, history
-        self.system: list[tuple[str, str, int]] = []
-        self.past: list[tuple[str, str, int]] = []
-        self.new: list[tuple[str, str, int]] = []
-        self.first = True
+        self.system: tuple[str, str] | None = None
+        self.system_size, self.turns, self.sums, self.a, self.b = 0, [], [0], 0, 0
+
+    @property
+    def new(self) -> bool:
+        return self.b < len(self.turns)
 
     def add(self, role: str, text: str) -> Iterator[tuple[str, int, int, list]]:
-        turn = (role, text, tokens(role, text))
-        used = sum(t[2] for t in [*self.system, *self.past, *self.new])
-        if self.new and used + turn[2] > self.budget:
+        size = tokens(role, text)
+        room = self.budget - self.system_size - size
+        if self.new and self.sums[-1] - self.sums[self.a] > room:
             yield self.close()
-        if not self.new:
-            # give up the oldest history while the coming turn doesn't fit beside it
-            while self.past and sum(t[2] for t in [*self.system, *self.past]) + turn[2] > self.budget:
-                self.past.pop(0)
-        self.new.append(turn)
+            room = self.budget - self.system_size - size
+        if not self.new:  # give up the oldest history that doesn't fit beside the coming turn
+            self.a = min(self.b, max(self.a, bisect_left(self.sums, self.sums[-1] - max(0, room))))
+        self.turns.append((role, text))
+        self.sums.append(self.sums[-1] + size)
 
     def close(self) -> tuple[str, int, int, list]:
-        shown = [*self.system, *self.past, *self.new]
-        repeated = len(self.system) + len(self.past)
-        text, loss = render([t[:2] for t in shown], repeated)
-        tail = [*self.past, *self.new]
-        if self.first and self.new[0][0] == SYSTEM:
-            self.system, tail = [self.new[0]], tail[1:]
-        self.first = False
-        size, keep = 0, []
-        for t in reversed(tail):
-            size += t[2]
-            if size > self.history:
-                break
-            keep.append(t)
-        self.past, self.new = keep[::-1], []
+        shown = [*([self.system] if self.system else []), *self.turns[self.a :]]
+        repeated = len(shown) - (len(self.turns) - self.b)
+        text, loss = render(shown, repeated)
+        last = next((i for i in range(len(self.turns) - 1, self.b - 1, -1) if self.turns[i][0] == SYSTEM), None)
+        if last is not None:  # repeated from now on instead of the one before, unless it would fill the windows
+            size = self.sums[last + 1] - self.sums[last]
+            self.system, self.system_size = (self.turns[last], size) if size <= self.budget // 2 else (None, 0)
+            self.a = last + 1
+        keep = max(self.a, bisect_left(self.sums, self.sums[-1] - self.history))
+        self.turns, self.sums = self.turns[keep:], self.sums[keep:]
+        self.a, self.b = 0, len(self.turns)
         return text, repeated, len(shown), loss
 
 
