@@ -65,12 +65,29 @@ _ISC_TAIL = (
     "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
     "THIS SOFTWARE."
 )
-#: Whole licence texts.
-LICENSES = {
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+_MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
     'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
     "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
-    "persons to whom the Software is furnished to do so, subject to the following conditions:\n"
+    "persons to whom the Software is furnished to do so"
+)
+
+
+def _gnu(name: str, where: str, version: str, later: bool) -> str:
+    """The notice that a file under a GNU licence of version 2 or 3 carries."""
+    what = f"the terms of the GNU {name} as published by the Free Software Foundation"
+    terms = f"{what}, either version {version} of the License, or (at your option) any later version." if later else f"{what}, version {version}."
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under {terms}\n"
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+        f"warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details.\n"
+        f"You should have received a copy of the GNU {name} along with this program. If not, see {where}."
+    )
+
+
+#: Whole licence texts, and notices of files where the licence itself is longer.
+LICENSES = {
+    "MIT": _MIT_GRANT + ", subject to the following conditions:\n"
     "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the "
     "Software.\n" + _WARRANTY,
     "BSD-2-Clause": _BSD_HEAD + _BSD_TAIL,
@@ -91,6 +108,44 @@ LICENSES = {
     "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
     "governing permissions and limitations under the License.",
 }
+LICENSES |= {
+    "MIT-0": _MIT_GRANT + ".\n" + _WARRANTY,
+    "X11": _MIT_GRANT + ", subject to the following conditions:\nThe above copyright notice and this permission notice shall be "
+    "included in all copies or substantial portions of the Software.\n" + _WARRANTY.replace("AUTHORS OR COPYRIGHT HOLDERS", "X CONSORTIUM")
+    + "\nExcept as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote "
+    "the sale, use or other dealings in this Software without prior written authorization from the X Consortium.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\nAnyone is free to copy, modify, publish, "
+    "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+    "commercial or non-commercial, and by any means.\nIn jurisdictions that recognize copyright laws, the author or authors of this "
+    "software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit "
+    "of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of "
+    "relinquishment in perpetuity of all present and future rights to this software under copyright law.\n"
+    + _WARRANTY.replace("AUTHORS OR COPYRIGHT HOLDERS", "AUTHORS") + "\nFor more information, please refer to <https://unlicense.org/>",
+    "BSL-1.0": "Boost Software License - Version 1.0 - August 17th, 2003\nPermission is hereby granted, free of charge, to any person or "
+    'organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, '
+    "reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to "
+    "permit third-parties to whom the Software is furnished to do so, all subject to the following:\nThe copyright notices in the "
+    "Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be "
+    "included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or "
+    "derivative works are solely in the form of machine-executable object code generated by a source language processor.\n"
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES '
+    "OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR "
+    "ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING "
+    "FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "WTFPL": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nVersion 2, December 2004\nCopyright (C) 2004 Sam Hocevar\nEveryone is permitted to "
+    "copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is "
+    "changed.\nDO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION\n"
+    "0. You just DO WHAT THE FUCK YOU WANT TO.",
+    "FSFAP": "Copying and distribution of this file, with or without modification, are permitted in any medium without royalty provided "
+    "the copyright notice and this notice are preserved. This file is offered as-is, without any warranty.",
+    "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+    "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "GPL-2.0-or-later-header": _gnu("General Public License", "<https://www.gnu.org/licenses/>", "2", True),
+    "GPL-3.0-or-later-header": _gnu("General Public License", "<https://www.gnu.org/licenses/>", "3", True),
+    "GPL-3.0-only-header": _gnu("General Public License", "<https://www.gnu.org/licenses/>", "3", False),
+    "AGPL-3.0-or-later-header": _gnu("Affero General Public License", "<https://www.gnu.org/licenses/>", "3", True),
+    "LGPL-3.0-or-later-header": _gnu("Lesser General Public License", "<https://www.gnu.org/licenses/>", "3", True),
+}
 LICENSES |= {f"{k}-titled": f"{t}\n{LICENSES[k]}" for k, t in {"MIT": "MIT License", "ISC": "ISC License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License"}.items()}
 #: One-line notices.
 NOTICES = {
@@ -134,7 +189,6 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     known = spark.createDataFrame([(digest(t), k.removesuffix("-titled")) for k, t in LICENSES.items()], "digest string, license_id string")
     text = F.coalesce(F.col("text"), F.lit(""))
-    # a notice line has at most this many characters before normalisation; longer lines are not looked up
     notice = F.create_map(*[F.lit(x) for k, t in NOTICES.items() for x in (canonical(t), k)])
     # regexp_like is a plain scan; only lines with a licence word are normalised
     lines = F.filter(F.split(F.translate(text, UPPER, LOWERED), "\n"), lambda x: x.contains("licens") | x.contains("licenc") | x.contains("released"))

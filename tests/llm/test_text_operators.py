@@ -168,6 +168,26 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_every_licence_is_found_by_its_digest(spark):
+    """As a whole text in another layout: case, line breaks, punctuation, copyright lines and spellings."""
+    import duckdb
+
+    assert len({licenses.digest(t) for t in licenses.LICENSES.values()}) == len(licenses.LICENSES) > 20
+    rows, want = [], {}
+    for i, (name, t) in enumerate(licenses.LICENSES.items()):
+        t = t.upper().replace("LICENSE", "LICENCE").replace(". ", ".\n    ").replace(",", " ,")
+        rows.append((i, f"Copyright (c) 2020 Somebody\n  {t}\n\n"))
+        want[i] = name.removesuffix("-titled")
+        rows.append((100 + i, rows[-1][1] + "and a word"))
+    rows += odd_rows()[:4]
+    d = docs(spark, [(x if t is not None else 900, t) for x, t in rows])
+    got = licenses.scan_licenses(d).collect()
+    assert {r.doc_id: r.license_id for r in got if r.license_id} == want
+    documents = d.select("doc_id", "text").toPandas()  # noqa: F841
+    sql = duckdb.sql(licenses.oracle()).fetchall()
+    assert sorted(map(repr, sql)) == sorted(repr((r.doc_id, r.digest, r.license_id, r.notices)) for r in got)
+
+
 def test_word_memo_gives_the_tokenizers_ids():
     tok = packing.Tokenizer()
     samples = ["", "Hello, world's  end!", "É́ Ünïcode x y \x1c z", "ΑΣ ΑΣΑ ȧ İ", "<|endoftext|> a", "x" * 3000, "tab\tnew\nline 12345 don't", " \n"]
