@@ -47,7 +47,7 @@ from quillstone.llm.common import BATCH_BYTES, LOWER, discard, id_text, material
 SWEEPS, KEPT = 5, 3
 BLOCK_BYTES = 8 << 20
 #: Fixed numbers of slots of word hashes; customers of one part of a context; tokens of one range; customers seated together.
-SLOTS, SPLIT, RANGE_TOKENS, CHUNK = 4096, 1 << 22, 1 << 22, 1 << 19
+SLOTS, SPLIT, RANGE_TOKENS, CHUNK = 4096, 1 << 22, 1 << 22, 1 << 16
 HOME_BYTES, LEAST_TOKENS = 4 << 20, 1 << 18
 THETA = 1.0
 END = b" "
@@ -418,7 +418,10 @@ class Written:
         pair, inv = distinct(rank[prev[known]] * v + rank[word[known]])
         u, w = order[pair // max(v, 1)], order[pair % max(v, 1)]
         n = np.bincount(inv[~held[known]], minlength=len(pair))
-        r = range_of(self.num[u], self.num[w], self.count[u], ranges, split)
+        r = range_of(self.num, np.zeros(1, np.int64), ranges)[u]
+        hot = np.flatnonzero(self.count[u] >= split)
+        part = keyed(self.num[w[hot]], 5) % (1 + self.count[u[hot]] // split).astype(U64)
+        r[hot] = range_of(self.num[u[hot]], part, ranges)
         by = np.argsort(narrow_sort(r), kind="stable")
         back = np.empty(len(by), np.int64)
         back[by] = np.arange(len(by))
@@ -427,9 +430,8 @@ class Written:
         return r[by], self.num[u][by], self.num[w][by], n[by], key, word, prev
 
 
-def range_of(u: np.ndarray, w: np.ndarray, count: np.ndarray, ranges: int, split: int) -> np.ndarray:
-    """Range of a key: by context, and by word too in a context of ``split`` customers or more."""
-    part = keyed(w, 5) % (1 + count // split).astype(U64)
+def range_of(u: np.ndarray, part: np.ndarray, ranges: int) -> np.ndarray:
+    """Range of the keys of a context's part: 0, but in a context of ``split`` customers or more, which is dealt by word too."""
     return (keyed(u, part, 6) % U64(ranges)).astype(np.int64)
 
 
