@@ -15,23 +15,27 @@ from quillstone.llm.quality_rules import fit_crf, keep_quality, training_rows
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule or the line labelling rejects go."""
+    """Documents that the base rule or the line labelling rejects go, with them null and empty texts."""
     return keep_quality(docs, fit_crf(training_rows(docs, table(spark, sf_dir, "labels"))))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies stays (five-word shingles, similarity of 0.8), also of rows of an equal or no doc_id."""
     return drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold a benchmark passage go; null and empty texts hold none."""
     return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row stays; personal data in its text is replaced by its kind."""
     return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences; a null text is the empty text and one end token."""
     return pack(docs)
 
 
