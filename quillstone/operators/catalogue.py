@@ -158,5 +158,7 @@ GDPR = ["Art. 5", "Art. 6", "Art. 7", "Art. 8", "Art. 9", "Art. 13", "Art. 15",
 CCPA = ["§1798.100", "§1798.105", "§1798.110", "§1798.120", "§1798.130", "§1798.140", "§1798.82"]
 HIPAA = ["§164.308", "§164.310", "§164.312", "§164.502", "§164.514"]
 SOC2 = ["CC2.2", "CC6.1", "CC6.5", "CC7.1", "CC7.2", "CC7.3"]
+CONTROLS = {"gdpr": GDPR, "ccpa": CCPA, "hipaa": HIPAA, "soc2": SOC2}
+SOC2 = ["CC2.2", "CC6.1", "CC6.5", "CC7.1", "CC7.2", "CC7.3"]
 COMPROMISED = ["event-stream", "ua-parser-js", "node-ipc", "colors", "faker", "coa", "rc"]
 TYPOSQUATS = {"lodas": "lodash", "expresss": "express", "axois": "axios", "reacr": "react", "mongose": "mongoose", "crossenv": "cross-env", "babelcli": "babel-cli", "eslint-scope-util": "eslint-scope"}

@@ -27,15 +27,28 @@ def document_frequency(entries: DataFrame, content: str = "content", by: list[st
     return entries.select(*(by or []), F.explode(F.array_distinct(Q.tokens(F.col(content)))).alias("term")).groupBy(*(by or []), "term").agg(F.count("*").alias("df"))
 
 
+def term_counts(text: Column) -> tuple[Column, Column, Column]:
+    """Columns to be added one after the other: sorted terms, starts of their runs, (term, c) of each run.
+
+    Counting is linear in the row's terms and stays in the row.
+    """
+    words = F.sort_array(Q.tokens(text))
+    starts = F.filter(F.transform("_t", lambda t, i: F.when((i == 0) | (t != F.get("_t", i - 1)), i)), lambda i: i.isNotNull())
+    runs = F.transform("_s", lambda at, k: F.struct(F.get("_t", at).alias("term"), (F.coalesce(F.get("_s", k + 1), F.size("_t")) - at).alias("c")))
+    return words, starts, runs
+
+
 def tfidf(entries: DataFrame, by: list[str] | None = None, content: str = "content") -> DataFrame:
     """Adds ``tfidf``: sum over distinct terms of sqrt(count) ln(N / df), over the number of terms.
 
-    Terms are counted inside each row before the shuffle (one row per distinct term), and the index side is
-    aggregated from the same rows; N is a one-row aggregate per ``by`` group.
+    Terms are counted inside each row, so the index shuffles (term, count) only and the scored side one row for each
+    distinct term; N is a one-row aggregate per ``by`` group.
     """
     by = by or []
-    toks = entries.withColumn("_t", Q.tokens(F.col(content)))
-    terms = toks.select(*by, "id", F.size("_t").alias("_n"), F.explode("_t").alias("term")).groupBy(*by, "id", "_n", "term").agg(F.count("*").alias("c"))
+    words, starts, runs = term_counts(F.col(content))
+    counted = entries.select(*by, "id", words.alias("_t")).withColumn("_s", starts).select(*by, "id", F.size("_t").alias("_n"), runs.alias("_r"))
+    # the outer form, as the inner one's filter on the array's size would count every row's terms once more for each term
+    terms = counted.select(*by, "id", "_n", F.explode_outer("_r").alias("r")).where("r is not null").select(*by, "id", "_n", "r.term", "r.c")
     df = terms.groupBy(*by, "term").agg(F.count("*").alias("df"))
     n = entries.groupBy(*by).agg(F.count("*").alias("N")) if by else entries.agg(F.count("*").alias("N"))
     joined = terms.join(df, [*by, "term"])
@@ -45,44 +58,79 @@ def tfidf(entries: DataFrame, by: list[str] | None = None, content: str = "conte
 
 
 def sparse_prune(entries: DataFrame, percent: float = 5.0, by: list[str] | None = None) -> DataFrame:
-    """Adds ``kept``: the best max(1, ceil(n percent / 100)) entries of a group by TF-IDF, ties by pos."""
-    scored = tfidf(entries, by).withColumn("tfidf", F.round("tfidf", 6))
-    if by:
-        w = Window.partitionBy(*by)
-        rank = F.row_number().over(w.orderBy(F.desc("tfidf"), "pos"))
-        return scored.withColumn("kept", rank <= F.greatest(F.lit(1), F.ceil(F.count("*").over(w) * percent / 100)))
-    # one group: the bound is found from counts by score, so no window over the whole corpus
-    scored = materialize(scored)  # read twice below; the scores are not computed again
-    best = scored.orderBy(F.desc("tfidf"), "pos").limit(max(1, math.ceil(entries.count() * percent / 100)))
-    return scored.join(best.select("id", F.lit(True).alias("_k")), "id", "left").withColumn("kept", F.coalesce("_k", F.lit(False))).drop("_k")
-
+    """Adds ``kept``: the best max(1, ceil(n percent / 100)) entries of a group by TF-IDF, ties by pos.
 
-def greedy_fit(items: Column, budget: Column, tokens: str = "tokens", start: Column | None = None) -> Column:
-    """Fold over an ordered array: an item is taken if it still fits, else skipped. Struct of taken ids and total."""
-    zero = F.struct((start if start is not None else F.lit(0)).cast("long").alias("total"), F.array().cast("array<string>").alias("ids"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["total"] + x[tokens] <= budget
-        return F.struct(F.when(fits, acc["total"] + x[tokens]).otherwise(acc["total"]).alias("total"), F.when(fits, F.array_append(acc["ids"], x["id"])).otherwise(acc["ids"]).alias("ids"))
-
-    return F.aggregate(items, zero, step)
+    Keys and scores are written once, dealt by ranges of (group, score, pos), so a group that holds a third of all rows,
+    or one score that many copies share, lies in many chunks. A row's rank is its rank in the chunk plus the
+    rows of its group in earlier chunks; only the counts of chunks meet in a window over a group.
+    """
+    by = by or []
+    scored = tfidf(entries, by).select(*by, "id", "pos", F.round("tfidf", 6).alias("tfidf"))
+    dealt = materialize(scored.repartitionByRange(*by, F.desc("tfidf"), "pos").withColumn("_p", F.spark_partition_id()))
+    c = dealt.groupBy(*by, "_p").agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    total = F.sum("_n").over(group)
+    before = F.sum("_n").over(group.orderBy("_p")) - F.col("_n")
+    c = c.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("_p").alias("_q"), before.alias("_before"), F.greatest(F.lit(1), F.ceil(total * percent / 100)).alias("_most"))
+    r = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_p").orderBy(F.desc("tfidf"), "pos")))
+    cond = r["_p"] == c["_q"]
+    for k in by:
+        cond = cond & r[k].eqNullSafe(c[f"_{k}"])
+    ranked = r.join(c, cond).select(*[F.col(k).alias(f"_{k}") for k in by], F.col("id").alias("_id"), F.col("pos").alias("_pos"), "tfidf", (F.col("_before") + F.col("_r") <= F.col("_most")).alias("kept"))
+    cond = entries["id"].eqNullSafe(ranked["_id"]) & entries["pos"].eqNullSafe(ranked["_pos"])
+    for k in by:
+        cond = cond & entries[k].eqNullSafe(ranked[f"_{k}"])
+    return entries.join(ranked, cond).select(*[entries[k] for k in entries.columns], "tfidf", "kept")
+
+
+def greedy_scan(rows: Iterator[tuple], budget: float, share: float = 0.8) -> Iterator[tuple]:
+    """(group, id, kept) of rows (group, critical, id, tokens), sorted by group with critical ones first.
+
+    A critical row is taken if it still fits into the share of the budget, another one if it fits into the budget. If no
+    critical one was taken, the first of them is. Only the state of one group is held.
+    """
+    for key, part in groupby(rows, key=lambda r: r[0]):
+        used, first = 0, None
+        for urgent, rs in groupby(part, key=lambda r: r[1]):
+            taken = False
+            for _, _, i, n in rs:
+                fits = used + n <= (share * budget if urgent else budget)
+                used, taken = used + n * fits, taken or fits
+                if urgent and first is None and not fits:
+                    first = (i, n)  # its turn comes when the others are known
+                    continue
+                yield key, i, fits
+            if urgent and first:
+                yield key, first[0], not taken
+                used += 0 if taken else first[1]
 
 
 def budget_prune(entries: DataFrame, budget: int, by: list[str], now_ms: int) -> DataFrame:
     """Adds tokens, priority and kept. Per session: critical entries, newest first, into 80 % of the budget (if none
-    fits, the newest is forced in); then the others by priority while they fit. A session is the unit of the fold."""
+    fits, the newest is forced in); then the others by priority while they fit.
+
+    Sessions are sorted within their partitions and scanned, keys and sizes alone: memory does not grow with a session.
+    ``id`` is unique within a session.
+    """
     e = tfidf(entries, by)
     score = Q.engram_score(F.col("score"), F.lit(now_ms) - F.col("ts_ms"), F.col("ttl_s"), F.col("access_count"), F.col("critical"))
     st = Q.state(F.col("score"), F.col("critical"))
     e = e.withColumn("tokens", Q.token_estimate(F.col("content"))).withColumn("priority", F.round(F.col("tfidf") * score * Q.state_multiplier(st, F.col("critical")), 9))
-    crit = F.array_sort(F.collect_list(F.when(F.col("critical"), F.struct((-F.col("ts_ms")).alias("o"), "pos", F.col("id").cast("string").alias("id"), "tokens"))))
-    rest = F.array_sort(F.collect_list(F.when(~F.col("critical"), F.struct((-F.col("priority")).alias("o"), "pos", F.col("id").cast("string").alias("id"), "tokens"))))
-    g = e.groupBy(*by).agg(crit.alias("crit"), rest.alias("rest")).withColumn("first", greedy_fit(F.col("crit"), F.lit(0.8 * budget)))
-    forced = (F.size("first.ids") == 0) & (F.size("crit") > 0)
-    g = g.withColumn("first", F.when(forced, F.struct(F.col("crit")[0]["tokens"].alias("total"), F.array(F.col("crit")[0]["id"]).alias("ids"))).otherwise(F.col("first")))
-    g = g.withColumn("more", greedy_fit(F.col("rest"), F.lit(budget), start=F.col("first.total")))
-    taken = g.select(*by, F.concat("first.ids", "more.ids").alias("_ids"))
-    return e.join(taken, by).withColumn("kept", F.array_contains("_ids", F.col("id").cast("string"))).drop("_ids")
+    order = F.when(F.col("critical"), F.col("ts_ms").cast("double")).otherwise(F.col("priority"))
+    keys = e.select(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(by)]).alias("_g"), "critical", order.alias("_o"), "pos", "id", "tokens")
+    keys = keys.withColumn("_g", F.to_json("_g", {"ignoreNullFields": "false"})).repartition("_g").sortWithinPartitions("_g", F.desc("critical"), F.desc("_o"), "pos").select("_g", "critical", "id", "tokens")
+    field = "bigint" if e.schema["id"].dataType.simpleString() == "bigint" else "string"
+    kinds = [pa.string(), pa.int64() if field == "bigint" else pa.string(), pa.bool_()]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        done = greedy_scan(rows, budget)
+        while part := list(islice(done, 8192)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), kinds, strict=True)], ["_h", "_id", "kept"])
+
+    taken = keys.withColumn("id", F.col("id").cast(field)).mapInArrow(scan, f"_h string, _id {field}, kept boolean")
+    e = e.withColumn("_h2", F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(by)]), {"ignoreNullFields": "false"}))
+    return e.join(taken, (e["_h2"] == taken["_h"]) & e["id"].cast(field).eqNullSafe(taken["_id"])).drop("_h", "_h2", "_id")
 
 
 def hybrid_evict(entries: DataFrame, window: int, by: list[str]) -> DataFrame:
@@ -113,6 +161,20 @@ def query(entries: DataFrame, state: str | None = None, low: float | None = None
     return entries.orderBy(F.desc("score"), "id").offset(offset).limit(limit)
 
 
+def get(entries: DataFrame, id_) -> DataFrame:
+    """The entry of that id, or no row."""
+    return entries.where(F.col("id") == id_)
+
+
+def keys(entries: DataFrame) -> DataFrame:
+    return entries.select("id")
+
+
+def refresh_ttl(entries: DataFrame, now_ms: int, hours: int = 24) -> DataFrame:
+    """Entries that live anew from now on."""
+    return entries.withColumns({"ttl_s": F.lit(hours * 3600).cast("long"), "ts_ms": F.lit(now_ms).cast("long")})
+
+
 def compact(entries: DataFrame, now_ms: int) -> DataFrame:
     """Entries that outlive their ttl or have decayed to 0.95 go; critical ones stay."""
     dead = (F.col("ttl_s") <= 0) | (F.col("ts_ms") + F.col("ttl_s") * 1000 < now_ms) | (Q.decay(F.lit(now_ms) - F.col("ts_ms"), F.col("ttl_s")) >= 0.95)

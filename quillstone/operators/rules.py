@@ -177,6 +177,42 @@ def roadmap(findings: DataFrame) -> DataFrame:
     return findings.groupBy("effort").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "rule_id"))), lambda x: x["rule_id"]), ",").alias("rules"))
 
 
+#: Frameworks, effort by kind of fix.
+FRAMEWORKS = ["gdpr", "ccpa", "hipaa", "soc2"]
+FIX_EFFORT = {"remove-code": "low", "replace-pattern": "low", "config-change": "low", "add-constraint": "low", "add-index": "low", "add-docs": "medium", "add-test": "medium", "extract-function": "medium", "refactor": "high"}
+
+
+def frameworks(names: str | None) -> list[str]:
+    """The known ones of a comma-joined list; all of them without a list or without a known name."""
+    asked = [n.strip().lower() for n in (names or "").split(",")]
+    return [f for f in FRAMEWORKS if f in asked] or FRAMEWORKS
+
+
+def framework_matrices(findings: DataFrame, controls: dict[str, list[str]], names: str | None = None) -> DataFrame:
+    """(framework, control, n, status, rate) of findings (framework, control, severity); rate is the percentage of passed controls.
+
+    Controls are fixed lists and are broadcast; findings are counted before they meet them.
+    """
+    table = findings.sparkSession.createDataFrame([(f, c) for f in frameworks(names) for c in controls.get(f, [])], "framework string, control string")
+    f = findings.groupBy("framework", "control").agg(F.count("*").alias("n"), F.max(F.col("severity").isin("critical", "high")).alias("bad"))
+    m = F.broadcast(table).join(f, ["framework", "control"], "left")
+    m = m.select("framework", "control", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNull(), "pass").when(F.col("bad"), "fail").otherwise("partial").alias("status"))
+    good = F.avg(F.when(F.col("status") == "pass", 1.0).otherwise(0.0)).over(Window.partitionBy("framework"))  # at most a few dozen rows
+    return m.withColumn("rate", Q.js_round(good * 100).cast("int"))
+
+
+def action_items(findings: DataFrame) -> DataFrame:
+    """Findings with the points to win back and the effort of their kind of fix (medium if unknown)."""
+    effort = F.element_at(F.create_map(*[F.lit(x) for kv in FIX_EFFORT.items() for x in kv]), F.col("fix_type"))
+    return findings.select("*", F.col("deduction").alias("points"), F.coalesce(effort, F.lit("medium")).alias("effort"))
+
+
+def in_pattern(line, at) -> F.Column:
+    """A match at 0-based column ``at`` of a line stands in a regex literal, or the line builds a pattern."""
+    slashes = F.regexp_count(F.substring(line, F.lit(1), at), F.lit(r"(?<!\\)/"))
+    return (slashes % 2 == 1) | line.rlike(r"(?i)new\s+RegExp\s*\(|(?:pattern|regex)\s*[:=]\s*/")
+
+
 def action_bucket(severity) -> F.Column:
     return F.when(severity == "critical", "quickWins").when(severity == "major", "structural").otherwise("backlog")
 

@@ -5,20 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone import functions as Q
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Written to the shared folder in spark.checkpoint.dir and reread: lineage is cut and survives lost executors."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; a local one is set only where that setting is missing, as in tests."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = f"file://{tempfile.mkdtemp(prefix='quillstone-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Written to the shared folder in spark.checkpoint.dir and reread: lineage is cut and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -47,9 +52,20 @@ def optimization_totals(stats: DataFrame) -> DataFrame:
 
 
 def latency(metrics: DataFrame, value: str) -> DataFrame:
-    """Nearest-rank percentiles by group-free aggregate."""
-    p = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)]
-    return metrics.agg(F.count("*").alias("n"), *p)
+    """Nearest-rank percentiles of all rows, nulls left out, and the number of rows.
+
+    Values are counted first and dealt by ranges; a value's rank is its rank in the range plus the counts of the ranges before it.
+    """
+    c = metrics.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    dealt = materialize(c.repartitionByRange("v").withColumn("_p", F.spark_partition_id()))
+    some = dealt.where("v is not null")
+    parts = some.groupBy("_p").agg(F.sum("n").alias("m"))  # one row for each range
+    parts = parts.select("_p", (F.sum("m").over(Window.orderBy("_p")) - F.col("m")).alias("before"))
+    total = dealt.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_all"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("total"))
+    upto = some.join(F.broadcast(parts), "_p").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("_p").orderBy("v")))
+    ranked = upto.crossJoin(F.broadcast(total))  # one row
+    p = [F.min(F.when(F.col("upto") >= F.ceil(F.lit(q) * F.col("total") - 1e-9), F.col("v"))).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)]
+    return total.select(F.col("n_all").alias("n")).crossJoin(F.broadcast(ranked.agg(*p)))
 
 
 def debt_list(debts: DataFrame, now: Column, status: str | None = None, severity: str | None = None, overdue: bool = False) -> DataFrame:
@@ -121,3 +137,17 @@ def plan_verify(steps: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("status") == "completed", F.col("estimated"))).alias("tokens_used"),
         ((failed == 0) & (done == F.count("*"))).alias("success"),
     )
+
+
+def clear(table: DataFrame) -> DataFrame:
+    """The table without rows, to overwrite it with."""
+    return table.limit(0)
+
+
+def save_baseline(findings: DataFrame, path: str) -> None:
+    """Findings with their fingerprints as JSON lines, replacing an earlier baseline."""
+    findings.withColumn("fingerprint", Q.fingerprint(F.col("rule_id"), F.col("path"), F.col("title"))).write.mode("overwrite").json(path)
+
+
+def append_history(runs: DataFrame, path: str) -> None:
+    runs.write.mode("append").parquet(path)

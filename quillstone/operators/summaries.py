@@ -49,6 +49,43 @@ def lint_rules(text: Column) -> Column:
     return histogram(F.regexp_extract_all(text, F.lit(r"\b([a-z]+/[a-zA-Z-]+)\b"), F.lit(1)), 5)
 
 
+def shell_summary(text: Column, command: Column) -> Column:
+    """One line or a short list for a command's output: the first kind that applies. Null text counts as empty."""
+    text, command = F.coalesce(text, F.lit("")), F.coalesce(command, F.lit(""))
+    ls = lines_of(text)
+    n = F.size(ls)
+    those = lambda p: F.filter(ls, lambda x: x.rlike(p))
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    found = lambda p: F.nullif(F.regexp_extract(text, p, 1), F.lit(""))
+    tests, codes = those(r"(?i)pass|fail|skip|error|Tests?:|Test Suites?:"), F.regexp_extract_all(text, F.lit(r"TS(\d{4,5}):"), F.lit(1))
+    rules = F.filter(F.transform(ls, lambda x: F.regexp_extract(x, r"\s([a-z][\w/.-]+)\s*$", 1)), lambda x: x.contains("/"))
+    packages = [say(found(p), f" {word}") for p, word in ((r"(?i)added\s+(\d+)\s+packages?", "added"), (r"(?i)removed\s+(\d+)\s+packages?", "removed"), (r"(?i)changed\s+(\d+)\s+packages?", "changed"), (r"(?i)(\d+)\s+vulnerabilit", "vulnerabilities"))]
+    moved = F.filter(F.array(*packages), lambda x: x.isNotNull())
+    broken = those(r"(?i)error|warning|failed|fatal")
+    diff = F.regexp_extract_all(text, F.lit(r"(?m)^diff --git a/.*? b/(.*)$"), F.lit(1))
+    commits = F.regexp_count(text, F.lit(r"(?m)^commit [0-9a-f]{40}"))
+    message = F.get(F.filter(ls, lambda x: (F.trim(x) != "") & ~x.rlike("^(commit |Author:|Date:|Merge:)")), F.lit(0))
+    changed, staged = those(r"(?i)^\s*(modified|renamed|deleted):"), those(r"(?i)^\s*(new file|modified|deleted):")
+    names = F.transform(F.slice(F.concat(changed, staged), 1, 15), lambda x: F.regexp_replace(F.trim(x), r"(?i)^(modified|renamed|deleted|new file):\s*", ""))
+    kinds = F.transform(F.filter(F.transform(ls, F.trim), lambda x: x != ""), lambda x: F.coalesce(F.nullif(F.regexp_extract(x, r"^.+(\.[^.]*)$", 1), F.lit("")), F.lit("(no ext)")))
+    listing = lambda values, k: F.array_join(histogram(values, k), ", ")
+    errors = F.size(those(r"(?i)error|exception|fail"))
+    return F.coalesce(
+        F.when(text.rlike(r"(?i)\d+ (pass|fail|skip)|Tests?:") & (F.size(tests) > 0), say("Test output (", n, " lines):\n", F.array_join(F.slice(tests, 1, 15), "\n"))),
+        F.when(F.size(codes) > 0, say("TypeScript: ", F.size(codes), " errors, ", F.size(F.array_distinct(codes)), " codes: ", listing(F.transform(codes, lambda c: F.concat(F.lit("TS"), c)), 5))),
+        F.when((text.rlike(r"(?i)\d+ (problem|error|warning|issue)") | command.rlike("(?i)lint")) & (F.size(rules) > 0), say("Lint: ", n, " lines, ", F.size(F.array_distinct(rules)), " rules: ", listing(rules, 5))),
+        F.when(text.rlike(r"(?i)npm\s+(warn|info|notice)|added\s+\d+\s+packages") & (F.size(moved) > 0), say("Packages: ", F.array_join(moved, ", "))),
+        F.when((F.size(broken) > 0) & ~command.rlike(r"(?i)git log|git status|ls\s"), say("Build output (", F.size(broken), " of ", n, " lines):\n", F.array_join(F.slice(broken, 1, 10), "\n"))),
+        F.when(F.size(diff) > 0, say("Diff: ", F.size(diff), " files: ", F.array_join(diff, ", "))),
+        F.when(commits > 0, say("Log: ", commits, " commits. Latest: ", F.substring(F.trim(F.coalesce(message, F.lit(""))), 1, 100))),
+        F.when(command.rlike(r"(?i)git\s+status"), say("Status: ", F.size(changed), " modified, ", F.size(staged), " staged, ", F.size(those(r"^\t\S")), " untracked. Files: ", F.array_join(names, ", "))),
+        F.when(command.rlike(r"(?i)\b(ls|find)\b"), say("Listing: ", n, " lines. By extension: ", listing(kinds, 8))),
+        F.when(F.trim(text).rlike(r"^\{") & (F.length(text) > 1000), say("JSON object: ", F.array_join(F.slice(F.json_object_keys(text), 1, 10), ", "))),
+        F.when(F.trim(text).rlike(r"^\[") & (F.length(text) > 1000), say("JSON array: ", F.json_array_length(text), " items")),
+        say("Output of ", n, " lines", F.when(errors > 0, say(", ", errors, " with errors")).otherwise(""), ". First: ", F.array_join(F.slice(ls, 1, 3), " | "), F.when(n > 6, say(" ... last: ", F.array_join(F.slice(ls, -2, 2), " | "))).otherwise("")),
+    )
+
+
 def headings(text: Column, k: int = 8) -> Column:
     return F.slice(F.filter(lines_of(text), lambda x: x.rlike("^#{1,3} ")), 1, k)
 

@@ -144,7 +144,17 @@ def conv_entries(t) -> DataFrame:
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", F.col("turn").alias("pos"), F.col("text").alias("content"), (F.lit(NOW_MS) - F.col("turn") * 3_600_000).alias("ts_ms"), F.lit(0.8).alias("score"), F.lit(86400).cast("long").alias("ttl_s"), F.lit(0).cast("long").alias("access_count"), (F.col("role") == "system").alias("critical"))
 
 
-@query()
+@query(f"""WITH RECURSIVE t AS (SELECT conv_id, turn, len({TOKS.format('text')}) AS n, unnest({TOKS.format('text')}) AS term FROM conversations), c AS (SELECT conv_id, turn, n, term, count(*) AS c FROM t GROUP BY ALL),
+df AS (SELECT conv_id, term, count(*) AS df FROM c GROUP BY ALL), z AS (SELECT conv_id, count(*) AS docs FROM conversations GROUP BY ALL),
+s AS (SELECT conv_id, turn, sum(sqrt(c.c) * ln(z.docs / df.df)) / any_value(c.n) AS s FROM c JOIN df USING (conv_id, term) JOIN z USING (conv_id) GROUP BY ALL),
+e AS (SELECT v.conv_id, turn, role = 'system' AS critical, {EST.format('text')} AS tokens, coalesce(s, 0) AS s, turn * 3600000 AS age FROM conversations v LEFT JOIN s USING (conv_id, turn)),
+p AS (SELECT *, 0.8 * CASE WHEN age <= 0 THEN 1.0 ELSE exp(-age / 86400000.0) END AS a FROM e),
+q AS (SELECT *, CASE WHEN critical THEN -age::DOUBLE ELSE round(s * least(1.0, CASE WHEN age < 1800000 THEN a * 1.3 ELSE a END) * 2, 9) END AS o FROM p),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY critical DESC, o DESC, turn) AS r FROM q),
+w AS (SELECT conv_id, r, critical, tokens <= CASE WHEN critical THEN 400 ELSE 500 END AS kept, CASE WHEN tokens <= CASE WHEN critical THEN 400 ELSE 500 END THEN tokens ELSE 0 END AS used, tokens AS f, critical AND tokens <= 400 AS got FROM o WHERE r = 1
+UNION ALL SELECT conv_id, r, critical, u + tokens <= lim, u + CASE WHEN u + tokens <= lim THEN tokens ELSE 0 END, f, got OR (critical AND u + tokens <= lim)
+FROM (SELECT o.*, w.f, w.got, CASE WHEN o.critical THEN 400 ELSE 500 END AS lim, CASE WHEN w.critical AND NOT o.critical AND NOT w.got THEN w.f ELSE w.used END AS u FROM w JOIN o ON o.conv_id = w.conv_id AND o.r = w.r + 1))
+SELECT conv_id * 1000 + turn AS id, conv_id, tokens, w.kept OR (r = 1 AND o.critical AND NOT bool_or(w.got) OVER (PARTITION BY conv_id)) AS kept FROM o JOIN w USING (conv_id, r)""")
 def budget_prune(t):
     return memory.budget_prune(conv_entries(t), 500, ["conv_id"], NOW_MS).select("id", "conv_id", "tokens", "kept")
 
@@ -324,7 +334,9 @@ def graph_bfs(t):
     return graph.reach(e, li.sparkSession.createDataFrame([("s1",)], "node string"), 3)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events),
+w AS (SELECT user_id, a, b FROM e WHERE b IS NOT NULL UNION SELECT w.user_id, w.a, e.b FROM w JOIN e ON e.user_id = w.user_id AND e.a = w.b WHERE e.b IS NOT NULL)
+SELECT DISTINCT user_id || ':' || a AS node FROM w WHERE a = b""")
 def graph_cycles(t):
     ev = t("events")
     from pyspark.sql import Window
@@ -513,3 +525,6 @@ m AS (SELECT doc_id, count(*) AS n FROM n WHERE regexp_full_match(w, '[0-9]{2,}'
 SELECT doc_id, coalesce(n, 0) AS n FROM documents LEFT JOIN m USING (doc_id)""")
 def magic_numbers(t):
     return t("documents").select("doc_id", analyzers.magic_numbers(F.col("text")).alias("n"))
+
+
+from quillstone.plans import project_queries  # noqa: E402, F401  registers its queries here

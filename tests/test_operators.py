@@ -47,10 +47,11 @@ def test_tfidf_values(spark):
     assert {r.term: r.df for r in memory.document_frequency(df).collect()} == {"hello": 2, "world": 2, "there": 1, "peace": 1}
 
 
-def test_budget_fold(spark):
-    items = F.array(*[F.struct(F.lit(str(i)).alias("id"), F.lit(n).cast("long").alias("tokens")) for i, n in enumerate((50, 30, 40, 10))])
-    r = spark.range(1).select(memory.greedy_fit(items, F.lit(100)).alias("f")).first().f
-    assert (r.total, r.ids) == (90, ["0", "1", "3"])
+def test_greedy_scan():
+    scan = lambda rows, budget: {i: k for _, i, k in memory.greedy_scan(iter(rows), budget)}
+    assert scan([("g", False, str(i), n) for i, n in enumerate((50, 30, 40, 10))], 100) == {"0": True, "1": True, "2": False, "3": True}
+    assert scan([("g", True, "a", 90), ("g", True, "b", 85), ("g", False, "c", 10), ("g", False, "d", 20)], 100) == {"a": True, "b": False, "c": True, "d": False}
+    assert scan([("g", True, "a", 90), ("g", True, "b", 70), ("g", False, "c", 10), ("h", False, "d", 100)], 100) == {"a": False, "b": True, "c": True, "d": True}
 
 
 def test_budget_prune_invariants(spark):
