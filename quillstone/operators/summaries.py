@@ -64,9 +64,9 @@ def shell_summary(text: Column, command: Column) -> Column:
     broken = those(r"(?i)error|warning|failed|fatal")
     diff = F.regexp_extract_all(text, F.lit(r"(?m)^diff --git a/.*? b/(.*)$"), F.lit(1))
     commits = F.regexp_count(text, F.lit(r"(?m)^commit [0-9a-f]{40}"))
-    message = F.get(F.filter(ls, lambda x: (F.trim(x) != "") & ~x.rlike("^(commit |Author:|Date:|Merge:)")), F.lit(0))
+    message = F.get(F.filter(ls, lambda x: x.rlike(r"\S") & ~x.rlike("^(commit |Author:|Date:|Merge:)")), F.lit(0))
     changed, staged = those(r"(?i)^\s*(modified|renamed|deleted):"), those(r"(?i)^\s*(new file|modified|deleted):")
-    names = F.transform(F.slice(F.concat(changed, staged), 1, 15), lambda x: F.regexp_replace(F.trim(x), r"(?i)^(modified|renamed|deleted|new file):\s*", ""))
+    names = F.transform(F.slice(F.concat(changed, staged), 1, 15), lambda x: F.regexp_replace(x, r"(?i)^\s*(modified|renamed|deleted|new file):\s*|\s+$", ""))
     kinds = F.transform(F.filter(F.transform(ls, F.trim), lambda x: x != ""), lambda x: F.coalesce(F.nullif(F.regexp_extract(x, r"^.+(\.[^.]*)$", 1), F.lit("")), F.lit("(no ext)")))
     listing = lambda values, k: F.array_join(histogram(values, k), ", ")
     errors = F.size(those(r"(?i)error|exception|fail"))
@@ -77,7 +77,7 @@ def shell_summary(text: Column, command: Column) -> Column:
         F.when(text.rlike(r"(?i)npm\s+(warn|info|notice)|added\s+\d+\s+packages") & (F.size(moved) > 0), say("Packages: ", F.array_join(moved, ", "))),
         F.when((F.size(broken) > 0) & ~command.rlike(r"(?i)git log|git status|ls\s"), say("Build output (", F.size(broken), " of ", n, " lines):\n", F.array_join(F.slice(broken, 1, 10), "\n"))),
         F.when(F.size(diff) > 0, say("Diff: ", F.size(diff), " files: ", F.array_join(diff, ", "))),
-        F.when(commits > 0, say("Log: ", commits, " commits. Latest: ", F.substring(F.trim(F.coalesce(message, F.lit(""))), 1, 100))),
+        F.when(commits > 0, say("Log: ", commits, " commits. Latest: ", F.substring(F.regexp_replace(F.coalesce(message, F.lit("")), r"^\s+|\s+$", ""), 1, 100))),
         F.when(command.rlike(r"(?i)git\s+status"), say("Status: ", F.size(changed), " modified, ", F.size(staged), " staged, ", F.size(those(r"^\t\S")), " untracked. Files: ", F.array_join(names, ", "))),
         F.when(command.rlike(r"(?i)\b(ls|find)\b"), say("Listing: ", n, " lines. By extension: ", listing(kinds, 8))),
         F.when(F.trim(text).rlike(r"^\{") & (F.length(text) > 1000), say("JSON object: ", F.array_join(F.slice(F.json_object_keys(text), 1, 10), ", "))),
