@@ -72,6 +72,24 @@ def briefing(entries: DataFrame, debts: DataFrame, plans: DataFrame, now: Column
     return crit.union(late).union(top(first, "plans", F.coalesce("task", "id"), 5))
 
 
+def dashboard(entries: DataFrame, stats: DataFrame | None, debts: DataFrame, now: Column) -> DataFrame:
+    """(pos, line): entries by state; runs, tokens saved and mean reduction; open and overdue debts. Parts without rows are left out.
+
+    Input: entries with a state, stats with tokens_before and tokens_after, debts with status and due.
+    """
+    n = lambda s: F.count_if(F.col("state") == s).cast("string")
+    states = F.array(*[F.when(F.count_if(F.col("state") == s) > 0, F.concat(F.lit(f"{s.capitalize()}:"), n(s))) for s in ("active", "ready", "silent")])
+    listed = F.coalesce(F.nullif(F.array_join(states, " "), F.lit("")), F.lit("none"))
+    out = entries.agg(F.concat(F.lit("Entries: "), F.count("*").cast("string"), F.lit(" ("), listed, F.lit(")")).alias("line")).select(F.lit(0).alias("pos"), "line")
+    if stats is not None:
+        saved, before = F.col("tokens_before") - F.col("tokens_after"), F.col("tokens_before")
+        s = stats.agg(F.count("*").alias("n"), F.sum(saved).alias("saved"), F.avg(F.when(before > 0, saved / before * 100).otherwise(0.0)).alias("mean")).where("n > 0")
+        out = out.union(s.select(F.lit(1), F.concat(F.lit("Optimizations: "), F.col("n").cast("string"), F.lit(" total, saved "), Q.short_number(F.col("saved")), F.lit(" tokens, "), F.format_string("%.1f", "mean"), F.lit("% on average"))))
+    late = F.count_if((F.col("due") < now) & (F.col("status") != "resolved"))
+    d = debts.agg(F.count_if(F.col("status") == "open").alias("open"), late.alias("late")).where("open > 0 OR late > 0")
+    return out.union(d.select(F.lit(2), F.concat(F.lit("Debt: "), F.col("open").cast("string"), F.lit(" open"), F.when(F.col("late") > 0, F.concat(F.lit(", "), F.col("late").cast("string"), F.lit(" overdue"))).otherwise(""))))
+
+
 def compression_stats(outputs: DataFrame) -> DataFrame:
     """(session, tool, compressed, tokens_before, tokens_after); the row without a tool is the session's sum."""
     return outputs.rollup("session", "tool").agg(F.count("*").alias("compressed"), F.sum("tokens_before").alias("tokens_before"), F.sum("tokens_after").alias("tokens_after"), F.grouping("session").alias("_all"), F.grouping("tool").alias("_sum")).where("_all = 0").withColumn("tool", F.when(F.col("_sum") == 1, "*").otherwise(F.col("tool"))).drop("_all", "_sum")

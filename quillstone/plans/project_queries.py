@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstone import functions as Q
 from quillstone import streaming
-from quillstone.operators import catalogue, memory, project, rules, workflow
+from quillstone.operators import catalogue, memory, project, rules, tokens, workflow
 from quillstone.plans import registry as r
 from quillstone.plans.registry import query
 
@@ -119,6 +119,20 @@ def pattern_guard(t):
     return ls.select("page_id", (F.col("line") + 1).alias("line"), rules.in_pattern(F.col("x"), F.instr("x", "href") - 1).alias("guarded"))
 
 
+@query(f"""WITH {r.AGED}, k AS (SELECT count(*) AS n, count(*) FILTER (state = 'active') AS a, count(*) FILTER (state = 'ready') AS b, count(*) FILTER (state = 'silent') AS c FROM st), g AS (WITH {r.DEBT} SELECT count(*) FILTER (status = 'open') AS open, count(*) FILTER (due < TIMESTAMP '1998-01-01' AND status <> 'resolved') AS overdue FROM d)
+SELECT 0 AS pos, 'Entries: ' || n || ' (' || concat_ws(' ', CASE WHEN a > 0 THEN 'Active:' || a END, CASE WHEN b > 0 THEN 'Ready:' || b END, CASE WHEN c > 0 THEN 'Silent:' || c END) || ')' AS line FROM k UNION ALL SELECT 2, 'Debt: ' || open || ' open, ' || overdue || ' overdue' FROM g""")
+def dashboard(t):
+    return workflow.dashboard(r.scored_events(t), None, r.debts(t), r.now())
+
+
+@query()
+def bpe_count(t):
+    """Exact token counts by a public tokenizer's file; no SQL form, held against the tokenizer in the tests."""
+    import public_tokenizers
+
+    return t("documents").select("doc_id", tokens.bpe_count(public_tokenizers.path("byte_bpe_50k.json"))("text").alias("tokens"))
+
+
 PLANS = """s AS (SELECT l_orderkey AS id, l_linenumber AS n, floor(l_quantity)::BIGINT AS estimated, CASE WHEN l_orderkey = 1 AND l_linenumber = 1 THEN 'failed' WHEN l_returnflag = 'R' THEN 'skipped' WHEN l_linestatus = 'F' THEN 'completed' WHEN l_returnflag = 'N' AND l_quantity < 5 THEN 'pending' ELSE 'completed' END AS status FROM lineitem)"""
 
 

@@ -458,9 +458,46 @@ def summarize_json(t):
     return t("events").select("event_id", F.array_join(summaries.json_keys(F.col("props")), ",").alias("keys"))
 
 
-@query("WITH d AS (SELECT regexp_replace(url, '/[^/]*$', '') AS dir, count(*) AS n FROM pages GROUP BY 1) SELECT dir, n FROM d ORDER BY n DESC, dir LIMIT 5")
+HREFS = """h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS p, generate_subscripts(regexp_extract_all(html, 'href="([^"]+)"', 1), 1) AS i FROM pages)"""
+
+
+def hrefs():
+    return F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))
+
+
+@query(f"""WITH {HREFS}, c AS (SELECT page_id, CASE WHEN contains(p, '/') THEN regexp_replace(p, '/[^/]*$', '') ELSE '.' END AS dir, count(*) AS n FROM h GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, dir) AS k FROM c),
+g AS (SELECT page_id, sum(n)::BIGINT AS files, count(*) AS dirs, string_agg(dir || ':' || n, ',' ORDER BY k) FILTER (k <= 5) AS top FROM k GROUP BY page_id) SELECT page_id, coalesce(files, 0) AS files, coalesce(dirs, 0) AS dirs, coalesce(top, '') AS top FROM pages LEFT JOIN g USING (page_id)""")
 def summarize_glob(t):
-    return t("pages").groupBy(F.regexp_replace("url", "/[^/]*$", "").alias("dir")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dir").limit(5)
+    s = t("pages").select("page_id", summaries.glob_summary(F.array_join(hrefs(), "\n")).alias("s"))
+    return s.select("page_id", "s.files", "s.dirs", F.array_join("s.top", ",").alias("top"))
+
+
+@query(fr"""WITH {HREFS}, m AS (SELECT page_id, regexp_extract(p || ':' || i, '^([^:]+):\d+', 1) AS f, i FROM h), x AS (SELECT page_id, f, min(i) AS i, count(*) AS n FROM m WHERE f <> '' GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS k FROM x),
+g AS (SELECT page_id, sum(n)::BIGINT AS matches, count(*) AS files, string_agg(f, ',' ORDER BY k) FILTER (k <= 5) AS top FROM k GROUP BY page_id) SELECT page_id, coalesce(matches, 0) AS matches, coalesce(files, 0) AS files, coalesce(top, '') AS top FROM pages LEFT JOIN g USING (page_id)""")
+def summarize_search(t):
+    rows = F.transform(hrefs(), lambda p, i: F.concat(p, F.lit(":"), (i + 1).cast("string"), F.lit(":found")))
+    s = t("pages").select("page_id", summaries.search_summary(F.array_join(rows, "\n")).alias("s"))
+    return s.select("page_id", "s.matches", "s.files", F.array_join("s.top", ",").alias("top"))
+
+
+def module_tree(t) -> DataFrame:
+    """Pages as modules of four folders; each imports its fourth successor, in its own folder, and the next one."""
+    i = F.col("page_id")
+    at = lambda k: F.concat(F.lit("d"), ((i + k) % 4).cast("string"), F.lit("/f"), (i + k).cast("string"))
+    text = F.concat(F.lit("import { a, b as c } from './f"), (i + 4).cast("string"), F.lit("'\nimport x from \"../"), at(1), F.lit('.js"\nimport y from "lib"\nexport const v'), i.cast("string"), F.lit(" = 1\nexport { a }\n"))
+    return t("pages").select(F.concat(F.lit("src/"), at(0), F.lit(".ts")).alias("path"), text.alias("content"))
+
+
+@query("""WITH f AS (SELECT page_id AS i, 'src/d' || page_id % 4 || '/f' || page_id || '.ts' AS path FROM pages)
+SELECT a.path AS src, b.path AS dst, CASE WHEN b.i = a.i + 4 THEN 'a,b' ELSE 'x' END AS symbols FROM f a JOIN f b ON b.i = a.i + 4 OR b.i = a.i + 1""")
+def graph_imports(t):
+    files = module_tree(t)
+    return graph.resolve(graph.imports(files), files).withColumn("symbols", F.array_join("symbols", ","))
+
+
+@query("SELECT 'src/d' || page_id % 4 || '/f' || page_id || '.ts' AS path, 'a,v' || page_id AS exports FROM pages")
+def graph_exports(t):
+    return graph.exports(module_tree(t)).withColumn("exports", F.array_join("exports", ","))
 
 
 @query("""WITH s AS (SELECT l_orderkey AS plan_id, CASE WHEN l_returnflag = 'R' THEN 'failed' WHEN l_linestatus = 'F' THEN 'completed' ELSE 'pending' END AS status, floor(l_quantity)::BIGINT AS estimated FROM lineitem)
@@ -477,9 +514,13 @@ def adaptive_threshold(t):
     return s.select("user_id", "event_type", Q.adaptive_threshold(F.coalesce(tool, F.lit("other")), F.col("s")).alias("threshold"))
 
 
-@query(r"SELECT sum(len(regexp_extract_all(html, '(?i)(?:app|router)\.(get|post|put|patch|delete)\s*\(')))::BIGINT AS endpoints, sum(len(regexp_extract_all(html, '(?i)(?:req\.body|req\.query|req\.params|req\.files|formData)')))::BIGINT AS inputs FROM pages")
+@query(r"""WITH f AS (SELECT replace(replace(html, '<a href', 'router.get( <a href'), '<p>', 'req.body <p>') AS c FROM pages),
+r AS (SELECT sum(len(regexp_extract_all(c, '(?i)(?:app|router)\.(get|post|put|patch|delete)\s*\(')))::BIGINT AS endpoints, bool_or(regexp_matches(c, '(?i)(?:auth|authenticate|authorize|requireAuth|protect|guard|jwt)')) AS guarded, bool_or(regexp_matches(c, '(?i)(?:rate.?limit|throttle)')) AS limited,
+sum(len(regexp_extract_all(c, '(?i)(?:req\.body|req\.query|req\.params|req\.files|formData)')))::BIGINT AS inputs FROM f)
+SELECT endpoints, (CASE WHEN guarded THEN floor(endpoints * 0.7 + 0.5) ELSE 0 END)::BIGINT AS authenticated, CASE WHEN limited THEN endpoints ELSE 0 END AS rate_limited, inputs FROM r""")
 def attack_surface(t):
-    return rules.attack_surface(t("pages"), "html").select("endpoints", "inputs")
+    c = F.replace(F.replace("html", F.lit("<a href"), F.lit("router.get( <a href")), F.lit("<p>"), F.lit("req.body <p>"))
+    return rules.attack_surface(t("pages").select(c.alias("content")))
 
 
 @query(f"WITH p AS ({SQL['sparse_prune_corpus']}) SELECT id, kept FROM p")

@@ -161,3 +161,36 @@ def test_stream_keeps_what_the_batch_operator_keeps(spark, tmp_path):
 
 def test_consolidation_is_due():
     assert streaming.consolidate_due(None, 5, 1) and not streaming.consolidate_due(0, 3_599_999, 1) and streaming.consolidate_due(0, 3_600_000, 1) and not streaming.consolidate_due(None, 5, 0)
+
+
+def test_calls(spark):
+    from quillstone import api
+
+    text = "first words here\n\nsecond words there\n\nthird words everywhere"
+    r = api.optimize(spark, text, 1_000, 34).first()
+    assert r.entries_processed == 3 and 1 <= r.entries_kept <= 2 and all(p in text for p in r.context.split("\n\n"))
+    assert api.relay(spark, ["echo", "hello world"], 1_000, 100).select("code", "context").first() == (0, "hello world")
+
+    class Long:
+        def findings(self, files):
+            return files.where(F.length("content") > 3).select("path", F.lit("OWN-1").alias("rule_id"), F.lit("minor").alias("severity"), F.lit(0.5).alias("deduction"), F.lit("").alias("detail"))
+
+    assert isinstance(Long(), api.Analyzer) and isinstance(api.TranscriptAdapter(0), api.Adapter)
+    found, _ = api.analyze(files(spark, [("a.ts", "const a = 1"), ("b.ts", "x")]), Long())
+    assert [x.path for x in found.where("rule_id = 'OWN-1'").collect()] == ["a.ts"]
+    a = api.TranscriptAdapter(1_000, 1_000)
+    t = spark.createDataFrame([("s", "User: hi there\nAssistant: hello you")], "session string, text string")
+    assert "User: hi there" in a.context(a.parse(t)).first().context
+
+
+def test_bpe_count(spark):
+    tok = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    from quillstone.operators import tokens
+
+    path = public.path("byte_bpe_50k.json")
+    model = tok.Tokenizer.from_file(path)
+    model.encode_special_tokens = True
+    texts = ["hello <|endoftext|> world", "", None, "é" * 5000]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tokens.bpe_count(path)("t").alias("n")).orderBy("i").collect()
+    assert [r.n for r in got] == [len(model.encode(t, add_special_tokens=False).ids) if t else 0 for t in texts]
