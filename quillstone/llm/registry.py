@@ -72,6 +72,24 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.conversation_repair import damage, repair
+
+    return repair(damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillstone.llm.toxicity import classify_toxicity
+
+    return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,10 +97,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_substring_dedup, op4_quality_classifier, op5_near_dedup, op6_license_scan, op7_packing, op8_chat_format, op9_decontaminate, op10_lm_scores, pipeline)}
+    return {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_substring_dedup, op4_quality_classifier, op5_near_dedup, op6_license_scan, op7_packing, op8_chat_format, op9_decontaminate, op10_lm_scores, op11_conversation_repair, op12_resampling, op13_toxicity, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from quillstone.llm import licenses
+    from quillstone.llm import conversation_repair, licenses, resampling
 
-    return {"op6_license_scan": licenses.oracle()}
+    return {"op6_license_scan": licenses.oracle(), "op11_conversation_repair": conversation_repair.oracle(), "op12_resampling": resampling.oracle()}
