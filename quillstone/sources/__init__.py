@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstone.sources.tailing import TailSource
+
 #: Base scores by kind of block, seconds to live.
 BASE_SCORES, TTL_S = {"other": 0.5, "conversation": 0.8, "tool": 0.7, "result": 0.4}, 86_400
 #: File selections.
@@ -108,5 +110,7 @@ def git_log(df: DataFrame, text: str) -> DataFrame:
 
 
 def tail(spark: SparkSession, folder: str, glob: str = "*.jsonl") -> DataFrame:
-    """New lines of a folder of transcripts as a stream; offsets are the query's checkpoint."""
-    return spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(folder)
+    """(path, session, position, value): lines appended to a folder's files as a stream. Byte offsets of each file are the query's
+    checkpoint; blank lines are left out and unfinished ones wait for their end."""
+    spark.dataSource.register(TailSource)
+    return spark.readStream.format("jsonl_tail").option("glob", glob).load(folder)

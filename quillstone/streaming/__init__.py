@@ -51,10 +51,6 @@ def ingest(stream: DataFrame, budget: int = 40_000, window: int = 500) -> DataFr
     return rows.groupBy("session").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def alerts(stats: DataFrame, threshold: int = 60_000) -> DataFrame:
-    return stats.where(F.col("tokens") >= threshold)
-
-
 def document_frequency_deltas(stream: DataFrame) -> DataFrame:
     """Running (term, df) from rows (content, sign): +1 on arrival, -1 on removal; zero counts are left out downstream."""
     terms = stream.select("sign", F.explode(F.array_distinct(Q.tokens(F.col("content")))).alias("term"))
@@ -95,6 +91,24 @@ def fit(held: list[tuple], budget: int, now: int) -> set[str]:
     return {h for _, h, kept in memory.greedy_scan((("", held[i][7], held[i][0], held[i][2]) for i in order), budget) if kept}
 
 
+def take_in(held: dict[str, tuple], new: list[tuple], budget: int, most: int, now: int) -> tuple[list[tuple], int, int, int, int]:
+    """New entries (as in ``HELD``, in order) join the held ones and the budget is applied: what lives on, repeats met, entries
+    removed, tokens before, and the latest time seen."""
+    hits = 0
+    for h, terms, n, ts, ttl, score, access, critical in new:
+        now = max(now, int(ts))
+        if h in held:
+            hits += 1
+            continue
+        if len(held) >= most:
+            for old in list(held)[: most // 5]:
+                del held[old]
+        held[h] = (h, terms, int(n), int(ts), int(ttl), float(score), int(access), bool(critical))
+    good = fit(list(held.values()), budget, now)
+    live = [e for e in held.values() if e[0] in good]
+    return live, hits, len(held) - len(live), sum(e[2] for e in held.values()), now
+
+
 def optimize(stream: DataFrame, budget: int = 50_000, interval: int = 50, most: int = 10_000) -> DataFrame:
     """One row per session and micro-batch: what is kept of the entries held and the new ones, by ``memory.budget_prune``.
 
@@ -110,22 +124,11 @@ def optimize(stream: DataFrame, budget: int = 50_000, interval: int = 50, most:
         *cols, updates, now = state.get if state.exists else (*([] for _ in HELD), 0, 0)
         held = {e[0]: e for e in zip(*cols, strict=True)}
         new = sorted((r for p in parts for r in p[HELD].itertuples(index=False, name=None)), key=lambda r: (r[3], r[0]))
-        whole, hits = updates + 1 >= interval, 0
-        for h, terms, n, ts, ttl, score, access, critical in new:
-            now = max(now, int(ts))
-            if h in held:
-                hits += 1
-                continue
-            if len(held) >= most:
-                for old in list(held)[: most // 5]:
-                    del held[old]
-            held[h] = (h, terms, int(n), int(ts), int(ttl), float(score), int(access), bool(critical))
-        before = sum(e[2] for e in held.values())
-        good = fit(list(held.values()), budget, now)
-        live = [e for e in held.values() if e[0] in good]
+        whole = updates + 1 >= interval
+        live, hits, removed, before, now = take_in(held, new, budget, most, now)
         updates = 0 if whole else updates + 1
         state.update((*(list(c) for c in (zip(*live, strict=True) if live else ([] for _ in HELD))), updates, now))
-        yield pd.DataFrame({"session": [key[0]], "updates": [updates], "whole": [whole], "rows": [len(new)], "hits": [0 if whole else hits], "kept": [len(live)], "removed": [len(held) - len(live)], "tokens_before": [before], "tokens_after": [sum(e[2] for e in live)], "hashes": [[e[0] for e in live]]})
+        yield pd.DataFrame({"session": [key[0]], "updates": [updates], "whole": [whole], "rows": [len(new)], "hits": [0 if whole else hits], "kept": [len(live)], "removed": [removed], "tokens_before": [before], "tokens_after": [sum(e[2] for e in live)], "hashes": [[e[0] for e in live]]})
 
     return rows.groupBy("session").applyInPandasWithState(step, OPTIMIZED, HELD_TYPES, "update", GroupStateTimeout.NoTimeout)
 
