@@ -6,14 +6,14 @@ import re
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 K1, B = 1.2, 0.75
 
 
-def terms(text) -> F.Column:
+def terms(text: Column) -> Column:
     """Runs of letters and digits, lower-cased."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
@@ -88,9 +88,9 @@ def stems(words: pd.Series) -> pd.Series:
     return words.map(lambda ws: [porter(w) for w in ws])
 
 
-def postings(docs: DataFrame, text: str, *keys: str) -> DataFrame:
-    x = docs.select(*keys, terms(F.col(text)).alias("_t"))
-    return x.select(*keys, F.size("_t").alias("doc_len"), F.explode("_t").alias("term")).groupBy(*keys, "doc_len", "term").agg(F.count("*").alias("tf"))
+def weight(n: Column, df: Column, tf: Column, length: Column, mean: Column) -> Column:
+    """One term's part of a row's BM25."""
+    return F.log((n - df + 0.5) / (df + 0.5) + 1) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
 def bm25(docs: DataFrame, text: str, q: str, *keys: str, limit: int | None = 10, stem: bool = False) -> DataFrame:
@@ -112,8 +112,7 @@ def bm25(docs: DataFrame, text: str, q: str, *keys: str, limit: int | None = 10,
     score = F.lit(0.0)
     for i in range(len(want)):
         y = y.where(F.col(f"_c{i}") > 0)
-        idf = F.log((F.col("N") - F.col(f"_d{i}") + 0.5) / (F.col(f"_d{i}") + 0.5) + 1)
-        score = score + idf * F.col(f"_c{i}") * (K1 + 1) / (F.col(f"_c{i}") + K1 * (1 - B + B * F.col("_n") / F.col("avg")))
+        score = score + weight(F.col("N"), F.col(f"_d{i}"), F.col(f"_c{i}"), F.col("_n"), F.col("avg"))
     out = y.select(*keys, F.round(score, 6).alias("rank"))
     return out.orderBy(F.desc("rank"), *keys).limit(limit) if limit else out
 

@@ -7,6 +7,9 @@ import threading
 import pytest
 
 from quillstone.operators.entry_store import EntryStore
+from quillstone import sources
+from quillstone.operators import search
+from quillstone.operators.search_index import SearchIndex
 from quillstone.operators.versions import Conflict, Versions
 
 ENTRY = "id string, hash string, content string"
@@ -106,3 +109,54 @@ def test_a_version_is_taken_once(spark, tmp_path):
     with pytest.raises(Conflict):
         v.commit(1, {"a": 2})
     assert v.read() == (1, {"a": 1}) and v.change(lambda n, m: None) == 1
+
+
+def ranked(df):
+    return sorted((r.path, r.line, r["rank"]) for r in df.collect())
+
+
+def test_index_equals_ranking_from_scratch_after_every_change(spark, tmp_path):
+    rng = random.Random(6)
+    words = ["alpha", "beta", "gamma", "delta", "Eta", "x1"]
+    text = lambda: "\n".join(" ".join(rng.choice(words) for _ in range(rng.randint(0, 7))) for _ in range(rng.randint(1, 12)))
+    tree, index = {f"f{i}": (text(), 1) for i in range(12)}, SearchIndex(spark, str(tmp_path / "i"), buckets=4)
+    table = lambda t: spark.createDataFrame([(p, c, m) for p, (c, m) in t.items()], "path string, content string, mtime long")
+
+    def same():
+        plain = sources.lines(table(tree), "content", "path", keep_blank=False)
+        for q in ("alpha", "beta gamma", "eta X1", "nowhere", ""):
+            assert ranked(index.bm25(q, None)) == ranked(search.bm25(plain, "content", q, "path", "line", limit=None)), q
+
+    assert ranked(index.bm25("alpha")) == []
+    index.refresh(table(tree))
+    same()
+    tree["f3"], tree["f4"], tree["new"] = (text(), 2), ("", 2), ("gamma alpha", 5)
+    index.refresh(table(tree))
+    assert len(index.versions.read()[1]["segments"]) == 2
+    same()
+    assert index.refresh(table(tree)) == 2  # nothing changed, no new version
+    del tree["f5"]
+    index.refresh(table(tree), gone=spark.createDataFrame([("f5",), ("never",)], "path string"))
+    same()
+    old = index.files().where("path = 'f1'").first()
+    index.refresh(table({"f1": ("delta", 0)}))  # an older time than the indexed one
+    assert index.files().where("path = 'f1'").first() == old
+    index.merge()
+    assert len(index.versions.read()[1]["segments"]) == 1
+    same()
+    assert index.vacuum(keep=1) > 0
+    same()
+    best = index.search("alpha", 3).collect()
+    assert best and all("alpha" in r.content for r in best)
+    index.rebuild(table({"only": ("beta", 1)}))
+    assert [r.path for r in index.files().collect()] == ["only"] and ranked(index.bm25("alpha")) == []
+
+
+def test_search_reads_the_buckets_of_its_terms(spark, tmp_path):
+    index = SearchIndex(spark, str(tmp_path / "i"), buckets=32)
+    index.refresh(spark.createDataFrame([(f"f{i}", f"word{i} common\nother line{i}", 1) for i in range(60)], "path string, content string, mtime long"))
+    p = index.postings(["common"])
+    assert {re.search(r"_b=(\d+)", f)[1] for f in p.inputFiles() if "_b=" in f}.__len__() == 1
+    plan = index.bm25("common word7")._jdf.queryExecution().executedPlan().toString()
+    assert "In(term, [common,word7])" in plan and "content" not in plan
+    assert ranked(index.bm25("word7 common")) and p.count() == 60
