@@ -13,7 +13,7 @@ from functools import reduce
 from operator import and_
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone import functions as Q
@@ -33,6 +33,9 @@ class Rule(NamedTuple):
     gates: tuple[str, ...] = ()
     only: str = ""
     skip: str = ""
+    #: What a finding is called: of ``titles`` (pattern, title) the first that occurs in the file, else ``title``, else the id.
+    title: str = ""
+    titles: tuple[tuple[str, str], ...] = ()
 
 
 RANKS = {"critical": 0, "high": 1, "major": 1, "medium": 2, "minor": 2, "low": 3, "info": 4}
@@ -49,8 +52,13 @@ def _chosen(r: Rule, path: F.Column) -> F.Column:
     return c
 
 
+def titled(r: Rule, text: Column | None = None) -> Column:
+    plain = F.lit(r.title or r.id)
+    return F.coalesce(*[F.when(text.rlike(p), t) for p, t in r.titles], plain) if r.titles and text is not None else plain
+
+
 def evaluate(files: DataFrame, rules: list[Rule], path: str = "path", content: str = "content") -> DataFrame:
-    """(rule_id, layer, severity, path, hits, line) for each file that has an issue (F rules); one narrow pass."""
+    """(rule_id, layer, severity, path, hits, line, deduction, title) for each file that has an issue (F rules); one narrow pass."""
     text = F.coalesce(F.col(content), F.lit(""))
     cols = []
     for r in rules:
@@ -65,13 +73,13 @@ def evaluate(files: DataFrame, rules: list[Rule], path: str = "path", content: s
             hit = hit & ~reduce(and_, [text.rlike(g) for g in r.gates])
         at = F.regexp_instr(text, F.lit(r.trigger))
         first = F.size(F.split(F.substring(text, F.lit(1), at - 1), "\n"))
-        cols.append(F.when(hit, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.layer).alias("layer"), F.lit(r.severity).alias("severity"), F.regexp_count(text, F.lit(r.trigger)).alias("hits"), first.alias("line"), F.lit(r.deduction).alias("deduction"))))
+        cols.append(F.when(hit, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.layer).alias("layer"), F.lit(r.severity).alias("severity"), F.regexp_count(text, F.lit(r.trigger)).alias("hits"), first.alias("line"), F.lit(r.deduction).alias("deduction"), titled(r, text).alias("title"))))
     found = files.select(F.col(path).alias("path"), F.explode(F.filter(F.array(*cols), lambda x: x.isNotNull())).alias("f"))
     return found.select("path", "f.*")
 
 
 def evaluate_project(files: DataFrame, rules: list[Rule], content: str = "content", path: str = "path") -> DataFrame:
-    """(rule_id, layer, severity, issue) of P and A rules from one aggregate over the files."""
+    """(rule_id, layer, severity, issue, title) of P and A rules from one aggregate over the files."""
     text = F.coalesce(F.col(content), F.lit(""))
     chosen = [r for r in rules if r.shape in "PA"]
     if not chosen:
@@ -91,7 +99,7 @@ def evaluate_project(files: DataFrame, rules: list[Rule], content: str = "conten
             issue = issue & ~seen(r.gate, f"g{i}")
         if r.gates:
             issue = issue & ~reduce(and_, [seen(g, f"g{i}_{k}") for k, g in enumerate(r.gates)])
-        row.append(F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.layer).alias("layer"), F.lit(r.severity).alias("severity"), issue.alias("issue")))
+        row.append(F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.layer).alias("layer"), F.lit(r.severity).alias("severity"), issue.alias("issue"), titled(r).alias("title")))
     return files.agg(*aggs).select(F.explode(F.array(*row)).alias("r")).select("r.*")
 
 
@@ -149,8 +157,7 @@ def capped_total(scores: DataFrame, findings: DataFrame, caps: list[tuple[int, l
         rule, _, sev = spec.partition(":")
         rule, _, word = rule.partition("~")
         if word:
-            title = F.lower("title").contains(word) if "title" in findings.columns else F.lit(False)
-            return F.coalesce(F.max(F.col("rule_id").contains(rule) & title & F.col("severity").isin(sev.split(","))), F.lit(False))
+            return F.coalesce(F.max(F.col("rule_id").contains(rule) & F.lower("title").contains(word) & F.col("severity").isin(sev.split(","))), F.lit(False))
         c = F.lit(True) if rule == "*" else F.col("layer") == int(rule[1:]) if rule[1:].isdigit() else F.col("rule_id") == rule
         return F.coalesce(F.max(c & (F.col("severity").isin(sev.split(",")) if sev else F.lit(True))), F.lit(False))
 

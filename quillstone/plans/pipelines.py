@@ -97,19 +97,19 @@ def _in_audit(kind: str, layers: list[int] | None, quick: bool) -> F.Column:
 
 
 def audit_findings(files: DataFrame, kind: str, layers: list[int] | None = None, quick: bool = False) -> DataFrame:
-    """(path, rule_id, layer, severity, line, control, effort) of the ``secure`` or ``comply`` rules; path is null for project rules."""
+    """(path, rule_id, layer, severity, line, title, control, effort) of the ``secure`` or ``comply`` rules; path is null for project rules."""
     todo = chosen_rules(kind, layers, quick)
-    per_file = rules.evaluate(files, todo).select("path", "rule_id", "layer", "severity", F.col("line").cast("int").alias("line"))
-    whole = rules.evaluate_project(files, todo).where("issue").select(F.lit(None).cast("string").alias("path"), "rule_id", "layer", "severity", F.lit(None).cast("int").alias("line"))
+    per_file = rules.evaluate(files, todo).select("path", "rule_id", "layer", "severity", F.col("line").cast("int").alias("line"), "title")
+    whole = rules.evaluate_project(files, todo).where("issue").select(F.lit(None).cast("string").alias("path"), "rule_id", "layer", "severity", F.lit(None).cast("int").alias("line"), "title")
     found = per_file.unionByName(whole)
     more = analyzers.extra_audit_findings(files).where(F.col("rule_id").startswith("SEC" if kind == "secure" else "CMP"))
     at = F.element_at(F.create_map(*[F.lit(x) for kv in EXTRA.items() for x in (kv[0], kv[1][0])]), F.col("rule_id"))
-    more = more.select("path", "rule_id", at.alias("layer"), "severity", F.lit(None).cast("int").alias("line"))
+    more = more.select("path", "rule_id", at.alias("layer"), "severity", F.lit(None).cast("int").alias("line"), F.col("rule_id").alias("title"))
     found = found.unionByName(more.where(_in_audit(kind, layers, quick)))
     control = F.create_map(*[F.lit(x) for x in (y for r in AUDITS[kind][0] for y in (r.id, r.regulation))], *[F.lit(x) for k, v in EXTRA.items() for x in (k, v[1])])
     effort = F.create_map(*[F.lit(x) for r in AUDITS[kind][0] for x in (r.id, r.effort)])
     if kind == "secure":
-        m = analyzers.manifest_findings(files).select("path", "rule_id", _manifest_layer(F.col("rule_id")).alias("layer"), "severity", F.lit(None).cast("int").alias("line"))
+        m = analyzers.manifest_findings(files).select("path", "rule_id", _manifest_layer(F.col("rule_id")).alias("layer"), "severity", F.lit(None).cast("int").alias("line"), F.col("rule_id").alias("title"))
         found = found.unionByName(m.where(_in_audit(kind, layers, quick)))
     return found.select("*", F.coalesce(control[F.col("rule_id")], F.when(F.col("layer") == 8, "A08:2025").otherwise("A06:2025")).alias("control"), F.coalesce(effort[F.col("rule_id")], F.lit("immediate")).alias("effort"))
 

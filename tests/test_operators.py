@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillstone import functions as Q
 from quillstone import sources, streaming
 from quillstone.operators import catalogue, graph, memory, rules, search, store, summaries
+from quillstone.plans import pipelines
 
 
 def entries(spark, rows):
@@ -166,6 +167,23 @@ def test_credentials_cap(spark):
     assert rules.capped_total(scores, f.withColumn("title", F.lit("Key")), rules.SECURE_CAPS).first().total == 69
 
 
+def test_credentials_cap_and_baseline_through_an_audit(spark, tmp_path):
+    files = spark.createDataFrame([("src/app.ts", "const password = 'default-admin-1';\n"), ("src/key.ts", f"const k = 'AKIA{'Q' * 16}';")], "path string, content string")
+    found = pipelines.audit_findings(files, "secure").where("rule_id = 'SEC-CR-002'")
+    assert {(r.path, r.title) for r in found.collect()} == {("src/app.ts", "Hardcoded secret: Hardcoded credential"), ("src/key.ts", "Hardcoded secret: AWS Access Key")}
+    own = [r._replace(titles=(("default-admin", "Default admin password"), *r.titles)) if r.id == "SEC-CR-002" else r for r in catalogue.SECURE]
+    named = rules.evaluate(files, own).where("rule_id = 'SEC-CR-002'")
+    scores = spark.createDataFrame([(100.0,)], "score double")
+    assert rules.capped_total(scores, found, rules.SECURE_CAPS).first().total == 69
+    assert rules.capped_total(scores, named, rules.SECURE_CAPS).first().total == 14
+    store.save_baseline(pipelines.audit_findings(files, "secure"), f"{tmp_path}/base")
+    base = spark.read.json(f"{tmp_path}/base")
+    now = pipelines.audit_findings(files.where("path = 'src/key.ts'"), "secure").withColumn("fingerprint", Q.fingerprint(F.col("rule_id"), F.col("path"), F.col("title")))
+    status = {r.fingerprint: r.status for r in store.baseline_diff(now, base).collect()}
+    gone = {r.fingerprint for r in base.where("path = 'src/app.ts'").collect()}
+    assert gone and {f for f, s in status.items() if s == "fixed"} >= gone and "unchanged" in status.values()
+
+
 def test_graph(spark):
     files = spark.createDataFrame([("src/utils/auth.ts", "export function validateToken() {}"), ("src/core/handler.ts", "import { validateToken } from '../utils/auth.js';\nexport const handleRequest = 1"), ("src/cli/app.ts", "import { handleRequest as h } from '../core/handler';\nexport default 1")], "path string, content string")
     e = graph.resolve(graph.imports(files), files)
