@@ -187,41 +187,91 @@ def exact_groups(entries: DataFrame, content: str = "content") -> DataFrame:
     return hashed.groupBy("hash").agg(F.count("*").alias("size"), F.min("id").alias("first_id")).where("size > 1")
 
 
+#: Most frequent terms whose order is known to every task; postings of one term that meet in one task.
+FREQUENT, POSTINGS_BLOCK = 20_000, 2_000
+
+
+def text_vectors(entries: DataFrame, content: str) -> DataFrame:
+    """(id, t, c) of the entries with a term: their sorted 64-bit term hashes and the counts, packed; narrow."""
+    ids = entries.select("id", F.transform(Q.tokens(F.col(content)), lambda t: F.xxhash64(t)).alias("t")).where(F.size("t") > 0)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            got = [np.unique(np.asarray(t.values), return_counts=True) for t in batch.column("t")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([t.tobytes() for t, _ in got], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in got], pa.binary())], ["id", "t", "c"])
+
+    return ids.mapInArrow(run, f"id {entries.schema['id'].dataType.simpleString()}, t binary, c binary")
+
+
+def prefixes(vec: DataFrame, common: tuple[np.ndarray, np.ndarray], threshold: float) -> DataFrame:
+    """(id, term, w, after) of each vector's prefix: rare terms by hash, then those of ``common`` (sorted hashes and their ranks), up to where what follows has a norm under the threshold. ``w`` is the term's share of the unit
+    vector, ``after`` the squared norm of what follows it."""
+    hashes, ranks = common
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            ids, terms, ws, afters = [], [], [], []
+            for k, (t, c) in enumerate(zip(batch.column("t"), batch.column("c"), strict=True)):
+                t, c = np.frombuffer(t.as_buffer(), np.int64), np.frombuffer(c.as_buffer(), np.int32).astype(float)
+                at = np.minimum(np.searchsorted(hashes, t), max(0, len(hashes) - 1))
+                known = hashes[at] == t if len(hashes) else np.zeros(len(t), bool)
+                order = np.lexsort((t, np.where(known, ranks[at] if len(hashes) else 0, -1)))
+                t, c = t[order], c[order]
+                sq = c * c / (c @ c)
+                left = np.cumsum(sq[::-1])[::-1]
+                n = int(np.searchsorted(-left, -(threshold * threshold - 1e-9), side="right"))
+                ids.append(np.full(n, k))
+                terms.append(t[:n])
+                ws.append(np.sqrt(sq[:n]))
+                afters.append((left - sq)[:n])
+            at = pa.array(np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), *(pa.array(np.concatenate([np.zeros(0, d), *x])) for x, d in ((terms, np.int64), (ws, float), (afters, float)))], ["id", "term", "w", "after"])
+
+    return vec.mapInArrow(run, f"id {vec.schema['id'].dataType.simpleString()}, term long, w double, after double")
+
+
 def cosine_pairs(entries: DataFrame, threshold: float = 0.85, content: str = "content") -> DataFrame:
-    """(i, j, similarity), i < j, for bag-of-words cosine >= threshold.
+    """(i, j, similarity), i < j, for bag-of-words cosine >= threshold; terms are 64-bit hashes.
 
-    Prefix filtering: terms are ranked by rising document frequency; a pair can reach the threshold only if
-    the prefixes whose remaining suffix norm is under the threshold share a term. Candidates therefore meet
-    on rare terms only, and are then verified with the full vectors.
+    Prefix filtering over one order of all terms, rare ones first: a pair can reach the threshold only if the prefixes whose
+    remaining norm is not under the threshold share a term. Postings of a hot term are dealt in blocks. A pair that met is kept only if the
+    products over the terms met so far and the norms of what follows the last of them can reach the threshold; only such pairs fetch
+    their vectors.
     """
-    toks = entries.select(F.col("id"), F.explode(Q.tokens(F.col(content))).alias("term"))
-    tf = toks.groupBy("id", "term").agg(F.count("*").alias("c"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    vec = tf.join(df, "term").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "term", "c"))).alias("v"), F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
-    # squared norm of the suffix after each position, relative to the whole
-    sq = F.transform("v", lambda x: (x["c"] * x["c"]).cast("double"))
-    before = F.aggregate(sq, F.array(F.lit(0.0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
-    vec = vec.withColumn("before", before)
-    prefix = F.filter(F.transform("v", lambda x, i: F.struct(x["term"].alias("term"), x["df"].alias("df"), (1 - F.col("before")[i] / (F.col("norm") * F.col("norm"))).alias("left"))), lambda x: (x["df"] > 1) & (x["left"] >= threshold * threshold - 1e-9))
-    by_hash = F.array_sort(F.transform("v", lambda x: F.struct(F.xxhash64(x["term"]).alias("h"), x["c"].cast("double").alias("c"))))
-    vec = materialize(vec.select("id", "norm", F.transform(prefix, lambda x: x["term"]).alias("prefix"), F.transform(by_hash, lambda x: x["h"]).alias("t"), F.transform(by_hash, lambda x: x["c"]).alias("c")))
-    p = vec.select("id", F.explode("prefix").alias("term"))
-    near = (F.col("a.term") == F.col("b.term")) & (F.col("a.id") < F.col("b.id"))
-    cand = p.alias("a").join(p.alias("b"), near).select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct()
-    both = cand.join(vec.select(F.col("id").alias("i"), F.col("norm").alias("norm_i"), F.col("t").alias("t_i"), F.col("c").alias("c_i")), "i").join(vec.select(F.col("id").alias("j"), F.col("norm").alias("norm_j"), F.col("t").alias("t_j"), F.col("c").alias("c_j")), "j")
+    vec = materialize(text_vectors(entries, content))
+    kind = entries.schema["id"].dataType.simpleString()
+
+    def explode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            t, n = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("t"))]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(n)], ["term", "n"])
+
+    df = vec.select("t").mapInArrow(explode, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    top = [r.term for r in df.where("n > 1").orderBy(F.desc("n"), "term").limit(FREQUENT).collect()]  # a top-k, whatever the vocabulary
+    order = np.argsort(np.array(top, np.int64))
+    p = materialize(prefixes(vec, (np.array(top, np.int64)[order], (len(top) - order).astype(np.int64)), threshold))
+    size = p.groupBy("term").agg(F.count("*").alias("n")).where("n > 1").select("term", F.ceil(F.col("n") / POSTINGS_BLOCK).cast("int").alias("blocks"))
+    p = p.join(size, "term")
+    a = p.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    b = p.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    near = (F.col("a.term") == F.col("b.term")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id"))
+    met = a.alias("a").join(b.alias("b"), near).groupBy(F.col("a.id").alias("i"), F.col("b.id").alias("j"))
+    bound = F.sum(F.col("a.w") * F.col("b.w")) + F.sqrt(F.greatest(F.lit(0.0), F.min("a.after")) * F.greatest(F.lit(0.0), F.min("b.after")))
+    cand = met.agg(bound.alias("most")).where(F.col("most") >= threshold - 1e-9).select("i", "j")
+    both = cand.join(vec.toDF("i", "t_i", "c_i"), "i").join(vec.toDF("j", "t_j", "c_j"), "j")
 
     def cosines(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            cols = {k: batch.column(k) for k in ("t_i", "c_i", "t_j", "c_j")}
-            dots = []
-            for t, c, u, d in zip(*(cols[k] for k in ("t_i", "c_i", "t_j", "c_j")), strict=True):
-                _, x, y = np.intersect1d(t.values.to_numpy(), u.values.to_numpy(), assume_unique=True, return_indices=True)
-                dots.append(float(c.values.to_numpy()[x] @ d.values.to_numpy()[y]))
-            sim = np.array(dots) / (batch.column("norm_i").to_numpy() * batch.column("norm_j").to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("j"), pa.array(sim, pa.float64())], ["i", "j", "similarity"])
+            sims = []
+            for t, c, u, d in zip(*(batch.column(k) for k in ("t_i", "c_i", "t_j", "c_j")), strict=True):
+                t, u = np.frombuffer(t.as_buffer(), np.int64), np.frombuffer(u.as_buffer(), np.int64)
+                c, d = np.frombuffer(c.as_buffer(), np.int32).astype(float), np.frombuffer(d.as_buffer(), np.int32).astype(float)
+                at = np.minimum(np.searchsorted(u, t), len(u) - 1)
+                same = u[at] == t
+                sims.append(float(c[same] @ d[at[same]]) / (np.sqrt(c @ c) * np.sqrt(d @ d)))
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("j"), pa.array(sims, pa.float64())], ["i", "j", "similarity"])
 
-    kind = entries.schema["id"].dataType.simpleString()
-    return both.select("i", "j", "norm_i", "norm_j", "t_i", "c_i", "t_j", "c_j").mapInArrow(cosines, f"i {kind}, j {kind}, similarity double").where(F.col("similarity") >= threshold)
+    return both.select("i", "j", "t_i", "c_i", "t_j", "c_j").mapInArrow(cosines, f"i {kind}, j {kind}, similarity double").where(F.col("similarity") >= threshold)
 
 
 def fold_exact(entries: DataFrame, content: str = "content") -> DataFrame:
@@ -273,14 +323,7 @@ def cosine_pairs_blocked(entries: DataFrame, threshold: float = 0.85, content: s
     """``cosine_pairs`` for long texts, whose frequent words leave prefixes nothing to filter: (i, j, similarity) by
     comparing all pairs of groups of about ``GROUP_ROWS`` entries (integer ids; terms as 64-bit hashes). Time, and what is
     dealt out, grow with the square of the entries, so does the result where many entries are alike."""
-    ids = entries.select("id", F.transform(Q.tokens(F.col(content)), lambda t: F.xxhash64(t)).alias("t")).where(F.size("t") > 0)
-
-    def vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            got = [np.unique(np.asarray(t.values), return_counts=True) for t in batch.column("t")]
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), pa.array([t.tobytes() for t, _ in got], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in got], pa.binary())], ["id", "t", "c"])
-
-    vec = materialize(ids.mapInArrow(vectors, "id long, t binary, c binary"))
+    vec = materialize(text_vectors(entries.withColumn("id", F.col("id").cast("long")), content))
     groups = max(1, math.ceil(vec.count() / GROUP_ROWS))
     g = vec.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups))).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     dealt = g.select(F.least("g", "o").alias("a"), F.greatest("g", "o").alias("b"), "g", "id", "t", "c").repartition(max(1, groups * (groups + 1) // 2), "a", "b").sortWithinPartitions("a", "b")

@@ -78,6 +78,29 @@ def test_near_duplicates_and_consolidation(spark):
     assert out["b"].access_count == 3 and out["b"].tags == ["p", "q"] and out["d"].access_count == 2
 
 
+@pytest.mark.parametrize(("frequent", "block", "threshold"), [(20_000, 2_000, 0.85), (7, 3, 0.85), (0, 1, 0.6), (40, 2, 0.99)])
+def test_cosine_pairs_equal_all_pairs(spark, monkeypatch, frequent, block, threshold):
+    from collections import Counter
+
+    monkeypatch.setattr(memory, "FREQUENT", frequent)
+    monkeypatch.setattr(memory, "POSTINGS_BLOCK", block)
+    rng, rows = random.Random(7), [("none", None), ("empty", ""), ("one", "the"), ("two", "The  the")]
+    for g in range(10):
+        base = [rng.choice(["the", "of", "and", f"w{rng.randrange(60)}"]) for _ in range(rng.choice([3, 12, 60]))]
+        for k in range(5):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 3, 9])):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(30)}"
+            rows.append((f"g{g}-{k}", " ".join(w)))
+    vec = {d: Counter(t.lower().split()) for d, t in rows if t}
+    norm = {d: sum(c * c for c in v.values()) ** 0.5 for d, v in vec.items()}
+    sims = {(i, j): sum(c * vec[j][t] for t, c in vec[i].items()) / (norm[i] * norm[j]) for i in vec for j in vec if i < j}
+    got = memory.cosine_pairs(spark.createDataFrame(rows, "id string, content string"), threshold).collect()
+    found = {(r.i, r.j): r.similarity for r in got}
+    assert len(got) == len(found) and all(abs(sims[k] - v) < 1e-9 for k, v in found.items())
+    assert {k for k, v in sims.items() if v >= threshold + 1e-9} <= set(found) <= {k for k, v in sims.items() if v >= threshold - 1e-9}
+
+
 def test_greedy_pairs_equal_the_sequential_pass(spark):
     import random
 
