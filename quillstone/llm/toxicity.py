@@ -8,8 +8,9 @@ judged by the number of its words.
 
 score = sigmoid(w0 + sum w_i + 1/2 sum_f [(sum_i v_if)^2 - sum_i v_if^2]) over the marked terms present: linear in their number.
 
-Fitted on at most ``TRAIN_DOCS`` labelled rows whose crc32(doc_id as text) mod 3 is not 1 (the smallest hashes of doc_id);
-labels, lang, source and doc_id are never inputs. Terms are counted by Spark, at most ``MARKED`` and ``CONTEXT`` of them kept.
+Fitted on the rows of at most ``TRAIN_DOCS`` labelled ids whose crc32(doc_id as text) mod 3 is not 1 (the smallest hashes of
+doc_id), and on at most ``TRAIN_DOCS`` rows where ids repeat; labels, lang, source and doc_id are never inputs. Terms are counted by
+Spark over those rows, at most ``MARKED`` and ``CONTEXT`` of them kept; the driver gets terms and positions of marked terms, no texts.
 
 Null and empty texts hold no term: their score is that of w0. Rows with a null doc_id are scored and not held out, and teach
 nothing; a doc_id labelled twice counts as toxic if one label is 1. Without two label classes every score is the
@@ -53,11 +54,10 @@ def terms(text: str) -> np.ndarray:
 
 
 def picked_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(y, text) of at most TRAIN_DOCS labelled rows, also where a doc_id repeats."""
+    """(y, text) of the rows of at most TRAIN_DOCS labelled ids; where a doc_id repeats they may be more."""
     y = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
     some = F.broadcast(sample_by_hash(y.where(~held_out()), "doc_id", TRAIN_DOCS))
-    rows = id_text(docs).join(some, "doc_id")
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(TRAIN_DOCS).select("y", "text")
+    return id_text(docs).join(some, "doc_id").select("y", "text")
 
 
 def with_terms(rows: DataFrame) -> DataFrame:
@@ -149,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, rank: int = RANK) -> tuple[np.ndar
             lists = pa.array([present(vocabulary, np.array(t, np.int64)).tolist() for t in b.column("terms").to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("y"), lists], ["y", "at"])
 
-    got = rows.mapInArrow(run, "y int, at array<int>").toArrow()
+    small = rows.mapInArrow(run, "y int, at array<int>")
+    got = small.orderBy(F.xxhash64("at"), "at", "y").limit(TRAIN_DOCS).toArrow()  # cut before it is collected
     discard(rows)
     pairs = sorted((tuple(at), y) for at, y in zip(got.column("at").to_pylist(), got.column("y").to_pylist(), strict=True))
     return vocabulary, *fit([(np.array(at, np.int64), y) for at, y in pairs], len(vocabulary), rank)
