@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import SPACES, id_text, sample_by_hash, small_batches
 
-TRAIN_DOCS, EPOCHS = 3000, 60
+TRAIN_DOCS, EPOCHS, TURNS, RIDGE = 3000, 40, 2, 2e-3
 #: Least share of words in content lines, and the window of the repetition rule.
 MIN_SHARE, WINDOW = 0.5, 8
 SYMBOLS = b"#*$%&|<>"
@@ -122,8 +122,8 @@ def padded(masks: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return on, np.concatenate([np.ones((len(masks), L, 1)), (bits[:, :, None] >> np.arange(N)) & 1], 2) * on[:, :, None]
 
 
-def gradient(on: np.ndarray, X: np.ndarray, y: np.ndarray, share: np.ndarray, w: np.ndarray, A: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the conditional log likelihood, by emission weights and transitions."""
+def marginals(on: np.ndarray, X: np.ndarray, w: np.ndarray, A: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of content for each line, and of each pair of labels for neighbours, by forward and backward sums."""
     pair = on[:, 1:] * on[:, :-1]
     e = np.stack([np.zeros_like(on), X @ w], 2)
     L = on.shape[1]
@@ -137,16 +137,41 @@ def gradient(on: np.ndarray, X: np.ndarray, y: np.ndarray, share: np.ndarray, w:
         beta[:, t] = np.where(on[:, t + 1, None] > 0, s, 0)
     z = np.logaddexp.reduce(alpha[:, -1], 1)
     p1 = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z[:, None]) * on
-    gw = np.einsum("ij,ijk,i->k", (y[:, None] * on - p1), X, share)
-    pp = np.exp(alpha[:, :-1, :, None] + A + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * pair[:, :, None, None]
-    gA = -np.einsum("ijab,i->ab", pp, share)
-    for v in (0, 1):
-        gA[v, v] += ((y == v) * pair.sum(1) * share).sum()
-    return gw, gA
+    return p1, np.exp(alpha[:, :-1, :, None] + A + (e[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * pair[:, :, None, None]
+
+
+def gradient(on: np.ndarray, X: np.ndarray, y: np.ndarray, share: np.ndarray, w: np.ndarray, A: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the conditional log likelihood of the lines' labels ``y``, by emission weights and transitions."""
+    p1, pp = marginals(on, X, w, A)
+    gw = np.einsum("ij,ijk,i->k", (y - p1) * on, X, share)
+    seen = np.stack([1 - y, y], 2) * on[:, :, None]
+    return gw, np.einsum("ita,itb,i->ab", seen[:, :-1], seen[:, 1:], share) - np.einsum("itab,i->ab", pp, share)
+
+
+def line_labels(p: np.ndarray, on: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Labels of lines from their probabilities: at least half of a good document's lines are content, fewer than half of a bad one's."""
+    n = on.sum(1).astype(int)
+    y = (p >= 0.5) * on
+    rank = np.argsort(np.argsort(np.where(on > 0, -p, np.inf), axis=1, kind="stable"), axis=1, kind="stable")  # 0 for the surest content
+    y = np.where(good[:, None], np.maximum(y, rank < np.ceil(n / 2)[:, None]), np.minimum(y, rank < np.floor((n - 1) / 2)[:, None]))
+    return y * on
+
+
+def ascend(parts: list[tuple], w: np.ndarray, A: np.ndarray, chain: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient ascent on the conditional likelihood with steps scaled per weight; without ``chain`` lines are judged alone."""
+    mw, mA, vw, vA = np.zeros_like(w), np.zeros_like(A), np.zeros_like(w), np.zeros_like(A)
+    for step in range(1, EPOCHS + 1):
+        grads = [gradient(*part, w, A) for part in parts]
+        gw, gA = sum(g for g, _ in grads) - RIDGE * w, sum(g for _, g in grads) - RIDGE * A
+        for p, g, m, v in ((w, gw, mw, vw), (A, gA, mA, vA))[: 1 + chain]:
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            p += 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+    return w, A
 
 
 def fit_crf(rows: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Emission weights (bias first) and transitions by gradient ascent on the conditional likelihood."""
+    """Emission weights (bias first) and transitions; the labels of lines and the weights are found by turns."""
     rows = [(m, y) for m, y in rows if m]
     if len({y for _, y in rows}) < 2:
         return DEFAULT
@@ -156,16 +181,12 @@ def fit_crf(rows: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray]:
     share /= share.sum()
     # rows of like length are padded together, so that one long text does not lengthen all
     sizes = np.maximum(6, np.ceil(np.log2(lens)).astype(int))
-    parts = [(*padded([rows[i][0] for i in k]), y[k], share[k]) for k in (np.flatnonzero(sizes == z) for z in np.unique(sizes))]
-    w, A = np.zeros(N + 1), np.zeros((2, 2))
-    mw, mA, vw, vA = np.zeros_like(w), np.zeros_like(A), np.zeros_like(w), np.zeros_like(A)
-    for step in range(1, EPOCHS + 1):
-        grads = [gradient(*part, w, A) for part in parts]
-        gw, gA = sum(g for g, _ in grads) - 1e-4 * w, sum(g for _, g in grads) - 1e-4 * A
-        for p, g, m, v in ((w, gw, mw, vw), (A, gA, mA, vA)):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p += 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+    parts = [(*padded([rows[i][0] for i in k]), y[k] == 1, share[k]) for k in (np.flatnonzero(sizes == z) for z in np.unique(sizes))]
+    whole = [(on, X, np.repeat(good[:, None], on.shape[1], 1) * on, s) for on, X, good, s in parts]
+    w, A = ascend(whole, np.zeros(N + 1), np.zeros((2, 2)), chain=False)
+    for _ in range(TURNS):
+        latent = [(on, X, line_labels(marginals(on, X, w, A)[0], on, good), s) for on, X, good, s in parts]
+        w, A = ascend(latent, w, A)
     return w, A
 
 
@@ -179,8 +200,9 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> list[tuple[list[int], i
             out = [line_masks(t.encode())[0] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "y", "masks"])
 
-    rows = id_text(docs).join(picked, "doc_id").mapInArrow(masks, "doc_id long, y int, masks array<int>").collect()
-    return [(r.masks, r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.masks))[:TRAIN_DOCS]]
+    rows = id_text(docs).join(picked, "doc_id").mapInArrow(masks, "doc_id long, y int, masks array<int>")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "masks").limit(TRAIN_DOCS).collect()  # cut before it is collected
+    return [(r.masks, r.y) for r in sorted(rows, key=lambda r: (r.doc_id, r.masks))]
 
 
 def verdict(text: str, emit: list[float], trans: list[list[float]]) -> tuple:

@@ -133,6 +133,62 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(docs(spark, []), labels(spark, [])).count() == 0
 
 
+def test_boilerplate_lines_are_found_in_good_documents_and_content_in_bad_ones():
+    """Labels mark documents only: the labels of lines are latent."""
+    rng = random.Random(12)
+    bar = lambda: "home | login | " + " | ".join(prose(rng.random(), 4))
+    say = lambda: " ".join(prose(rng.random(), 11)) + "."
+    rows, truth = [], []
+    for i in range(300):
+        good = i % 2
+        kinds = [1] * rng.randint(5, 9) + [0] * rng.randint(0, 3) if good else [0] * rng.randint(6, 9) + [1] * rng.randint(0, 3)
+        kinds = kinds if rng.random() < 0.5 else kinds[::-1]
+        lines = [say() if k else bar() for k in kinds]
+        rows.append((quality_rules.line_masks("\n".join(lines).encode())[0], good))
+        truth.append(kinds)
+    w, A = quality_rules.fit_crf(rows[:200])
+    bits = (np.arange(1 << quality_rules.N)[:, None] >> np.arange(quality_rules.N)) & 1
+    emit = (w[0] + bits @ w[1:]).tolist()
+    got = [quality_rules.viterbi(m, emit, A.tolist()) for m, _ in rows]
+    held = range(200, 300)
+    assert np.mean([a == b for i in held for a, b in zip(got[i], truth[i])]) > 0.97
+    assert sum(len(set(got[i])) == 2 for i in held) > 50
+
+
+def test_line_labels_keep_to_the_documents_label():
+    on = np.array([[1, 1, 1, 0], [1, 1, 1, 1], [1, 0, 0, 0], [1, 0, 0, 0]])
+    p = np.array([[0.4, 0.1, 0.2, 0.9], [0.9, 0.8, 0.6, 0.7], [0.1, 0, 0, 0], [0.9, 0, 0, 0]])
+    got = quality_rules.line_labels(p, on, np.array([True, False, True, False]))
+    assert got.tolist() == [[1, 0, 1, 0], [1, 0, 0, 0], [1, 0, 0, 0], [0, 0, 0, 0]]
+
+
+def test_crf_gradient_is_that_of_the_likelihood():
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    masks, y = [[1, 2, 3], [5]], [[1, 0, 1], [0]]
+    on, X = quality_rules.padded(masks)
+    Y = np.array([[1, 0, 1], [0, 0, 0]], float)
+    share = np.array([0.3, 0.7])
+    w, A = rng.normal(size=quality_rules.N + 1), rng.normal(size=(2, 2))
+
+    def likelihood(w, A):
+        total = 0.0
+        for i, m in enumerate(masks):
+            f = lambda p, i=i: sum(X[i, t] @ w for t, v in enumerate(p) if v) + sum(A[a, b] for a, b in zip(p, p[1:]))
+            total += share[i] * (f(y[i]) - np.logaddexp.reduce([f(p) for p in product((0, 1), repeat=len(m))]))
+        return total
+
+    gw, gA = quality_rules.gradient(on, X, Y, share, w, A)
+    for k in range(len(w)):
+        d = np.eye(len(w))[k] * 1e-5
+        assert abs((likelihood(w + d, A) - likelihood(w - d, A)) / 2e-5 - gw[k]) < 1e-6
+    for a, b in product((0, 1), repeat=2):
+        d = np.zeros((2, 2))
+        d[a, b] = 1e-5
+        assert abs((likelihood(w, A + d) - likelihood(w, A - d)) / 2e-5 - gA[a, b]) < 1e-6
+
+
 def test_classifier_learns_and_scores_held_out(spark):
     junk = lambda i: " ".join(x.upper() + "!!" for x in prose(i, 80))
     rows = [(i, text(i, 200) if i % 2 else junk(i)) for i in range(150)]
