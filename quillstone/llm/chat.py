@@ -1,8 +1,9 @@
 r"""Chat formatting in budgeted windows.
 
 Prefix sums of turn tokens cut a conversation into turn-aligned spans; each window repeats the latest system
-turn and a limited history, and its loss mask covers only the assistant turns that are new in it. A system turn of more
-than half the budget is shown once and not repeated, so windows hold their new turns and a budget at most.
+turn and a limited history, and its loss mask covers only the assistant turns that are new in it. Every window repeats the system
+turn whole: where it is over half the budget, the windows of its conversation hold up to twice its size instead of the budget, so
+that as much new text stands beside it and the output stays within a constant factor of the input.
 
 Template of a turn: ``### <role>: <text></turn>\n``. In roles and texts a backslash is put before every
 backslash, ``#``, ``<`` and ``:``, so that no control string occurs inside them and unescaping is exact.
@@ -70,12 +71,16 @@ class Windows:
     def new(self) -> bool:
         return self.b < len(self.turns)
 
+    def room(self, size: int) -> int:
+        """Tokens left beside the system turn and a turn of ``size``."""
+        return max(self.budget, 2 * self.system_size) - self.system_size - size
+
     def add(self, role: str, text: str) -> Iterator[tuple[str, int, int, list]]:
         size = tokens(role, text)
-        room = self.budget - self.system_size - size
+        room = self.room(size)
         if self.new and self.sums[-1] - self.sums[self.a] > room:
             yield self.close()
-            room = self.budget - self.system_size - size
+            room = self.room(size)
         if not self.new:  # give up the oldest history that doesn't fit beside the coming turn
             self.a = min(self.b, max(self.a, bisect_left(self.sums, self.sums[-1] - max(0, room))))
         self.turns.append((role, text))
@@ -86,9 +91,8 @@ class Windows:
         repeated = len(shown) - (len(self.turns) - self.b)
         text, loss = render(shown, repeated)
         last = next((i for i in range(len(self.turns) - 1, self.b - 1, -1) if self.turns[i][0] == SYSTEM), None)
-        if last is not None:  # repeated from now on instead of the one before, unless it would fill the windows
-            size = self.sums[last + 1] - self.sums[last]
-            self.system, self.system_size = (self.turns[last], size) if size <= self.budget // 2 else (None, 0)
+        if last is not None:  # repeated from now on instead of the one before
+            self.system, self.system_size = self.turns[last], self.sums[last + 1] - self.sums[last]
             self.a = last + 1
         keep = max(self.a, bisect_left(self.sums, self.sums[-1] - self.history))
         self.turns, self.sums = self.turns[keep:], self.sums[keep:]

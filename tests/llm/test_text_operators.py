@@ -368,13 +368,19 @@ def test_leaks(spark):
     assert decontamination.find_leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
 
-def test_long_system_turns_are_not_repeated_without_bound(spark):
-    rows = [(1, 0, "system", "s " * 5000)] + [(1, i, "user", f"w{i}") for i in range(1, 201)] + [(2, 0, "user", "hello"), (2, 1, "system", "be brief"), *((2, i, "assistant", "a b c " * 60) for i in range(2, 9))]
+def test_long_system_turns_are_repeated_within_bound(spark):
+    """Also one of over half the budget: its windows grow, so the output stays within a constant factor of the input."""
+    rows = [(3, 0, "system", "t " * 300), *((3, i, "user", "a b c " * 30) for i in range(1, 21))]
+    rows += [(1, 0, "system", "s " * 5000)] + [(1, i, "user", f"w{i}") for i in range(1, 201)] + [(2, 0, "user", "hello"), (2, 1, "system", "be brief"), *((2, i, "assistant", "a b c " * 60) for i in range(2, 9))]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     wins = chat.format_chats(df).collect()
     assert sum(len(w.formatted) for w in wins if w.conv_id == 1) < 40_000
     two = sorted((w.window, w.formatted) for w in wins if w.conv_id == 2)
     assert len(two) > 2 and all("be brief" in t for _, t in two) and sum(t.count("be brief") for _, t in two) == len(two)
+    three = [w.formatted for w in wins if w.conv_id == 3]
+    assert len(three) > 4 and all(t.startswith("### system: t t") for t in three)
+    assert all(sum(chat.tokens(*m.groups()) for m in chat.TURN.finditer(t)) <= 2 * 301 for t in three)
+    assert all(w.formatted.startswith("### system: s s") for w in wins if w.conv_id == 1)
     back = {r.conv_id: r for r in chat.read_back(chat.format_chats(df)).collect()}
     assert back[1].n_turns == 201 and back[2].n_turns == 9 and back[2].loss_chars == 7 * 360
 
@@ -392,16 +398,17 @@ def test_windows_against_sums_of_lists():
         size = lambda ts: sum(chat.tokens(*t) for t in ts)
         while left:
             fixed = [system] if system else []
-            while past and size([*fixed, *past, left[0]]) > 60:
+            most = max(60, 2 * size(fixed))
+            while past and size([*fixed, *past, left[0]]) > most:
                 past.pop(0)
             new = [left.pop(0)]
-            while left and size([*fixed, *past, *new, left[0]]) <= 60:
+            while left and size([*fixed, *past, *new, left[0]]) <= most:
                 new.append(left.pop(0))
             want.append((chat.render([*fixed, *past, *new], len(fixed) + len(past))[0], len(fixed) + len(past)))
             tail = [*past, *new]
             at = max((i for i, t in enumerate(new) if t[0] == "system"), default=None)
             if at is not None:
-                system, tail = new[at] if size([new[at]]) <= 30 else None, new[at + 1 :]
+                system, tail = new[at], new[at + 1 :]
             while size(tail) > 20:
                 tail.pop(0)
             past = tail
