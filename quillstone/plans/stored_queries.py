@@ -1,4 +1,4 @@
-"""Queries through stored tables and the tail of files that Spark writes from the given tables."""
+"""Queries through stored tables, the tail of files that Spark writes from the given tables, and edits of texts."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillstone import functions as Q
 from quillstone import sources, streaming
+from quillstone.operators import fixes
 from quillstone.operators.entry_store import EntryStore
 from quillstone.operators.search_index import SearchIndex
 from quillstone.operators.store import shared_folder
@@ -59,3 +60,19 @@ def tail_messages(t):
     lines = sources.tail(t("conversations").sparkSession, root, "*.json").withColumn("of", F.get_json_object("value", "$.of"))
     m = streaming.drain(sources.jsonl_messages(lines, "value", "of"), "append")
     return m.groupBy(F.col("of").alias("session"), "kind").agg(F.count("*").alias("messages"), F.sum(Q.token_estimate(F.col("content"))).alias("tokens"))
+
+
+#: Fixes of texts: tokens are blanked, a licence's name is spelt another way.
+TEXT_FIXES = [
+    fixes.Fix("DOC-TOKEN", r"token = \"[0-9a-f]+\"", 'token = ""', "{} token(s)"),
+    fixes.Fix("DOC-LICENSE", r"(Apache|MIT) License", "$1 Licence", "{} name(s)"),
+]
+
+
+@query(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+n AS (SELECT doc_id, x, len(regexp_extract_all(x, 'token = "[0-9a-f]+"')) AS a, len(regexp_extract_all(x, '(Apache|MIT) License')) AS b FROM d)
+SELECT doc_id::VARCHAR AS path, sha256(regexp_replace(regexp_replace(x, 'token = "[0-9a-f]+"', 'token = ""', 'g'), '(Apache|MIT) License', '\1 Licence', 'g')) AS hash, (a + b)::INT AS applied FROM n WHERE a + b > 0""")
+def document_fixes(t):
+    files = t("documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    out = fixes.apply_actions(files, fixes.fix_actions(files, fixes=TEXT_FIXES), TEXT_FIXES)
+    return out.select("path", F.sha2("content", 256).alias("hash"), "applied")
