@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -20,6 +20,8 @@ from quillstone import sources, streaming
 #: Stillness that ends a burst, tokens kept, tokens at which a session asks for an optimisation, entries kept.
 DEBOUNCE_MS, BUDGET, ALERT_TOKENS, WINDOW = 5_000, 40_000, 60_000, 500
 ENTRY = "hash string, terms string, tokens long, ts_ms long, ttl_s long, score double, access_count long, critical boolean"
+ENTRIES = "array<struct<" + ENTRY.replace(" ", ":").replace(",:", ",") + ">>"
+STATE = f"session string, burst long, total long, removed long, now long, entries {ENTRIES}"
 BURST = "session string, burst long, lines long, total_lines long, entries long, tokens long, removed long, evicted long, reduction double, utilization double, alert boolean"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -75,6 +77,14 @@ class Watcher(StatefulProcessor):
         row = [key[0], burst + 1, len(new), total + len(new), len(kept), tokens, gone, removed + gone, (before - tokens) / before if before else 0.0, tokens / self.budget, tokens >= self.alert_tokens]
         yield pd.DataFrame([row], columns=[c.split(" ")[0] for c in BURST.split(", ")])
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """A session goes on from an exported state; rows that are no state are passed over."""
+        for r in initialState.itertuples(index=False):
+            held = [tuple(e[c] for c in streaming.HELD) for e in r.entries if e is not None and e["hash"] is not None and e["tokens"] is not None]
+            if held:
+                self.held.put([(h, t or "", int(n), int(ts), int(ttl), float(score), int(access), bool(critical)) for h, t, n, ts, ttl, score, access, critical in held])
+            self.counts.update((int(r.burst), int(r.total), int(r.removed), int(r.now), -1))
+
     def close(self) -> None:
         pass
 
@@ -97,11 +107,34 @@ def entries_of(lines: DataFrame) -> DataFrame:
     )
 
 
-def watch(entries: DataFrame, debounce_ms: int = DEBOUNCE_MS, budget: int = BUDGET, window: int = WINDOW, alert_tokens: int = ALERT_TOKENS) -> DataFrame:
-    """One row for each burst of a session. ``entries`` as of ``entries_of``; ``alert`` marks sessions that ask for an optimisation."""
+def watch(entries: DataFrame, debounce_ms: int = DEBOUNCE_MS, budget: int = BUDGET, window: int = WINDOW, alert_tokens: int = ALERT_TOKENS, initial: DataFrame | None = None) -> DataFrame:
+    """One row for each burst of a session. ``entries`` as of ``entries_of``; ``alert`` marks sessions that ask for an optimisation.
+    ``initial`` is an exported state that a stream without a checkpoint starts from."""
     entries.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)  # timers need it
     rows = entries.select("session", "position", *streaming.HELD)
-    return rows.groupBy("session").transformWithStateInPandas(Watcher(debounce_ms, budget, window, alert_tokens), BURST, "Update", "ProcessingTime")
+    start = usable(initial).groupBy("session") if initial is not None else None
+    return rows.groupBy("session").transformWithStateInPandas(Watcher(debounce_ms, budget, window, alert_tokens), BURST, "Update", "ProcessingTime", initialState=start)
+
+
+def usable(states: DataFrame) -> DataFrame:
+    """One state of each session of an export, the one of most bursts; fields that are not there count as nothing held."""
+    whole = F.struct(*[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("burst", "total", "removed", "now")], F.coalesce("entries", F.array().cast(ENTRIES)).alias("entries"))
+    return states.where("session is not null").groupBy("session").agg(F.max_by(whole, F.coalesce("burst", F.lit(0))).alias("s")).select("session", "s.*")
+
+
+def export_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(session, burst, total, removed, now, entries) of every session, read from a stopped watcher's checkpoint by Spark's state data
+    source. Lines still waiting for their timer are not part of it: their offsets are not settled either."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    read = lambda name: spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    counts = read("counts").select("key.session", "value.burst", "value.total", "value.removed", "value.now")
+    held = read("held").groupBy("key.session").agg(F.collect_list("list_element").alias("entries"))  # as many as the window holds
+    return counts.join(held, "session", "left").withColumn("entries", F.coalesce("entries", F.array().cast(ENTRIES)))
+
+
+def sessions_again(lines: DataFrame, initial: DataFrame | None = None, **options) -> DataFrame:
+    """The watcher over transcript lines as of ``sources.tail``, from an exported state if there is one."""
+    return watch(entries_of(lines), initial=initial, **options)
 
 
 def alerts(bursts: DataFrame) -> DataFrame:

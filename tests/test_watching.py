@@ -130,3 +130,35 @@ def test_window_keeps_critical_then_hybrid_scores():
     # 0.54, always, 0.52, 0.74
     assert [x[0] for x in watching.evict(live, 3)] == ["old", "crit", "mid"]
     assert watching.evict(live, 4) == live
+
+
+def test_a_restored_watcher_goes_on_as_one_never_stopped(spark, tmp_path):
+    say = lambda text: json.dumps({"role": "user", "content": text}) + "\n"
+    first = "".join(say(f"alpha{i} beta gamma" * 3) for i in range(6))
+    then = "".join(say(f"delta{i} beta" * 3) for i in range(4)) + say("alpha5 beta gamma" * 3)
+
+    def run(name, texts, initial=None, base=0):
+        folder, out = tmp_path / name, tmp_path / f"{name}-out"
+        folder.mkdir()
+        lines = sources.tail(spark, str(folder)).withColumn("position", F.col("position") + base)
+        q = watching.sessions_again(lines, initial, debounce_ms=500, window=7).writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("append").parquet(f"{out}/rows")).option("checkpointLocation", f"{out}/state").trigger(processingTime="200 milliseconds").start()
+        read = lambda: spark.read.schema(watching.BURST).parquet(f"{out}/rows").orderBy("burst").collect() if (out / "rows").exists() else []
+        try:
+            for k, t in enumerate(texts):
+                with (folder / "s.jsonl").open("a") as f:
+                    f.write(t)
+                wait_for(q, lambda k=k: len(read()) == k + 1)
+        finally:
+            q.stop()
+        return read(), f"{out}/state"
+
+    whole, _ = run("whole", [first, then])
+    part, state = run("part", [first])
+    kept = watching.export_state(spark, state)
+    assert [(r.session, r.burst, r.total, len(r.entries)) for r in kept.collect()] == [("s", 1, 6, 6)]
+    kept.write.json(f"{tmp_path}/export")
+    back = spark.read.schema(watching.STATE).json(f"{tmp_path}/export")
+    broken = spark.createDataFrame([("other", None, None, None, None, None), (None, 1, 1, 1, 1, None)], watching.STATE)
+    rest, _ = run("rest", [then], back.unionByName(broken), base=len(first.encode()))
+    assert [r.asDict() for r in part + rest] == [r.asDict() for r in whole]
+    assert whole[1].burst == 2 and whole[1].evicted > 0
