@@ -568,4 +568,4 @@ def magic_numbers(t):
     return t("documents").select("doc_id", analyzers.magic_numbers(F.col("text")).alias("n"))
 
 
-from quillstone.plans import project_queries, stored_queries  # noqa: E402, F401  register their queries here
+from quillstone.plans import held_queries, project_queries, stored_queries  # noqa: E402, F401, I001  register their queries here
