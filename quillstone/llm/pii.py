@@ -1,12 +1,12 @@
 """Personal data by weak supervision.
 
-The fixed patterns (email, ip, card, phone) give base spans. Besides, every ASCII token with a digit
-that no base span touches is a candidate for kind ``secret``; a regex, two gazetteer/context and two
-shape labelers vote on it (1 private, 0 not, 2 abstains). Expectation-maximisation over the vote
-patterns of the whole corpus estimates how reliable each labeler is, and a logistic span classifier
-over votes and shape features is trained on the resulting posteriors; it alone decides. The candidate
-mask has a fixed number of bits, so the pattern table that reaches the driver is bounded whatever the
-corpus.
+The fixed patterns (email, ip, card, phone) give base spans. Besides, every ASCII token that holds a digit or that a credential
+word introduces, of any length, is a candidate for kind ``secret`` where no base span touches it. Six labelers vote on it (1 private, 0
+not, 2 abstains): known shapes of keys, a gazetteer of credential words before it, whether it is assigned and to what name, mixture of
+digits and letters, likeness to a plain word, and prose around it. Expectation-maximisation over the vote patterns of the whole corpus
+estimates how reliable each labeler is when it votes (an abstention says nothing), and a logistic span classifier over votes and shape
+features is trained on the resulting posteriors; it alone decides. The mask of a candidate has a fixed number of bits, so the
+pattern table that reaches the driver is bounded whatever the corpus.
 
 Null and empty texts have no spans. Repeated rows give repeated rows, an empty table an empty result;
 only doc_id and text are read.
@@ -39,9 +39,12 @@ TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 #: Words that introduce a credential.
 GAZETTEER = re.compile(r"(?:password|passwd|passphrase|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|bearer|ssn|iban)[^A-Za-z0-9]{0,6}\Z", re.I)
 KEY_SHAPES = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}|[0-9a-f]{16,}|gh[pousr]_[A-Za-z0-9]{20,}|sk_[A-Za-z0-9]{16,}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
-LEAST = 8
-LABELERS = ("regex", "gazetteer", "assignment", "mixture", "wordlike")
-SHAPES = ("len12", "len16", "len24", "digits20", "digits50", "upper50", "lower_hex")
+LABELERS = ("regex", "gazetteer", "assignment", "mixture", "wordlike", "prose")
+SHAPES = ("len6", "len12", "len16", "len24", "digits20", "digits50", "upper50", "lower_hex")
+#: A token that a credential word introduces, whatever it is made of.
+INTRODUCED = re.compile(GAZETTEER.pattern.removesuffix("{0,6}\\Z") + "{1,6}([A-Za-z0-9_]+)", re.I)
+ASSIGNED = re.compile(r"[=:][ \t]{0,3}[\"']?\Z")
+PLAIN_WORD = re.compile(r"[A-Za-z_]+[0-9]{0,4}|[0-9]+")
 BITS = 2 * len(LABELERS) + len(SHAPES)
 
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, cands array<struct<start:int,end:int,mask:int>>"
@@ -95,14 +98,16 @@ def candidate_mask(text: str, s: int, e: int) -> int:
     n, digits, ups = len(t), sum("0" <= c <= "9" for c in t), sum("A" <= c <= "Z" for c in t)
     before, after = text[max(0, s - 24) : s], text[e : e + 1]
     runs = len(re.findall(r"[0-9]+|[A-Za-z_]+", t))
+    assigned, named = bool(ASSIGNED.search(before)), bool(GAZETTEER.search(before))
     votes = (
-        1 if KEY_SHAPES.fullmatch(t) and digits < n else 0 if digits == n else 2,
-        1 if GAZETTEER.search(before) else 2,
-        1 if before[-1:] in ("=", '"', "'") and (before[-1:] == "=" or after == before[-1:]) else 2,
+        1 if KEY_SHAPES.fullmatch(t) and 0 < digits < n else 0 if digits == n else 2,
+        1 if named else 2,
+        (1 if named else 0) if assigned else 0 if named else 2,
         1 if n >= 14 and runs >= 4 else 0 if runs <= 2 else 2,
-        0 if digits == n or re.fullmatch(r"[A-Za-z_]{3,}[0-9]{1,4}", t) else 2,
+        0 if PLAIN_WORD.fullmatch(t) else 2,
+        0 if not assigned and before[-1:] in ("", " ", "\n") and after in ("", " ", "\n", ".", ",", ";") else 2,
     )
-    shapes = (n >= 12, n >= 16, n >= 24, digits * 5 >= n, digits * 2 >= n, ups * 2 >= n, bool(re.fullmatch("[0-9a-f]+", t)))
+    shapes = (n >= 6, n >= 12, n >= 16, n >= 24, digits * 5 >= n, digits * 2 >= n, ups * 2 >= n, bool(re.fullmatch("[0-9a-f]+", t)))
     mask = 0
     for i, v in enumerate(votes):
         mask |= v << (2 * i)
@@ -112,19 +117,23 @@ def candidate_mask(text: str, s: int, e: int) -> int:
 
 
 def candidates(text: str, taken: dict[str, list[tuple[int, int]]]) -> list[tuple[int, int, int]]:
+    """Tokens with a digit and tokens that a credential word introduces, in order, where no base span touches them."""
     used = sorted(x for v in taken.values() for x in v)
-    out, at, k, reach = [], 0, 0, 0
+    found, at = [], 0
     while m := DIGIT.search(text, at):
         s = m.start()
         while s > at and text[s - 1] in TOKEN:
             s -= 1
-        e = TAIL.match(text, m.start()).end()
+        at = TAIL.match(text, m.start()).end()
+        found.append((s, at))
+    found = sorted({*found, *((m.start(1), m.end(1)) for m in INTRODUCED.finditer(text))})
+    out, k, reach = [], 0, 0
+    for s, e in found:
         while k < len(used) and used[k][0] < e:
             reach = max(reach, used[k][1])
             k += 1
-        if e - s >= LEAST and reach <= s:
+        if reach <= s and (not out or out[-1][1] <= s):
             out.append((s, e, candidate_mask(text, s, e)))
-        at = e
     return out
 
 
@@ -152,19 +161,21 @@ def extract(docs: DataFrame) -> DataFrame:
 def estimate(masks: np.ndarray, counts: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """EM over vote patterns: posterior of 'private' by pattern, labeler confusion [labeler, class, vote], prior.
 
-    The start is a Beta-smoothed belief that labelers are better than chance; it also breaks the symmetry.
+    The start is a belief that labelers are better than chance, worth a tenth of the votes or so; it also breaks the symmetry. Labelers that
+    only ever vote one way are told from each other by whom they agree with.
     """
     votes = np.stack([(masks >> (2 * i)) & 3 for i in range(len(LABELERS))], 1)
     prior_counts = np.zeros((len(LABELERS), 2, 3))
-    prior_counts[:, 0], prior_counts[:, 1] = (4, 1, 5), (1, 4, 5)
+    prior_counts[:, 0, :2], prior_counts[:, 1, :2] = (4, 1), (1, 4)
+    prior_counts *= max(1.0, counts.sum() / 40)
     conf, prior = prior_counts / prior_counts.sum(2, keepdims=True), np.array([0.5, 0.5])
     post = np.full(len(masks), 0.5)
     for _ in range(rounds):
-        ll = np.log(prior)[None] + sum(np.log(conf[i][:, votes[:, i]]).T for i in range(len(LABELERS)))
+        ll = np.log(prior)[None] + sum(np.where(votes[:, i, None] < 2, np.log(conf[i][:, np.minimum(votes[:, i], 1)]).T, 0.0) for i in range(len(LABELERS)))
         post = 1 / (1 + np.exp(np.clip(ll[:, 0] - ll[:, 1], -50, 50)))
         for i in range(len(LABELERS)):
             for c, r in ((0, counts * (1 - post)), (1, counts * post)):
-                conf[i, c] = prior_counts[i, c] + np.bincount(votes[:, i], r, 3)
+                conf[i, c] = prior_counts[i, c] + np.bincount(votes[:, i], r, 3) * (1, 1, 0)
         conf /= conf.sum(2, keepdims=True)
         p = (counts @ post + 2) / (counts.sum() + 4)
         prior = np.array([1 - p, p])
@@ -214,7 +225,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, kinds: tuple[str, ...] = (*KINDS, "secret")) -> DataFrame:
     """``docs`` with each private span's text replaced by its kind in angle brackets and n_chars updated.
 
-    Texts are read twice and never shuffled: the first pass only counts vote patterns.
+    Texts are read twice and never shuffled: the first pass only counts vote patterns. Every row stays, with all its columns
+    whatever they are called; null texts stay null, empty ones empty, repeated rows repeated, and an empty table stays empty.
     """
     masks = private_masks(materialize(extract(docs).select("cands"), "pii-votes"))
     schema = docs.schema

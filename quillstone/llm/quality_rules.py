@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import SPACES, id_text, sample_by_hash, small_batches
 
 TRAIN_DOCS, EPOCHS, TURNS, RIDGE = 3000, 40, 2, 2e-3
+#: Lines of one training sequence.
+TRAIN_LINES = 2000
 #: Least share of words in content lines, and the window of the repetition rule.
 MIN_SHARE, WINDOW = 0.5, 8
 SYMBOLS = b"#*$%&|<>"
@@ -172,7 +174,8 @@ def ascend(parts: list[tuple], w: np.ndarray, A: np.ndarray, chain: bool = True)
 
 def fit_crf(rows: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray]:
     """Emission weights (bias first) and transitions; the labels of lines and the weights are found by turns."""
-    rows = [(m, y) for m, y in rows if m]
+    # a very long text is several sequences, so that the steps of a pass are bounded
+    rows = [(m[i : i + TRAIN_LINES], y) for m, y in rows for i in range(0, len(m), TRAIN_LINES)]
     if len({y for _, y in rows}) < 2:
         return DEFAULT
     lens, y = np.array([len(m) for m, _ in rows]), np.array([y for _, y in rows])
@@ -240,7 +243,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns; one narrow pass."""
+    """The rows of ``docs`` that the rules keep, with all their columns whatever they are called; one narrow pass. Null and empty
+    texts go, as they fail the base rule; of repeated rows all stay or all go; an empty table stays empty."""
     w, A = model
     bits = (np.arange(1 << N)[:, None] >> np.arange(N)) & 1
     emit, trans = (w[0] + bits @ w[1:]).tolist(), A.tolist()

@@ -73,6 +73,40 @@ def test_pii_finds_secrets_and_leaves_clean_texts(spark):
             assert re.fullmatch("AKIA.{16}|[0-9a-f]{18}", t[s:e])
 
 
+def test_votes_are_weighed_against_each_other(spark):
+    """Short and letters-only tokens are candidates; the classifier finds keys that no known shape tells, and beats each simple labeler."""
+    rng = random.Random(1)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    kinds = {
+        "hex": (1, 2, lambda: f"token: {pick('0123456789abcdef', 31)}7"),
+        "short": (1, 2, lambda: f"api_key={pick('ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789', 4)}4Q"),
+        "shape": (1, 1, lambda: f"AKIA{pick('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 15)}7"),
+        "prose": (0, 4, lambda: f"secret {rng.choice(['garden', 'door', 'love'])}"),
+        "chapter": (0, 4, lambda: "chapter2024"),
+        "year": (0, 6, lambda: str(rng.randint(1, 2024))),
+        "count": (0, 4, lambda: f"count: {rng.randint(1, 99)}"),
+        "size": (0, 3, lambda: "size = 12px"),
+        "room": (0, 3, lambda: "room B12a"),
+        "none": (0, 6, str),
+    }
+    rows, names = [], []
+    for i in range(1500):
+        k = rng.choices(list(kinds), [w for _, w, _ in kinds.values()])[0]
+        w = prose(i, 30)
+        rows.append((i, " ".join([*w[:15], kinds[k][2](), *w[15:]])))
+        names.append(k)
+    found = {r.doc_id: r for r in pii.find_pii(docs(spark, rows)).collect()}
+    truth = [bool(kinds[k][0]) for k in names]
+    right = sum((found[i].n_secret > 0) == t for i, t in enumerate(truth))
+    assert right >= 0.99 * len(rows)
+    cands = [pii.candidates(t, pii.base_spans(t)) for _, t in rows]
+    for v in ("regex", "gazetteer", "mixture"):
+        i = pii.LABELERS.index(v)
+        assert right > sum(any((m >> (2 * i)) & 3 == 1 for _, _, m in c) == t for c, t in zip(cands, truth))
+    t = "token_7abc password: hunter, secret=x mail bob7@x.org"
+    assert [t[s:e] for s, e, _ in pii.candidates(t, pii.base_spans(t))] == ["token_7abc", "hunter", "x"]
+
+
 def test_pii_odd_rows_and_redaction(spark):
     rows = [*odd_rows(), (20, "mail bob@x.org now 10.0.0.1"), (20, "mail bob@x.org now 10.0.0.1")]
     out = pii.find_pii(docs(spark, rows)).collect()
