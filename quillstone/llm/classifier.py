@@ -106,7 +106,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[float, np.ndarray, np.nda
             f = [features(t)[0].astype(np.int32).tolist() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(f, pa.list_(pa.int32()))], ["doc_id", "y", "idx"])
 
-    got = id_text(docs).join(picked, "doc_id").mapInArrow(run, "doc_id long, y int, idx array<int>").toArrow()
+    found = id_text(docs).join(picked, "doc_id").mapInArrow(run, "doc_id long, y int, idx array<int>")
+    got = found.orderBy(F.xxhash64("doc_id"), "doc_id", "idx").limit(TRAIN_DOCS).toArrow()  # cut before it is collected
     rows = []
     for doc, y, idx in zip(*(got.column(c).to_numpy() for c in ("doc_id", "y", "idx")), strict=True):
         val = np.full(len(idx), 1 / np.sqrt(max(1, len(idx) - STATS)), np.float32)

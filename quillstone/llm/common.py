@@ -1,12 +1,13 @@
 """Shared plumbing of the training-data operators.
 
 Scratch tables go to the shared folder named by ``spark.checkpoint.dir``; a local one is
-set only where that setting is missing, as in tests.
+set only where that setting is missing and all runs on one machine, as in tests.
 """
 
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -29,6 +30,8 @@ def scratch_root(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         root = f"file://{tempfile.mkdtemp(prefix='quillstone-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
