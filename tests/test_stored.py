@@ -103,6 +103,19 @@ def test_two_writers_lose_no_row(spark, tmp_path):
     assert Versions(spark, root).numbers() == list(range(1, 8))
 
 
+def test_a_local_folder_is_no_shared_one_on_a_cluster():
+    from types import SimpleNamespace
+
+    from quillstone.operators.store import shared_folder
+
+    conf = SimpleNamespace(get=lambda *a: None, set=lambda *a: None)
+    session = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+    assert shared_folder(session("local[4]")).startswith("file://")
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_folder(session(master))
+
+
 def test_a_version_is_taken_once(spark, tmp_path):
     v = Versions(spark, str(tmp_path / "v"))
     v.commit(1, {"a": 1})
