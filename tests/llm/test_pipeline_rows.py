@@ -9,7 +9,7 @@ CLASH = "doc_id long, text string, lang string, source string, n_chars long, _ro
 
 @pytest.fixture
 def folder(spark, tmp_path):
-    spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, text(900, 40)), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     return str(tmp_path)
 
