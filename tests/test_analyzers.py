@@ -172,3 +172,10 @@ def test_long_texts(spark):
     files = spark.createDataFrame([("a.ts", "/" + "x" * 300_000 + "\n" + "token /a+/ " * 20_000)], FILES)
     for kind in pipelines.AUDITS:
         assert pipelines.audit_scores(files, kind).count() == len(pipelines.AUDITS[kind][1])
+
+
+def test_magic_numbers_trim_and_space_as_their_sql_does(spark):
+    """Lines lose Unicode's space separators, and a vertical tab is no space."""
+    lines = ["　//142", "\xa0142,", " `142", "\t142,", "\x0b142,", ":\x0b142", "　call 142"]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string").select("i", analyzers.magic_numbers(F.col("x")).alias("n"))
+    assert [r.n for r in got.orderBy("i").collect()] == [0, 0, 0, 0, 1, 1, 1]
