@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -351,3 +352,27 @@ def test_graph_bfs_walks_every_supplier(spark, tmp_path, monkeypatch):
     got = {r.node: r.depth for r in registry.QUERIES["graph_bfs"](spark, str(tmp_path)).collect()}
     assert got == {"s1": 0, "o10": 1, "o11": 1, "p7": 2, "p8": 2, "p9": 2, "p6": 2}
     assert {("s21", "o12"), ("s30", "o10"), ("s1", "o10")} <= {(r.src, r.dst) for r in seen[0].collect()}
+
+
+def test_cosine_pairs_meet_in_blocks_and_part_by_their_outlines(spark, monkeypatch):
+    """Texts that share one hot term alone do not leave the task they meet in; what is similar does, whatever the blocks."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(["hot"] * 9 + [f"w{k}" for k in rng.integers(0, 400, 12)]) for _ in range(40)] + [f"hot only{k}" for k in range(40)]
+    texts += [x + " more" for x in texts[:10]]
+    e = spark.createDataFrame([(f"é{i}" if i % 2 else f"z{i}", x) for i, x in enumerate(texts)] + [(None, texts[0])], "id string, content string")
+    vec = []
+    for r in e.where("id is not null").collect():
+        words, n = np.unique(r.content.split(), return_counts=True)
+        vec.append((r.id, dict(zip(words.tolist(), n.tolist(), strict=True))))
+    norm = {i: sum(c * c for c in v.values()) ** 0.5 for i, v in vec}
+    dots = {(min(i, j), max(i, j)): sum(c * w.get(t, 0) for t, c in v.items()) / norm[i] / norm[j] for k, (i, v) in enumerate(vec) for j, w in vec[:k]}
+    monkeypatch.setattr(memory, "POSTINGS_BLOCK", 7)
+    for threshold in (0.5, 0.9):
+        got = {(r.i, r.j): r.similarity for r in memory.cosine_pairs(e, threshold).collect()}
+        assert got == pytest.approx({p: s for p, s in dots.items() if s >= threshold})
+
+    v = memory.text_vectors(spark.createDataFrame([(i, f"hot a{i} b{i} c{i}") for i in range(30)], "id long, content string"), "content")
+    p = memory.prefixes(v, (np.zeros(0, np.int64), np.zeros(0, np.int64)), 0.3)
+    dealt = p.selectExpr("term", "0 as a", "0 as b", "0 as block", "id", "w", "after", "part").repartition(2, "term").sortWithinPartitions("term", "a", "b", "id")
+    assert p.groupBy("term").count().where("count = 30").count() == 1
+    assert memory.meetings(dealt, 0.8).count() == 0
