@@ -179,3 +179,22 @@ def test_magic_numbers_trim_and_space_as_their_sql_does(spark):
     lines = ["　//142", "\xa0142,", " `142", "\t142,", "\x0b142,", ":\x0b142", "　call 142"]
     got = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string").select("i", analyzers.magic_numbers(F.col("x")).alias("n"))
     assert [r.n for r in got.orderBy("i").collect()] == [0, 0, 0, 0, 1, 1, 1]
+
+
+def test_patterns_are_tried_only_where_their_pieces_occur(spark):
+    """The pieces refuse no text in which a pattern occurs, and details that nobody asks for are not looked for."""
+    from quillstone.plans.held_queries import SNIPPETS
+
+    todo = [r for r in catalogue.ANALYZER + catalogue.SECURE + catalogue.COMPLY if r.shape == "F"]
+    texts = [*SNIPPETS, "X = 'ſelect * from a'", "SELECT\n* FROM k", "İ NOLOCK K", "plain prose", "", None]
+    files = spark.createDataFrame([(f"src/f{i}.ts", x) for i, x in enumerate(texts)], FILES)
+    bare = [r._replace(gate="", gates=(), also="", only="", skip="") for r in todo if r.id.startswith(("QUAL", "SEC-00", "CMP-PD"))]
+    tried = files.select("path", *[F.coalesce("content", F.lit("")).rlike(r.trigger).alias(r.id) for r in bare]).collect()
+    plain = [(row.path, r.id) for row in tried for r in bare if row[r.id]]
+    found = rules.evaluate(files, bare)
+    assert ids(found) == set(plain) and len(plain) > 10
+    assert {frozenset({"token", "cache"}), frozenset({"store", "put"})} == set(rules.needed(r"(?i)(?:token|cache)\s*(?:store|put)\b"))
+    assert rules.needed(r"a|bcd") == () and rules.needed(r"(?:abc)*x?") == ()
+    assert "regexp_count" not in found.select("path", "rule_id")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {r.line for r in found.where("path = 'src/f17.ts'").collect()} == {1}
+    assert [r.line for r in rules.evaluate(spark.createDataFrame([("a.ts", "x\ny\neval(z)")], FILES), [r for r in bare if r.id == "QUAL-004"]).collect()] == [3]
