@@ -376,3 +376,27 @@ def test_cosine_pairs_meet_in_blocks_and_part_by_their_outlines(spark, monkeypat
     dealt = p.selectExpr("term", "0 as a", "0 as b", "0 as block", "id", "w", "after", "part").repartition(2, "term").sortWithinPartitions("term", "a", "b", "id")
     assert p.groupBy("term").count().where("count = 30").count() == 1
     assert memory.meetings(dealt, 0.8).count() == 0
+
+
+def test_groups_are_compared_exactly_whatever_the_tiles(monkeypatch):
+    """Dense and rare terms, norms whose product single precision does not hold, and products summed in slices."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(60):
+        t = np.unique(np.concatenate([np.arange(5), rng.integers(5, 400, 30)]))
+        c = rng.integers(1, 4, len(t)).astype(np.int32) * (5_000_000 if i % 4 == 0 else 1)
+        rows.append((1000 - i, t.astype(np.int64).tobytes(), c.astype(np.int32).tobytes()))
+    full = np.zeros((60, 400), object)
+    for k, (_, t, c) in enumerate(rows):
+        full[k, np.frombuffer(t, np.int64)] = [int(x) for x in np.frombuffer(c, np.int32)]
+    norm = [float(sum(x * x for x in v)) ** 0.5 for v in full]
+    sims = {(1000 - j, 1000 - i): float(full[i] @ full[j]) / (norm[i] * norm[j]) for i in range(60) for j in range(i + 1, 60)}
+    want = {p: s for p, s in sims.items() if s >= 0.2}
+    assert 100 < len(want) < len(sims)
+    monkeypatch.setattr(memory, "TILE_ROWS", 7)
+    a, b = (memory.flat_rows(*zip(*side)) for side in (rows[:25], rows[25:]))
+    for memory.TILE_CELLS in (1 << 22, 90):
+        got = [memory.compare_groups(a, None, 0.2), memory.compare_groups(b, None, 0.2), memory.compare_groups(a, b, 0.2)]
+        pairs = [(i, j, s) for g in got for x in g for i, j, s in zip(*(y.tolist() for y in x))]
+        assert len(pairs) == len(want) and {(i, j): s for i, j, s in pairs} == pytest.approx(want, rel=1e-12)
+    memory.TILE_CELLS = 1 << 22
