@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby, islice
 
 import numpy as np
@@ -25,6 +26,8 @@ from quillstone.operators.store import materialize
 GROUP_ROWS, TILE_ROWS, TILE_TERMS, TILE_CELLS = 16384, 256, 2048, 1 << 22
 #: How many dense products cost as much as one along postings; pairs in a batch.
 DENSE, PAIRS_BATCH = 500, 1 << 16
+#: Characters of text whose terms meet in one task; hash of the term that stands for a group.
+BUCKET_CHARS, GROUP_TERM = 1 << 27, 0x5851F42D4C957F2D
 
 
 def document_frequency(entries: DataFrame, content: str = "content", by: list[str] | None = None) -> DataFrame:
@@ -32,34 +35,78 @@ def document_frequency(entries: DataFrame, content: str = "content", by: list[st
     return entries.select(*(by or []), F.explode(F.array_distinct(Q.tokens(F.col(content)))).alias("term")).groupBy(*(by or []), "term").agg(F.count("*").alias("df"))
 
 
-def term_counts(text: Column) -> tuple[Column, Column, Column]:
-    """Columns to be added one after the other: sorted terms, starts of their runs, (term, c) of each run.
+def counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted 64-bit hashes of the distinct terms of a lower-cased text, and their counts: ``bytes.split`` splits as the
+    JVM's ``\\s+``."""
+    n = Counter(text.split())
+    t = np.fromiter(map(xxhash.xxh3_64_intdigest, n), np.uint64, len(n)).view(np.int64)
+    order = np.argsort(t)
+    return t[order], np.fromiter(n.values(), np.int32, len(n))[order]
 
-    Counting is linear in the row's terms and stays in the row.
-    """
-    words = F.sort_array(Q.tokens(text))
-    starts = F.filter(F.transform("_t", lambda t, i: F.when((i == 0) | (t != F.get("_t", i - 1)), i)), lambda i: i.isNotNull())
-    runs = F.transform("_s", lambda at, k: F.struct(F.get("_t", at).alias("term"), (F.coalesce(F.get("_s", k + 1), F.size("_t")) - at).alias("c")))
-    return words, starts, runs
+
+def term_pieces(rows: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, k, m, t, c) of rows (k, g, x): the terms of some rows that fall into a bucket, packed. ``k`` are the keys of the rows and
+    ``m`` how many terms of each follow in ``t`` (hash of term and group) and ``c`` (count). One more term of each row, of
+    count 0, stands for its group."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            keys, groups = (batch.column(x).to_numpy() for x in ("k", "g"))
+            got = [counted(x) for x in batch.column("x").to_pylist()]
+            n = np.array([len(t) + 1 for t, _ in got])
+            t = np.concatenate([x for g, (terms, _) in zip(groups, got, strict=True) for x in ([g ^ GROUP_TERM], terms ^ g)])
+            c = np.concatenate([x for _, counts in got for x in (np.zeros(1, np.int32), counts)])
+            bucket, row = (t.view(np.uint64) >> np.uint64(33)) % np.uint64(buckets), np.repeat(np.arange(len(n)), n)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+            out = []
+            for b in range(buckets):
+                at = order[ends[b] : ends[b + 1]]
+                if len(at):
+                    r, m = np.unique(row[at], return_counts=True)
+                    out.append((b, *(x.tobytes() for x in (keys[r], m.astype(np.int32), t[at], c[at]))))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "k", "m", "t", "c"])
+
+    return rows.mapInArrow(run, "bucket int, k binary, m binary, t binary, c binary")
+
+
+def term_sums(pieces: DataFrame) -> DataFrame:
+    """(k, roots, weighed, terms, total) of each row of each piece, dealt so that a task has whole buckets: the sums, over the row's terms there, of
+    sqrt(count), of sqrt(count) ln(df) and of the count; ``total`` is the ln of the group's number of rows where its own term lies, else 0."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_pylist() for c in b.columns] for b in it]
+        if not parts:
+            return
+        k, m, t, c = (np.frombuffer(b"".join(x for p in parts for x in p[i]), d) for i, d in enumerate((np.int64, np.int32, np.int64, np.int32)))
+        del parts
+        _, at, df = np.unique(t, return_inverse=True, return_counts=True)
+        logs, roots, starts = np.log(df)[at], np.sqrt(c), np.cumsum(m) - m
+        sums = [np.add.reduceat(x, starts) for x in (roots, roots * logs, c.astype(np.int64), np.where(c == 0, logs, 0.0))]
+        for x in range(0, len(k), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(y[x : x + (1 << 16)]) for y in (k, *sums)], ["k", "roots", "weighed", "terms", "total"])
+
+    return pieces.select("k", "m", "t", "c").mapInArrow(run, "k long, roots double, weighed double, terms long, total double")
 
 
 def tfidf(entries: DataFrame, by: list[str] | None = None, content: str = "content") -> DataFrame:
     """Adds ``tfidf``: sum over distinct terms of sqrt(count) ln(N / df), over the number of terms.
 
-    Terms are counted inside each row, so the index shuffles (term, count) only and the scored side one row for each
-    distinct term; N is a one-row aggregate per ``by`` group.
+    Terms are counted inside each row and shuffled once, as packed 64-bit hashes, to the bucket of the term, where all its rows meet and
+    df is known. As ln(N / df) = ln N - ln df, what a row gets from a bucket is a few sums, so neither the index nor the scores are
+    joined with the terms. A bucket holds the terms of about BUCKET_CHARS characters of text.
     """
     by = by or []
-    words, starts, runs = term_counts(F.col(content))
-    counted = entries.select(*by, "id", words.alias("_t")).withColumn("_s", starts).select(*by, "id", F.size("_t").alias("_n"), runs.alias("_r"))
-    # the outer form, as the inner one's filter on the array's size would count every row's terms once more for each term
-    terms = counted.select(*by, "id", "_n", F.explode_outer("_r").alias("r")).where("r is not null").select(*by, "id", "_n", "r.term", "r.c")
-    df = terms.groupBy(*by, "term").agg(F.count("*").alias("df"))
-    n = entries.groupBy(*by).agg(F.count("*").alias("N")) if by else entries.agg(F.count("*").alias("N"))
-    joined = terms.join(df, [*by, "term"])
-    joined = joined.join(n, by) if by else joined.crossJoin(F.broadcast(n))  # one row
-    scored = joined.groupBy(*by, "id").agg((F.sum(F.sqrt("c") * F.log(F.col("N") / F.col("df"))) / F.first("_n")).alias("tfidf"))
-    return entries.join(scored, [*by, "id"], "left").withColumn("tfidf", F.coalesce("tfidf", F.lit(0.0)))
+    grouped = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by], F.lit(True))
+    texts = entries.where(grouped).select(F.xxhash64(*by, "id").alias("k"), (F.xxhash64(*by) if by else F.lit(0).cast("long")).alias("g"), F.lower(F.coalesce(content, F.lit(""))).cast("binary").alias("x"))
+    chars = entries.agg(F.sum(F.length(content))).first()[0] or 0
+    buckets = max(entries.sparkSession.sparkContext.defaultParallelism, math.ceil(chars / BUCKET_CHARS))
+    sums = term_sums(term_pieces(texts, buckets).repartitionById(buckets, F.col("bucket")))
+    row = sums.groupBy(F.col("k").alias("_k")).agg(*[F.sum(x).alias(x) for x in ("roots", "weighed", "terms")], F.max("total").alias("total"))
+    score = (F.col("total") * F.col("roots") - F.col("weighed")) / F.col("terms")
+    scored = row.where("terms > 0").select("_k", (F.greatest(F.lit(0.0), score) + F.lit(0.0)).alias("tfidf"))
+    keyed = entries.withColumn("_k", F.when(grouped & F.col("id").isNotNull(), F.xxhash64(*by, "id")))
+    return keyed.join(scored, "_k", "left").select(*entries.columns, F.coalesce("tfidf", F.lit(0.0)).alias("tfidf"))
 
 
 def sparse_prune(entries: DataFrame, percent: float = 5.0, by: list[str] | None = None) -> DataFrame:
@@ -198,15 +245,6 @@ FREQUENT, POSTINGS_BLOCK = 20_000, 2_000
 OUTLINE, OWN = 512, 128
 
 
-def counted(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted 64-bit hashes of the distinct terms of a lower-cased text, and their counts: ``bytes.split`` splits as the
-    JVM's ``\\s+``."""
-    n = Counter(text.split())
-    t = np.fromiter(map(xxhash.xxh3_64_intdigest, n), np.uint64, len(n)).view(np.int64)
-    order = np.argsort(t)
-    return t[order], np.fromiter(n.values(), np.int32, len(n))[order]
-
-
 def text_vectors(entries: DataFrame, content: str) -> DataFrame:
     """(id, t, c) of the entries with a term: their sorted 64-bit term hashes and the counts, packed; narrow."""
     texts = entries.select("id", F.lower(content).cast("binary").alias("x")).where("x is not null")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -400,3 +401,27 @@ def test_groups_are_compared_exactly_whatever_the_tiles(monkeypatch):
         pairs = [(i, j, s) for g in got for x in g for i, j, s in zip(*(y.tolist() for y in x))]
         assert len(pairs) == len(want) and {(i, j): s for i, j, s in pairs} == pytest.approx(want, rel=1e-12)
     memory.TILE_CELLS = 1 << 22
+
+
+def test_tfidf_meets_in_buckets_of_terms(spark, monkeypatch):
+    """Sums of buckets give the scores of brute force, by group and over all, and no term is a row of its own."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(7)
+    rows = [(i, rng.choice(["a", "b", None]), " ".join(rng.choice(["x", "Y", "É", "w%d" % rng.randrange(40)]) for _ in range(rng.randrange(12)))) for i in range(150)]
+    rows += [(200, "a", None), (201, "only", "one one two"), (None, "a", "x lost"), (202, "b", "tab\tx\x0by\u00a0z\n")]
+    e = spark.createDataFrame(rows, "id long, g string, content string").repartition(5)
+    words = [(i, g, Counter(t for t in re.split(r"[ \t\n\x0b\f\r]+", (x or "").lower()) if t)) for i, g, x in rows]
+    monkeypatch.setattr(memory, "BUCKET_CHARS", 40)
+    for by in ([], ["g"]):
+        same = lambda g, h: not by or g == h
+        want = {}
+        for i, g, w in words:
+            n, s = sum(same(g, h) for _, h, _ in words), 0.0
+            for t, c in w.items():
+                s += c**0.5 * math.log(n / sum(same(g, h) and t in v for _, h, v in words))
+            want[i] = s / sum(w.values()) if w and i is not None and (not by or g is not None) else 0.0
+        found = memory.tfidf(e, by)
+        assert "Generate" not in found._jdf.queryExecution().toString()
+        assert {r.id: r.tfidf for r in found.collect()} == pytest.approx(want)
