@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 K1, B = 1.2, 0.75
+#: What separates terms.
+SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
 def terms(text: Column) -> Column:
     """Runs of letters and digits, lower-cased."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda t: t != "")
 
 
 def query_terms(q: str) -> list[str]:

@@ -8,6 +8,14 @@ buckets of its terms alone, with the terms pushed down to the scan. ``merge`` re
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +24,28 @@ from quillstone.operators import search
 from quillstone.operators.store import materialize
 from quillstone.operators.versions import Versions
 
-BUCKETS = 64
+#: Buckets of an index, files that a bucket may be dealt into, and lines whose postings are packed together.
+BUCKETS, PARTS, PACK_LINES = 64, 8, 5000
 POSTINGS = "term string, path string, line int, tf long, length int, segment long"
+PACKED = pa.schema([("term", pa.string()), ("path", pa.string()), ("line", pa.int32()), ("tf", pa.int64()), ("length", pa.int32())])
 LINES = "path string, line int, content string, segment long"
 FILES = "path string, mtime long, segment long, n_lines long, n_terms long"
 
+#: Bytes of ASCII that are in no term as spaces.
+SPACED = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
+
+
+def plain(text: Column) -> Column:
+    """Lower-cased text as bytes in which, but for ASCII, spaces alone separate terms (``search.terms``); the pattern is only tried on text beyond ASCII."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(F.octet_length(text) == F.length(text), low).otherwise(F.regexp_replace(low, search.SEPARATORS, " ")).cast("binary")
+
+
+def n_terms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        n = pa.array([len(x.translate(SPACED).split()) for x in b.column("x").to_pylist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("path"), n], ["path", "n"])
+
 
 class SearchIndex:
     """Index of files (path, content, mtime as a number) below ``root``."""
@@ -46,15 +71,48 @@ class SearchIndex:
         live = self.files(manifest).select("path", "segment")
         return self._read(LINES, [s["lines"] for s in manifest.get("segments", [])]).join(live, ["path", "segment"], "left_semi").drop("segment")
 
+    def _postings(self, lines: DataFrame, number: int) -> DataFrame:
+        """Postings of lines (path, line, content), bucket by bucket, each sorted by term.
+
+        One line's terms are counted in the line. What the lines of a batch have for a bucket travels as one packed piece, so the shuffle
+        sorts pieces, and the task that gets a bucket's pieces sorts the terms. A frequent term is spread over PARTS pieces of a
+        bucket by its path.
+        """
+        buckets = self.buckets
+        texts = lines.select("path", "line", plain(F.col("content")).alias("x"), F.pmod(F.xxhash64("path"), F.lit(PARTS)).cast("int").alias("s"))
+
+        def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (b.slice(x, PACK_LINES) for b in it for x in range(0, b.num_rows, PACK_LINES)):
+                counts = [Counter(x.translate(SPACED).split()) for x in batch.column("x").to_pylist()]
+                n = np.array([len(c) for c in counts], np.int64)
+                row = np.repeat(np.arange(len(n)), n)
+                terms = pa.array([t for c in counts for t in c], pa.binary()).dictionary_encode()
+                # the signed 64-bit hash of Spark's xxhash64
+                bucket = np.array([(xxhash.xxh64_intdigest(t, 42) + 2**63) % 2**64 - 2**63 for t in terms.dictionary.to_pylist()], np.int64) % buckets
+                place = bucket[terms.indices.to_numpy()] * PARTS + batch.column("s").to_numpy()[row]
+                order = np.argsort(place, kind="stable")
+                at, length = pa.array(row[order]), np.array([c.total() for c in counts], np.int32)
+                tf = np.fromiter((c for x in counts for c in x.values()), np.int64, len(row))
+                flat = pa.RecordBatch.from_arrays([terms.dictionary.cast(pa.string()).take(terms.indices.take(pa.array(order))), batch.column("path").take(at), batch.column("line").take(at), pa.array(tf[order]), pa.array(length[row[order]])], schema=PACKED)
+                found, starts = np.unique(place[order], return_index=True)
+                ends = [*starts[1:].tolist(), len(row)]
+                pieces = [flat.slice(x, y - x).serialize().to_pybytes() for x, y in zip(starts.tolist(), ends, strict=False)] if len(found) else []
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(pieces, pa.binary())], ["place", "piece"])
+
+        def unpack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = (r for b in it for r in zip(b.column("place").to_pylist(), b.column("piece").to_pylist(), strict=True))
+            for place, part in groupby(rows, key=lambda r: r[0]):
+                t = pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(x), PACKED) for _, x in part]).combine_chunks()
+                for b in t.take(pc.sort_indices(t.column("term"))).to_batches(max_chunksize=1 << 16):
+                    more = [pa.array(np.full(b.num_rows, number, np.int64)), pa.array(np.full(b.num_rows, place // PARTS, np.int32))]
+                    yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "segment", "_b"])
+
+        dealt = texts.mapInArrow(pack, "place int, piece binary").repartition("place").sortWithinPartitions("place")
+        return dealt.mapInArrow(unpack, f"{POSTINGS}, _b int")
+
     def _write_segment(self, lines: DataFrame, number: int) -> dict:
-        """Lines (path, line, content) as a segment; one line's terms are counted in the line, so nothing is grouped."""
-        terms = lines.select("path", "line", search.terms(F.col("content")).alias("_t"))
-        each = terms.select("path", "line", F.size("_t").alias("length"), "_t", F.explode(F.array_distinct("_t")).alias("term"))
-        tf = (F.col("length") - F.size(F.array_remove("_t", F.col("term")))).cast("long")
-        posted = each.select("term", "path", "line", tf.alias("tf"), "length", F.lit(number).cast("long").alias("segment"), self._bucket(F.col("term")).alias("_b"))
-        # a frequent term is spread over tasks by its path: a bucket may be several files, each sorted by term
-        dealt = posted.repartition("_b", F.pmod(F.xxhash64("path"), F.lit(8))).sortWithinPartitions("_b", "term", "path", "line")
-        postings = self.versions.write(dealt, "_b")
+        """Lines (path, line, content) as a segment."""
+        postings = self.versions.write(self._postings(lines, number), "_b")
         kept = self.versions.write(lines.select("path", "line", "content", F.lit(number).cast("long").alias("segment")))
         return {"postings": postings, "lines": kept}
 
@@ -73,7 +131,7 @@ class SearchIndex:
             segments = list(manifest.get("segments", []))
             if n_changed:
                 segments.append(self._write_segment(lines, number))
-            sizes = lines.select("path", F.size(search.terms(F.col("content"))).alias("n")).groupBy("path").agg(F.count("*").alias("n_lines"), F.sum("n").alias("n_terms"))
+            sizes = lines.select("path", plain(F.col("content")).alias("x")).mapInArrow(n_terms, "path string, n long").groupBy("path").agg(F.count("*").alias("n_lines"), F.sum("n").alias("n_terms"))
             new = changed.select("path", "mtime", F.lit(number).cast("long").alias("segment")).join(sizes, "path", "left").fillna(0, ["n_lines", "n_terms"])
             return {"buckets": self.buckets, "segments": segments, "files": self.versions.write(left.unionByName(new))}
 

@@ -173,3 +173,18 @@ def test_search_reads_the_buckets_of_its_terms(spark, tmp_path):
     plan = index.bm25("common word7")._jdf.queryExecution().executedPlan().toString()
     assert "In(term, [common,word7])" in plan and "content" not in plan
     assert ranked(index.bm25("word7 common")) and p.count() == 60
+
+
+def test_postings_are_packed_by_the_terms_of_the_search(spark, tmp_path):
+    """Terms, counts and buckets are those of the column functions, in ASCII and beyond; a line's terms are not rows before they are counted."""
+    from pyspark.sql import functions as F
+
+    texts = ["A-b a_B 12a", "Größe, große “Größe”…x", "naïve\tcafé½ Ⅷ日本語 a", " ", "long " * 50 + "tail"]
+    lines = spark.createDataFrame([(f"p{i % 3}", i + 1, x) for i, x in enumerate(texts)], "path string, line int, content string")
+    index = SearchIndex(spark, str(tmp_path / "i"), buckets=5)
+    packed = index._postings(lines, 7)
+    assert "Generate" not in packed._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(tuple(r) for r in packed.collect())
+    words = lines.select("path", "line", search.terms(F.col("content")).alias("t")).select("path", "line", F.size("t").alias("n"), F.explode("t").alias("term"))
+    want = words.groupBy("term", "path", "line").agg(F.count("*").alias("tf"), F.first("n").alias("n")).select("term", "path", "line", "tf", "n", F.lit(7), F.pmod(F.xxhash64("term"), F.lit(5)).cast("int"))
+    assert got == sorted(tuple(r) for r in want.collect()) and len(got) == 12
