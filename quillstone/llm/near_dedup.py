@@ -13,7 +13,8 @@ pairs of different components that still share a bucket are then compared exhaus
 block, in groups of bounded size. There a parity sketch of each set (bit i: parity of the hashes in bin
 i) refuses pairs with certainty: differing bits never outnumber the differing elements.
 
-Joins on the key of a class, a bucket or a hub look up the keys of very many rows where the rows are (``join_groups``).
+Joins on the key of a class, a bucket or a hub look up the keys of very many rows where the rows are (``join_groups``); of at most FEW keys
+all are, so that no row is shuffled for it (``join_keys``).
 
 Null and empty texts, and texts without words, have the empty set and are linked with nothing. Rows that
 repeat a doc_id are linked by their own texts, each for itself; rows of a null doc_id are linked like others, and a component of
@@ -38,6 +39,10 @@ K = BANDS * ROWS
 #: Bits of the parity sketch.
 PARITY = 4096
 STAR_ROUNDS, BLOCK, SALT_SIZE = 4, 256, 512
+#: A round that links less than one in so many of its pairs is the last one.
+STAR_YIELD = 50
+#: Keys that a join may broadcast whole, in rows of a few longs.
+FEW = 100_000
 U64, U32 = np.uint64, np.uint32
 
 
@@ -106,8 +111,18 @@ def hashed(docs: DataFrame) -> DataFrame:
     return id_text(docs).withColumn("th", F.xxhash64("text"))
 
 
-def full_sets(rows: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """Sets and parity sketches of the texts of ``reps`` (rep, doc_id, th)."""
+def of_keys(keys: DataFrame, n: int) -> DataFrame:
+    """``keys`` as a side of a join: ``n`` rows at most, broadcast if they are few, else merged."""
+    return F.broadcast(keys) if n <= FEW else keys.hint("merge")
+
+
+def join_keys(rows: DataFrame, groups: DataFrame, on: str | list[str], size: str, total: int, n: int) -> DataFrame:
+    """``join_groups`` where ``groups`` has ``n`` rows at most: if they are few, all are looked up where the rows are."""
+    return rows.join(F.broadcast(groups.drop(size)), on) if n <= FEW else join_groups(rows, groups, on, size, total)
+
+
+def full_sets(rows: DataFrame, reps: DataFrame, k: int, n: int) -> DataFrame:
+    """Sets and parity sketches of the texts of ``reps`` (rep, doc_id, th), of which there are ``n`` at most."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -116,17 +131,17 @@ def full_sets(rows: DataFrame, reps: DataFrame, k: int) -> DataFrame:
             cols = [b.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(odd, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["rep", "items", "size", "odd"])
 
-    # the classes grow with the corpus: the same shuffle at every size, never a broadcast
-    found = rows.join(reps.hint("merge"), same_text(rows, reps)).select("rep", "text").dropDuplicates(["rep"])
+    # the classes grow with the corpus: many are never broadcast
+    found = rows.join(of_keys(reps, n), same_text(rows, reps)).select("rep", "text").dropDuplicates(["rep"])
     return found.mapInArrow(run, "rep long, items binary, size long, odd binary")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar. Grouped by b in salted parts of about SALT_SIZE pairs, so a
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, total: int) -> DataFrame:
+    """The pairs (a, b), ``total`` in all, whose sets are similar. Grouped by b in salted parts of about SALT_SIZE pairs, so a
     much-linked document is split, and streamed: a task holds one set of each side."""
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_SIZE).alias("salts"), F.count("*").alias("n_rows"))
-    salted = join_groups(pairs, sizes, "b", "n_rows", pairs.count()).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
+    salted = join_keys(pairs, sizes, "b", "n_rows", total, total).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
     member = salted.select("b", "salt", F.lit(1).alias("kind"), "a")
     lead = sizes.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("b").alias("a"))
     # one request list, so that the sets are shuffled once
@@ -153,53 +168,60 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node reachable. Minimum propagation with pointer jumping; every round is
-    a written table, and only a count of changes reaches the driver."""
-    both = materialize(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(edges.select("b", "a")).distinct(), "edges")
-    links = materialize(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("low"), F.count("*").alias("n_rows")), "links")
-    total = both.count()
-    labels = materialize(links.select("node", F.least("low", "node").alias("label")), "labels")
-    done = labels
+    """(node, label, n_rows): the smallest node reachable, and the node's links. Minimum propagation with pointer jumping; every round is
+    a written table, and only counts reach the driver."""
+    both = materialize(edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.*"), "edges")
+    labels = materialize(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("label"), F.count("*").alias("n_rows")).withColumn("label", F.least("label", "node")), "labels")
+    total, n = both.count(), labels.count()
     while True:
-        by_node = labels.join(links.select("node", "n_rows"), "node").withColumnRenamed("node", "y")
-        near = join_groups(both, by_node, "y", "n_rows", total).groupBy(F.col("x").alias("node")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
-        low = materialize(low, "low")
-        followers = low.groupBy("low").agg(F.count("*").alias("n_rows"))
-        jump = followers.join(labels.select(F.col("node").alias("low"), F.col("label").alias("jump")), "low")
-        new = materialize(join_groups(low, jump, "low", "n_rows", total).select("node", F.least("low", "jump").alias("label"), F.col("label").alias("old")), "labels")
+        heard = join_keys(both, labels.withColumnRenamed("node", "y"), "y", "n_rows", total, n).select(F.col("x").alias("node"), "label", F.lit(None).cast("long").alias("old"), F.lit(0).cast("long").alias("n_rows"))
+        own = labels.select("node", "label", F.col("label").alias("old"), "n_rows")
+        low = heard.unionByName(own).groupBy("node").agg(F.min("label").alias("low"), F.max("old").alias("old"), F.max("n_rows").alias("n_rows"))
+        used = [labels]
+        jump = labels.select(F.col("node").alias("low"), F.col("label").alias("jump"))
+        if n > FEW:
+            low = materialize(low, "low")
+            used.append(low)
+            jump = low.groupBy("low").agg(F.count("*").alias("followers")).join(jump, "low")
+        new = materialize(join_keys(low, jump, "low", "followers", n, n).select("node", F.least("low", "jump").alias("label"), "old", "n_rows"), "labels")
         changed = new.where("label <> old").limit(1).count()
-        discard(done, low)
-        labels, done = new.select("node", "label"), new
+        discard(*used)
+        labels = new.drop("old")
+        labels._scratch_path = new._scratch_path
         if not changed:
-            discard(both, links)
+            discard(both)
             return labels
 
 
-def label_of(reps: DataFrame, labels: DataFrame | None) -> DataFrame:
+def label_of(reps: DataFrame, labels: DataFrame | None, n: int) -> DataFrame:
+    """``reps`` with the label of each, of ``n`` labels at most: its own number if it has none."""
     if labels is None:
         return reps.withColumn("label", F.col("rep"))
-    return reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    known = labels.select(F.col("node").alias("rep"), "label")
+    return reps.join(F.broadcast(known) if n <= FEW else known, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
 
 
-def live(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows of the buckets in which more than one component meets."""
-    rows = label_of(buckets, labels)
-    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n_rows")).where("lo <> hi").select("key", "n_rows")
-    return join_groups(rows, mixed, "key", "n_rows", buckets.count())
+def live(buckets: DataFrame, labels: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """Rows of the buckets in which more than one component meets, and the number of such buckets."""
+    rows = label_of(buckets, labels, n)
+    mixed = materialize(rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n_rows")).where("lo <> hi").select("key", "n_rows"), "mixed")
+    keys = mixed.count()
+    out = materialize(join_keys(rows, mixed, "key", "n_rows", buckets.count(), keys), "live")
+    discard(mixed)
+    return out, keys
 
 
-def star_pairs(rows: DataFrame, round_: int) -> DataFrame:
-    """In each bucket one member of every component against one member of the smallest; members are drawn anew each round."""
+def star_pairs(rows: DataFrame, round_: int, keys: int) -> DataFrame:
+    """In each of the ``keys`` buckets one member of every component against one member of the smallest; members are drawn anew each round."""
     pick = F.min_by("rep", F.struct(F.xxhash64("rep", F.lit(round_)), "rep"))
     one = rows.groupBy("key", "label").agg(pick.alias("rep"))
     lead = one.groupBy("key").agg(F.min_by("rep", "label").alias("lead"), F.min("label").alias("low"), F.count("*").alias("n_rows"))
-    met = join_groups(one, lead, "key", "n_rows", rows.count()).where("label <> low").groupBy("label", "low").agg(F.min(F.struct("rep", "lead")).alias("p"))
+    met = join_keys(one, lead, "key", "n_rows", rows.count(), keys).where("label <> low").groupBy("label", "low").agg(F.min(F.struct("rep", "lead")).alias("p"))
     return met.select(F.col("p.rep").alias("a"), F.col("p.lead").alias("b"))
 
 
-def cross_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in a bucket whose parity sketches allow the similarity, block against block.
+def cross_pairs(rows: DataFrame, sets: DataFrame, percent: int, keys: int) -> DataFrame:
+    """Pairs of different components in one of the ``keys`` buckets whose parity sketches allow the similarity, block against block.
 
     percent * union <= 100 * intersection means that at most (100 - percent) / (100 + percent) of the two
     sizes together differ.
@@ -209,7 +231,7 @@ def cross_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n_rows"))
     sketches = sets.select("rep", "size", "odd")
-    put = join_groups(rows, size, "key", "n_rows", rows.count()).join(sketches, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    put = join_keys(rows, size, "key", "n_rows", rows.count(), keys).join(sketches, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     sent = put.select("key", "label", "rep", "size", "odd", "block", other.alias("o")).select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "label", "rep", "size", "odd")
 
@@ -253,43 +275,59 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sketches = materialize(sketch(rows, k), "sketch")
     filled = sketches.where("n > 0")
     classes = materialize(filled.groupBy("k1", "k2", "n").agg(F.min("row").alias("rep"), F.min("doc_id").alias("doc"), F.count("*").alias("n_rows")), "classes")
-    heads = filled.join(classes.select(F.col("rep").alias("row")).hint("merge"), "row", "left_semi")
+    n_classes = classes.count()
+    heads = filled.join(of_keys(classes.select(F.col("rep").alias("row")), n_classes), "row", "left_semi")
     banded = heads.select(F.explode("bands").alias("key"), F.col("row").alias("rep"))
     shared = banded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n_rows")).where("lo <> hi").select("key", "n_rows")
-    buckets = materialize(join_groups(banded, materialize(shared, "shared"), "key", "n_rows", BANDS * classes.count()), "buckets")
-    involved = sketches.select("row", "doc_id", "th").join(buckets.select(F.col("rep").alias("row")).distinct().hint("merge"), "row", "left_semi")
-    sets = materialize(full_sets(rows, involved.withColumnRenamed("row", "rep"), k), "sets")
-
-    labels, edges, used, before = None, None, [sets], buckets
+    shared = materialize(shared, "shared")
+    keys = shared.count()
+    buckets = materialize(join_keys(banded, shared, "key", "n_rows", BANDS * n_classes, keys), "buckets")
+    involved = sketches.select("row", "doc_id", "th").join(of_keys(buckets.select(F.col("rep").alias("row")).distinct(), n_classes), "row", "left_semi")
+    sets = materialize(full_sets(rows, involved.withColumnRenamed("row", "rep"), k, n_classes), "sets")
+
+    # every bucket holds different classes, so that all are live at first
+    labels, edges, used, before = None, None, [shared, sets], buckets
+    rows_ = label_of(buckets, None, 0)
     for round_ in range(STAR_ROUNDS + 1):
-        rows_ = materialize(live(buckets, labels), "live")
-        discard(before)
-        before = rows_
-        buckets = rows_.select("key", "rep")  # a bucket that one component fills never splits again
-        if not rows_.limit(1).count():
+        if round_ and labels is not None:
+            rows_, keys = live(buckets, labels, n_classes)
+            discard(before)
+            before = rows_
+            buckets = rows_.select("key", "rep")  # a bucket that one component fills never splits again
+        if not keys:
             break
         last = round_ == STAR_ROUNDS
-        pairs = materialize(cross_pairs(rows_, sets, percent) if last else star_pairs(rows_, round_), "pairs")
-        found = materialize(verify(pairs, sets, percent), "links")
-        if not last and round_ and not found.limit(1).count():  # stars find nothing more: compare what is left
-            discard(pairs)
-            last, pairs = True, materialize(cross_pairs(rows_, sets, percent), "pairs")
-            found = materialize(verify(pairs, sets, percent), "links")
+        pairs = materialize(cross_pairs(rows_, sets, percent, keys) if last else star_pairs(rows_, round_, keys), "pairs")
+        total = pairs.count()
+        found = materialize(verify(pairs, sets, percent, total), "links")
+        n_found = found.count()
         discard(pairs)
         used.append(found)
-        if found.limit(1).count():
-            edges = found if edges is None else edges.unionAll(found)
+        edges = found if edges is None else edges.unionAll(found)
+        if not last and round_ and n_found * STAR_YIELD <= total:  # stars find little more: compare what is left
+            last, pairs = True, materialize(cross_pairs(rows_, sets, percent, keys), "pairs")
+            found = materialize(verify(pairs, sets, percent, pairs.count()), "links")
+            n_found += found.count()
+            discard(pairs)
+            used.append(found)
+            edges = edges.unionAll(found)
+        if n_found:
+            if labels is not None:
+                used.append(labels)
             labels = components(edges)
         if last:
             break
-    named = materialize(label_of(classes, labels).withColumnRenamed("label", "component"), "named")
+    named = label_of(classes, labels, n_classes).withColumnRenamed("label", "component")
+    if n_classes > FEW:
+        named = materialize(named, "named")
+        used.append(named)
     ids = named.groupBy("component").agg(F.min("doc").alias("component_id"), F.count("*").alias("n_classes"))
-    by_class = join_groups(named.drop("doc"), ids, "component", "n_classes", named.count()).drop("rep")
+    by_class = materialize(join_keys(named.drop("doc"), ids, "component", "n_classes", n_classes, n_classes).drop("rep"), "by-class")
     plain = sketches.drop("bands")
-    out = join_groups(plain.where("n > 0"), materialize(by_class, "by-class"), ["k1", "k2", "n"], "n_rows", sketches.count())
+    out = join_keys(plain.where("n > 0"), by_class, ["k1", "k2", "n"], "n_rows", sketches.count(), n_classes)
     none = plain.where("n = 0").select("*", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
     out = materialize(out.unionByName(none).drop("k1", "k2"), "members")
-    discard(*used, before, classes, named, sketches)
+    discard(*used, before, by_class, classes, sketches, *([] if labels is None else [labels]))
     return out
 
 

@@ -106,6 +106,43 @@ def test_hot_keys_are_looked_up(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in out} == {d: c for d, (_, c) in want.items()}
 
 
+def test_many_keys_are_merged(spark, monkeypatch):
+    """With no key few enough to broadcast all, keys of more than two rows hot, and each of the star rounds taken."""
+    from quillstone.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(near_dedup, "FEW", -1)
+    monkeypatch.setattr(near_dedup, "STAR_YIELD", 10**9)
+    rows = near_rows(4)
+    want = brute_components(rows, 5)
+    out = near_dedup.near_duplicates(docs(spark, rows)).where("doc_id is not null").collect()
+    assert {r.doc_id: r.component_id for r in out} == {d: c for d, (_, c) in want.items()}
+
+
+def chained(n):
+    """Links of a chain of ``n`` nodes and of a star, in no order."""
+    links = [(i + 1, i) for i in range(100, 100 + n - 1)] + [(x, 7) for x in range(8, 40)]
+    random.Random(n).shuffle(links)
+    return [(a, b) if a % 2 else (b, a) for a, b in links]
+
+
+def test_components_of_few_and_many_nodes(spark, monkeypatch):
+    edges = spark.createDataFrame(chained(40), "a long, b long")
+    want = {x: 100 for x in range(100, 140)} | {x: 7 for x in range(7, 40)}
+    for few in (near_dedup.FEW, -1):
+        monkeypatch.setattr(near_dedup, "FEW", few)
+        assert {r.node: r.label for r in near_dedup.components(edges).collect()} == want
+
+
+def test_few_keys_take_few_written_tables(spark, monkeypatch):
+    """Where partitions are many, a round costs its stages rather than its rows: links that one star round finds take 15 written tables at most."""
+    rows = [(d, " ".join([*prose(1, 100), f"x{d}"])) for d in range(6)]
+    written, write = [], near_dedup.materialize
+    monkeypatch.setattr(near_dedup, "materialize", lambda df, label: written.append(label) or write(df, label))
+    out = near_dedup.near_duplicates(docs(spark, rows)).collect()
+    assert {r.component_id for r in out} == {0} and len(written) <= 15, written
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
     d = docs(spark, near_rows(3))
