@@ -11,7 +11,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and \x09-\x0D. ``bytes.split()`` splits on exactly these.
@@ -74,20 +74,6 @@ def id_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
-def fresh_name(df: DataFrame, base: str) -> str:
-    """A column name that ``df`` does not have."""
-    while base.lower() in (c.lower() for c in df.columns):
-        base = f"_{base}"
-    return base
-
-
-def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a written number for each row, so that repeated rows and null ids can be told apart, and its column."""
-    small_batches(docs.sparkSession)
-    name = fresh_name(docs, "_row")
-    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
-
-
 #: Groups of one join that may be broadcast, and rows that any group may have without it.
 HOT_GROUPS, HOT_ROWS = 500_000, 10_000
 
@@ -103,6 +89,31 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: str | list[str], size: s
     return rows.join(hot, on).unionByName(rows.join(keys, on, "left_anti").join(cold.hint("merge"), on, how))
 
 
+#: Bits of a table of keys, as a power of two; it has a 64th as many rows at most.
+KEY_BITS = 26
+
+
+def key_bits(rows: DataFrame, keys: DataFrame, on: str | list[str]) -> tuple[DataFrame, DataFrame, Column]:
+    """``rows`` with the place of their key, the broadcast table in which ``keys`` set bits, and whether a row's bit is set."""
+    slot = F.shiftrightunsigned(F.xxhash64(*([on] if isinstance(on, str) else on)), 64 - KEY_BITS)
+    bits = keys.select(slot.alias("_slot")).groupBy(F.shiftright("_slot", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_slot & 63 as int))")).alias("_bits"))
+    put = rows.withColumn("_slot", slot).withColumn("_at", F.shiftright("_slot", 6))
+    return put, F.broadcast(bits), F.expr("shiftrightunsigned(_bits, cast(_slot & 63 as int)) & 1L") == 1
+
+
+def among(rows: DataFrame, keys: DataFrame, on: str | list[str], name: str = "_among") -> DataFrame:
+    """``rows`` with the mark ``name``, which is false only where no row of ``keys`` has the same ``on`` (of the same types). Keys set bits in a
+    table of fixed size, which is broadcast, so that no row is shuffled; keys that share a bit with one of ``keys`` are marked too."""
+    put, bits, is_set = key_bits(rows, keys, on)
+    return put.join(bits, F.col("_at") == F.col("_word"), "left").select(*(rows[c] for c in rows.columns), F.coalesce(is_set, F.lit(False)).alias(name))
+
+
+def only_among(rows: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame:
+    """``rows`` without most of those whose key no row of ``keys`` has, by the same table."""
+    put, bits, is_set = key_bits(rows, keys, on)
+    return put.join(bits, (F.col("_at") == F.col("_word")) & is_set, "left_semi").select(rows.columns)
+
+
 def sample_by_hash(rows: DataFrame, key: str, n: int) -> DataFrame:
     """At most ``n`` rows with the smallest hash of ``key``: a bounded, repeatable sample."""
     return rows.orderBy(F.xxhash64(key), key).limit(n)

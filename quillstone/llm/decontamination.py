@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import LOWER, discard, id_text, materialize, numbered
+from quillstone.llm.common import LOWER, among, discard, id_text, materialize, small_batches
 
 SPAN, LEAST_WORDS, TOLERANCE = 13, 5, 0.8
 #: Bits of the table of seeds (its size on the driver and in a worker is an eighth of it in bytes), rows that may be broadcast, words remembered.
@@ -206,7 +206,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_W
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` without the rows that hold a benchmark passage, also those of a null or repeated doc_id. Null and empty texts
-    stay; an empty table stays empty; all columns are kept as they are, whatever their names."""
-    rows, row = numbered(docs)
-    leaks = matches(rows.select(row, F.coalesce("text", F.lit("")).alias("text")), benchmark, row, least_words).select(row).distinct()
-    return rows.join(leaks, row, "left_anti").select(docs.columns)
+    stay; an empty table stays empty; all columns are kept as they are, whatever their names. Whether a row goes depends on its text
+    alone, so rows are told apart by a 64-bit hash of it, as words are, and no numbered copy of them is written."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.struct(*docs.columns).alias("d"))
+    leaks = matches(rows.select("th", F.coalesce("d.text", F.lit("")).alias("text")), benchmark, "th", least_words).select("th").distinct()
+    rows = among(rows, leaks, "th", "unsure")
+    return rows.where("not unsure").select("d.*").unionAll(rows.where("unsure").join(leaks, "th", "left_anti").select("d.*"))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import LOWER, discard, id_text, join_groups, materialize
+from quillstone.llm.common import LOWER, among, discard, id_text, join_groups, materialize
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 28, 4
@@ -343,9 +343,14 @@ def drop_near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT
     found = linked(docs, k, percent).where("component is not null")
     first = found.where("doc_id <=> component_id").groupBy("component").agg(F.min("row").alias("row"))
     stay = found.join(first.select("row").hint("merge"), "row", "left_semi").select("doc_id", "th").withColumn("stays", F.lit(True))
+    goes = found.join(first.select("row").hint("merge"), "row", "left_anti").select("doc_id", "th")
     own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     rows = docs.select(own.alias("k"), F.struct(*docs.columns).alias("d")).select("k.doc_id", "k.th", "d")
+    # a row that goes, or is repeated, has the key of one that goes: texts of other keys stay where they are
+    rows = among(rows, goes, ["doc_id", "th"], "unsure")
+    unsure = rows.where("unsure")
     some = F.coalesce("d.text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    marked = rows.join(stay.hint("merge"), same_text(rows, stay), "left").select(rows["doc_id"], rows["th"], "d", "stays")
+    marked = unsure.join(stay.hint("merge"), same_text(unsure, stay), "left").select(unsure["doc_id"], unsure["th"], "d", "stays")
     number = F.row_number().over(Window.partitionBy("doc_id", "th").orderBy("stays"))
-    return marked.withColumn("nth", number).where(~some | (F.col("stays") & (F.col("nth") == 1))).select("d.*")
+    kept = marked.withColumn("nth", number).where(~some | (F.col("stays") & (F.col("nth") == 1))).select("d.*")
+    return rows.where("not unsure").select("d.*").unionAll(kept)
