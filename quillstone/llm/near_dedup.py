@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import LOWER, among, discard, id_text, join_groups, materialize
+from quillstone.llm.common import LOWER, among, discard, id_text, join_groups, materialize, only_among
 
 WORDS, PERCENT = 5, 80
 BANDS, ROWS = 28, 4
@@ -131,7 +131,8 @@ def full_sets(rows: DataFrame, reps: DataFrame, k: int, n: int) -> DataFrame:
             cols = [b.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(odd, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["rep", "items", "size", "odd"])
 
-    # the classes grow with the corpus: many are never broadcast
+    # the classes grow with the corpus: many are never broadcast, but only the texts that may be theirs are shuffled
+    rows = rows if n <= FEW else only_among(rows, reps, ["doc_id", "th"])
     found = rows.join(of_keys(reps, n), same_text(rows, reps)).select("rep", "text").dropDuplicates(["rep"])
     return found.mapInArrow(run, "rep long, items binary, size long, odd binary")
 
@@ -144,8 +145,10 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int, total: int) -> DataF
     salted = join_keys(pairs, sizes, "b", "n_rows", total, total).withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")))
     member = salted.select("b", "salt", F.lit(1).alias("kind"), "a")
     lead = sizes.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("b").alias("a"))
-    # one request list, so that the sets are shuffled once
-    rows = lead.unionByName(member).join(sets.select(F.col("rep").alias("a"), "items").hint("merge"), "a")
+    # one request list, so that the sets are shuffled once, and only those asked for
+    asked, sets = pairs.select(F.explode(F.array("a", "b")).alias("a")), sets.select(F.col("rep").alias("a"), "items")
+    sets = sets.join(F.broadcast(asked), "a", "left_semi") if 2 * total <= FEW else only_among(sets, asked, "a")
+    rows = lead.unionByName(member).join(sets.hint("merge"), "a")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = None
@@ -274,19 +277,26 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
     rows = hashed(docs)
     sketches = materialize(sketch(rows, k), "sketch")
     filled = sketches.where("n > 0")
-    classes = materialize(filled.groupBy("k1", "k2", "n").agg(F.min("row").alias("rep"), F.min("doc_id").alias("doc"), F.count("*").alias("n_rows")), "classes")
+    # bands of a class are those of any of its rows: they are shuffled with it, once
+    classes = materialize(filled.groupBy("k1", "k2", "n").agg(F.min("row").alias("rep"), F.min("doc_id").alias("doc"), F.count("*").alias("n_rows"), F.min("bands").alias("bands")), "classes")
     n_classes = classes.count()
-    heads = filled.join(of_keys(classes.select(F.col("rep").alias("row")), n_classes), "row", "left_semi")
-    banded = heads.select(F.explode("bands").alias("key"), F.col("row").alias("rep"))
+    banded = classes.select(F.explode("bands").alias("key"), "rep")
     shared = banded.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count("*").alias("n_rows")).where("lo <> hi").select("key", "n_rows")
     shared = materialize(shared, "shared")
     keys = shared.count()
-    buckets = materialize(join_keys(banded, shared, "key", "n_rows", BANDS * n_classes, keys), "buckets")
-    involved = sketches.select("row", "doc_id", "th").join(of_keys(buckets.select(F.col("rep").alias("row")).distinct(), n_classes), "row", "left_semi")
-    sets = materialize(full_sets(rows, involved.withColumnRenamed("row", "rep"), k, n_classes), "sets")
+    # most keys are of one class: their rows are not shuffled again
+    buckets = materialize(join_keys(banded if keys <= FEW else only_among(banded, shared, "key"), shared, "key", "n_rows", BANDS * n_classes, keys), "buckets")
+    involved = sketches.select("row", "doc_id", "th").join(of_keys(buckets.select(F.col("rep").alias("row")).distinct(), n_classes), "row", "left_semi").withColumnRenamed("row", "rep")
+    used, n_involved = [shared], n_classes
+    if n_classes > FEW:
+        involved = materialize(involved, "involved")
+        used.append(involved)
+        n_involved = involved.count()
+    sets = materialize(full_sets(rows, involved, k, n_involved), "sets")
+    used.append(sets)
 
     # every bucket holds different classes, so that all are live at first
-    labels, edges, used, before = None, None, [shared, sets], buckets
+    labels, edges, before = None, None, buckets
     rows_ = label_of(buckets, None, 0)
     for round_ in range(STAR_ROUNDS + 1):
         if round_ and labels is not None:
@@ -317,7 +327,7 @@ def linked(docs: DataFrame, k: int, percent: int) -> DataFrame:
             labels = components(edges)
         if last:
             break
-    named = label_of(classes, labels, n_classes).withColumnRenamed("label", "component")
+    named = label_of(classes.drop("bands"), labels, n_classes).withColumnRenamed("label", "component")
     if n_classes > FEW:
         named = materialize(named, "named")
         used.append(named)

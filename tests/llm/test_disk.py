@@ -3,6 +3,7 @@
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillstone.llm import near_dedup
@@ -39,6 +40,17 @@ def shuffled(spark, run):
     return out, sum(n for k, n in stages().items() if k not in before)
 
 
+@pytest.mark.parametrize("few", [near_dedup.FEW, -1])
+def test_texts_of_no_near_copy_are_not_shuffled(spark, monkeypatch, few):
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    rows = rows_with_copies()
+    size = sum(len(t or "") for _, t in rows)
+    d = docs(spark, rows)
+    found, linking = shuffled(spark, lambda: near_dedup.near_duplicates(d).collect())
+    assert {r.doc_id: r.component_id for r in found if r.doc_id != r.component_id} == {100: 3, 101: 3, 102: 5}
+    assert linking < size / 2, (linking, size)
+
+
 def test_texts_that_stay_are_not_shuffled(spark):
     rows = rows_with_copies()
     d, size = docs(spark, rows), sum(len(t or "") for _, t in rows)
