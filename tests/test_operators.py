@@ -322,6 +322,26 @@ def test_near_duplicates_of_all_documents(spark, tmp_path):
     memory.GROUP_ROWS, memory.TILE_ROWS, memory.TILE_TERMS = sizes
 
 
+def test_vectors_are_written_once_however_many_groups_they_are_compared_in(spark, monkeypatch):
+    """Random words, which no codec makes much smaller; equal texts, one of them without an id, and texts of one id."""
+    import random
+
+    from tests.llm.test_disk import shuffled
+
+    rng = random.Random(5)
+    texts = [[f"{rng.getrandbits(64):016x}" for _ in range(300)] for _ in range(120)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    rows += [(200, " ".join(texts[3])), (None, " ".join(texts[3])), (201, " ".join([*texts[4][:-9], "x"])), (4, " ".join(texts[5][:-9])), (202, None), (203, " "), (204, "")]
+    entries, size = spark.createDataFrame(rows, "id long, content string"), sum(len(t or "") for _, t in rows)
+    alike = {(4, 201), (4, 5)}
+    for group_rows in (memory.GROUP_ROWS, 16):
+        monkeypatch.setattr(memory, "GROUP_ROWS", group_rows)
+        for fold, want in ((True, alike), (False, alike | {(3, 200)})):
+            got, moved = shuffled(spark, lambda f=fold: memory.cosine_pairs_blocked(entries, 0.85, fold=f).collect())
+            assert sorted((r.i, r.j) for r in got) == sorted(want)
+            assert moved < 2 * size, (moved, size)
+
+
 def test_graph_cycles_keep_users_apart(spark, tmp_path):
     """Users 1 and 6, and 2 and 12, make cycles only when they are folded into one."""
     import datetime
