@@ -19,17 +19,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone import sources
 from quillstone.operators import search
-from quillstone.operators.store import materialize
+from quillstone.operators.store import spread, squeezed
 from quillstone.operators.versions import Versions
 
-#: Buckets of an index, files that a bucket may be dealt into, and lines whose postings are packed together.
-BUCKETS, PARTS, PACK_LINES = 64, 8, 5000
+#: Buckets of an index, lines whose terms are counted at once, postings that are packed together, and characters of text whose postings a task gets.
+BUCKETS, PACK_LINES, PACK_POSTINGS, TASK_CHARS = 64, 5000, 1 << 21, 1 << 24
 POSTINGS = "term string, path string, line int, tf long, length int, segment long"
-PACKED = pa.schema([("term", pa.string()), ("path", pa.string()), ("line", pa.int32()), ("tf", pa.int64()), ("length", pa.int32())])
 LINES = "path string, line int, content string, segment long"
+MARKS = "path string, line int, mtime long"
 FILES = "path string, mtime long, segment long, n_lines long, n_terms long"
+#: A piece: its terms in order, their sizes and how many postings each has; the paths of its files and their sizes; and of each posting the file (as a step from the
+#: one before), line, count and length of the line.
+PIECE = ["terms", "sizes", "n", "paths", "path_sizes", "steps", "line", "tf", "length"]
 
 #: Bytes of ASCII that are in no term as spaces.
 SPACED = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
@@ -41,12 +43,40 @@ def plain(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), low).otherwise(F.regexp_replace(low, search.SEPARATORS, " ")).cast("binary")
 
 
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers, first the lowest byte of all, then the next: small ones are squeezed to little."""
+    return squeezed(np.ascontiguousarray(x.astype(np.int32).view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def numbers(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(spread(packed), np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
+def strings(x: pa.Array) -> tuple[bytes, bytes]:
+    """Bytes or strings end to end, and their sizes, -1 for null."""
+    x = x.cast(pa.binary())
+    return squeezed(b"".join(t for t in x.to_pylist() if t is not None)), planes(pc.fill_null(pc.binary_length(x), -1).to_numpy())
+
+
+def from_strings(data: bytes, sizes: bytes) -> pa.Array:
+    n = numbers(sizes)
+    offsets = np.cumsum(np.r_[0, n.clip(0)]).astype(np.int32)
+    x = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(spread(data))])
+    return pc.if_else(pa.array(n < 0), pa.scalar(None, pa.binary()), x) if (n < 0).any() else x
+
+
 def n_terms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         n = pa.array([len(x.translate(SPACED).split()) for x in b.column("x").to_pylist()], pa.int64())
         yield pa.RecordBatch.from_arrays([b.column("path"), n], ["path", "n"])
 
 
+def marked_lines(files: DataFrame) -> DataFrame:
+    """(path, mtime, line, content): the lines of each file that are not blank, and a line 0 that holds its time."""
+    rows = files.select("path", F.col("mtime").cast("long").alias("mtime"), F.posexplode(F.concat(F.array(F.lit(None).cast("string")), F.split(F.coalesce("content", F.lit("")), "\n"))).alias("line", "content"))
+    return rows.select("path", F.when(F.col("line") == 0, F.col("mtime")).alias("mtime"), "line", "content").where("line = 0 OR trim(content) <> ''")
+
+
 class SearchIndex:
     """Index of files (path, content, mtime as a number) below ``root``."""
 
@@ -69,71 +99,107 @@ class SearchIndex:
         """(path, line, content) of all live lines."""
         manifest = self.versions.read()[1]
         live = self.files(manifest).select("path", "segment")
-        return self._read(LINES, [s["lines"] for s in manifest.get("segments", [])]).join(live, ["path", "segment"], "left_semi").drop("segment")
+        return self._lines([s["lines"] for s in manifest.get("segments", [])]).join(live, ["path", "segment"], "left_semi").drop("segment")
 
     def _postings(self, lines: DataFrame, number: int) -> DataFrame:
         """Postings of lines (path, line, content), bucket by bucket, each sorted by term.
 
-        One line's terms are counted in the line. What the lines of a batch have for a bucket travels as one packed piece, so the shuffle
-        sorts pieces, and the task that gets a bucket's pieces sorts the terms. A frequent term is spread over PARTS pieces of a
-        bucket by its path.
+        One line's terms are counted in the line. What many lines of a task have for a bucket travels as one compressed piece, in which a term and a path
+        stand once, and the task that gets a bucket's pieces sorts their terms. Where there is more text than tasks of a bucket each are to get, a
+        bucket is dealt in parts by the path.
         """
-        buckets = self.buckets
-        texts = lines.select("path", "line", plain(F.col("content")).alias("x"), F.pmod(F.xxhash64("path"), F.lit(PARTS)).cast("int").alias("s"))
+        buckets, chars = self.buckets, lines.agg(F.sum(F.length("content"))).first()[0] or 0
+        parts = max(1, -(-chars // (TASK_CHARS * buckets)))
+        places = buckets * parts
+        tasks = min(places, max(self.spark.sparkContext.defaultParallelism, -(-chars // TASK_CHARS)))
+        texts = lines.select("path", "line", plain(F.col("content")).alias("x"), F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int").alias("s"))
+
+        def pieces(held: list[tuple]) -> pa.RecordBatch:
+            terms, path, line, s, n, tf, length = zip(*held, strict=True)
+            terms = pa.chunked_array(terms).unify_dictionaries().combine_chunks()
+            words, code = terms.dictionary, terms.indices.to_numpy()
+            path, (line, s, n, tf, length) = pa.chunked_array(path).combine_chunks().dictionary_encode(null_encoding="encode"), (np.concatenate(x) for x in (line, s, n, tf, length))
+            file, row = path.indices.to_numpy(), np.repeat(np.arange(len(n)), n)
+            # the signed 64-bit hash of Spark's xxhash64
+            bucket = np.array([(xxhash.xxh64_intdigest(t, 42) + 2**63) % 2**64 - 2**63 for t in words.to_pylist()], np.int64) % buckets
+            place = bucket[code] * parts + s[row]
+            ordered = pc.sort_indices(words).to_numpy()
+            rank = np.empty(len(words), np.int64)
+            rank[ordered] = np.arange(len(words))
+            order = np.argsort(place * max(1, len(words)) + rank[code], kind="stable")
+            place, row, code, tf = place[order], row[order], code[order], tf[order]
+            starts = np.unique(place, return_index=True)[1]
+            out = []
+            for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(place)], strict=False):
+                first = np.r_[0, np.nonzero(np.diff(code[x:y]))[0] + 1]
+                files, at = np.unique(file[row[x:y]], return_inverse=True)
+                numbered = np.diff(at, prepend=0), line[row[x:y]], tf[x:y], length[row[x:y]]
+                out.append((place[x], *strings(words.take(pa.array(code[x:y][first]))), planes(np.diff(first, append=y - x)), *strings(path.dictionary.take(pa.array(files))), *map(planes, numbered)))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * len(PIECE)), strict=True)], ["place", *PIECE])
 
         def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
             for batch in (b.slice(x, PACK_LINES) for b in it for x in range(0, b.num_rows, PACK_LINES)):
                 counts = [Counter(x.translate(SPACED).split()) for x in batch.column("x").to_pylist()]
-                n = np.array([len(c) for c in counts], np.int64)
-                row = np.repeat(np.arange(len(n)), n)
-                terms = pa.array([t for c in counts for t in c], pa.binary()).dictionary_encode()
-                # the signed 64-bit hash of Spark's xxhash64
-                bucket = np.array([(xxhash.xxh64_intdigest(t, 42) + 2**63) % 2**64 - 2**63 for t in terms.dictionary.to_pylist()], np.int64) % buckets
-                place = bucket[terms.indices.to_numpy()] * PARTS + batch.column("s").to_numpy()[row]
-                order = np.argsort(place, kind="stable")
-                at, length = pa.array(row[order]), np.array([c.total() for c in counts], np.int32)
-                tf = np.fromiter((c for x in counts for c in x.values()), np.int64, len(row))
-                flat = pa.RecordBatch.from_arrays([terms.dictionary.cast(pa.string()).take(terms.indices.take(pa.array(order))), batch.column("path").take(at), batch.column("line").take(at), pa.array(tf[order]), pa.array(length[row[order]])], schema=PACKED)
-                found, starts = np.unique(place[order], return_index=True)
-                ends = [*starts[1:].tolist(), len(row)]
-                pieces = [flat.slice(x, y - x).serialize().to_pybytes() for x, y in zip(starts.tolist(), ends, strict=False)] if len(found) else []
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(pieces, pa.binary())], ["place", "piece"])
+                n, length = np.array([len(c) for c in counts], np.int64), np.array([c.total() for c in counts], np.int32)
+                tf = np.fromiter((c for x in counts for c in x.values()), np.int32, n.sum())
+                held.append((pa.array([t for c in counts for t in c], pa.binary()).dictionary_encode(), batch.column("path"), batch.column("line").to_numpy(), batch.column("s").to_numpy(), n, tf, length))
+                size += len(tf)
+                if size >= PACK_POSTINGS:
+                    yield pieces(held)
+                    held, size = [], 0
+            if size:
+                yield pieces(held)
 
         def unpack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = (r for b in it for r in zip(b.column("place").to_pylist(), b.column("piece").to_pylist(), strict=True))
+            rows = (r for b in it for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
             for place, part in groupby(rows, key=lambda r: r[0]):
-                t = pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(x), PACKED) for _, x in part]).combine_chunks()
-                for b in t.take(pc.sort_indices(t.column("term"))).to_batches(max_chunksize=1 << 16):
-                    more = [pa.array(np.full(b.num_rows, number, np.int64)), pa.array(np.full(b.num_rows, place // PARTS, np.int32))]
-                    yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, "segment", "_b"])
-
-        dealt = texts.mapInArrow(pack, "place int, piece binary").repartition("place").sortWithinPartitions("place")
+                pieces = ((from_strings(*x[1:3]), numbers(x[3]), from_strings(*x[4:6]), *map(numbers, x[6:])) for x in part)
+                terms, n, paths, steps, *rest = zip(*pieces, strict=True)
+                before = np.cumsum([0, *(len(x) for x in paths)])
+                file = np.concatenate([k + np.cumsum(x) for k, x in zip(before.tolist(), steps, strict=False)])
+                paths, terms = pa.concat_arrays(paths).cast(pa.string()), pa.concat_arrays(terms).dictionary_encode()
+                words = terms.dictionary.take(ordered := pc.sort_indices(terms.dictionary))
+                rank = np.empty(len(words), np.int64)
+                rank[ordered.to_numpy()] = np.arange(len(words))
+                term = np.repeat(rank[terms.indices.to_numpy()], np.concatenate(n))
+                order, words = np.argsort(term, kind="stable"), words.cast(pa.string())
+                line, tf, length = map(np.concatenate, rest)
+                for at in (order[x : x + (1 << 16)] for x in range(0, len(order), 1 << 16)):
+                    cols = words.take(pa.array(term[at])), paths.take(pa.array(file[at])), line[at], tf[at].astype(np.int64), length[at], np.full(len(at), number, np.int64), np.full(len(at), place // parts, np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["term", "path", "line", "tf", "length", "segment", "_b"])
+
+        task = F.floor(F.col("place") * F.lit(tasks) / F.lit(places)).cast("int")  # a bucket's parts lie side by side
+        dealt = texts.mapInArrow(pack, ", ".join(["place int", *[f"{c} binary" for c in PIECE]])).repartitionById(tasks, task).sortWithinPartitions("place")
         return dealt.mapInArrow(unpack, f"{POSTINGS}, _b int")
 
-    def _write_segment(self, lines: DataFrame, number: int) -> dict:
-        """Lines (path, line, content) as a segment."""
-        postings = self.versions.write(self._postings(lines, number), "_b")
-        kept = self.versions.write(lines.select("path", "line", "content", F.lit(number).cast("long").alias("segment")))
-        return {"postings": postings, "lines": kept}
+    def _write_lines(self, rows: DataFrame, number: int) -> str:
+        """Lines (path, line, content, mtime) of a segment, written once: all else is made of what was written. Line 0 marks a file and is no line."""
+        return self.versions.write(rows.select("path", "line", "content", "mtime", F.lit(number).cast("long").alias("segment")))
+
+    def _segment(self, lines: str, number: int) -> dict:
+        return {"postings": self.versions.write(self._postings(self._lines([lines]), number), "_b"), "lines": lines}
+
+    def _lines(self, paths: list[str]) -> DataFrame:
+        return self._read(LINES, paths).where("line > 0")
 
     def refresh(self, files: DataFrame, gone: DataFrame | None = None) -> int:
         """Index the files that are new or whose mtime is later than the indexed one; the paths of ``gone`` leave the index. The version."""
 
         def make(number: int, manifest: dict) -> dict | None:
             known = self.files(manifest)
-            changed = materialize(search.stale(files, known).select("path", "content", F.col("mtime").cast("long").alias("mtime")))
+            new = search.stale(files, known) if manifest else files  # before the first version all are new
+            kept = self._write_lines(marked_lines(new), number)
+            changed, lines = self._read(MARKS, [kept]).where("line = 0"), self._lines([kept])
             left = known.join(changed.select("path"), "path", "left_anti")
             left = left.join(gone.select("path").distinct(), "path", "left_anti") if gone is not None else left
             n_changed = changed.count()
             if not n_changed and (gone is None or left.count() == known.count()):
                 return None
-            lines = sources.lines(changed, "content", "path", keep_blank=False)
-            segments = list(manifest.get("segments", []))
-            if n_changed:
-                segments.append(self._write_segment(lines, number))
+            segments = [*manifest.get("segments", []), *([self._segment(kept, number)] if n_changed else [])]
             sizes = lines.select("path", plain(F.col("content")).alias("x")).mapInArrow(n_terms, "path string, n long").groupBy("path").agg(F.count("*").alias("n_lines"), F.sum("n").alias("n_terms"))
-            new = changed.select("path", "mtime", F.lit(number).cast("long").alias("segment")).join(sizes, "path", "left").fillna(0, ["n_lines", "n_terms"])
-            return {"buckets": self.buckets, "segments": segments, "files": self.versions.write(left.unionByName(new))}
+            found = changed.select("path", "mtime", F.lit(number).cast("long").alias("segment")).join(sizes, "path", "left").fillna(0, ["n_lines", "n_terms"])
+            return {"buckets": self.buckets, "segments": segments, "files": self.versions.write(left.unionByName(found))}
 
         return self.versions.change(make)
 
@@ -144,8 +210,8 @@ class SearchIndex:
             if len(manifest.get("segments", [])) < 2:
                 return None
             live = self.files(manifest).select("path", "segment")
-            lines = self._read(LINES, [s["lines"] for s in manifest["segments"]]).join(live, ["path", "segment"], "left_semi")
-            segment = self._write_segment(lines.drop("segment"), number)
+            lines = self._lines([s["lines"] for s in manifest["segments"]]).join(live, ["path", "segment"], "left_semi")
+            segment = self._segment(self._write_lines(lines.withColumn("mtime", F.lit(None).cast("long")), number), number)
             files = self.files(manifest).withColumn("segment", F.lit(number).cast("long"))
             return manifest | {"segments": [segment], "files": self.versions.write(files)}
 

@@ -3,6 +3,7 @@
 import random
 import re
 import threading
+from pathlib import Path
 
 import pytest
 
@@ -188,3 +189,41 @@ def test_postings_are_packed_by_the_terms_of_the_search(spark, tmp_path):
     words = lines.select("path", "line", search.terms(F.col("content")).alias("t")).select("path", "line", F.size("t").alias("n"), F.explode("t").alias("term"))
     want = words.groupBy("term", "path", "line").agg(F.count("*").alias("tf"), F.first("n").alias("n")).select("term", "path", "line", "tf", "n", F.lit(7), F.pmod(F.xxhash64("term"), F.lit(5)).cast("int"))
     assert got == sorted(tuple(r) for r in want.collect()) and len(got) == 12
+
+
+def test_postings_are_the_same_in_many_pieces_and_parts(spark, tmp_path, monkeypatch):
+    """Pieces of few postings, buckets in parts, a file without a path, counts and lines beyond a byte."""
+    from pyspark.sql import functions as F
+
+    from quillstone.operators import search_index
+
+    rng = random.Random(8)
+    rows = [(f"p{i % 5}" if i % 7 else None, 300 * i + 1, " ".join(rng.choices(["a", "bé", "c1", "日本", "dd"], k=rng.randint(0, 9)))) for i in range(40)] + [("long", 1, "a " * 70_000 + "b")]
+    lines = spark.createDataFrame(rows, "path string, line int, content string")
+    index = SearchIndex(spark, str(tmp_path / "i"), buckets=5)
+    words = lines.select("path", "line", search.terms(F.col("content")).alias("t")).select("path", "line", F.size("t").alias("n"), F.explode("t").alias("term"))
+    found = words.groupBy("term", "path", "line").agg(F.count("*").alias("tf"), F.first("n").alias("n")).select("term", "path", "line", "tf", "n", F.lit(7), F.pmod(F.xxhash64("term"), F.lit(5)).cast("int"))
+    want = sorted((tuple(r) for r in found.collect()), key=repr)
+    for size, chars in ((1 << 21, 1 << 24), (6, 10_000)):
+        monkeypatch.setattr(search_index, "PACK_POSTINGS", size)
+        monkeypatch.setattr(search_index, "PACK_LINES", min(size, 5000))
+        monkeypatch.setattr(search_index, "TASK_CHARS", chars)
+        assert sorted((tuple(r) for r in index._postings(lines, 7).collect()), key=repr) == want
+
+
+def test_a_refresh_moves_and_writes_little_beside_its_text(spark, tmp_path):
+    """The text is written once, with its index, and no text is shuffled; hexadecimal words, which codecs make half as large at most."""
+    from quillstone.operators.store import shared_folder
+    from tests.llm.test_disk import shuffled
+
+    rng = random.Random(4)
+    words = [f"{rng.getrandbits(48):012x}" for _ in range(3000)]
+    rows = [(f"f{i}", "\n".join(" ".join(rng.choices(words, k=40)) for _ in range(20)), 1) for i in range(150)]
+    size = sum(len(c) for _, c, _ in rows)
+    spark.createDataFrame(rows, "path string, content string, mtime long").write.parquet(str(tmp_path / "files"))
+    files, index = spark.read.parquet(str(tmp_path / "files")), SearchIndex(spark, str(tmp_path / "i"))
+    held = lambda folder: sum(p.stat().st_size for p in Path(folder.removeprefix("file://")).rglob("*") if p.is_file())
+    before = held(shared_folder(spark))
+    _, moved = shuffled(spark, lambda: index.refresh(files))
+    written = held(str(tmp_path / "i")) + held(shared_folder(spark)) - before
+    assert moved < size / 2 and written < 1.25 * size, (moved / size, written / size)
